@@ -1 +1,274 @@
-"""Position and cash operators (Q1-Q3, Q7, Q11, Q12, Q14)."""
+"""Position and cash operators for all users at once (Q1-Q3, Q7, Q11, Q12, Q14)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ledgerline.functions.exprs import as_double, round2, safe_div
+
+POSITION_KEY = ["user_id", "stock_ticker"]
+
+
+def _priced_positions(portfolio: DataFrame, stock: DataFrame) -> DataFrame:
+    s = stock.select(F.col("ticker").alias("stock_ticker"), F.col("name").alias("stock_name"),
+                     F.col("price").alias("current_price"), F.lit(True).alias("_listed"))
+    p = portfolio.join(s, "stock_ticker", "left")
+    listed = F.col("_listed").isNotNull()
+    inv = F.col("quantity") * F.col("avg_price")
+    val = F.col("quantity") * F.col("current_price")
+    return p.select(
+        "user_id", "stock_ticker", "stock_name", "quantity", "avg_price", "current_price", "_listed",
+        inv.alias("_inv"),
+        F.when(listed, val).alias("_val"),
+        F.when(listed, val - inv).alias("_pnl"),
+    )
+
+
+def portfolio_positions(portfolio: DataFrame, stock: DataFrame, user_id=None) -> DataFrame:
+    """Q1: every position with cost, value, P&L and P&L %, plus the user's
+    totals on each row.
+
+    Total investment counts all of the user's positions; total value and P&L
+    only positions in listed stocks (as the original correlated subqueries).
+    The three per-user totals are one window over ``user_id``; its partitions
+    hold at most one row per listed ticker, whatever the trade volume.
+    """
+    p = portfolio if user_id is None else portfolio.where(F.col("user_id") == F.lit(user_id))
+    p = _priced_positions(p, stock)
+    w = Window.partitionBy("user_id")
+    p = p.select("*",
+                 F.sum("_inv").over(w).alias("_t_inv"),
+                 F.sum("_val").over(w).alias("_t_val"),
+                 F.sum("_pnl").over(w).alias("_t_pnl"))
+    p = p.where(F.col("_listed").isNotNull())
+    return p.select(
+        "user_id", "stock_ticker", "stock_name",
+        F.col("quantity").cast("bigint").alias("quantity"),
+        as_double("avg_price").alias("avg_price"),
+        as_double("current_price").alias("current_price"),
+        as_double("_inv").alias("total_investment"),
+        as_double("_val").alias("current_value"),
+        as_double("_pnl").alias("profit_loss"),
+        round2(safe_div("_pnl", "_inv") * 100).alias("profit_loss_pct"),
+        as_double("_t_inv").alias("total_portfolio_investment"),
+        as_double("_t_val").alias("total_portfolio_value"),
+        as_double("_t_pnl").alias("total_portfolio_pnl"),
+    )
+
+
+def portfolio_totals(users: DataFrame, portfolio: DataFrame, stock: DataFrame) -> DataFrame:
+    """Q2: per user total investment, value, P&L and P&L % (guarded division);
+    users without a listed position get zeros."""
+    p = _priced_positions(portfolio, stock)
+    t = p.groupBy("user_id").agg(
+        F.sum("_inv").alias("_inv"), F.sum("_val").alias("_val"), F.sum("_pnl").alias("_pnl"),
+        F.count("_listed").alias("_n_listed"))
+    j = users.select("user_id").join(t, "user_id", "left")
+    has = F.coalesce(F.col("_n_listed"), F.lit(0)) > 0
+    zero = F.lit(0.0)
+    return j.select(
+        "user_id",
+        F.when(has, as_double("_inv")).otherwise(zero).alias("total_investment"),
+        F.when(has, as_double("_val")).otherwise(zero).alias("total_value"),
+        F.when(has, as_double("_pnl")).otherwise(zero).alias("total_pnl"),
+        F.when(has, round2(safe_div(as_double("_val") - as_double("_inv"), "_inv") * 100))
+         .otherwise(zero).alias("total_pnl_pct"),
+    )
+
+
+def allocation(txn: DataFrame, stock: DataFrame, signed: bool = False, user_id=None) -> DataFrame:
+    """Q3: share of each ticker in the user's traded value at current prices.
+
+    As in the original, buys and sells both add (``signed=False``); with
+    ``signed=True`` sells subtract. Per (user, ticker) sums are partially
+    aggregated before the shuffle; the per-user total is a window whose
+    partitions hold one row per ticker.
+    """
+    t = txn if user_id is None else txn.where(F.col("user_id") == F.lit(user_id))
+    s = stock.select(F.col("ticker").alias("stock_ticker"), F.col("price").alias("_px"))
+    q = F.col("quantity")
+    if signed:
+        q = F.when(F.col("type") == "BUY", q).otherwise(-q)
+    v = t.join(s, "stock_ticker", "inner").groupBy("user_id", "stock_ticker") \
+         .agg(F.sum(q * F.col("_px")).alias("stock_value"))
+    w = Window.partitionBy("user_id")
+    v = v.withColumn("total_value", F.sum("stock_value").over(w))
+    return v.select(
+        "user_id", F.col("stock_ticker").alias("stock_id"),
+        as_double("stock_value").alias("stock_value"),
+        as_double("total_value").alias("total_value"),
+        round2(safe_div("stock_value", "total_value") * 100).alias("allocation_percentage"),
+    )
+
+
+def portfolio_summary(txn: DataFrame, stock: DataFrame, stock_prices: DataFrame, as_of) -> DataFrame:
+    """Q7: per user and stock, shares traded and their value at the closing
+    price of day ``as_of`` (the original's intent; all trades count)."""
+    sp = stock_prices.where(F.col("date") == F.lit(as_of).cast("date")) \
+                     .select(F.col("ticker").alias("stock_ticker"), F.col("price").alias("_close"))
+    s = stock.select(F.col("ticker").alias("stock_ticker"), F.col("name").alias("stock_name"))
+    j = txn.join(s, "stock_ticker").join(sp, "stock_ticker")
+    return j.groupBy("user_id", "stock_ticker", "stock_name").agg(
+        F.sum("quantity").cast("bigint").alias("total_shares"),
+        as_double(F.sum(F.col("quantity") * F.col("_close"))).alias("total_value"))
+
+
+def cash_flows(txn: DataFrame, deposits: DataFrame) -> DataFrame:
+    """Signed cash movements ``(user_id, kind, amount)``: buys debit, sells
+    credit, deposits with a positive numeric amount credit."""
+    amt = F.col("quantity") * F.col("price")
+    trades = txn.select("user_id",
+                        F.when(F.col("type") == "BUY", F.lit("buy")).otherwise(F.lit("sell")).alias("kind"),
+                        F.when(F.col("type") == "BUY", -amt).otherwise(amt).cast("decimal(30,2)").alias("amount"))
+    a = F.col("amount").try_cast("decimal(30,2)")
+    dep = deposits.where(a > 0).select("user_id", F.lit("deposit").alias("kind"), a.alias("amount"))
+    return trades.unionByName(dep)
+
+
+def cash_balance(users: DataFrame, txn: DataFrame, deposits: DataFrame) -> DataFrame:
+    """Q11: opening balance + valid deposits - buys + sells, per user.
+
+    Cash flows are summed per user with map-side partial aggregation, so a
+    user with a third of all trades still moves one row per map task."""
+    f = cash_flows(txn, deposits).groupBy("user_id").agg(
+        F.sum(F.when(F.col("kind") == "deposit", F.col("amount"))).alias("_dep"),
+        F.sum(F.when(F.col("kind") == "buy", -F.col("amount"))).alias("_buy"),
+        F.sum(F.when(F.col("kind") == "sell", F.col("amount"))).alias("_sell"))
+    j = users.select("user_id", "balance").join(f, "user_id", "left")
+    z = F.lit(0)
+    dep, buy, sell = (F.coalesce(F.col(c), z) for c in ("_dep", "_buy", "_sell"))
+    return j.select(
+        "user_id", as_double("balance").alias("opening_balance"),
+        as_double(dep).alias("deposits"), as_double(buy).alias("bought"), as_double(sell).alias("sold"),
+        as_double(F.col("balance") + dep - buy + sell).alias("balance"))
+
+
+# -- Q12: ordered replay of each position ----------------------------------------
+
+LEDGER_STEP_SCHEMA = T.StructType([
+    T.StructField("transaction_id", T.LongType()),
+    T.StructField("user_id", T.LongType()),
+    T.StructField("stock_ticker", T.StringType()),
+    T.StructField("type", T.StringType()),
+    T.StructField("quantity", T.LongType()),
+    T.StructField("price_cents", T.LongType()),
+    T.StructField("step", T.LongType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("qty_after", T.LongType()),
+    T.StructField("avg_cents_after", T.LongType()),
+    T.StructField("realized_cents", T.LongType()),
+])
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold the trades of each position in (ts, transaction_id) order.
+
+    Input arrives sorted by position and time; the fold state of the current
+    position is carried across Arrow batches, so a position of any length is
+    streamed through with constant memory. Amounts are integer cents, so the
+    result is exact: the average is rounded half up to the cent after each
+    buy, as a NUMERIC(10,2) column would store it.
+    """
+    key = None
+    qty = avg = seq = 0
+    for pdf in batches:
+        n = len(pdf)
+        users = pdf["user_id"].tolist()
+        tick = pdf["stock_ticker"].tolist()
+        types = pdf["type"].tolist()
+        qs = pdf["quantity"].tolist()
+        ps = pdf["price_cents"].tolist()
+        status = [None] * n
+        steps = [0] * n
+        q_after = [0] * n
+        a_after = [0] * n
+        realized = [0] * n
+        for i in range(n):
+            k = (users[i], tick[i])
+            if k != key:
+                key, qty, avg, seq = k, 0, 0, 0
+            seq += 1
+            steps[i] = seq
+            q, p = qs[i], ps[i]
+            if types[i] == "BUY":
+                new_qty = qty + q
+                num = avg * qty + p * q
+                avg = (2 * num + new_qty) // (2 * new_qty) if new_qty > 0 else 0
+                qty = new_qty
+                status[i] = "BOUGHT"
+            elif q > qty:
+                status[i] = "REJECTED"
+            else:
+                realized[i] = q * (p - avg)
+                qty -= q
+                if qty == 0:
+                    avg = 0
+                status[i] = "SOLD"
+            q_after[i] = qty
+            a_after[i] = avg
+        yield pd.DataFrame({
+            "transaction_id": pdf["transaction_id"], "user_id": pdf["user_id"],
+            "stock_ticker": pdf["stock_ticker"], "type": pdf["type"],
+            "quantity": pdf["quantity"], "price_cents": pdf["price_cents"],
+            "step": steps, "status": status, "qty_after": q_after, "avg_cents_after": a_after, "realized_cents": realized,
+        })
+
+
+def ledger_steps(txn: DataFrame) -> DataFrame:
+    """Q12 (steps): every trade with its replay outcome (BOUGHT / SOLD /
+    REJECTED for an oversell) and the position after it.
+
+    BUY adds shares and re-weights the average cost; an accepted SELL keeps
+    the average and books ``quantity * (price - average)``; selling out
+    resets the average; selling more than held is rejected and leaves the
+    position unchanged. The replay is sequential per position by definition:
+    trades are hash-partitioned by position and sorted inside each partition,
+    then folded by a streaming pass that never holds more than one Arrow batch.
+    """
+    t = txn.where(F.col("type").isin("BUY", "SELL") & (F.col("quantity") > 0))
+    t = t.select("transaction_id", "user_id", "stock_ticker", "type", "ts",
+                 F.col("quantity").cast("bigint").alias("quantity"),
+                 (F.col("price") * 100).cast("bigint").alias("price_cents"))
+    t = t.repartition(*POSITION_KEY).sortWithinPartitions(*POSITION_KEY, "ts", "transaction_id")
+    return t.drop("ts").mapInPandas(_replay, LEDGER_STEP_SCHEMA)
+
+
+def position_ledger(txn: DataFrame, keep_steps: bool = False) -> DataFrame:
+    """Q12: final position of every (user, ticker) after the ordered replay.
+
+    Columns: quantity, average cost (0 when flat), realised P&L of the
+    accepted sells, and the counts of trades and rejected oversells.
+    """
+    steps = ledger_steps(txn)
+    if keep_steps:
+        return steps
+    w_last = F.struct("step", "qty_after", "avg_cents_after")
+    g = steps.groupBy(*POSITION_KEY).agg(
+        F.max(w_last).alias("_last"),
+        F.sum("realized_cents").alias("_rc"),
+        F.count(F.lit(1)).alias("n_trades"),
+        F.sum(F.when(F.col("status") == "REJECTED", 1).otherwise(0)).alias("n_rejected"))
+    return g.select(
+        *POSITION_KEY,
+        F.col("_last.qty_after").alias("quantity"),
+        (F.col("_last.avg_cents_after").cast("double") / 100).alias("avg_price"),
+        (F.col("_rc").cast("double") / 100).alias("realized_pnl"),
+        F.col("n_trades").cast("bigint").alias("n_trades"),
+        F.col("n_rejected").cast("bigint").alias("n_rejected"))
+
+
+def sell_proceeds(sells: DataFrame, portfolio: DataFrame) -> DataFrame:
+    """Q14: for each sell order against a held position: proceeds
+    ``quantity * price`` and profit ``quantity * (price - avg_price)``."""
+    s = sells.select(F.col("order_id"), "user_id", F.col("ticker").alias("stock_ticker"), "quantity", "price")
+    j = s.join(portfolio.select(*POSITION_KEY, "avg_price"), POSITION_KEY, "inner")
+    return j.select("order_id", "user_id", "stock_ticker",
+                    F.col("quantity").cast("bigint").alias("quantity"),
+                    as_double(F.col("quantity") * F.col("price")).alias("total_value"),
+                    as_double(F.col("quantity") * (F.col("price") - F.col("avg_price"))).alias("profit"))

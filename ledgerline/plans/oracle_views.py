@@ -116,10 +116,14 @@ def with_views(sql: str) -> str:
     ordered = [v for v in VIEWS if v in needed]
     body = sql.strip()
     own = ""
-    if re.match(r"(?is)^with\s", body):
-        body = body[4:].lstrip()
+    head = "WITH "
+    m = re.match(r"(?is)^with(\s+recursive)?\s", body)
+    if m:
+        if m.group(1):
+            head = "WITH RECURSIVE "
+        body = body[m.end():].lstrip()
         own = ",\n"
     if not ordered:
-        return ("WITH " + body) if own else body
+        return (head + body) if own else body
     ctes = ",\n".join(f"{v} AS (\n{VIEWS[v]}\n)" for v in ordered)
-    return f"WITH {ctes}{own if own else chr(10)}{body}"
+    return f"{head}{ctes}{own if own else chr(10)}{body}"

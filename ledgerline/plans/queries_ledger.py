@@ -91,3 +91,158 @@ FROM d
 """)
 def _holdings_by_day(fx):
     return history.holdings_by_day(fx.txn, LEDGER_AS_OF)
+
+
+# Floor-form rounding to cents in DuckDB, equal to ``round2`` in Spark.
+def _r2(x: str) -> str:
+    return (f"(CASE WHEN ({x}) < 0 THEN -(floor(abs({x}) * 100 + 0.5) / 100) "
+            f"ELSE floor(abs({x}) * 100 + 0.5) / 100 + 0.0 END)")
+
+
+_POS = """
+  SELECT p.user_id, p.stock_ticker, s.name AS stock_name, p.quantity, p.avg_price, s.price AS current_price,
+         s.ticker IS NOT NULL AS listed,
+         p.quantity * p.avg_price AS inv,
+         CASE WHEN s.ticker IS NOT NULL THEN p.quantity * s.price END AS val,
+         CASE WHEN s.ticker IS NOT NULL THEN p.quantity * s.price - p.quantity * p.avg_price END AS pnl
+  FROM portfolio p LEFT JOIN stock s ON p.stock_ticker = s.ticker"""
+
+
+@register("portfolio_positions", f"""
+WITH pos AS ({_POS}),
+tot AS (SELECT user_id, SUM(inv) AS t_inv, SUM(val) AS t_val, SUM(pnl) AS t_pnl FROM pos GROUP BY user_id)
+SELECT pos.user_id, stock_ticker, stock_name, CAST(quantity AS BIGINT) AS quantity,
+       CAST(avg_price AS DOUBLE) AS avg_price, CAST(current_price AS DOUBLE) AS current_price,
+       CAST(inv AS DOUBLE) AS total_investment, CAST(val AS DOUBLE) AS current_value,
+       CAST(pnl AS DOUBLE) AS profit_loss,
+       {_r2("CAST(pnl AS DOUBLE) / NULLIF(CAST(inv AS DOUBLE), 0) * 100")} AS profit_loss_pct,
+       CAST(t_inv AS DOUBLE) AS total_portfolio_investment, CAST(t_val AS DOUBLE) AS total_portfolio_value,
+       CAST(t_pnl AS DOUBLE) AS total_portfolio_pnl
+FROM pos JOIN tot ON pos.user_id = tot.user_id
+WHERE listed
+""")
+def _portfolio_positions(fx):
+    return positions.portfolio_positions(fx.portfolio, fx.stock)
+
+
+@register("portfolio_totals", f"""
+WITH pos AS ({_POS}),
+tot AS (SELECT user_id, SUM(inv) AS t_inv, SUM(val) AS t_val, SUM(pnl) AS t_pnl,
+               COUNT(CASE WHEN listed THEN 1 END) AS n_listed FROM pos GROUP BY user_id)
+SELECT a.user_id,
+       CASE WHEN COALESCE(n_listed, 0) > 0 THEN CAST(t_inv AS DOUBLE) ELSE 0.0 END AS total_investment,
+       CASE WHEN COALESCE(n_listed, 0) > 0 THEN CAST(t_val AS DOUBLE) ELSE 0.0 END AS total_value,
+       CASE WHEN COALESCE(n_listed, 0) > 0 THEN CAST(t_pnl AS DOUBLE) ELSE 0.0 END AS total_pnl,
+       CASE WHEN COALESCE(n_listed, 0) > 0
+            THEN {_r2("(CAST(t_val AS DOUBLE) - CAST(t_inv AS DOUBLE)) / NULLIF(CAST(t_inv AS DOUBLE), 0) * 100")}
+            ELSE 0.0 END AS total_pnl_pct
+FROM account a LEFT JOIN tot ON a.user_id = tot.user_id
+""")
+def _portfolio_totals(fx):
+    return positions.portfolio_totals(fx.account, fx.portfolio, fx.stock)
+
+
+@register("allocation", f"""
+WITH v AS (
+  SELECT t.user_id, t.stock_ticker, SUM(t.quantity * s.price) AS stock_value
+  FROM txn t JOIN stock s ON t.stock_ticker = s.ticker GROUP BY t.user_id, t.stock_ticker),
+w AS (SELECT *, SUM(stock_value) OVER (PARTITION BY user_id) AS total_value FROM v)
+SELECT user_id, stock_ticker AS stock_id, CAST(stock_value AS DOUBLE) AS stock_value,
+       CAST(total_value AS DOUBLE) AS total_value,
+       {_r2("CAST(stock_value AS DOUBLE) / NULLIF(CAST(total_value AS DOUBLE), 0) * 100")} AS allocation_percentage
+FROM w
+""")
+def _allocation(fx):
+    return positions.allocation(fx.txn, fx.stock)
+
+
+@register("portfolio_summary", f"""
+SELECT t.user_id, t.stock_ticker, s.name AS stock_name, CAST(SUM(t.quantity) AS BIGINT) AS total_shares,
+       CAST(SUM(t.quantity * sp.price) AS DOUBLE) AS total_value
+FROM txn t JOIN stock s ON t.stock_ticker = s.ticker
+JOIN stock_prices sp ON sp.ticker = s.ticker
+WHERE sp.date = DATE '{PRICE_AS_OF}'
+GROUP BY t.user_id, t.stock_ticker, s.name
+""")
+def _portfolio_summary(fx):
+    return positions.portfolio_summary(fx.txn, fx.stock, fx.stock_prices, PRICE_AS_OF)
+
+
+@register("cash_balance", """
+WITH f AS (
+  SELECT user_id,
+         SUM(CASE WHEN type = 'BUY' THEN quantity * price ELSE 0 END) AS buy,
+         SUM(CASE WHEN type = 'SELL' THEN quantity * price ELSE 0 END) AS sell,
+         0 AS dep
+  FROM txn GROUP BY user_id
+  UNION ALL
+  SELECT user_id, 0, 0, SUM(amount) FROM deposits WHERE amount > 0 GROUP BY user_id),
+g AS (SELECT user_id, SUM(buy) AS buy, SUM(sell) AS sell, SUM(dep) AS dep FROM f GROUP BY user_id)
+SELECT a.user_id, CAST(a.balance AS DOUBLE) AS opening_balance,
+       CAST(COALESCE(dep, 0) AS DOUBLE) AS deposits, CAST(COALESCE(buy, 0) AS DOUBLE) AS bought,
+       CAST(COALESCE(sell, 0) AS DOUBLE) AS sold,
+       CAST(a.balance + COALESCE(dep, 0) - COALESCE(buy, 0) + COALESCE(sell, 0) AS DOUBLE) AS balance
+FROM account a LEFT JOIN g ON a.user_id = g.user_id
+""")
+def _cash_balance(fx):
+    return positions.cash_balance(fx.account, fx.txn, fx.deposits)
+
+
+# Ordered replay as a recursive CTE: one recursion step per trade of a position.
+_REPLAY = """
+WITH RECURSIVE t AS (
+  SELECT transaction_id, user_id, stock_ticker, type, CAST(quantity AS BIGINT) AS q,
+         CAST(price * 100 AS BIGINT) AS p,
+         row_number() OVER (PARTITION BY user_id, stock_ticker ORDER BY ts, transaction_id) AS step
+  FROM txn WHERE type IN ('BUY', 'SELL') AND quantity > 0),
+r AS (
+  SELECT DISTINCT user_id, stock_ticker, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS transaction_id,
+         CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS qty, CAST(0 AS BIGINT) AS avg_c,
+         CAST(0 AS BIGINT) AS realized
+  FROM t
+  UNION ALL
+  SELECT t.user_id, t.stock_ticker, t.step, t.transaction_id,
+         CASE WHEN t.type = 'BUY' THEN 'BOUGHT' WHEN t.q > r.qty THEN 'REJECTED' ELSE 'SOLD' END,
+         CASE WHEN t.type = 'BUY' THEN r.qty + t.q WHEN t.q > r.qty THEN r.qty ELSE r.qty - t.q END,
+         CASE WHEN t.type = 'BUY' THEN (2 * (r.avg_c * r.qty + t.p * t.q) + r.qty + t.q) // (2 * (r.qty + t.q))
+              WHEN t.q > r.qty THEN r.avg_c
+              WHEN r.qty = t.q THEN 0 ELSE r.avg_c END,
+         CASE WHEN t.type = 'SELL' AND t.q <= r.qty THEN t.q * (t.p - r.avg_c) ELSE 0 END
+  FROM r JOIN t ON t.user_id = r.user_id AND t.stock_ticker = r.stock_ticker AND t.step = r.step + 1)
+"""
+
+
+@register("position_ledger", _REPLAY + """
+SELECT user_id, stock_ticker,
+       arg_max(qty, step) AS quantity,
+       CAST(arg_max(avg_c, step) AS DOUBLE) / 100 AS avg_price,
+       CAST(SUM(realized) AS DOUBLE) / 100 AS realized_pnl,
+       CAST(COUNT(*) AS BIGINT) AS n_trades,
+       CAST(SUM(CASE WHEN status = 'REJECTED' THEN 1 ELSE 0 END) AS BIGINT) AS n_rejected
+FROM r WHERE step > 0
+GROUP BY user_id, stock_ticker
+""")
+def _position_ledger(fx):
+    return positions.position_ledger(fx.txn)
+
+
+@register("ledger_steps", _REPLAY + """
+SELECT r.transaction_id, r.user_id, r.stock_ticker, t.type, t.q AS quantity, t.p AS price_cents, r.step,
+       r.status, r.qty AS qty_after, r.avg_c AS avg_cents_after, r.realized AS realized_cents
+FROM r JOIN t ON r.user_id = t.user_id AND r.stock_ticker = t.stock_ticker AND r.step = t.step
+WHERE r.step > 0
+""")
+def _ledger_steps(fx):
+    return positions.ledger_steps(fx.txn)
+
+
+@register("sell_proceeds", """
+SELECT o.order_id, o.user_id, o.ticker AS stock_ticker, CAST(o.quantity AS BIGINT) AS quantity,
+       CAST(o.quantity * o.price AS DOUBLE) AS total_value,
+       CAST(o.quantity * (o.price - p.avg_price) AS DOUBLE) AS profit
+FROM order_requests o JOIN portfolio p ON p.user_id = o.user_id AND p.stock_ticker = o.ticker
+WHERE o.type = 'SELL'
+""")
+def _sell_proceeds(fx):
+    o = fx.order_requests
+    return positions.sell_proceeds(o.where(o.type == "SELL"), fx.portfolio)
