@@ -1 +1,60 @@
 """Batch twins of the streaming operators (T1-T7), with their SQL oracles."""
+
+from __future__ import annotations
+
+from ledgerline.operators import market
+from ledgerline.plans.catalog import register
+from ledgerline.plans.queries_ledger import _r2
+
+
+@register("price_audit", f"""
+WITH t AS (
+  SELECT k.ticker, k.event_id, k.ts, k.price, s.price AS seed,
+         lag(k.price) OVER (PARTITION BY k.ticker ORDER BY k.ts, k.event_id) AS prev,
+         row_number() OVER (PARTITION BY k.ticker ORDER BY k.ts, k.event_id) AS rn
+  FROM ticks k JOIN stock s ON k.ticker = s.ticker),
+o AS (SELECT *, CASE WHEN rn = 1 THEN seed ELSE prev END AS old_price FROM t)
+SELECT ticker, event_id, ts AS change_date, CAST(old_price AS DOUBLE) AS old_price, CAST(price AS DOUBLE) AS new_price,
+       {_r2("(CAST(price AS DOUBLE) - CAST(old_price AS DOUBLE)) / NULLIF(CAST(old_price AS DOUBLE), 0) * 100")} AS change_percentage
+FROM o WHERE old_price IS DISTINCT FROM price
+""")
+def _price_audit(fx):
+    return market.price_audit(fx.ticks, fx.stock)
+
+
+@register("running_high_low", """
+SELECT k.ticker, k.event_id, k.ts, CAST(k.price AS DOUBLE) AS price,
+       CAST(greatest(s.high_52, max(CASE WHEN k.price > 0 THEN k.price END) OVER w) AS DOUBLE) AS high_52,
+       CAST(least(s.low_52, min(k.price) OVER w) AS DOUBLE) AS low_52
+FROM ticks k JOIN stock s ON k.ticker = s.ticker
+WINDOW w AS (PARTITION BY k.ticker ORDER BY k.ts, k.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+def _running_high_low(fx):
+    return market.running_high_low(fx.ticks, fx.stock)
+
+
+_LATEST_TICK = """
+  SELECT ticker, price FROM ticks
+  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) = 1"""
+
+
+@register("market_cap_live", f"""
+WITH lt AS ({_LATEST_TICK})
+SELECT ma.stock_ticker, CAST(COALESCE(lt.price, s.price) AS DOUBLE) AS price, ma.volume,
+       CAST(COALESCE(lt.price, s.price) * ma.volume AS DOUBLE) AS market_cap_pv
+FROM market_analysis ma JOIN stock s ON ma.stock_ticker = s.ticker LEFT JOIN lt ON lt.ticker = s.ticker
+""")
+def _market_cap_live(fx):
+    return market.market_cap_live(fx.ticks, fx.stock, fx.market_analysis)
+
+
+@register("refresh_from_ticks", f"""
+WITH lt AS ({_LATEST_TICK})
+SELECT s.ticker, s.name, CAST(CASE WHEN lt.ticker IS NOT NULL THEN lt.price ELSE s.price END AS DOUBLE) AS price,
+       CAST(s.high_52 AS DOUBLE) AS high_52, CAST(s.low_52 AS DOUBLE) AS low_52
+FROM stock s LEFT JOIN lt ON lt.ticker = s.ticker
+""")
+def _refresh_from_ticks(fx):
+    from ledgerline.functions.exprs import as_double
+    r = market.refresh_from_ticks(fx.stock, fx.ticks)
+    return r.select("ticker", "name", *[as_double(c).alias(c) for c in ("price", "high_52", "low_52")])
