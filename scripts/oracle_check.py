@@ -47,7 +47,9 @@ def _norm(v):
 
 def rows_of(pdf):
     cols = sorted(pdf.columns)
-    return cols, sorted((tuple(_norm(x) if x is not None and x == x else None for x in r)
+    import pandas as pd
+    return cols, sorted((tuple(None if (x is None or (not isinstance(x, (list, tuple, dict)) and pd.isna(x)))
+                               else _norm(x) for x in r)
                          for r in pdf[cols].itertuples(index=False, name=None)), key=repr)
 
 
