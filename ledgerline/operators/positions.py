@@ -166,58 +166,70 @@ LEDGER_STEP_SCHEMA = T.StructType([
 ])
 
 
+def trade_step(qty: int, avg: int, kind: str, q: int, p: int) -> tuple[int, int, str, int]:
+    """One trade applied to a position ``(qty, avg_cents)``.
+
+    Returns ``(qty, avg_cents, status, realized_cents)``. Integer cents keep
+    the result exact: the average is rounded half up to the cent after each
+    buy, as a NUMERIC(10,2) column stores it.
+    """
+    if kind == "BUY":
+        new_qty = qty + q
+        avg = (2 * (avg * qty + p * q) + new_qty) // (2 * new_qty) if new_qty > 0 else 0
+        return new_qty, avg, "BOUGHT", 0
+    if q > qty:
+        return qty, avg, "REJECTED", 0
+    realized = q * (p - avg)
+    qty -= q
+    return qty, (0 if qty == 0 else avg), "SOLD", realized
+
+
+def fold_position(pdf: pd.DataFrame, qty: int = 0, avg: int = 0, seq: int = 0):
+    """Fold the trades of one position (rows already in order) from a state.
+
+    Returns ``(steps_pdf, (qty, avg, seq))``; used by the streaming job, whose
+    state carries ``(qty, avg, seq)`` across micro-batches."""
+    n = len(pdf)
+    out = {"step": [0] * n, "status": [None] * n, "qty_after": [0] * n, "avg_cents_after": [0] * n,
+           "realized_cents": [0] * n}
+    for i, (kind, q, p) in enumerate(zip(pdf["type"].tolist(), pdf["quantity"].tolist(),
+                                         pdf["price_cents"].tolist())):
+        seq += 1
+        qty, avg, st, rc = trade_step(qty, avg, kind, q, p)
+        out["step"][i], out["status"][i], out["realized_cents"][i] = seq, st, rc
+        out["qty_after"][i], out["avg_cents_after"][i] = qty, avg
+    steps = pd.DataFrame({c: pdf[c].values for c in ("transaction_id", "user_id", "stock_ticker", "type",
+                                                     "quantity", "price_cents")})
+    for c, v in out.items():
+        steps[c] = v
+    return steps, (qty, avg, seq)
+
+
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fold the trades of each position in (ts, transaction_id) order.
 
-    Input arrives sorted by position and time; the fold state of the current
+    Input arrives sorted by position and time; the state of the current
     position is carried across Arrow batches, so a position of any length is
-    streamed through with constant memory. Amounts are integer cents, so the
-    result is exact: the average is rounded half up to the cent after each
-    buy, as a NUMERIC(10,2) column would store it.
+    streamed through with constant memory.
     """
     key = None
     qty = avg = seq = 0
     for pdf in batches:
         n = len(pdf)
-        users = pdf["user_id"].tolist()
-        tick = pdf["stock_ticker"].tolist()
-        types = pdf["type"].tolist()
-        qs = pdf["quantity"].tolist()
-        ps = pdf["price_cents"].tolist()
-        status = [None] * n
-        steps = [0] * n
-        q_after = [0] * n
-        a_after = [0] * n
-        realized = [0] * n
+        users, ticks = pdf["user_id"].tolist(), pdf["stock_ticker"].tolist()
+        kinds, qs, ps = pdf["type"].tolist(), pdf["quantity"].tolist(), pdf["price_cents"].tolist()
+        steps, status, q_after, a_after, realized = [0] * n, [None] * n, [0] * n, [0] * n, [0] * n
         for i in range(n):
-            k = (users[i], tick[i])
+            k = (users[i], ticks[i])
             if k != key:
                 key, qty, avg, seq = k, 0, 0, 0
             seq += 1
-            steps[i] = seq
-            q, p = qs[i], ps[i]
-            if types[i] == "BUY":
-                new_qty = qty + q
-                num = avg * qty + p * q
-                avg = (2 * num + new_qty) // (2 * new_qty) if new_qty > 0 else 0
-                qty = new_qty
-                status[i] = "BOUGHT"
-            elif q > qty:
-                status[i] = "REJECTED"
-            else:
-                realized[i] = q * (p - avg)
-                qty -= q
-                if qty == 0:
-                    avg = 0
-                status[i] = "SOLD"
-            q_after[i] = qty
-            a_after[i] = avg
-        yield pd.DataFrame({
-            "transaction_id": pdf["transaction_id"], "user_id": pdf["user_id"],
-            "stock_ticker": pdf["stock_ticker"], "type": pdf["type"],
-            "quantity": pdf["quantity"], "price_cents": pdf["price_cents"],
-            "step": steps, "status": status, "qty_after": q_after, "avg_cents_after": a_after, "realized_cents": realized,
-        })
+            qty, avg, status[i], realized[i] = trade_step(qty, avg, kinds[i], qs[i], ps[i])
+            steps[i], q_after[i], a_after[i] = seq, qty, avg
+        out = pdf[["transaction_id", "user_id", "stock_ticker", "type", "quantity", "price_cents"]].copy()
+        out["step"], out["status"], out["qty_after"] = steps, status, q_after
+        out["avg_cents_after"], out["realized_cents"] = a_after, realized
+        yield out
 
 
 def ledger_steps(txn: DataFrame) -> DataFrame:
