@@ -35,7 +35,8 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequ
 
     ``aggs`` maps output column -> (kind, input column), kind in sum/max/min.
     ``bucket`` must be non-decreasing in ``order`` (e.g. the day of the
-    timestamp ordered on). With ``include_peers`` rows with an equal order
+    timestamp ordered on). ``carry_default`` gives a sum's value when every
+    input in its frame is null (SQL: null). With ``include_peers`` rows with an equal order
     value count as preceding (a RANGE frame, ``ts <= current ts``); otherwise
     a ROWS frame is used. Rows are never dropped.
     """
@@ -57,8 +58,9 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequ
     for name, (kind, _) in aggs.items():
         inner, prev = F.col(f"_in_{name}"), F.col(f"_carry_{name}")
         if kind == "sum":
-            prev = F.coalesce(prev, defaults.get(name, F.lit(0)))
-            val = prev + inner
+            # SQL SUM: null only when every value in the frame is null.
+            val = F.when(prev.isNull() & inner.isNull(), defaults.get(name)) \
+                   .otherwise(F.coalesce(prev, F.lit(0)) + F.coalesce(inner, F.lit(0)))
         elif kind == "max":
             val = F.greatest(prev, inner)
         else:

@@ -82,7 +82,8 @@ def parse_snapshot(snapshots: DataFrame, raw_col: str = "raw") -> DataFrame:
     cols = [F.col("ticker"), F.coalesce(F.col("_s.longName"), F.lit("Unknown")).alias("long_name")]
     for field, name in SNAPSHOT_NAMES.items():
         cols.append(F.coalesce(F.col(f"_s.{field}"), F.lit(0.0)).alias(name))
-    cols.append(F.col("_s").isNotNull().alias("parse_ok"))
+    # from_json yields an all-null struct for malformed text; a JSON object has keys (maybe none).
+    cols.append(F.json_object_keys(F.col(raw_col)).isNotNull().alias("parse_ok"))
     return out.select(*cols)
 
 

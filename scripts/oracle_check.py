@@ -5,95 +5,41 @@
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
 from ledgerline.plans.catalog import oracle_queries, spark_queries  # noqa: E402
+from ledgerline.plans.verify import compare, duckdb_connection  # noqa: E402
 from ledgerline.session import build_session  # noqa: E402
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
-def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
-    for t in TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(p):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
-    return con
-
-
-def _norm(v):
-    import datetime as dt
-    if isinstance(v, dt.datetime):
-        return v.date().isoformat() if v.time() == dt.time(0) else v.isoformat()
-    if isinstance(v, dt.date):
-        return v.isoformat()
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return v + 0.0
-    if hasattr(v, "item"):
-        return v.item()
-    return v
-
-
-def rows_of(pdf):
-    cols = sorted(pdf.columns)
-    import pandas as pd
-    return cols, sorted((tuple(None if (x is None or (not isinstance(x, (list, tuple, dict)) and pd.isna(x)))
-                               else _norm(x) for x in r)
-                         for r in pdf[cols].itertuples(index=False, name=None)), key=repr)
-
-
-def compare(spark, con, name, sq, oq, sf_dir):
-    t0 = time.time()
-    sdf = sq(spark, sf_dir)
-    s_pdf = sdf.toPandas()
-    t1 = time.time()
-    o_pdf = con.sql(oq).df()
-    t2 = time.time()
-    sc, sr = rows_of(s_pdf)
-    oc, orr = rows_of(o_pdf)
-    status = "OK"
-    detail = ""
-    if sc != oc:
-        status, detail = "COLS", f"spark={sc} oracle={oc}"
-    elif len(sr) != len(orr):
-        status, detail = "COUNT", f"spark={len(sr)} oracle={len(orr)}"
-    elif sr != orr:
-        diff = [(a, b) for a, b in zip(sr, orr) if a != b]
-        status, detail = "VALUES", f"{len(diff)} differ; first: {diff[:2]}"
-    print(f"{name:28s} {status:7s} rows={len(sr):8d} spark={t1 - t0:6.2f}s oracle={t2 - t1:6.2f}s {detail}",
-          flush=True)
-    print(f"   types spark={dict(sdf.dtypes)}", flush=True) if status == "COLS" else None
-    return status == "OK"
-
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
     spark = build_session()
-    con = duck(sf_dir)
+    con = duckdb_connection(sf_dir)
     sq, oq = spark_queries(), oracle_queries()
     ok = True
     for n in (names or sq):
         if n not in oq:
-            df = sq[n](spark, sf_dir)
-            print(f"{n:28s} NOORACLE rows={df.count()}", flush=True)
+            print(f"{n:28s} NOORACLE rows={sq[n](spark, sf_dir).count()}", flush=True)
             continue
         try:
-            ok &= compare(spark, con, n, sq[n], oq[n], sf_dir)
+            t0 = time.time()
+            s_pdf = sq[n](spark, sf_dir).toPandas()
+            t1 = time.time()
+            o_pdf = con.sql(oq[n]).df()
+            t2 = time.time()
+            good, detail = compare(s_pdf, o_pdf)
+            ok &= good
+            print(f"{n:28s} {'OK' if good else 'DIFF':5s} spark={t1 - t0:6.2f}s oracle={t2 - t1:6.2f}s {detail}",
+                  flush=True)
         except Exception as e:  # report and continue with the next query
             ok = False
-            print(f"{n:28s} ERROR   {type(e).__name__}: {str(e)[:400]}", flush=True)
+            print(f"{n:28s} ERROR {type(e).__name__}: {str(e)[:400]}", flush=True)
     sys.exit(0 if ok else 1)
 
 
