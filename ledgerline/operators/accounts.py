@@ -49,7 +49,7 @@ def _message(status: Column, messages: dict[str, str]) -> Column:
 def validate_orders(orders: DataFrame, stock: DataFrame, portfolio: DataFrame, users: DataFrame) -> DataFrame:
     """Q13: classify every order request.
 
-    Checks in order: quantity must be positive; type BUY or SELL; the stock
+    Checks in order: quantity must be a positive whole number; type BUY or SELL; the stock
     must exist; a BUY needs a known user whose balance covers
     ``quantity * price``; a SELL needs a position (a missing one counts as 0
     shares) of at least ``quantity``. Each order is judged against the same
@@ -63,7 +63,8 @@ def validate_orders(orders: DataFrame, stock: DataFrame, portfolio: DataFrame, u
     j = o.join(s, "ticker", "left").join(p, ["user_id", "ticker"], "left").join(u, "user_id", "left")
     amount = F.col("quantity") * F.col("price")
     status = (
-        F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), "invalid_quantity")
+        F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0)
+               | (F.col("quantity").cast("double") != F.floor(F.col("quantity")).cast("double")), "invalid_quantity")
          .when(~F.coalesce(F.col("type").isin("BUY", "SELL"), F.lit(False)), "invalid_type")
          .when(F.col("_listed").isNull(), "unknown_stock")
          .when((F.col("type") == "BUY") & (F.col("_balance").isNull() | (F.col("_balance") < amount)),
@@ -77,6 +78,18 @@ def validate_orders(orders: DataFrame, stock: DataFrame, portfolio: DataFrame, u
                     "status", _message(F.col("status"), ORDER_MESSAGES).alias("message"))
 
 
+def accepted_trades(orders: DataFrame, judged: DataFrame) -> DataFrame:
+    """The trade rows to append for accepted orders (``buy_stock`` /
+    ``sell_stock`` over a batch). Positions and balances are then re-derived
+    from the trades (Q11, Q12), never updated in place."""
+    ok = judged.where(F.col("status") == "accepted").select("order_id")
+    o = orders.join(ok, "order_id", "left_semi")
+    return o.select(F.col("order_id").alias("transaction_id"), "user_id",
+                    norm_ticker("ticker").alias("stock_ticker"), F.upper("type").alias("type"),
+                    F.col("quantity").cast("int").alias("quantity"),
+                    F.col("price").cast("decimal(10,2)").alias("price"), "ts")
+
+
 def broker_user_counts(brokers: DataFrame, users: DataFrame) -> DataFrame:
     """Q17: users per broker, brokers without users included (count 0), most first.
 

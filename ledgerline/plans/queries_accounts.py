@@ -25,7 +25,8 @@ WITH o AS (
   LEFT JOIN portfolio p ON p.user_id = o.user_id AND p.stock_ticker = upper(trim(o.ticker))
   LEFT JOIN account a ON a.user_id = o.user_id),
 c AS (
-  SELECT *, CASE WHEN quantity IS NULL OR quantity <= 0 THEN 'invalid_quantity'
+  SELECT *, CASE WHEN quantity IS NULL OR quantity <= 0
+                   OR CAST(quantity AS DOUBLE) <> CAST(floor(quantity) AS DOUBLE) THEN 'invalid_quantity'
                  WHEN type NOT IN ('BUY', 'SELL') OR type IS NULL THEN 'invalid_type'
                  WHEN NOT listed THEN 'unknown_stock'
                  WHEN type = 'BUY' AND (balance IS NULL OR balance < quantity * price) THEN 'insufficient_balance'

@@ -279,3 +279,13 @@ FROM y WINDOW w AS (PARTITION BY stock_ticker ORDER BY quarter)
 """)
 def _financial_rollup_quarterly(fx):
     return market.financial_rollup(_facts(fx), "quarter")
+
+
+@register("rolling_high_low", """
+SELECT ticker, date,
+       CAST(MAX(price) OVER w AS DOUBLE) AS high_52, CAST(MIN(price) OVER w AS DOUBLE) AS low_52
+FROM stock_prices
+WINDOW w AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 364 DAY PRECEDING AND CURRENT ROW)
+""")
+def _rolling_high_low(fx):
+    return market.rolling_high_low(fx.stock_prices, 364)

@@ -252,3 +252,13 @@ def test_audits_find_each_kind_of_violation(spark):
     assert ("txn", "check:type_domain") in rules and ("txn", "check:quantity_positive") in rules
     assert ("market_analysis", "numeric(15,2):market_cap") in rules
     assert ("stock", "varchar(20):ticker") in rules
+
+
+def test_accepted_trades_appends_only_accepted(spark, fx, tmp_path):
+    judged = accounts.validate_orders(fx.order_requests, fx.stock, fx.portfolio, fx.account)
+    trades = accounts.accepted_trades(fx.order_requests, judged)
+    n_ok = judged.where("status = 'accepted'").count()
+    path = str(tmp_path / "txn")
+    tables.append(trades, path)
+    tables.append(trades.limit(0), path)
+    assert spark.read.parquet(path).count() == n_ok
