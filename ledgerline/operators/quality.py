@@ -66,54 +66,75 @@ def check_foreign_keys(tables: dict[str, DataFrame], constraints=CONSTRAINTS) ->
     return _union(parts, next(iter(tables.values())))
 
 
-def check_domains(tables: dict[str, DataFrame], constraints=CONSTRAINTS) -> DataFrame:
-    """K3: CHECK constraints; like SQL, a check that evaluates to null passes."""
+def _row_rules(df: DataFrame, table: str, pk, rules: list[tuple[str, Column, Column]]) -> DataFrame | None:
+    """Evaluate several row-level rules in one pass over ``df``.
+
+    ``rules`` are ``(rule, violated, value)``; each row yields an array of
+    the rules it breaks, exploded into audit rows. One scan per table, however
+    many rules it has."""
+    if not rules:
+        return None
+    hits = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(bad, F.lit(False)).alias("bad"),
+                                        v.cast("string").alias("value")) for r, bad, v in rules]),
+                    lambda x: x["bad"])
+    ex = df.select(_key(pk).alias("key"), F.explode(hits).alias("_h"))
+    return ex.select(F.lit(table).alias("table"), F.col("_h.rule").alias("rule"), "key",
+                     F.col("_h.value").alias("value"))
+
+
+def _domain_rules(spec) -> list[tuple[str, Column, Column]]:
+    # SQL CHECK: a condition that evaluates to null passes.
+    return [("check:" + rule, ~F.expr(cond), F.lit(cond)) for rule, cond in spec.get("check", {}).items()]
+
+
+def _not_null_rules(spec) -> list[tuple[str, Column, Column]]:
+    return [("not_null:" + c, F.col(c).isNull(), F.lit(None)) for c in spec.get("not_null", [])]
+
+
+def _precision_rules(spec) -> list[tuple[str, Column, Column]]:
+    # PostgreSQL rounds extra decimals, so only integer digits can overflow.
+    out = []
+    for c, (p, s) in spec.get("numeric", {}).items():
+        over = F.abs(F.round(F.col(c).cast("double"), s)) >= F.lit(float(10 ** (p - s)))
+        out.append((f"numeric({p},{s}):{c}", over, F.col(c).cast("decimal(38,4)")))
+    for c, n in spec.get("varchar", {}).items():
+        out.append((f"varchar({n}):{c}", F.length(F.col(c)) > n, F.length(F.col(c))))
+    return out
+
+
+def _row_check(tables, constraints, make_rules) -> DataFrame:
     parts = []
     for name, spec in constraints.items():
-        if name not in tables:
-            continue
-        for rule, cond in spec.get("check", {}).items():
-            bad = tables[name].where(~F.expr(cond))
-            parts.append(_out(bad, name, "check:" + rule, _key(spec["pk"]), F.lit(cond)))
+        if name in tables:
+            part = _row_rules(tables[name], name, spec["pk"], make_rules(spec))
+            if part is not None:
+                parts.append(part)
     return _union(parts, next(iter(tables.values())))
 
 
+def check_domains(tables: dict[str, DataFrame], constraints=CONSTRAINTS) -> DataFrame:
+    """K3: CHECK constraints; like SQL, a check that evaluates to null passes."""
+    return _row_check(tables, constraints, _domain_rules)
+
+
 def check_not_null(tables: dict[str, DataFrame], constraints=CONSTRAINTS) -> DataFrame:
     """K4: NOT NULL columns holding nulls."""
-    parts = []
-    for name, spec in constraints.items():
-        if name not in tables:
-            continue
-        for c in spec.get("not_null", []):
-            bad = tables[name].where(F.col(c).isNull())
-            parts.append(_out(bad, name, "not_null:" + c, _key(spec["pk"]), F.lit(None)))
-    return _union(parts, next(iter(tables.values())))
+    return _row_check(tables, constraints, _not_null_rules)
 
 
 def check_precision(tables: dict[str, DataFrame], constraints=CONSTRAINTS) -> DataFrame:
-    """K5: values too large for NUMERIC(p, s) (PostgreSQL rounds extra
-    decimals, so only integer digits can overflow) and strings longer than
-    VARCHAR(n)."""
-    parts = []
-    for name, spec in constraints.items():
-        if name not in tables:
-            continue
-        df = tables[name]
-        for c, (p, s) in spec.get("numeric", {}).items():
-            limit = F.lit(10 ** (p - s)).cast("double")
-            x = F.col(c).cast("double")
-            bad = df.where(F.abs(F.round(x, s)) >= limit)
-            parts.append(_out(bad, name, f"numeric({p},{s}):{c}", _key(spec["pk"]),
-                              F.col(c).cast("decimal(38,4)")))
-        for c, n in spec.get("varchar", {}).items():
-            bad = df.where(F.length(F.col(c)) > n)
-            parts.append(_out(bad, name, f"varchar({n}):{c}", _key(spec["pk"]), F.length(F.col(c))))
-    return _union(parts, next(iter(tables.values())))
+    """K5: values too large for NUMERIC(p, s) and strings longer than VARCHAR(n)."""
+    return _row_check(tables, constraints, _precision_rules)
+
+
+def check_rows(tables: dict[str, DataFrame], constraints=CONSTRAINTS) -> DataFrame:
+    """K3 + K4 + K5 in a single pass per table."""
+    return _row_check(tables, constraints,
+                      lambda spec: _domain_rules(spec) + _not_null_rules(spec) + _precision_rules(spec))
 
 
 def audit_tables(tables: dict[str, DataFrame], constraints=CONSTRAINTS) -> DataFrame:
     """All checks K1-K5 in one result."""
     return reduce(DataFrame.unionByName, [
         check_primary_keys(tables, constraints), check_foreign_keys(tables, constraints),
-        check_domains(tables, constraints), check_not_null(tables, constraints),
-        check_precision(tables, constraints)])
+        check_rows(tables, constraints)])
