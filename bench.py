@@ -36,8 +36,10 @@ def main() -> None:
     queries = spark_queries()
     names = only or list(queries)
 
-    # Warm the JVM (class loading, codegen caches) on a query that is not timed.
-    queries["stock_listing"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # Warm the JVM (class loading, JIT, codegen caches) on untimed runs that
+    # exercise scans, aggregates, windows, joins and the Python workers.
+    for warm in ("stock_listing", "realized_pnl", "position_ledger", "portfolio_history"):
+        queries[warm](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
     for name in names:

@@ -55,7 +55,8 @@ def profit_label(x) -> Column:
 
 def fmt2(x) -> Column:
     """Fixed two-decimal text; 'N/A' for null."""
-    return F.coalesce(F.format_string("%.2f", as_double(x)), F.lit("N/A"))
+    # format_string renders null as the text 'null', so test for null first.
+    return F.when(col_(x).isNull(), F.lit("N/A")).otherwise(F.format_string("%.2f", as_double(x)))
 
 
 def parse_display_number(text) -> Column:

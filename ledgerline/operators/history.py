@@ -23,15 +23,18 @@ def _with_running_buy_cost(txn: DataFrame) -> DataFrame:
     """Every trade plus the lifetime mean buy cost of its position up to and
     including its timestamp (trades at the same timestamp count)."""
     is_buy = F.col("type") == "BUY"
+    zero = F.lit(0).cast("bigint")
+    # Buy cost in integer cents: exact, and cheaper to sum than wide decimals.
     ev = txn.select(
         "transaction_id", "user_id", "stock_ticker", "type", "quantity", "price", "ts",
         F.col("ts").cast("date").alias("date"),
-        F.when(is_buy, F.col("quantity").cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("_bq"),
-        F.when(is_buy, F.col("quantity") * F.col("price")).otherwise(F.lit(0)).alias("_bc"),
+        F.when(is_buy, F.col("quantity").cast("bigint")).otherwise(zero).alias("_bq"),
+        F.when(is_buy, F.col("quantity").cast("bigint") * (F.col("price") * 100).cast("bigint"))
+         .otherwise(zero).alias("_bc"),
     )
     ev = bucketed_prefix(ev, POSITION_KEY, "date", ["ts"],
                          {"_cum_q": ("sum", "_bq"), "_cum_c": ("sum", "_bc")}, include_peers=True)
-    mean = as_double("_cum_c") / F.nullif(as_double("_cum_q"), F.lit(0.0))
+    mean = (as_double("_cum_c") / 100.0) / F.nullif(as_double("_cum_q"), F.lit(0.0))
     return ev.withColumn("avg_buy_cost", F.coalesce(mean, F.lit(0.0))).drop("_bq", "_bc", "_cum_q", "_cum_c")
 
 

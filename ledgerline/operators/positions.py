@@ -243,36 +243,78 @@ def ledger_steps(txn: DataFrame) -> DataFrame:
     trades are hash-partitioned by position and sorted inside each partition,
     then folded by a streaming pass that never holds more than one Arrow batch.
     """
+    return _sorted_trades(txn).mapInPandas(_replay, LEDGER_STEP_SCHEMA)
+
+
+POSITION_SCHEMA = T.StructType([
+    T.StructField("user_id", T.LongType()),
+    T.StructField("stock_ticker", T.StringType()),
+    T.StructField("quantity", T.LongType()),
+    T.StructField("avg_cents", T.LongType()),
+    T.StructField("realized_cents", T.LongType()),
+    T.StructField("n_trades", T.LongType()),
+    T.StructField("n_rejected", T.LongType()),
+])
+
+
+def _replay_final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Like :func:`_replay`, but emits one row per position: its state after
+    the last trade, with realised P&L and counts. A position that spans
+    several Arrow batches is emitted once, when the next position starts or
+    the partition ends."""
+    key = None
+    qty = avg = realized = n = rejected = 0
+    out = {c: [] for c in POSITION_SCHEMA.fieldNames()}
+
+    def emit():
+        for c, v in zip(out, (key[0], key[1], qty, avg, realized, n, rejected)):
+            out[c].append(v)
+
+    for pdf in batches:
+        users, ticks = pdf["user_id"].tolist(), pdf["stock_ticker"].tolist()
+        kinds, qs, ps = pdf["type"].tolist(), pdf["quantity"].tolist(), pdf["price_cents"].tolist()
+        for i in range(len(pdf)):
+            k = (users[i], ticks[i])
+            if k != key:
+                if key is not None:
+                    emit()
+                key, qty, avg, realized, n, rejected = k, 0, 0, 0, 0, 0
+            qty, avg, status, rc = trade_step(qty, avg, kinds[i], qs[i], ps[i])
+            realized += rc
+            n += 1
+            rejected += status == "REJECTED"
+        if len(out["user_id"]) >= 10000:
+            yield pd.DataFrame(out)
+            out = {c: [] for c in POSITION_SCHEMA.fieldNames()}
+    if key is not None:
+        emit()
+    if out["user_id"]:
+        yield pd.DataFrame(out)
+
+
+def _sorted_trades(txn: DataFrame) -> DataFrame:
     t = txn.where(F.col("type").isin("BUY", "SELL") & (F.col("quantity") > 0))
     t = t.select("transaction_id", "user_id", "stock_ticker", "type", "ts",
                  F.col("quantity").cast("bigint").alias("quantity"),
                  (F.col("price") * 100).cast("bigint").alias("price_cents"))
-    t = t.repartition(*POSITION_KEY).sortWithinPartitions(*POSITION_KEY, "ts", "transaction_id")
-    return t.drop("ts").mapInPandas(_replay, LEDGER_STEP_SCHEMA)
+    return t.repartition(*POSITION_KEY).sortWithinPartitions(*POSITION_KEY, "ts", "transaction_id").drop("ts")
 
 
 def position_ledger(txn: DataFrame, keep_steps: bool = False) -> DataFrame:
     """Q12: final position of every (user, ticker) after the ordered replay.
 
     Columns: quantity, average cost (0 when flat), realised P&L of the
-    accepted sells, and the counts of trades and rejected oversells.
+    accepted sells, and the counts of trades and rejected oversells. The fold
+    emits the final state itself, so the trades are shuffled exactly once.
     """
-    steps = ledger_steps(txn)
     if keep_steps:
-        return steps
-    w_last = F.struct("step", "qty_after", "avg_cents_after")
-    g = steps.groupBy(*POSITION_KEY).agg(
-        F.max(w_last).alias("_last"),
-        F.sum("realized_cents").alias("_rc"),
-        F.count(F.lit(1)).alias("n_trades"),
-        F.sum(F.when(F.col("status") == "REJECTED", 1).otherwise(0)).alias("n_rejected"))
-    return g.select(
-        *POSITION_KEY,
-        F.col("_last.qty_after").alias("quantity"),
-        (F.col("_last.avg_cents_after").cast("double") / 100).alias("avg_price"),
-        (F.col("_rc").cast("double") / 100).alias("realized_pnl"),
-        F.col("n_trades").cast("bigint").alias("n_trades"),
-        F.col("n_rejected").cast("bigint").alias("n_rejected"))
+        return ledger_steps(txn)
+    f = _sorted_trades(txn).mapInPandas(_replay_final, POSITION_SCHEMA)
+    return f.select(
+        *POSITION_KEY, "quantity",
+        (F.col("avg_cents").cast("double") / 100).alias("avg_price"),
+        (F.col("realized_cents").cast("double") / 100).alias("realized_pnl"),
+        "n_trades", "n_rejected")
 
 
 def sell_proceeds(sells: DataFrame, portfolio: DataFrame) -> DataFrame:

@@ -53,7 +53,10 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequ
     w_prev = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*part, *[_COMBINE[k](f"_bt_{n}").over(w_prev).alias(f"_carry_{n}")
                                    for n, (k, _) in aggs.items()])
-    out = out.join(carry, part, "inner")
+    # The carry table has one row per (key, bucket): it grows with the data,
+    # so it is never broadcast. The big side is already hash-partitioned on
+    # (key, bucket) by the window, so a merge join only moves the carry side.
+    out = out.join(carry.hint("shuffle_merge"), part, "inner")
     defaults = carry_default or {}
     for name, (kind, _) in aggs.items():
         inner, prev = F.col(f"_in_{name}"), F.col(f"_carry_{name}")
@@ -84,6 +87,6 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     last_in_bucket = marked.groupBy(*part).agg(F.max_by(F.col(value), ordered).alias("_last"))
     w_prev = Window.partitionBy(*keys).orderBy(bucket)
     prev = last_in_bucket.select(*part, F.lag("_last").over(w_prev).alias("_prev_bucket_last"))
-    joined = marked.join(prev, part, "inner")
+    joined = marked.join(prev.hint("shuffle_merge"), part, "inner")
     return joined.withColumn(out, F.when(F.col("_first"), F.col("_prev_bucket_last")).otherwise(F.col("_lag_in"))) \
                  .drop("_lag_in", "_first", "_prev_bucket_last")
