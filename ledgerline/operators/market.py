@@ -324,12 +324,8 @@ def price_audit(ticks: DataFrame, stock: DataFrame) -> DataFrame:
     ticker with a third of all ticks is still split over many tasks.
     """
     t = _ticks_with_day(ticks.join(stock.select(F.col("ticker"), F.col("price").alias("_seed")), "ticker"))
-    t = bucketed_lag(t, ["ticker"], "_day", ["ts", "event_id"], "price", "_prev")
-    # A null lag means either "first tick" or "previous tick had a null price";
-    # a running count of ticks tells them apart (same partitioning, no shuffle).
-    t = bucketed_prefix(t.withColumn("_one", F.lit(1)), ["ticker"], "_day", ["ts", "event_id"],
-                        {"_seen": ("sum", "_one")}, include_peers=False)
-    old = F.when(F.col("_seen") == 1, F.col("_seed")).otherwise(F.col("_prev"))
+    t = bucketed_lag(t, ["ticker"], "_day", ["ts", "event_id"], "price", "_prev", has_prev="_has_prev")
+    old = F.when(F.col("_has_prev"), F.col("_prev")).otherwise(F.col("_seed"))
     t = t.withColumn("old_price", old)
     t = t.where(~F.col("old_price").eqNullSafe(F.col("price")))
     return t.select("ticker", "event_id", F.col("ts").alias("change_date"),

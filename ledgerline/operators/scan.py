@@ -73,11 +73,13 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequ
 
 
 def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str],
-                 value: str, out: str) -> DataFrame:
+                 value: str, out: str, has_prev: str | None = None) -> DataFrame:
     """``lag(value) OVER (PARTITION BY keys ORDER BY order)`` in two levels.
 
     Inside a bucket it is a plain lag; the first row of a bucket takes the
-    last value of the nearest earlier non-empty bucket of the same key.
+    last value of the nearest earlier non-empty bucket of the same key. With
+    ``has_prev`` a boolean column tells whether the row has a predecessor at
+    all (the lag alone cannot: a predecessor's value may itself be null).
     """
     keys = list(keys)
     part = keys + [bucket]
@@ -86,7 +88,11 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     ordered = F.struct(*[F.col(c) for c in order])
     last_in_bucket = marked.groupBy(*part).agg(F.max_by(F.col(value), ordered).alias("_last"))
     w_prev = Window.partitionBy(*keys).orderBy(bucket)
-    prev = last_in_bucket.select(*part, F.lag("_last").over(w_prev).alias("_prev_bucket_last"))
+    prev = last_in_bucket.select(*part, F.lag("_last").over(w_prev).alias("_prev_bucket_last"),
+                                 F.lag(bucket).over(w_prev).isNotNull().alias("_earlier_bucket"))
+    # One row per (key, bucket): grows with the data, so never broadcast.
     joined = marked.join(prev.hint("shuffle_merge"), part, "inner")
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_prev_bucket_last")).otherwise(F.col("_lag_in"))) \
-                 .drop("_lag_in", "_first", "_prev_bucket_last")
+    res = joined.withColumn(out, F.when(F.col("_first"), F.col("_prev_bucket_last")).otherwise(F.col("_lag_in")))
+    if has_prev:
+        res = res.withColumn(has_prev, ~F.col("_first") | F.col("_earlier_bucket"))
+    return res.drop("_lag_in", "_first", "_prev_bucket_last", "_earlier_bucket")

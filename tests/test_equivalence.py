@@ -80,3 +80,11 @@ def test_bucketed_lag_equals_plain_lag(spark):
     got = bucketed_lag(df, ["key"], "day", ["t", "id"], "v", "prev")
     want = df.withColumn("prev", F.lag("v").over(Window.partitionBy("key").orderBy("t", "id")))
     _same(got.select("id", "prev"), want.select("id", "prev"))
+
+
+def test_bucketed_lag_has_prev_flag(spark):
+    df = _skewed(spark, seed=11)
+    got = bucketed_lag(df, ["key"], "day", ["t", "id"], "v", "prev", has_prev="hp")
+    w = Window.partitionBy("key").orderBy("t", "id")
+    want = df.select("id", (F.row_number().over(w) > 1).alias("hp"))
+    _same(got.select("id", "hp"), want)
