@@ -74,10 +74,13 @@ def _row_rules(df: DataFrame, table: str, pk, rules: list[tuple[str, Column, Col
     many rules it has."""
     if not rules:
         return None
-    hits = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(bad, F.lit(False)).alias("bad"),
-                                        v.cast("string").alias("value")) for r, bad, v in rules]),
-                    lambda x: x["bad"])
-    ex = df.select(_key(pk).alias("key"), F.explode(hits).alias("_h"))
+    flags = [F.coalesce(bad, F.lit(False)) for _, bad, _ in rules]
+    # Filter on the OR of all rules first (cheap, code-generated); build the
+    # per-rule array only for the few rows that break something.
+    any_bad = reduce(lambda a, b: a | b, flags)
+    hits = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), f.alias("bad"), v.cast("string").alias("value"))
+                              for (r, _, v), f in zip(rules, flags)]), lambda x: x["bad"])
+    ex = df.where(any_bad).select(_key(pk).alias("key"), F.explode(hits).alias("_h"))
     return ex.select(F.lit(table).alias("table"), F.col("_h.rule").alias("rule"), "key",
                      F.col("_h.value").alias("value"))
 
