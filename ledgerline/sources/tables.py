@@ -115,8 +115,7 @@ def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str],
         changes = changes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     ch = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in update_cols],
                         F.lit(True).alias("_hit"))
-    b = base.withColumn("_present", F.lit(True))
-    j = b.join(ch, keys, "full_outer")
+    j = base.join(ch, keys, "full_outer")
     out = []
     for c in value_cols:
         dtype = base.schema[c].dataType

@@ -262,3 +262,35 @@ def test_accepted_trades_appends_only_accepted(spark, fx, tmp_path):
     tables.append(trades, path)
     tables.append(trades.limit(0), path)
     assert spark.read.parquet(path).count() == n_ok
+
+
+def test_refresh_rejects_and_admin_upsert_rejects(spark):
+    st = stock_df(spark, [("A", "a", 1, None, None), ("B", "b", 1, None, None), ("C", "c", 1, None, None)])
+    sp = spark.createDataFrame([("A", dt.date(2001, 1, 1), D("2"), 5), ("C", dt.date(2001, 1, 1), D("3"), 6)],
+                               schemas.STOCK_PRICES)
+    snaps = spark.createDataFrame([("A", '{"longName":"Alpha"}'), ("C", "{broken")], "ticker string, raw string")
+    rej = {r.ticker: r.reason for r in market.refresh_rejects(st, snaps, sp, "2001-01-02").collect()}
+    assert rej == {"B": "no price history", "C": "malformed snapshot"}
+    ch = market.market_refresh(st, snaps, sp, "2001-01-02", 2024).collect()
+    assert [(r.ticker, r.name, r.price, r.volume) for r in ch] == [("A", "Alpha", 2.0, 5)]
+    changes = spark.createDataFrame([(" a ", "Alpha2", 9.5), ("", "x", 1.0), ("d", "", 1.0), ("e", "Echo", 2.0)],
+                                    "ticker string, name string, price double")
+    new_stock, rejects = market.add_or_update_stock(st, changes)
+    got = {r.ticker: (r.name, r.price) for r in new_stock.collect()}
+    assert got["A"] == ("Alpha2", D("9.50")) and got["E"] == ("Echo", D("2.00")) and "D" not in got
+    assert rejects.count() == 2
+
+
+def test_accepted_users_get_deterministic_ids(spark):
+    b = spark.createDataFrame([(1, "x")], schemas.BROKERS)
+    u = spark.createDataFrame([(1, "Taken", 1, D(0))], schemas.USERS)
+    s = spark.createDataFrame([(7, "new", 1, D("1000.00")), (8, "taken", 1, D("2000.00"))],
+                              "signup_id long, name string, brokerage_id int, balance decimal(15,2)")
+    got = accounts.accepted_users(accounts.register_users(s, u, b), id_offset=1000).collect()
+    assert [(r.user_id, r.name, r.balance) for r in got] == [(1007, "new", D("1000.00"))]
+
+
+def test_price_chart_arrays_are_date_sorted(spark):
+    sp = spark.createDataFrame([("A", dt.date(2001, 1, d), D(d), 1) for d in (3, 1, 2)], schemas.STOCK_PRICES)
+    r = market.price_chart(sp, "2001-01-03", months=6, as_arrays=True).first()
+    assert r.dates == ["2001-01-01", "2001-01-02", "2001-01-03"] and r.prices == [1.0, 2.0, 3.0]

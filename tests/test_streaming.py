@@ -99,3 +99,13 @@ def test_replayed_file_is_not_applied_twice(spark, fx, tmp_path):
     q.awaitTermination()
     twin = positions.ledger_steps(jobs.trades_from_orders(fx.order_requests))
     _same(spark.table("t_pos_dedup"), twin)
+
+
+def test_audit_stream_to_parquet_resumes(spark, fx, split_events, tmp_path):
+    """Exactly-once parquet sink: a second run on the same checkpoint adds nothing."""
+    out, ck = str(tmp_path / "audit"), str(tmp_path / "ck")
+    for _ in range(2):
+        _, ticks = _streams(spark, split_events)
+        q = jobs.start_to_parquet(jobs.audit_rows(jobs.price_state_stream(ticks, fx.stock)), out, "audit", checkpoint=ck)
+        q.awaitTermination()
+    _same(spark.read.parquet(out), market.price_audit(fx.ticks, fx.stock))
