@@ -83,3 +83,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, name)
+
+
+def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+                     shuffle_fraction: float = 0.3) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run over ``input_bytes`` of parquet.
+
+    The largest shuffle moves the pruned trade columns, about
+    ``shuffle_fraction`` of the input. Partitions are sized so that an average
+    one holds ``target_partition_bytes``, with at least two waves of tasks;
+    AQE then coalesces small partitions and splits skewed join partitions at
+    run time.
+    """
+    parts = max(2 * total_cores, int(input_bytes * shuffle_fraction) // target_partition_bytes + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
