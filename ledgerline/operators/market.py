@@ -274,13 +274,19 @@ def market_cap(stock: DataFrame, market: DataFrame) -> DataFrame:
 
 def add_or_update_stock(stock: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Q28: admin upsert of (ticker, name, price). Tickers are upper-cased;
-    rows with an empty ticker or name are rejected; highs and lows of an
+    rows with an empty ticker or name, or a price that is not a number
+    (or does not fit NUMERIC(10,2)), are rejected; highs and lows of an
     existing stock are kept. Returns ``(new_stock, rejects)``."""
     c = changes.select(F.upper(F.trim(F.col("ticker"))).alias("ticker"), F.trim(F.col("name")).alias("name"),
-                       F.col("price").cast("decimal(10,2)").alias("price"))
-    bad = F.coalesce(F.col("ticker"), F.lit("")).__eq__("") | F.coalesce(F.col("name"), F.lit("")).__eq__("")
-    rejects = c.where(bad).withColumn("reason", F.lit("ticker and name are required"))
-    return upsert(stock, c.where(~bad), ["ticker"], ["name", "price"]), rejects
+                       F.col("price").alias("_raw_price"),
+                       F.col("price").cast("string").try_cast("decimal(10,2)").alias("price"))
+    reason = (F.when((F.coalesce(F.col("ticker"), F.lit("")) == "") | (F.coalesce(F.col("name"), F.lit("")) == ""),
+                     "ticker and name are required")
+               .when(F.col("_raw_price").isNotNull() & F.col("price").isNull(), "price is not a number"))
+    c = c.withColumn("reason", reason)
+    rejects = c.where(F.col("reason").isNotNull()).drop("_raw_price")
+    ok = c.where(F.col("reason").isNull()).drop("_raw_price", "reason")
+    return upsert(stock, ok, ["ticker"], ["name", "price"]), rejects
 
 
 # -- Q30 ------------------------------------------------------------------------

@@ -273,12 +273,12 @@ def test_refresh_rejects_and_admin_upsert_rejects(spark):
     assert rej == {"B": "no price history", "C": "malformed snapshot"}
     ch = market.market_refresh(st, snaps, sp, "2001-01-02", 2024).collect()
     assert [(r.ticker, r.name, r.price, r.volume) for r in ch] == [("A", "Alpha", 2.0, 5)]
-    changes = spark.createDataFrame([(" a ", "Alpha2", 9.5), ("", "x", 1.0), ("d", "", 1.0), ("e", "Echo", 2.0)],
-                                    "ticker string, name string, price double")
+    changes = spark.createDataFrame([(" a ", "Alpha2", "9.5"), ("", "x", "1"), ("d", "", "1"), ("e", "Echo", "2"),
+                                     ("f", "Fox", "abc")], "ticker string, name string, price string")
     new_stock, rejects = market.add_or_update_stock(st, changes)
     got = {r.ticker: (r.name, r.price) for r in new_stock.collect()}
     assert got["A"] == ("Alpha2", D("9.50")) and got["E"] == ("Echo", D("2.00")) and "D" not in got
-    assert rejects.count() == 2
+    assert rejects.count() == 3 and "F" not in got
 
 
 def test_accepted_users_get_deterministic_ids(spark):
