@@ -46,6 +46,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_required_conf(spark)
+    for k, v in (extra or {}).items():
+        if k.startswith("spark.sql."):  # runtime-settable; others were applied at startup
+            spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
