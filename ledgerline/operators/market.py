@@ -61,15 +61,21 @@ def moving_average_series(stock_prices: DataFrame, n: int = 50) -> DataFrame:
 
 # -- Q10 ------------------------------------------------------------------------
 
-def top_movers(stock: DataFrame, stock_prices: DataFrame, as_of, n: int = 7, k: int = 5) -> DataFrame:
+def top_movers(stock: DataFrame, stock_prices: DataFrame, as_of, n: int = 7, k: int = 5,
+               calendar_days: bool = False) -> DataFrame:
     """Q10: change of the current price against the oldest of the last ``n``
-    closes up to ``as_of``; ``k`` gainers (change > 0, largest first) and ``k``
-    losers (change <= 0, smallest first). Tickers with a null price or fewer
-    than two closes are skipped. Ties are broken by ticker.
+    closes up to ``as_of`` (or, with ``calendar_days``, the closes of the last
+    ``n`` calendar days, as the vendor's ``7d`` period); ``k`` gainers
+    (change > 0, largest first) and ``k`` losers (change <= 0, smallest
+    first). Tickers with a null price or fewer than two closes are skipped.
+    Ties are broken by ticker.
     """
     sp = stock_prices.where(F.col("date") <= _date(as_of))
-    w = Window.partitionBy("ticker").orderBy(F.col("date").desc())
-    recent = sp.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    if calendar_days:
+        recent = sp.where(F.col("date") > F.date_sub(_date(as_of), n))
+    else:
+        w = Window.partitionBy("ticker").orderBy(F.col("date").desc())
+        recent = sp.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     oldest = recent.groupBy("ticker").agg(F.min_by("price", "date").alias("old_price"), F.count(F.lit(1)).alias("_n"))
     s = stock.where(F.col("price").isNotNull()).select("ticker", "name", "price")
     j = s.join(oldest.where(F.col("_n") >= 2), "ticker")

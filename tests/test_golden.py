@@ -294,3 +294,21 @@ def test_price_chart_arrays_are_date_sorted(spark):
     sp = spark.createDataFrame([("A", dt.date(2001, 1, d), D(d), 1) for d in (3, 1, 2)], schemas.STOCK_PRICES)
     r = market.price_chart(sp, "2001-01-03", months=6, as_arrays=True).first()
     assert r.dates == ["2001-01-01", "2001-01-02", "2001-01-03"] and r.prices == [1.0, 2.0, 3.0]
+
+
+def test_top_movers_calendar_window(spark):
+    st = stock_df(spark, [("A", "a", 110, None, None)])
+    sp = spark.createDataFrame([("A", dt.date(2001, 1, d), D(p), 1) for d, p in [(1, "50"), (5, "100"), (7, "105")]],
+                               schemas.STOCK_PRICES)
+    got = market.top_movers(st, sp, "2001-01-07", n=7, calendar_days=True).first()
+    assert got.old_price == 50.0           # 2001-01-01 is inside the last 7 calendar days
+    got = market.top_movers(st, sp, "2001-01-07", n=3, calendar_days=True).first()
+    assert got.old_price == 100.0
+
+
+def test_cli_writes_json_rows(spark, tmp_path):
+    from ledgerline.__main__ import main
+    out = str(tmp_path / "out")
+    assert main(["run", "most_traded", "/root/testdata/sf0.001", out, "--format", "json"]) == 0
+    lines = spark.read.text(out).collect()
+    assert len(lines) == 10 and lines[0].value.startswith('{"ticker":')
