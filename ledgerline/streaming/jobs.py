@@ -37,12 +37,15 @@ from ledgerline.sources.tables import upsert
 
 
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events*.parquet",
-                 max_files_per_trigger: int | None = None, watermark: str | None = None) -> DataFrame:
+                 max_files_per_trigger: int | None = 64, watermark: str | None = None) -> DataFrame:
     """The ``events`` table as an append-only file stream.
 
-    With ``watermark`` the zone-less ``ts`` is cast to TIMESTAMP (session
-    zone UTC) and replayed events are dropped by ``event_id`` within the
-    watermark, so an at-least-once producer does not double-apply.
+    Micro-batches are bounded (``max_files_per_trigger``): the stateful
+    handlers sort one key's rows of one micro-batch in memory, so the batch
+    bound is what bounds a hot key's group, including when a backlog is
+    drained. With ``watermark`` the zone-less ``ts`` is cast to TIMESTAMP
+    (session zone UTC) and replayed events are dropped by ``event_id``
+    within the watermark, so an at-least-once producer does not double-apply.
     """
     r = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
@@ -282,7 +285,7 @@ def start_to_parquet(df: DataFrame, out_path: str, name: str, checkpoint: str |
     return w.start()
 
 
-def fixture_streams(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None):
+def fixture_streams(spark: SparkSession, folder: str, max_files_per_trigger: int | None = 64):
     """Order and tick streams over the events files of ``folder``."""
     ev = event_stream(spark, folder, max_files_per_trigger=max_files_per_trigger)
     return Fixtures.orders_from(ev), Fixtures.ticks_from(ev)
