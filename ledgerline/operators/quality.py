@@ -95,7 +95,7 @@ def _not_null_rules(spec) -> list[tuple[str, Column, Column]]:
 
 
 def _precision_rules(spec) -> list[tuple[str, Column, Column]]:
-    # PostgreSQL rounds extra decimals, so only integer digits can overflow.
+    # A NUMERIC column rounds extra decimals on write, so only integer digits can overflow.
     out = []
     for c, (p, s) in spec.get("numeric", {}).items():
         over = F.abs(F.round(F.col(c).cast("double"), s)) >= F.lit(float(10 ** (p - s)))
