@@ -68,14 +68,25 @@ def transaction_history(txn: DataFrame, portfolio: DataFrame, stock: DataFrame,
                         user_id=None) -> DataFrame:
     """Q5: the latest ``k`` trades of every user (newest first by date, then
     transaction id), with amount, realised P&L (0 for buys) and the unrealised
-    P&L of the user's current position in that ticker (0 if none)."""
+    P&L of the user's current position in that ticker (0 if none).
+
+    The realised P&L needs each position's whole buy history, but only for the
+    positions that appear among a user's latest ``k`` trades (at most ``k``
+    per user). Those positions are found first with a per-user group limit,
+    and the running buy cost is computed on their trades only. Ranking that
+    subset gives the same top ``k``: it contains every top-``k`` trade.
+    """
     t = txn if user_id is None else txn.where(F.col("user_id") == F.lit(user_id))
-    ev = _with_running_buy_cost(t)
-    is_sell = F.col("type") == "SELL"
-    rp = F.when(is_sell, as_double("quantity") * (as_double("price") - F.col("avg_buy_cost"))).otherwise(0.0)
+    t = t.withColumn("date", F.col("ts").cast("date"))
     w = Window.partitionBy("user_id").orderBy(F.col("date").desc(), F.col("transaction_id").desc())
     # row_number <= k under a window is planned as a per-partition group limit
     # before the shuffle, so only k rows per user and map task move.
+    top_keys = (t.select("user_id", "stock_ticker", "date", "transaction_id")
+                 .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+                 .select(*POSITION_KEY).distinct())
+    ev = _with_running_buy_cost(t.drop("date").join(top_keys, POSITION_KEY, "left_semi"))
+    is_sell = F.col("type") == "SELL"
+    rp = F.when(is_sell, as_double("quantity") * (as_double("price") - F.col("avg_buy_cost"))).otherwise(0.0)
     top = (ev.select("transaction_id", "user_id", "date", "stock_ticker", "type", "quantity", "price",
                      rp.alias("realized_pnl"))
              .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k))
