@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions.exprs import as_double, parse_display_number, pct_change, round2
-from ledgerline.operators.scan import bucketed_lag, bucketed_prefix
+from ledgerline.operators.scan import bucketed_lag, bucketed_prefix, sliding_range
 from ledgerline.sources.tables import parse_snapshot, upsert
 
 
+# Frame length from which sliding aggregates use the linear block method
+# instead of Spark's per-row re-aggregation of the frame.
+LINEAR_FRAME_DAYS = 128
+
+
 def _date(d) -> Column:
     return F.lit(d).cast("date")
 
@@ -51,12 +56,19 @@ def moving_averages(stock: DataFrame, stock_prices: DataFrame, as_of, windows: S
 def moving_average_series(stock_prices: DataFrame, n: int = 50) -> DataFrame:
     """Q9 (series form): for each ticker and day, mean close over ``[date - n, date]``.
 
-    A RANGE frame over the day number; each window partition holds one row per
-    trading day of a ticker, so its size is bounded by the calendar length."""
-    w = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(-n, 0)
-    return stock_prices.select(
-        "ticker", "date", as_double("price").alias("price"),
-        (F.sum("price").over(w).cast("double") / F.count("price").over(w).cast("double")).alias(f"moving_avg_{n}"))
+    Short frames use Spark's RANGE frame (cost rows x frame, small for n=50);
+    from ``LINEAR_FRAME_DAYS`` on, a linear-time sliding sum and count
+    (:func:`~ledgerline.operators.scan.sliding_range`). Window partitions are
+    bounded by the calendar of one ticker either way."""
+    sp = stock_prices.select("ticker", "date", "price")
+    if n >= LINEAR_FRAME_DAYS:
+        s = sliding_range(sp, ["ticker"], "date", n, {"_s": ("sum", "price"), "_n": ("count", "price")})
+    else:
+        w = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(-n, 0)
+        s = sp.select("*", F.sum("price").over(w).alias("_s"), F.count("price").over(w).alias("_n"))
+    return s.select("ticker", "date", as_double("price").alias("price"),
+                    (F.col("_s").cast("double") / F.nullif(F.col("_n"), F.lit(0)).cast("double"))
+                    .alias(f"moving_avg_{n}"))
 
 
 # -- Q10 ------------------------------------------------------------------------
@@ -361,10 +373,11 @@ def running_high_low(ticks: DataFrame, stock: DataFrame) -> DataFrame:
 
 
 def rolling_high_low(stock_prices: DataFrame, days: int = 364) -> DataFrame:
-    """52-week high and low per ticker and day over ``[date - days, date]``."""
-    w = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
-    return stock_prices.select("ticker", "date", as_double(F.max("price").over(w)).alias("high_52"),
-                               as_double(F.min("price").over(w)).alias("low_52"))
+    """52-week high and low per ticker and day over ``[date - days, date]``
+    (linear-time sliding max / min, :func:`~ledgerline.operators.scan.sliding_range`)."""
+    s = sliding_range(stock_prices.select("ticker", "date", "price"), ["ticker"], "date", days,
+                      {"_hi": ("max", "price"), "_lo": ("min", "price")})
+    return s.select("ticker", "date", as_double("_hi").alias("high_52"), as_double("_lo").alias("low_52"))
 
 
 def latest_tick_prices(ticks: DataFrame) -> DataFrame:

@@ -96,3 +96,55 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     if has_prev:
         res = res.withColumn(has_prev, ~F.col("_first") | F.col("_earlier_bucket"))
     return res.drop("_lag_in", "_first", "_prev_bucket_last", "_earlier_bucket")
+
+
+def sliding_range(df: DataFrame, keys: Sequence[str], day: str, days: int,
+                  aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``agg(col) OVER (PARTITION BY keys ORDER BY day RANGE BETWEEN days PRECEDING AND CURRENT ROW)``
+    for associative aggregates (sum, count, max, min), in linear time.
+
+    Spark evaluates a sliding RANGE frame by re-aggregating the frame for each
+    row: O(rows x frame). Here the day axis is cut into blocks of ``days + 1``
+    days, so every frame is a suffix of the previous block plus a prefix of
+    the current one. The prefix is a running aggregate inside ``(key, block)``;
+    the suffix is a running aggregate over the previous block's rows taken in
+    descending day order, interleaved with the rows that ask for it. Each
+    window partition spans at most two blocks of one key. ``day`` must be a
+    DATE column; ``aggs`` maps output column -> (kind, input column).
+    """
+    keys = list(keys)
+    fn = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+    span = days + 1
+    dn = F.unix_date(F.col(day))
+    base = df.withColumn("_blk", F.floor(dn / span)).withColumn("_off", dn - F.col("_blk") * span)
+    w_pre = Window.partitionBy(*keys, "_blk").orderBy("_off").rowsBetween(Window.unboundedPreceding, 0)
+    for o, (kind, c) in aggs.items():
+        base = base.withColumn(f"_pre_{o}", fn[kind](c).over(w_pre))
+    inputs = sorted({c for _, c in aggs.values()})
+    pres = [f"_pre_{o}" for o in aggs]
+    # Rows asking for "previous block, offsets >= my offset + 1", and the
+    # previous block's values, meeting in the group of the asking block.
+    row = F.struct(*[F.col(c) for c in df.columns], *[F.col(p) for p in pres]).alias("_row")
+    ask = base.select(*keys, F.col("_blk").alias("_grp"), (F.col("_off") + 1).alias("_k"), F.lit(1).alias("_ask"),
+                      row, *[F.lit(None).cast(df.schema[c].dataType).alias(f"_v_{c}") for c in inputs])
+    give = base.select(*keys, (F.col("_blk") + 1).alias("_grp"), F.col("_off").alias("_k"), F.lit(0).alias("_ask"),
+                       F.lit(None).cast(ask.schema["_row"].dataType).alias("_row"),
+                       *[F.col(c).alias(f"_v_{c}") for c in inputs])
+    w_suf = Window.partitionBy(*keys, "_grp").orderBy(F.col("_k").desc(), F.col("_ask")) \
+                  .rowsBetween(Window.unboundedPreceding, 0)
+    u = ask.unionByName(give)
+    for o, (kind, c) in aggs.items():
+        u = u.withColumn(f"_suf_{o}", fn[kind](f"_v_{c}").over(w_suf))
+    u = u.where(F.col("_ask") == 1)
+    outs = []
+    for o, (kind, _) in aggs.items():
+        pre, suf = F.col(f"_row._pre_{o}"), F.col(f"_suf_{o}")
+        if kind in ("sum", "count"):
+            val = F.when(pre.isNull() & suf.isNull(), None if kind == "sum" else F.lit(0)) \
+                   .otherwise(F.coalesce(pre, F.lit(0)) + F.coalesce(suf, F.lit(0)))
+            if kind == "count":
+                val = val.cast("bigint")
+        else:
+            val = F.greatest(pre, suf) if kind == "max" else F.least(pre, suf)
+        outs.append(val.alias(o))
+    return u.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns], *outs)

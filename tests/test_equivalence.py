@@ -88,3 +88,21 @@ def test_bucketed_lag_has_prev_flag(spark):
     w = Window.partitionBy("key").orderBy("t", "id")
     want = df.select("id", (F.row_number().over(w) > 1).alias("hp"))
     _same(got.select("id", "hp"), want)
+
+
+def test_sliding_range_equals_range_window(spark):
+    import datetime as dt
+    from ledgerline.operators.scan import sliding_range
+    rnd = random.Random(13)
+    rows = []
+    for key in ("a", "b", "c"):
+        for d in sorted(rnd.sample(range(0, 2000), 700)):
+            rows.append((key, dt.date(2000, 1, 1) + dt.timedelta(days=d), rnd.choice([None, rnd.randint(-100, 100)])))
+    df = spark.createDataFrame(rows, "key string, day date, v int")
+    for span in (0, 6, 364):
+        got = sliding_range(df, ["key"], "day", span,
+                            {"mx": ("max", "v"), "mn": ("min", "v"), "s": ("sum", "v"), "n": ("count", "v")})
+        w = Window.partitionBy("key").orderBy(F.unix_date("day")).rangeBetween(-span, 0)
+        want = df.select("key", "day", F.max("v").over(w).alias("mx"), F.min("v").over(w).alias("mn"),
+                         F.sum("v").over(w).cast("long").alias("s"), F.count("v").over(w).alias("n"))
+        _same(got.select("key", "day", "mx", "mn", F.col("s").cast("long").alias("s"), "n"), want)
