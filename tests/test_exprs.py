@@ -3,7 +3,6 @@
 import datetime as dt
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
 
 from ledgerline.functions import exprs
 from ledgerline.operators import market

@@ -4,7 +4,6 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.operators import accounts, history, market, positions, quality
