@@ -165,7 +165,11 @@ def portfolio_history(txn: DataFrame, stock: DataFrame, as_of=_dt.date(2001, 12,
     d = d.select("user_id", "date",
                  (F.col("_v") - F.coalesce(F.lag("_v").over(w), F.lit(0))).alias("_dv"),
                  (F.col("_c") - F.coalesce(F.lag("_c").over(w), F.lit(0))).alias("_dc"))
-    per_day = d.groupBy("user_id", "date").agg(F.sum("_dv").alias("_dv"), F.sum("_dc").alias("_dc"))
+    # The day-level deltas are at most one row per (user, ticker, day), so a
+    # user's share is bounded by calendar x tickers; partitioning them by
+    # user lets the per-day sum and the per-user window share one shuffle.
+    per_day = d.repartition("user_id").groupBy("user_id", "date") \
+               .agg(F.sum("_dv").alias("_dv"), F.sum("_dc").alias("_dc"))
     wu = Window.partitionBy("user_id").orderBy("date")
     run = wu.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per_day = per_day.select(
