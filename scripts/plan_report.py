@@ -21,6 +21,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from ledgerline.plans.catalog import spark_queries  # noqa: E402
 from ledgerline.session import build_session  # noqa: E402
 
+HEADLINE = ["realized_pnl", "transaction_history", "portfolio_history", "position_ledger", "moving_averages"]
+
 PATTERNS = {
     "hash shuffles": r"Exchange hashpartitioning",
     "range shuffles": r"Exchange rangepartitioning",
@@ -64,6 +66,17 @@ def main():
         print(f"| {name} | " + " | ".join(str(c[k]) for k in cols) + f" | {n_scans} | {widest} |")
     bad = [n for n, c, _, _ in rows if c["nested loop / cartesian"]]
     print(f"\nQueries with a nested-loop or cartesian join: {bad or 'none'}.")
+    print("\n## Headline plans\n")
+    print("Physical plan trees (`explain()`), with long scan descriptions shortened to the columns read")
+    print("and the filters pushed to parquet.\n")
+    queries = spark_queries()
+    for name in HEADLINE:
+        text = plan_text(queries[name](spark, sf_dir))
+        text = re.sub(r"FileScan parquet \[([^\]]*)\][^\n]*?Location: [^\[]*\[[^\]]*/([^/\]]+)\][^\n]*?"
+                      r"PushedFilters: (\[[^\]]*\])[^\n]*",
+                      lambda m: f"FileScan {m.group(2)} [{m.group(1)}] PushedFilters: {m.group(3)}", text)
+        text = re.sub(r"#\d+L?", "", text)
+        print(f"### {name}\n\n```\n{text.strip()}\n```\n")
 
 
 if __name__ == "__main__":
