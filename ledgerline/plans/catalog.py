@@ -39,6 +39,13 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return REGISTRY[name].build(fixtures(spark, sf_dir))
 
 
+def run_on(tables, name: str) -> DataFrame:
+    """Run a registered query on any object with the fixture attributes
+    (e.g. a :class:`~ledgerline.sources.warehouse.Warehouse`)."""
+    _load()
+    return REGISTRY[name].build(tables)
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
     return {n: (lambda spark, sf_dir, _n=n: run(spark, sf_dir, _n)) for n in REGISTRY}

@@ -51,16 +51,19 @@ class Warehouse:
     partition columns so the scan prunes partitions.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, fallback: Fixtures | None = None):
+        # ``fallback`` serves inputs that are not persisted (raw tables, request batches).
+        self.spark, self.folder, self.fallback = spark, folder, fallback
 
     def _read(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(os.path.join(self.folder, name))
         return df.drop("year", "month") if LAYOUT.get(name) else df
 
-    def __getattr__(self, name: str) -> DataFrame:
+    def __getattr__(self, name: str):
         if name in LAYOUT:
             return self._read(name)
+        if name not in ("spark", "folder", "fallback") and self.fallback is not None:
+            return getattr(self.fallback, name)
         raise AttributeError(name)
 
     def between(self, name: str, start, end) -> DataFrame:
