@@ -404,3 +404,15 @@ def refresh_from_ticks(stock: DataFrame, ticks: DataFrame) -> DataFrame:
     lt = latest_tick_prices(ticks).select("ticker", "price")
     listed = lt.join(stock.select("ticker"), "ticker", "left_semi")
     return upsert(stock, listed, ["ticker"], ["price"])
+
+
+def daily_ohlc(ticks: DataFrame) -> DataFrame:
+    """Daily open / high / low / close and tick count per ticker (batch twin of
+    :func:`ledgerline.streaming.jobs.ohlc_stream`). Open and close are the
+    first and last tick of the day by (ts, event_id); all aggregates combine
+    map-side, so a hot ticker is reduced before the shuffle."""
+    order = F.struct("ts", "event_id")
+    g = ticks.groupBy("ticker", F.col("ts").cast("date").alias("day")).agg(
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", order).alias("close"), F.count(F.lit(1)).alias("n_ticks"))
+    return g.select("ticker", "day", *[as_double(c).alias(c) for c in ("open", "high", "low", "close")], "n_ticks")

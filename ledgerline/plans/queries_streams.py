@@ -58,3 +58,14 @@ FROM stock s LEFT JOIN lt ON lt.ticker = s.ticker
 def _refresh_from_ticks(fx):
     r = market.refresh_from_ticks(fx.stock, fx.ticks)
     return r.select("ticker", "name", *[as_double(c).alias(c) for c in ("price", "high_52", "low_52")])
+
+
+@register("daily_ohlc", """
+SELECT ticker, CAST(ts AS DATE) AS day,
+       CAST(arg_min(price, (ts, event_id)) AS DOUBLE) AS open, CAST(max(price) AS DOUBLE) AS high,
+       CAST(min(price) AS DOUBLE) AS low, CAST(arg_max(price, (ts, event_id)) AS DOUBLE) AS close,
+       COUNT(*) AS n_ticks
+FROM ticks GROUP BY ticker, CAST(ts AS DATE)
+""")
+def _daily_ohlc(fx):
+    return market.daily_ohlc(fx.ticks)

@@ -251,6 +251,26 @@ def start_refresh_stream(ticks: DataFrame, stock: DataFrame, out_path: str, chec
     return w.start(), table
 
 
+# -- event-time windows ------------------------------------------------------------
+
+
+def ohlc_stream(ticks: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Daily OHLC per ticker over a tumbling one-day event-time window.
+
+    ``ts`` is zone-less, so it is cast to TIMESTAMP (session zone UTC) for the
+    watermark. In append mode a day is emitted once the watermark passes its
+    end (later ticks for it are dropped as late); in update or complete mode
+    open days are emitted as they change. Twin: ``market.daily_ohlc``.
+    """
+    t = ticks.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark)
+    order = F.struct("ts", "event_id")
+    g = t.groupBy(F.window("event_time", "1 day").alias("w"), "ticker").agg(
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", order).alias("close"), F.count(F.lit(1)).alias("n_ticks"))
+    return g.select("ticker", F.col("w.start").cast("date").alias("day"),
+                    *[as_double(c).alias(c) for c in ("open", "high", "low", "close")], "n_ticks")
+
+
 # -- T6 ---------------------------------------------------------------------------
 
 

@@ -109,3 +109,10 @@ def test_audit_stream_to_parquet_resumes(spark, fx, split_events, tmp_path):
         q = jobs.start_to_parquet(jobs.audit_rows(jobs.price_state_stream(ticks, fx.stock)), out, "audit", checkpoint=ck)
         q.awaitTermination()
     _same(spark.read.parquet(out), market.price_audit(fx.ticks, fx.stock))
+
+
+def test_ohlc_stream_equals_daily_twin(spark, fx, split_events):
+    _, ticks = _streams(spark, split_events)
+    q = jobs.run_to_table(jobs.ohlc_stream(ticks), "t_ohlc", mode="complete")
+    q.awaitTermination()
+    _same(spark.table("t_ohlc"), market.daily_ohlc(fx.ticks))
