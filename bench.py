@@ -39,15 +39,24 @@ def main() -> None:
     # Warm the JVM (class loading, JIT, codegen caches) on untimed runs that
     # exercise scans, aggregates, windows, joins and the Python workers.
     for warm in ("stock_listing", "realized_pnl", "position_ledger", "portfolio_history"):
-        queries[warm](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            queries[warm](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception:  # a failing warm-up query is reported by the timed loop
+            pass
 
     times: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
         best = float("inf")
-        for _ in range(runs):
-            t0 = time.perf_counter()
-            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            best = min(best, time.perf_counter() - t0)
+        try:
+            for _ in range(runs):
+                t0 = time.perf_counter()
+                queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                best = min(best, time.perf_counter() - t0)
+        except Exception as e:  # record and go on: one failure must not hide the other timings
+            errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+            print(f"{name}: FAILED {errors[name]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(best, 3)
         print(f"{name}: {times[name]:.3f}s", file=sys.stderr, flush=True)
 
@@ -87,6 +96,7 @@ def main() -> None:
         "cpus": cpus,
         "runs": runs,
         "stat": "min",
+        **({"errors": errors} if errors else {}),
         **extra,
     }
     print(json.dumps(out))
