@@ -14,7 +14,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ledgerline import schemas
 
@@ -111,8 +110,11 @@ def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str],
     value_cols = [c for c in base.columns if c not in keys]
     update_cols = list(update_cols) if update_cols is not None else [c for c in changes.columns if c not in keys]
     if order_col is not None:
-        w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-        changes = changes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        # Last change per key as an aggregate (combines map-side), not a
+        # window: many changes to one hot key never gather in one task.
+        cols = [c for c in changes.columns if c not in keys]
+        last = changes.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_last"))
+        changes = last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in cols])
     ch = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in update_cols],
                         F.lit(True).alias("_hit"))
     j = base.join(ch, keys, "full_outer")

@@ -311,3 +311,11 @@ def test_cli_writes_json_rows(spark, tmp_path):
     assert main(["run", "most_traded", "/root/testdata/sf0.001", out, "--format", "json"]) == 0
     lines = spark.read.text(out).collect()
     assert len(lines) == 10 and lines[0].value.startswith('{"ticker":')
+
+
+def test_upsert_keeps_last_change_per_key(spark):
+    base = stock_df(spark, [("A", "a", 1, None, None)])
+    ch = spark.createDataFrame([("A", "first", 1), ("A", "last", 3), ("A", "middle", 2), ("B", "b", 1)],
+                               "ticker string, name string, seq int")
+    got = {r.ticker: r.name for r in tables.upsert(base, ch, ["ticker"], ["name"], order_col="seq").collect()}
+    assert got == {"A": "last", "B": "b"}
