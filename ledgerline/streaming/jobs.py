@@ -201,8 +201,13 @@ class VersionedTable:
         return self.spark.read.parquet(os.path.join(self.path, f"v={before - 1}"))
 
     def read_latest(self) -> DataFrame:
-        """Newest version, found by partition discovery (lazy, no driver listing)."""
-        allv = self.spark.read.parquet(self.path)
+        """Newest version, found by partition discovery (lazy, no driver listing);
+        the initial table while no micro-batch has written one."""
+        from pyspark.errors import AnalysisException
+        try:
+            allv = self.spark.read.parquet(self.path)
+        except AnalysisException:  # nothing written yet
+            return self.initial
         newest = allv.agg(F.max("v").alias("v"))
         return allv.join(newest, "v", "left_semi").drop("v")
 

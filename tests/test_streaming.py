@@ -116,3 +116,8 @@ def test_ohlc_stream_equals_daily_twin(spark, fx, split_events):
     q = jobs.run_to_table(jobs.ohlc_stream(ticks), "t_ohlc", mode="complete")
     q.awaitTermination()
     _same(spark.table("t_ohlc"), market.daily_ohlc(fx.ticks))
+
+
+def test_versioned_table_before_first_batch(spark, fx, tmp_path):
+    table = jobs.VersionedTable(spark, str(tmp_path / "never"), fx.stock)
+    assert table.read_latest().count() == fx.stock.count()
