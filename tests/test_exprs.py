@@ -58,3 +58,12 @@ def test_lookup_and_bulk_lookup(spark):
     assert tables.lookup(df, k=2).first().v == "b"
     keys = spark.createDataFrame([(1,), (3,), (3,)], "k long")
     assert sorted(r.v for r in tables.lookup_many(df, keys, ["k"]).collect()) == ["a", "c"]
+
+
+def test_recommended_conf_sizes_shuffles():
+    from ledgerline.session import recommended_conf
+    small = recommended_conf(10 << 20, total_cores=8)
+    assert small["spark.sql.shuffle.partitions"] == "16"          # at least two waves of tasks
+    big = recommended_conf(100 * 10**12, total_cores=8000)
+    assert 100_000 < int(big["spark.sql.shuffle.partitions"]) < 120_000
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
