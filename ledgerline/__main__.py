@@ -2,6 +2,13 @@
 
     python -m ledgerline list
     python -m ledgerline run <query> <sf_dir> <out_path> [--format parquet|json]
+    python -m ledgerline stream <job> <events_dir> <sf_dir> <out_path> [--checkpoint DIR] [--once]
+
+Stream jobs: positions (T1/T2), price-audit (T3), high-low (T4), ohlc. They
+read ``events*.parquet`` files as they arrive in ``events_dir`` (seeds such
+as stored prices come from the tables of ``sf_dir``) and append to a parquet
+folder; the checkpoint (default: under ``spark.checkpoint.dir``) lets a
+restarted job resume. ``--once`` drains what is there and stops.
 
 ``json`` writes one JSON object per row (dates as YYYY-MM-DD), the shape the
 original endpoints returned; ``parquet`` writes the DataFrame as is. Output is
@@ -27,15 +34,24 @@ def main(argv=None) -> int:
     r.add_argument("sf_dir")
     r.add_argument("out")
     r.add_argument("--format", choices=["parquet", "json"], default="parquet")
+    st = sub.add_parser("stream")
+    st.add_argument("job", choices=["positions", "price-audit", "high-low", "ohlc"])
+    st.add_argument("events_dir")
+    st.add_argument("sf_dir")
+    st.add_argument("out")
+    st.add_argument("--checkpoint", default=None)
+    st.add_argument("--once", action="store_true")
     args = ap.parse_args(argv)
     queries = spark_queries()
     if args.cmd == "list":
         print("\n".join(sorted(queries)))
         return 0
     from pyspark.sql import SparkSession
-    spark = SparkSession.builder.appName(f"ledgerline-{args.query}").getOrCreate()
+    spark = SparkSession.builder.appName(f"ledgerline-{getattr(args, 'query', None) or args.job}").getOrCreate()
     apply_required_conf(spark)
     ensure_checkpoint_dir(spark)
+    if args.cmd == "stream":
+        return _stream(spark, args)
     df = queries[args.query](spark, args.sf_dir)
     if args.format == "json":
         to_json_rows(df).write.mode("overwrite").text(args.out)
@@ -44,5 +60,22 @@ def main(argv=None) -> int:
     return 0
 
 
+def _stream(spark, args) -> int:
+    from ledgerline.sources.fixtures import Fixtures, fixtures
+    from ledgerline.streaming import jobs
+    ev = jobs.event_stream(spark, args.events_dir, watermark="1 day")
+    if args.job == "positions":
+        df = jobs.position_stream(jobs.trades_from_orders(Fixtures.orders_from(ev)))
+    elif args.job == "ohlc":
+        df = jobs.ohlc_stream(Fixtures.ticks_from(ev))
+    else:
+        steps = jobs.price_state_stream(Fixtures.ticks_from(ev), fixtures(spark, args.sf_dir).stock)
+        df = jobs.audit_rows(steps) if args.job == "price-audit" else jobs.high_low_rows(steps)
+    q = jobs.start_to_parquet(df, args.out, f"cli-{args.job}", checkpoint=args.checkpoint,
+                              available_now=args.once)
+    q.awaitTermination()
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

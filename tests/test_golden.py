@@ -319,3 +319,16 @@ def test_upsert_keeps_last_change_per_key(spark):
                                "ticker string, name string, seq int")
     got = {r.ticker: r.name for r in tables.upsert(base, ch, ["ticker"], ["name"], order_col="seq").collect()}
     assert got == {"A": "last", "B": "b"}
+
+
+def test_cli_stream_high_low_once(spark, tmp_path):
+    import os
+    from ledgerline.__main__ import main
+    events = str(tmp_path / "in")
+    os.makedirs(events)
+    import shutil
+    shutil.copyfile("/root/testdata/sf0.001/events.parquet", os.path.join(events, "events-1.parquet"))
+    out = str(tmp_path / "out")
+    assert main(["stream", "high-low", events, "/root/testdata/sf0.001", out, "--once",
+                 "--checkpoint", str(tmp_path / "ck")]) == 0
+    assert spark.read.parquet(out).count() == 1000
