@@ -21,7 +21,7 @@ import argparse
 import sys
 
 from ledgerline.plans.catalog import spark_queries
-from ledgerline.session import apply_required_conf, ensure_checkpoint_dir
+from ledgerline.session import apply_required_conf, ensure_checkpoint_dir, ship_package
 from ledgerline.sources.tables import to_json_rows
 
 
@@ -50,6 +50,7 @@ def main(argv=None) -> int:
     spark = SparkSession.builder.appName(f"ledgerline-{getattr(args, 'query', None) or args.job}").getOrCreate()
     apply_required_conf(spark)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     if args.cmd == "stream":
         return _stream(spark, args)
     df = queries[args.query](spark, args.sf_dir)

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.plans.oracle_views import with_views
 from ledgerline.sources.fixtures import LEDGER_AS_OF, PRICE_AS_OF, Fixtures, fixtures
@@ -28,22 +30,37 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, oracle: str | None = None):
+def register(name: str, oracle: str | None = None, dates: tuple[str, ...] = ()):
+    """Register a query. ``dates`` names its DATE output columns: registered
+    results carry dates as ``YYYY-MM-DD`` text (the form the original
+    endpoints returned), rendered the same way by Spark and by the oracle, so
+    the comparison never depends on how each engine hands dates to clients."""
     def deco(fn: Callable[[Fixtures], DataFrame]):
-        REGISTRY[name] = Query(name, fn, with_views(oracle) if oracle else None)
+        sql = None
+        if oracle:
+            sql = with_views(oracle)
+            if dates:
+                rep = ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c}" for c in dates)
+                sql = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS q"
+        REGISTRY[name] = Query(name, fn, sql)
         return fn
     return deco
 
 
+def _dates_as_text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name)
+                       if isinstance(f.dataType, T.DateType) else F.col(f.name) for f in df.schema.fields])
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return REGISTRY[name].build(fixtures(spark, sf_dir))
+    return _dates_as_text(REGISTRY[name].build(fixtures(spark, sf_dir)))
 
 
 def run_on(tables, name: str) -> DataFrame:
     """Run a registered query on any object with the fixture attributes
     (e.g. a :class:`~ledgerline.sources.warehouse.Warehouse`)."""
     _load()
-    return REGISTRY[name].build(tables)
+    return _dates_as_text(REGISTRY[name].build(tables))
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,7 +21,7 @@ FROM (SELECT t.transaction_id, t.user_id, t.stock_ticker, CAST(t.ts AS DATE) AS
              CAST(t.quantity AS BIGINT) AS quantity, CAST(t.price AS DOUBLE) AS price,
              {_MEAN_BUY_COST} AS avg_buy_cost
       FROM txn t WHERE t.type = 'SELL') s
-""")
+""", dates=("date",))
 def _realized_pnl(fx):
     return history.realized_pnl(fx.txn)
 
@@ -45,7 +45,7 @@ SELECT top.user_id, top.transaction_id, top.date, top.stock_ticker, top.type,
        top.realized_pnl, COALESCE(CAST(up.u AS DOUBLE), CAST(0 AS DOUBLE)) AS unrealized_pnl,
        CAST(top.rn AS BIGINT) AS recency_rank
 FROM top LEFT JOIN up ON top.user_id = up.user_id AND top.stock_ticker = up.stock_ticker
-""")
+""", dates=("date",))
 def _transaction_history(fx):
     return history.transaction_history(fx.txn, fx.portfolio, fx.stock, k=15)
 
@@ -73,7 +73,7 @@ SELECT a.user_id, a.date, CAST(v.v AS DOUBLE) AS daily_value,
        MAX(CAST(v.v AS DOUBLE)) OVER (PARTITION BY a.user_id ORDER BY a.date
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS portfolio_value
 FROM all_dates a LEFT JOIN valued v ON a.user_id = v.user_id AND a.date = v.date
-""")
+""", dates=("date",))
 def _portfolio_history(fx):
     return history.portfolio_history(fx.txn, fx.stock, as_of=LEDGER_AS_OF)
 
@@ -88,7 +88,7 @@ SELECT user_id, stock_ticker, date AS valid_from,
        CAST(SUM(net_change) OVER (PARTITION BY user_id, stock_ticker ORDER BY date
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS net_quantity
 FROM d
-""")
+""", dates=("valid_from", "valid_to"))
 def _holdings_by_day(fx):
     return history.holdings_by_day(fx.txn, LEDGER_AS_OF)
 

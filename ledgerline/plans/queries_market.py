@@ -41,7 +41,7 @@ SELECT ticker, date, CAST(price AS DOUBLE) AS price,
        CAST(SUM(price) OVER w AS DOUBLE) / CAST(COUNT(price) OVER w AS DOUBLE) AS moving_avg_50
 FROM stock_prices
 WINDOW w AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 50 DAY PRECEDING AND CURRENT ROW)
-""")
+""", dates=("date",))
 def _moving_average_series(fx):
     return market.moving_average_series(fx.stock_prices, 50)
 
@@ -286,6 +286,6 @@ SELECT ticker, date,
        CAST(MAX(price) OVER w AS DOUBLE) AS high_52, CAST(MIN(price) OVER w AS DOUBLE) AS low_52
 FROM stock_prices
 WINDOW w AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 364 DAY PRECEDING AND CURRENT ROW)
-""")
+""", dates=("date",))
 def _rolling_high_low(fx):
     return market.rolling_high_low(fx.stock_prices, 364)

@@ -66,6 +66,6 @@ SELECT ticker, CAST(ts AS DATE) AS day,
        CAST(min(price) AS DOUBLE) AS low, CAST(arg_max(price, (ts, event_id)) AS DOUBLE) AS close,
        COUNT(*) AS n_ticks
 FROM ticks GROUP BY ticker, CAST(ts AS DATE)
-""")
+""", dates=("day",))
 def _daily_ohlc(fx):
     return market.daily_ohlc(fx.ticks)

@@ -46,6 +46,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_required_conf(spark)
+    ship_package(spark)
     for k, v in (extra or {}).items():
         if k.startswith("spark.sql."):  # runtime-settable; others were applied at startup
             spark.conf.set(k, v)
@@ -114,3 +115,31 @@ def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes:
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
+
+
+_SHIPPED_ZIP: str | None = None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ledgerline`` importable in the executors' Python workers.
+
+    Functions run by ``mapInPandas`` / ``applyInPandasWithState`` are pickled
+    by reference to their module, so workers must import the package. The
+    package is zipped once per driver process and added to the session as a
+    Python file (``--py-files`` equivalent); Spark copies it to every
+    executor. Idempotent per session.
+    """
+    global _SHIPPED_ZIP
+    if spark.conf.get("spark.ledgerline.shipped", "false") == "true":
+        return
+    if _SHIPPED_ZIP is None:
+        import shutil
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        out = tempfile.mkdtemp(prefix="ledgerline-pkg-")
+        _SHIPPED_ZIP = shutil.make_archive(os.path.join(out, "ledgerline"), "zip",
+                                           root_dir=os.path.dirname(pkg_dir), base_dir="ledgerline")
+    try:
+        spark.sparkContext.addPyFile(_SHIPPED_ZIP)
+    except Exception:  # Spark Connect: no SparkContext
+        spark.addArtifacts(_SHIPPED_ZIP, pyfile=True)
+    spark.conf.set("spark.ledgerline.shipped", "true")

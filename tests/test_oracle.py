@@ -33,3 +33,15 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert "realized_pnl" in df.columns
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_column_types_agree(spark, con, name):
+    """Same type family per column in Spark and the oracle; dates travel as text."""
+    family = {"bigint": "int", "double": "float", "string": "str", "boolean": "bool",
+              "timestamp_ntz": "ts", "timestamp": "ts",
+              "BIGINT": "int", "DOUBLE": "float", "VARCHAR": "str", "BOOLEAN": "bool", "TIMESTAMP": "ts"}
+    s_types = dict(spark_queries()[name](spark, SF_SMALL).dtypes)
+    rel = con.sql(ORACLES[name])
+    o_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: family.get(t, t) for c, t in s_types.items()} == {c: family.get(t, t) for c, t in o_types.items()}
