@@ -32,8 +32,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm import quality_forest as qf
+    docs = table(spark, sf_dir, "documents")
+    model = qf.fit_model(docs, table(spark, sf_dir, "labels"))
+    return qf.judge(qf.statistics(docs), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe,)
+    f.__name__: f for f in (op1_byte_bpe, op4_quality_rules)
 }
 
 
