@@ -32,6 +32,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.simhash_dedup import component_table
+    return component_table(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm import quality_forest as qf
     docs = table(spark, sf_dir, "documents")
@@ -40,7 +45,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op4_quality_rules)
+    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules)
 }
 
 
