@@ -44,13 +44,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qf.judge(qf.statistics(docs), model)
 
 
+def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.sanitise import span_table
+    return span_table(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.decontaminate import find_leaks
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op9_decontamination)
+    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op6_sanitise,
+                           op9_decontamination)
 }
 
 
