@@ -4,11 +4,13 @@ with production parameters, to its whole table."""
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import prepare
+from ledgerline.session import ensure_checkpoint_dir
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -27,6 +29,11 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, seen by all executors."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.bpe import round_trip_digests
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
@@ -54,9 +61,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm import repair_output as ro
+    path = shared_folder(spark, "token-shards")
+    ro.write_shards(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return ro.decoded_documents(ro.read_shards(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op6_sanitise,
-                           op9_decontamination)
+                           op9_decontamination, op10_repair_output)
 }
 
 
