@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm.common import prepare
 from ledgerline.session import ensure_checkpoint_dir
@@ -56,6 +57,12 @@ def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_table(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.substring_dedup import drop_repeats
+    found = drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.decontaminate import find_leaks
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -69,7 +76,7 @@ def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op6_sanitise,
+    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op6_sanitise, op8_substring_dedup,
                            op9_decontamination, op10_repair_output)
 }
 
