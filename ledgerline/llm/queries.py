@@ -57,6 +57,11 @@ def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_table(table(spark, sf_dir, "documents"))
 
 
+def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.line_blocks import extract_pages
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.substring_dedup import drop_repeats
     found = drop_repeats(table(spark, sf_dir, "documents"))
@@ -76,7 +81,7 @@ def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op6_sanitise, op8_substring_dedup,
+    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op6_sanitise, op7_line_blocks, op8_substring_dedup,
                            op9_decontamination, op10_repair_output)
 }
 
