@@ -52,6 +52,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qf.judge(qf.statistics(docs), model)
 
 
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.bloom_lm import score_held_out
+    return score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.sanitise import span_table
     return span_table(table(spark, sf_dir, "documents"))
@@ -81,7 +86,7 @@ def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op6_sanitise, op7_line_blocks, op8_substring_dedup,
+    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op5_bloom_lm, op6_sanitise, op7_line_blocks, op8_substring_dedup,
                            op9_decontamination, op10_repair_output)
 }
 
