@@ -40,6 +40,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.secret_scan import scan
+    return scan(table(spark, sf_dir, "documents"), path_col="source")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.simhash_dedup import component_table
     return component_table(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -86,7 +91,7 @@ def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op4_quality_rules, op5_bloom_lm, op6_sanitise, op7_line_blocks, op8_substring_dedup,
+    f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_simhash_dedup, op4_quality_rules, op5_bloom_lm, op6_sanitise, op7_line_blocks, op8_substring_dedup,
                            op9_decontamination, op10_repair_output)
 }
 
