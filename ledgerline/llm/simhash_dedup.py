@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import MIX_A, id_key, id_value, slices_of, texts_as_bytes
+from ledgerline.llm.common import MIX_A, id_key, id_value, slices_of, texts_as_bytes, unused_name
 from ledgerline.llm.components import connected_components
 
 BITS = 64
@@ -237,11 +237,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of every component, all columns as they were: the one with the
     smallest id (null last), of these the one with the smallest text hash."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    key, content = unused_name(docs, "row_key"), unused_name(docs, "row_content")
     # rows without an id can't be told apart by it: their component is their fingerprint's
     group = F.when(F.col("component") == id_key(F.lit(None)), F.col("fp"))
-    chosen = (found.groupBy("component", group.alias("_fp"))
+    chosen = (found.groupBy("component", group.alias("group"))
               .agg(F.min(F.struct("key", "content")).alias("m"))
-              .select(F.col("m.key").alias("_key"), F.col("m.content").alias("_content")).distinct().checkpoint())
-    named = docs.select("*", id_key(F.col(id_col)).alias("_key"), F.xxhash64(F.col(text_col).cast("string")).alias("_content"))
-    return (named.join(chosen, ["_key", "_content"], "left_semi")
-            .dropDuplicates(["_key", "_content"]).select(*docs.columns))
+              .select(F.col("m.key").alias(key), F.col("m.content").alias(content)).distinct().checkpoint())
+    named = docs.select("*", id_key(F.col(id_col)).alias(key), F.xxhash64(F.col(text_col).cast("string")).alias(content))
+    return (named.join(chosen, [key, content], "left_semi")
+            .dropDuplicates([key, content]).select(*docs.columns))
