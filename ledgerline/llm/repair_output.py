@@ -26,7 +26,7 @@ Words (cut at ASCII white space, which no token of this vocabulary spans) are
 encoded once per worker and remembered up to a bound.
 
 Defined results: a null or empty text is the end id alone; rows of one id are
-ordered by their text; a row without an id comes last; an empty table gives
+ordered by their text's XXH64; a row without an id comes last; an empty table gives
 no shard and an empty result; extra columns are ignored.
 """
 
@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import id_key, id_value, slices_of, texts_as_bytes
+from ledgerline.llm.common import MIX_A, id_key, id_value, slices_of, texts_as_bytes
 
 MAGIC = b"RPZ1"
 HEADER = struct.Struct("<IIIIQQ")
@@ -85,19 +85,36 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id = end_id
         (self.between,) = self.ids_of(BETWEEN)
-        self.forget()
+        self.places = Places()
+        self.places[END] = 0
+        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.ids = np.array([end_id], np.uint32)
+        self.uses = np.zeros(1, np.int64)
 
     def ids_of(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def forget(self) -> None:
-        self.places = Places()
-        self.places[END] = 0
-        self.start, self.length, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end_id], np.uint32)
+        """Keep the more used half of the words, and of these no word used only once."""
+        least = max(2, int(np.partition(self.uses, -REMEMBERED // 2)[-REMEMBERED // 2]) + 1)
+        kept = self.uses >= least
+        kept[0] = True
+        places = Places()
+        places.update((w, i) for i, w in enumerate(w for w, k in zip(self.places, kept.tolist()) if k))
+        self.places = places
+        self.ids = gather(self.ids, self.start[kept], self.length[kept])
+        self.length, self.uses = self.length[kept], self.uses[kept] // 2
+        self.start = np.cumsum(self.length) - self.length
 
     def learn(self, words: list[bytes], at_once: int = 2000) -> None:
-        ids, lengths = [self.ids], [self.length]
-        texts = [w.decode("utf-8", "replace") for w in words]
+        # a full stop or comma after an ASCII letter or digit is a token of its own,
+        # so words that differ in it alone are encoded once
+        cores = [w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else w for w in words]
+        marked = np.fromiter((len(c) < len(w) for c, w in zip(cores, words)), bool, len(words))
+        mark = {b".": self.ids_of("."), b",": self.ids_of(",")}
+        distinct = list(dict.fromkeys(cores))
+        ids, lengths = [], []
+        texts = [w.decode("utf-8", "replace") for w in distinct]
         for i in range(0, len(texts), at_once):
             part = texts[i:i + at_once]
             joined = self.ids_of(f" {BETWEEN} ".join([*part, ""]))
@@ -109,8 +126,18 @@ class WordEncoder:
                 alone = [self.ids_of(t) for t in part]
                 ids += alone
                 lengths.append(np.array([len(x) for x in alone], np.int64))
-        self.ids, self.length = np.concatenate(ids), np.concatenate(lengths)
+        flat, length = np.concatenate([*ids, mark[b"."], mark[b","]]), np.concatenate(lengths)
+        start = np.cumsum(length) - length
+        # every word is its core's slice and, where marked, the slice of its mark
+        number = dict(zip(distinct, range(len(distinct))))
+        core = np.fromiter((number[c] for c in cores), np.int64, len(cores))
+        comma = np.fromiter((w[-1:] == b"," for w in words), bool, len(words))
+        slices = np.column_stack([start[core], len(flat) - 2 + comma]).ravel()
+        sizes = np.column_stack([length[core], marked.astype(np.int64)]).ravel()
+        self.ids = np.concatenate([self.ids, gather(flat, slices, sizes)])
+        self.length = np.concatenate([self.length, length[core] + marked])
         self.start = np.cumsum(self.length) - self.length
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, each text's closed by the end id; ids per text."""
@@ -123,6 +150,7 @@ class WordEncoder:
         if self.places.fresh:
             self.learn(self.places.fresh)
             self.places.fresh = []
+        np.add.at(self.uses, at, 1)
         length = self.length[at]
         upto = np.cumsum(length)[at == 0]
         return gather(self.ids, self.start[at], length), np.diff(upto, prepend=0)
@@ -158,14 +186,18 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, min_count: int
         if not frequent.any():
             break
         chosen = inside[begin[frequent]]  # sorted
-        place = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        hit = (chosen[place] == pair) & ~last[:-1]
-        at = np.flatnonzero(hit)
+        # most other pairs fall out by a small table of the chosen ones' hashes
+        cell, maybe = (pair * MIX_A >> np.uint64(44)).astype(np.int64), np.zeros(1 << 20, bool)
+        maybe[(chosen * MIX_A >> np.uint64(44)).astype(np.int64)] = True
+        at = np.flatnonzero(maybe[cell] & ~last[:-1])
+        place = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
+        hit = chosen[place] == pair[at]
+        at, place = at[hit], place[hit]
         # of neighbouring hits every other one, from the left
         run = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
         offset = at - np.repeat(at[run], np.diff(np.append(run, len(at))))
-        at = at[offset % 2 == 0]
-        seq[at] = place[at].astype(np.uint64) + np.uint64(first_rule + n_rules)
+        at, place = at[offset % 2 == 0], place[offset % 2 == 0]
+        seq[at] = place.astype(np.uint64) + np.uint64(first_rule + n_rules)
         last[at] = last[at + 1]
         kept = np.ones(len(seq), bool)
         kept[at + 1] = False
@@ -294,8 +326,10 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         if waiting:
             yield shard()
 
-    rows = docs.select(id_key(F.col(id_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("key", "text").sortWithinPartitions("key", "text")
+    text = F.col(text_col).cast("string")
+    # the bounds of the ranges are sampled, so what they are made of is small: the text's hash, not the text
+    rows = docs.select(id_key(F.col(id_col)).alias("key"), F.xxhash64(text).alias("content"), text.alias("text"))
+    ordered = rows.repartitionByRange("key", "content").sortWithinPartitions("key", "content", "text")
     (ordered.mapInArrow(run, "part int, before long, first_key long, last_key long, n_docs long, n_tokens long, "
                              "image binary").write.parquet(path))
 
@@ -303,11 +337,11 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """The shard table with ``start``: the ids of all shards in front."""
     shards = spark.read.parquet(path)
-    # a row a part (a writing task), so one task numbers them
+    # a small row a part (a writing task): one task numbers them, and they are broadcast
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = parts.select("part", F.coalesce(F.sum("n").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return shards.join(base, "part").withColumn("start", F.col("base") + F.col("before")).drop("base")
+    return shards.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("before")).drop("base")
 
 
 def decoded_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -28,9 +28,9 @@ def planted(seed: int = 1):
                 passage = [w.upper() + "," for w in passage]
             at = rng.randrange(len(words))
             words[at:at] = passage
-        rows.append((d, " ".join(words)))
-    rows += [(300, items[0][1]), (301, " ".join(items[1][1].split()[:-2])), (302, "two words"), (303, "a two words b"),
-             (304, "word " * 100), (305, items[2][1] + "\n" + items[2][1])]
+        rows.append((1000 + d, " ".join(words)))
+    rows += [(2300, items[0][1]), (2301, " ".join(items[1][1].split()[:-2])), (2302, "two words"), (2303, "a two words b"),
+             (2304, "word " * 100), (2305, items[2][1] + "\n" + items[2][1])]
     return rows + edge_rows(8), items
 
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from brute_force import LONG, documents, edge_rows, made_up
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,7 +23,10 @@ def library_ids(text):
 
 
 def ordered(rows):
-    return sorted(rows, key=lambda r: (LONG if r[0] is None else r[0], r[1] is not None, (r[1] or "").encode()))
+    def content(text):  # Spark's xxhash64, signed
+        h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+    return sorted(rows, key=lambda r: (LONG if r[0] is None else r[0], content(r[1])))
 
 
 @pytest.mark.parametrize("shard_tokens", [1, 3000, 1 << 21])
