@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import functools
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -62,6 +63,23 @@ END = b"\xff"
 BETWEEN = "\x01"
 
 
+#: How the vocabulary writes bytes: printable Latin-1 as itself, the others as further letters.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTED} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+
+
+def plain_word(word: str) -> str:
+    """The word as the vocabulary writes it if it is a single run of lower-case
+    Latin letters that normalising leaves alone; else nothing."""
+    if not word.isalpha() or word != word.lower():
+        return ""
+    if word.isascii():
+        return word
+    if max(word) >= "\u0250" or not unicodedata.is_normalized("NFC", word):
+        return ""
+    return word.encode().decode("latin-1").translate(_BYTES)
+
+
 class Places(dict):
     """Numbers words in the order of their first use; ``fresh`` are those not encoded yet."""
 
@@ -80,11 +98,17 @@ class WordEncoder:
     first, as the vocabulary's normaliser does with all letters."""
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id = end_id
         (self.between,) = self.ids_of(BETWEEN)
+        # the same merges for words that are one token to split and normalised already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.plain.get_vocab()
+        self.closing = np.zeros(1 + max(vocabulary.values()), bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.places = Places()
         self.places[END] = 0
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
@@ -113,15 +137,22 @@ class WordEncoder:
         marked = np.fromiter((len(c) < len(w) for c, w in zip(cores, words)), bool, len(words))
         mark = {b".": self.ids_of("."), b",": self.ids_of(",")}
         distinct = list(dict.fromkeys(cores))
-        ids, lengths = [], []
         texts = [w.decode("utf-8", "replace") for w in distinct]
+        simple = [plain_word(t) for t in texts]
+        distinct = [w for w, p in zip(distinct, simple) if p] + [w for w, p in zip(distinct, simple) if not p]
+        texts, simple = [t for t, p in zip(texts, simple) if not p], [p for p in simple if p]
+        ids, lengths = [], [np.empty(0, np.int64)]
+        for i in range(0, len(simple), at_once):
+            found = self.plain.encode_batch_fast([" ".join(simple[i:i + at_once])], add_special_tokens=False)[0].ids
+            ids.append(np.array(found, np.uint32))
+            lengths.append(np.diff(np.flatnonzero(self.closing[ids[-1]]), prepend=-1))
         for i in range(0, len(texts), at_once):
             part = texts[i:i + at_once]
             joined = self.ids_of(f" {BETWEEN} ".join([*part, ""]))
             ends = np.flatnonzero(joined == self.between)
             if len(ends) == len(part):
                 ids.append(np.delete(joined, ends))
-                lengths.append(np.diff(np.concatenate([[-1], ends])) - 1)
+                lengths.append(np.diff(ends, prepend=-1) - 1)
             else:
                 alone = [self.ids_of(t) for t in part]
                 ids += alone
