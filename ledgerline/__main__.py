@@ -65,12 +65,13 @@ def _stream(spark, args) -> int:
     from ledgerline.sources.fixtures import Fixtures, fixtures
     from ledgerline.streaming import jobs
     ev = jobs.event_stream(spark, args.events_dir, watermark="1 day")
+    n_parts = fixtures(spark, args.sf_dir).n_parts
     if args.job == "positions":
-        df = jobs.position_stream(jobs.trades_from_orders(Fixtures.orders_from(ev)))
+        df = jobs.position_stream(jobs.trades_from_orders(Fixtures.orders_from(ev, n_parts)))
     elif args.job == "ohlc":
-        df = jobs.ohlc_stream(Fixtures.ticks_from(ev))
+        df = jobs.ohlc_stream(Fixtures.ticks_from(ev, n_parts))
     else:
-        steps = jobs.price_state_stream(Fixtures.ticks_from(ev), fixtures(spark, args.sf_dir).stock)
+        steps = jobs.price_state_stream(Fixtures.ticks_from(ev, n_parts), fixtures(spark, args.sf_dir).stock)
         df = jobs.audit_rows(steps) if args.job == "price-audit" else jobs.high_low_rows(steps)
     q = jobs.start_to_parquet(df, args.out, f"cli-{args.job}", checkpoint=args.checkpoint,
                               available_now=args.once)

@@ -84,7 +84,7 @@ def accepted_trades(orders: DataFrame, judged: DataFrame) -> DataFrame:
     from the trades (Q11, Q12), never updated in place."""
     ok = judged.where(F.col("status") == "accepted").select("order_id")
     o = orders.join(ok, "order_id", "left_semi")
-    return o.select(F.col("order_id").alias("transaction_id"), "user_id",
+    return o.select(F.lpad(F.col("order_id").cast("string"), 18, "0").alias("transaction_id"), "user_id",
                     norm_ticker("ticker").alias("stock_ticker"), F.upper("type").alias("type"),
                     F.col("quantity").cast("int").alias("quantity"),
                     F.col("price").cast("decimal(10,2)").alias("price"), "ts")

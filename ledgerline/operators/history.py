@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions.exprs import as_double, signed_qty
-from ledgerline.operators.scan import bucketed_prefix
+from ledgerline.operators.scan import bucketed_prefix, match_keys
 
 POSITION_KEY = ["user_id", "stock_ticker"]
 
@@ -31,6 +31,7 @@ def _with_running_buy_cost(txn: DataFrame) -> DataFrame:
         F.when(is_buy, F.col("quantity").cast("bigint")).otherwise(zero).alias("_bq"),
         F.when(is_buy, F.col("quantity").cast("bigint") * (F.col("price") * 100).cast("bigint"))
          .otherwise(zero).alias("_bc"),
+        *[c for c in txn.columns if c.startswith(("_key_", "_null_"))],
     )
     ev = bucketed_prefix(ev, POSITION_KEY, "date", ["ts"],
                          {"_cum_q": ("sum", "_bq"), "_cum_c": ("sum", "_bc")}, include_peers=True)
@@ -78,13 +79,14 @@ def transaction_history(txn: DataFrame, portfolio: DataFrame, stock: DataFrame,
     """
     t = txn if user_id is None else txn.where(F.col("user_id") == F.lit(user_id))
     t = t.withColumn("date", F.col("ts").cast("date"))
+    t, position = match_keys(t, POSITION_KEY)
     w = Window.partitionBy("user_id").orderBy(F.col("date").desc(), F.col("transaction_id").desc())
     # row_number <= k under a window is planned as a per-partition group limit
     # before the shuffle, so only k rows per user and map task move.
-    top_keys = (t.select("user_id", "stock_ticker", "date", "transaction_id")
+    top_keys = (t.select("user_id", *position, "date", "transaction_id")
                  .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-                 .select(*POSITION_KEY).distinct())
-    ev = _with_running_buy_cost(t.drop("date").join(top_keys, POSITION_KEY, "left_semi"))
+                 .select(*position).distinct())
+    ev = _with_running_buy_cost(t.drop("date").join(top_keys, position, "left_semi"))
     is_sell = F.col("type") == "SELL"
     rp = F.when(is_sell, as_double("quantity") * (as_double("price") - F.col("avg_buy_cost"))).otherwise(0.0)
     top = (ev.select("transaction_id", "user_id", "date", "stock_ticker", "type", "quantity", "price",
@@ -165,10 +167,9 @@ def portfolio_history(txn: DataFrame, stock: DataFrame, as_of=_dt.date(2001, 12,
     d = d.select("user_id", "date",
                  (F.col("_v") - F.coalesce(F.lag("_v").over(w), F.lit(0))).alias("_dv"),
                  (F.col("_c") - F.coalesce(F.lag("_c").over(w), F.lit(0))).alias("_dc"))
-    # The day-level deltas are at most one row per (user, ticker, day), so a
-    # user's share is bounded by calendar x tickers; partitioning them by
-    # user lets the per-day sum and the per-user window share one shuffle.
-    per_day = d.repartition("user_id").groupBy("user_id", "date") \
+    # Summed per (user, day) before the exchange, so that a user with very many
+    # positions sends one row a day and task to the per-user window.
+    per_day = d.groupBy("user_id", "date") \
                .agg(F.sum("_dv").alias("_dv"), F.sum("_dc").alias("_dc"))
     wu = Window.partitionBy("user_id").orderBy("date")
     run = wu.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -21,11 +21,6 @@ from ledgerline.operators.scan import bucketed_lag, bucketed_prefix, sliding_ran
 from ledgerline.sources.tables import parse_snapshot, upsert
 
 
-# Frame length from which sliding aggregates use the linear block method
-# instead of Spark's per-row re-aggregation of the frame.
-LINEAR_FRAME_DAYS = 128
-
-
 def _date(d) -> Column:
     return F.lit(d).cast("date")
 
@@ -56,16 +51,11 @@ def moving_averages(stock: DataFrame, stock_prices: DataFrame, as_of, windows: S
 def moving_average_series(stock_prices: DataFrame, n: int = 50) -> DataFrame:
     """Q9 (series form): for each ticker and day, mean close over ``[date - n, date]``.
 
-    Short frames use Spark's RANGE frame (cost rows x frame, small for n=50);
-    from ``LINEAR_FRAME_DAYS`` on, a linear-time sliding sum and count
-    (:func:`~ledgerline.operators.scan.sliding_range`). Window partitions are
-    bounded by the calendar of one ticker either way."""
+    One way for every ``n``: a linear-time sliding sum and count
+    (:func:`~ledgerline.operators.scan.sliding_range`), whose cost doesn't
+    grow with the frame. Closes of one day are peers."""
     sp = stock_prices.select("ticker", "date", "price")
-    if n >= LINEAR_FRAME_DAYS:
-        s = sliding_range(sp, ["ticker"], "date", n, {"_s": ("sum", "price"), "_n": ("count", "price")})
-    else:
-        w = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(-n, 0)
-        s = sp.select("*", F.sum("price").over(w).alias("_s"), F.count("price").over(w).alias("_n"))
+    s = sliding_range(sp, ["ticker"], "date", n, {"_s": ("sum", "price"), "_n": ("count", "price")})
     return s.select("ticker", "date", as_double("price").alias("price"),
                     (F.col("_s").cast("double") / F.nullif(F.col("_n"), F.lit(0)).cast("double"))
                     .alias(f"moving_avg_{n}"))
@@ -224,7 +214,15 @@ def price_chart(stock_prices: DataFrame, as_of, months: int = 6, as_arrays: bool
 
 # -- Q26 / Q27 / Q28 ------------------------------------------------------------
 
-def market_refresh(stock: DataFrame, snapshots: DataFrame, stock_prices: DataFrame, as_of, year: int) -> DataFrame:
+def one_snapshot(snapshots: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One vendor snapshot per ticker: the last by ``order_col``, or without
+    one the largest text, so that a ticker is never refreshed twice."""
+    by = F.struct(F.col(order_col), F.col("raw")) if order_col else F.col("raw")
+    return snapshots.groupBy("ticker").agg(F.max_by("raw", by).alias("raw"))
+
+
+def market_refresh(stock: DataFrame, snapshots: DataFrame, stock_prices: DataFrame, as_of, year: int,
+                   order_col: str | None = None) -> DataFrame:
     """Q26: refreshed figures for every listed ticker with price history.
 
     Price and volume come from the last close up to ``as_of``; the rest from
@@ -234,7 +232,7 @@ def market_refresh(stock: DataFrame, snapshots: DataFrame, stock_prices: DataFra
     one whose snapshot is malformed (reported by :func:`refresh_rejects`).
     """
     last = latest_per_key(stock_prices.where(F.col("date") <= _date(as_of)), "ticker", "date", ["price", "volume"])
-    snap = parse_snapshot(snapshots)
+    snap = parse_snapshot(one_snapshot(snapshots, order_col))
     j = stock.select("ticker").join(last, "ticker").join(snap, "ticker", "left")
     ok = F.coalesce(F.col("parse_ok"), F.lit(True))
     j = j.where(ok)
@@ -261,7 +259,7 @@ def refresh_rejects(stock: DataFrame, snapshots: DataFrame, stock_prices: DataFr
     """Listed tickers the refresh skips, with the reason (no history / bad snapshot)."""
     has_hist = stock_prices.where(F.col("date") <= _date(as_of)).select("ticker").distinct() \
                            .withColumn("_h", F.lit(True))
-    snap = parse_snapshot(snapshots).select("ticker", "parse_ok")
+    snap = parse_snapshot(one_snapshot(snapshots)).select("ticker", "parse_ok")
     j = stock.select("ticker").join(has_hist, "ticker", "left").join(snap, "ticker", "left")
     reason = F.when(F.col("_h").isNull(), "no price history") \
               .when(~F.coalesce(F.col("parse_ok"), F.lit(True)), "malformed snapshot")
@@ -290,21 +288,25 @@ def market_cap(stock: DataFrame, market: DataFrame) -> DataFrame:
                     F.col("market_cap").alias("vendor_market_cap"))
 
 
-def add_or_update_stock(stock: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def add_or_update_stock(stock: DataFrame, changes: DataFrame,
+                        order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Q28: admin upsert of (ticker, name, price). Tickers are upper-cased;
     rows with an empty ticker or name, or a price that is not a number
     (or does not fit NUMERIC(10,2)), are rejected; highs and lows of an
-    existing stock are kept. Returns ``(new_stock, rejects)``."""
-    c = changes.select(F.upper(F.trim(F.col("ticker"))).alias("ticker"), F.trim(F.col("name")).alias("name"),
+    existing stock are kept. Several changes of one ticker apply in the order
+    of ``order_col`` (without one they raise an error). Returns ``(new_stock,
+    rejects)``."""
+    order = [F.col(order_col).alias("_order")] if order_col else []
+    c = changes.select(*order, F.upper(F.trim(F.col("ticker"))).alias("ticker"), F.trim(F.col("name")).alias("name"),
                        F.col("price").alias("_raw_price"),
                        F.col("price").cast("string").try_cast("decimal(10,2)").alias("price"))
     reason = (F.when((F.coalesce(F.col("ticker"), F.lit("")) == "") | (F.coalesce(F.col("name"), F.lit("")) == ""),
                      "ticker and name are required")
                .when(F.col("_raw_price").isNotNull() & F.col("price").isNull(), "price is not a number"))
     c = c.withColumn("reason", reason)
-    rejects = c.where(F.col("reason").isNotNull()).drop("_raw_price")
+    rejects = c.where(F.col("reason").isNotNull()).drop("_raw_price", "_order")
     ok = c.where(F.col("reason").isNull()).drop("_raw_price", "reason")
-    return upsert(stock, ok, ["ticker"], ["name", "price"]), rejects
+    return upsert(stock, ok, ["ticker"], ["name", "price"], "_order" if order_col else None), rejects
 
 
 # -- Q30 ------------------------------------------------------------------------

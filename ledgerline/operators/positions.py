@@ -151,8 +151,7 @@ def cash_balance(users: DataFrame, txn: DataFrame, deposits: DataFrame) -> DataF
 
 # -- Q12: ordered replay of each position ----------------------------------------
 
-LEDGER_STEP_SCHEMA = T.StructType([
-    T.StructField("transaction_id", T.LongType()),
+_STEP_FIELDS = [
     T.StructField("user_id", T.LongType()),
     T.StructField("stock_ticker", T.StringType()),
     T.StructField("type", T.StringType()),
@@ -163,7 +162,12 @@ LEDGER_STEP_SCHEMA = T.StructType([
     T.StructField("qty_after", T.LongType()),
     T.StructField("avg_cents_after", T.LongType()),
     T.StructField("realized_cents", T.LongType()),
-])
+]
+
+
+def ledger_step_schema(trades: DataFrame) -> T.StructType:
+    """Columns of a replayed trade; the trade id keeps its type."""
+    return T.StructType([T.StructField("transaction_id", trades.schema["transaction_id"].dataType), *_STEP_FIELDS])
 
 
 def trade_step(qty: int, avg: int, kind: str, q: int, p: int) -> tuple[int, int, str, int]:
@@ -243,7 +247,7 @@ def ledger_steps(txn: DataFrame) -> DataFrame:
     trades are hash-partitioned by position and sorted inside each partition,
     then folded by a streaming pass that never holds more than one Arrow batch.
     """
-    return _sorted_trades(txn).mapInPandas(_replay, LEDGER_STEP_SCHEMA)
+    return _sorted_trades(txn).mapInPandas(_replay, ledger_step_schema(txn))
 
 
 POSITION_SCHEMA = T.StructType([

@@ -27,6 +27,27 @@ from pyspark.sql.window import Window
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
+#: Stand-ins for null by kind of type; which keys are null is kept beside them.
+_NO_VALUE = {"string": "", "date": "0001-01-01", "timestamp": "0001-01-01", "timestamp_ntz": "0001-01-01", "boolean": False}
+
+
+def match_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that are equal exactly where ``keys`` are, nulls
+    included, and never null themselves: joins on them lose no row and share
+    the exchange of a window partitioned by them. Returns their names."""
+    names = []
+    for k in keys:
+        kind = df.schema[k].dataType.typeName()
+        stand_in = F.lit(_NO_VALUE.get(kind, 0)).cast(df.schema[k].dataType)
+        if f"_key_{k}" not in df.columns:
+            df = df.withColumn(f"_key_{k}", F.coalesce(F.col(k), stand_in)).withColumn(f"_null_{k}", F.col(k).isNull())
+        names += [f"_key_{k}", f"_null_{k}"]
+    return df, names
+
+
+def drop_match_keys(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(("_key_", "_null_"))])
+
 
 def bucketed_prefix(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str],
                     aggs: dict[str, tuple[str, str]], include_peers: bool = True,
@@ -40,8 +61,9 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequ
     value count as preceding (a RANGE frame, ``ts <= current ts``); otherwise
     a ROWS frame is used. Rows are never dropped.
     """
-    keys = list(keys)
-    part = keys + [bucket]
+    df, keys = match_keys(df, keys)
+    df, day = match_keys(df, [bucket])
+    part = keys + day
     w_in = Window.partitionBy(*part).orderBy(*order)
     w_in = (w_in.rangeBetween(Window.unboundedPreceding, Window.currentRow) if include_peers
             else w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -50,7 +72,9 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequ
         out = out.withColumn(f"_in_{name}", _COMBINE[kind](src).over(w_in))
 
     totals = out.groupBy(*part).agg(*[_COMBINE[k](src).alias(f"_bt_{n}") for n, (k, src) in aggs.items()])
-    w_prev = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    # a null bucket comes before all others, as null order values do
+    w_prev = (Window.partitionBy(*keys).orderBy(F.col(day[1]).desc(), day[0])
+              .rowsBetween(Window.unboundedPreceding, -1))
     carry = totals.select(*part, *[_COMBINE[k](f"_bt_{n}").over(w_prev).alias(f"_carry_{n}")
                                    for n, (k, _) in aggs.items()])
     # The carry table has one row per (key, bucket): it grows with the data,
@@ -69,7 +93,7 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequ
         else:
             val = F.least(prev, inner)
         out = out.withColumn(name, val)
-    return out.drop(*[c for c in out.columns if c.startswith(("_in_", "_carry_"))])
+    return drop_match_keys(out.drop(*[c for c in out.columns if c.startswith(("_in_", "_carry_"))]))
 
 
 def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str],
@@ -81,21 +105,22 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     ``has_prev`` a boolean column tells whether the row has a predecessor at
     all (the lag alone cannot: a predecessor's value may itself be null).
     """
-    keys = list(keys)
-    part = keys + [bucket]
+    df, keys = match_keys(df, keys)
+    df, day = match_keys(df, [bucket])
+    part = keys + day
     w_in = Window.partitionBy(*part).orderBy(*order)
     marked = df.withColumn("_lag_in", F.lag(value).over(w_in)).withColumn("_first", F.row_number().over(w_in) == 1)
     ordered = F.struct(*[F.col(c) for c in order])
     last_in_bucket = marked.groupBy(*part).agg(F.max_by(F.col(value), ordered).alias("_last"))
-    w_prev = Window.partitionBy(*keys).orderBy(bucket)
+    w_prev = Window.partitionBy(*keys).orderBy(F.col(day[1]).desc(), day[0])
     prev = last_in_bucket.select(*part, F.lag("_last").over(w_prev).alias("_prev_bucket_last"),
-                                 F.lag(bucket).over(w_prev).isNotNull().alias("_earlier_bucket"))
+                                 F.lag(day[0]).over(w_prev).isNotNull().alias("_earlier_bucket"))
     # One row per (key, bucket): grows with the data, so never broadcast.
     joined = marked.join(prev.hint("shuffle_merge"), part, "inner")
     res = joined.withColumn(out, F.when(F.col("_first"), F.col("_prev_bucket_last")).otherwise(F.col("_lag_in")))
     if has_prev:
         res = res.withColumn(has_prev, ~F.col("_first") | F.col("_earlier_bucket"))
-    return res.drop("_lag_in", "_first", "_prev_bucket_last", "_earlier_bucket")
+    return drop_match_keys(res.drop("_lag_in", "_first", "_prev_bucket_last", "_earlier_bucket"))
 
 
 def sliding_range(df: DataFrame, keys: Sequence[str], day: str, days: int,
@@ -117,7 +142,8 @@ def sliding_range(df: DataFrame, keys: Sequence[str], day: str, days: int,
     span = days + 1
     dn = F.unix_date(F.col(day))
     base = df.withColumn("_blk", F.floor(dn / span)).withColumn("_off", dn - F.col("_blk") * span)
-    w_pre = Window.partitionBy(*keys, "_blk").orderBy("_off").rowsBetween(Window.unboundedPreceding, 0)
+    # rows of one day are peers: each sees all of them
+    w_pre = Window.partitionBy(*keys, "_blk").orderBy("_off").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     for o, (kind, c) in aggs.items():
         base = base.withColumn(f"_pre_{o}", fn[kind](c).over(w_pre))
     inputs = sorted({c for _, c in aggs.values()})

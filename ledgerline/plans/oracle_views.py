@@ -18,10 +18,11 @@ VIEWS: dict[str, str] = {
        CASE WHEN s_suppkey % 11 = 0 OR s_nationkey >= 22 THEN NULL ELSE s_nationkey END AS brokerage_id,
        CAST(s_acctbal AS DECIMAL(15,2)) AS balance
 FROM supplier""",
-    "txn": """SELECT (((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey) * 100
-         + CAST(l_quantity AS INT) AS transaction_id,
+    "txn": """SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 14, '0'), lpad(CAST(l_linenumber AS VARCHAR), 2, '0'),
+                 lpad(CAST(l_partkey AS VARCHAR), 12, '0'), lpad(CAST(l_suppkey AS VARCHAR), 12, '0'),
+                 lpad(CAST(CAST(l_quantity AS INT) AS VARCHAR), 4, '0')) AS transaction_id,
        l_suppkey AS user_id,
-       concat('T', lpad(CAST(l_partkey % 100 AS VARCHAR), 3, '0')) AS stock_ticker,
+       concat('T', CAST(l_partkey AS VARCHAR)) AS stock_ticker,
        CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS type,
        CAST(l_quantity AS INT) AS quantity,
        CAST(l_extendedprice AS DECIMAL(10,2)) AS price,
@@ -31,9 +32,9 @@ FROM lineitem""",
        CAST(SUM(quantity) AS BIGINT) AS volume
 FROM txn GROUP BY stock_ticker, CAST(ts AS DATE)""",
     "stock": """SELECT t.ticker, t.name, t.price, h.high_52, h.low_52
-FROM (SELECT concat('T', lpad(CAST(p_partkey AS VARCHAR), 3, '0')) AS ticker, p_name AS name,
+FROM (SELECT concat('T', CAST(p_partkey AS VARCHAR)) AS ticker, p_name AS name,
              CASE WHEN p_partkey % 25 = 24 THEN NULL ELSE CAST(p_retailprice * 50 AS DECIMAL(10,2)) END AS price
-      FROM part WHERE p_partkey < 100) t
+      FROM part) t
 LEFT JOIN (SELECT ticker, max(price) AS high_52, min(price) AS low_52 FROM stock_prices
            WHERE date > DATE '2000-11-04' AND date <= DATE '2001-11-04' GROUP BY ticker) h
   ON t.ticker = h.ticker""",
@@ -49,13 +50,13 @@ WHERE net > 0""",
        CAST(profit - lag(profit) OVER w AS DOUBLE) / CAST(lag(profit) OVER w AS DOUBLE) AS eps_growth,
        CAST(earnings - lag(earnings) OVER w AS DOUBLE) / CAST(lag(earnings) OVER w AS DOUBLE) AS revenue_growth,
        profit, earnings
-FROM (SELECT concat('T', lpad(CAST(l_partkey % 100 AS VARCHAR), 3, '0')) AS stock_ticker,
+FROM (SELECT concat('T', CAST(l_partkey AS VARCHAR)) AS stock_ticker,
              year(l_shipdate) AS year,
              SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(1 - l_discount AS DECIMAL(3,2))) AS profit,
              SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS earnings
       FROM lineitem GROUP BY 1, 2) y
 WINDOW w AS (PARTITION BY stock_ticker ORDER BY year)""",
-    "quarterly_financials": """SELECT concat('T', lpad(CAST(l_partkey % 100 AS VARCHAR), 3, '0')) AS stock_ticker,
+    "quarterly_financials": """SELECT concat('T', CAST(l_partkey AS VARCHAR)) AS stock_ticker,
        concat(CAST(year(l_shipdate) AS VARCHAR), 'Q', CAST(quarter(l_shipdate) AS VARCHAR)) AS quarter,
        SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(1 - l_discount AS DECIMAL(3,2))) AS profit,
        SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS earnings
@@ -63,18 +64,18 @@ FROM lineitem GROUP BY 1, 2""",
     "market_analysis": """SELECT v.stock_ticker,
        CAST(s.price AS DOUBLE) / (CAST(v.amt AS DOUBLE) / CAST(v.volume AS DOUBLE)) AS pe_ratio,
        v.dividend_yield, CAST(s.price * v.volume AS DOUBLE) AS market_cap, v.volume
-FROM (SELECT concat('T', lpad(CAST(l_partkey % 100 AS VARCHAR), 3, '0')) AS stock_ticker,
+FROM (SELECT concat('T', CAST(l_partkey AS VARCHAR)) AS stock_ticker,
              CAST(SUM(CAST(l_quantity AS INT)) AS BIGINT) AS volume,
              SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS amt,
              CAST(SUM(CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) / COUNT(*) * 100 AS dividend_yield
       FROM lineitem GROUP BY 1) v
 LEFT JOIN stock s ON v.stock_ticker = s.ticker""",
-    "ticks": """SELECT event_id, concat('T', lpad(json_extract_string(props, '$.k'), 3, '0')) AS ticker,
+    "ticks": """SELECT event_id, concat('T', CAST((event_id * 7919 + CAST(json_extract_string(props, '$.k') AS BIGINT)) % (SELECT COUNT(*) FROM part) AS VARCHAR)) AS ticker,
        CAST(value AS DECIMAL(10,2)) AS price, ts
 FROM events""",
     "order_requests": """SELECT event_id AS order_id, user_id,
        CASE WHEN event_id % 53 = 0 THEN 'X999'
-            ELSE concat('T', lpad(json_extract_string(props, '$.k'), 3, '0')) END AS ticker,
+            ELSE concat('T', CAST((event_id * 7919 + CAST(json_extract_string(props, '$.k') AS BIGINT)) % (SELECT COUNT(*) FROM part) AS VARCHAR)) END AS ticker,
        CASE WHEN event_type IN ('click', 'error') THEN 'SELL' ELSE 'BUY' END AS type,
        CAST(event_id % 60 - 3 AS INT) AS quantity,
        CAST(value AS DECIMAL(10,2)) AS price, ts
@@ -86,12 +87,12 @@ FROM events WHERE event_type = 'signup'""",
        CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_nationkey + 3 END AS brokerage_id,
        CAST(c_acctbal AS DECIMAL(15,2)) AS balance
 FROM customer""",
-    "snapshots": """SELECT concat('T', lpad(CAST(p_partkey AS VARCHAR), 3, '0')) AS ticker,
+    "snapshots": """SELECT concat('T', CAST(p_partkey AS VARCHAR)) AS ticker,
        CASE WHEN p_partkey % 7 = 0 THEN concat('{"longName":"', p_name, '"}')
             ELSE concat('{"longName":"', p_name, '","trailingPE":', CAST(p_size AS VARCHAR),
                         ',"marketCap":', CAST(p_size * 1000000 + p_partkey AS VARCHAR),
                         ',"totalRevenue":', CAST(p_size * 500000 + p_partkey AS VARCHAR), '}') END AS raw
-FROM part WHERE p_partkey < 110""",
+FROM part""",
 }
 
 

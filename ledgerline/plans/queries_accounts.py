@@ -142,13 +142,13 @@ _AUDIT_SOURCES["txn"] = "txn_all"
 _TXN_ALL = """txn_all AS (
   SELECT transaction_id, user_id, stock_ticker, type, quantity, price, ts FROM txn
   UNION ALL
-  SELECT order_id, user_id, ticker, type, quantity, price, ts FROM order_requests)"""
+  SELECT lpad(CAST(order_id AS VARCHAR), 18, '0'), user_id, ticker, type, quantity, price, ts FROM order_requests)"""
 
 
 def _audit_tables(fx):
     t = fx.tables()
     o = fx.order_requests
-    t["txn"] = t["txn"].unionByName(o.select(F.col("order_id").alias("transaction_id"), "user_id",
+    t["txn"] = t["txn"].unionByName(o.select(F.lpad(F.col("order_id").cast("string"), 18, "0").alias("transaction_id"), "user_id",
                                              F.col("ticker").alias("stock_ticker"), "type", "quantity",
                                              "price", "ts"))
     return t

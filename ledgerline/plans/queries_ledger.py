@@ -196,7 +196,7 @@ WITH RECURSIVE t AS (
          row_number() OVER (PARTITION BY user_id, stock_ticker ORDER BY ts, transaction_id) AS step
   FROM txn WHERE type IN ('BUY', 'SELL') AND quantity > 0),
 r AS (
-  SELECT DISTINCT user_id, stock_ticker, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS transaction_id,
+  SELECT DISTINCT user_id, stock_ticker, CAST(0 AS BIGINT) AS step, CAST(NULL AS VARCHAR) AS transaction_id,
          CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS qty, CAST(0 AS BIGINT) AS avg_c,
          CAST(0 AS BIGINT) AS realized
   FROM t

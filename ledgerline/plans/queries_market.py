@@ -46,6 +46,16 @@ def _moving_average_series(fx):
     return market.moving_average_series(fx.stock_prices, 50)
 
 
+@register("moving_average_series_200", """
+SELECT ticker, date, CAST(price AS DOUBLE) AS price,
+       CAST(SUM(price) OVER w AS DOUBLE) / CAST(COUNT(price) OVER w AS DOUBLE) AS moving_avg_200
+FROM stock_prices
+WINDOW w AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 200 DAY PRECEDING AND CURRENT ROW)
+""", dates=("date",))
+def _moving_average_series_200(fx):
+    return market.moving_average_series(fx.stock_prices, 200)
+
+
 @register("top_movers", f"""
 WITH r AS (
   SELECT ticker, date, price, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn
@@ -96,11 +106,12 @@ def _stock_listing(fx):
 
 
 @register("screen_eps_pe", """
-SELECT s.ticker, s.name, CAST(yf.year AS BIGINT) AS year, yf.eps_growth AS eps, ma.pe_ratio AS pe
-FROM stock s
-JOIN yearly_financials yf ON s.ticker = yf.stock_ticker
-JOIN market_analysis ma ON s.ticker = ma.stock_ticker
-WHERE yf.eps_growth >= 0 AND ma.pe_ratio <= 100
+WITH cheap AS (SELECT stock_ticker AS ticker, pe_ratio AS pe FROM market_analysis WHERE pe_ratio <= 100),
+growing AS (SELECT stock_ticker AS ticker, CAST(year AS BIGINT) AS year, eps_growth AS eps
+            FROM yearly_financials WHERE eps_growth >= 0)
+SELECT ticker, (SELECT name FROM stock WHERE stock.ticker = growing.ticker) AS name, year, eps, pe
+FROM growing JOIN cheap USING (ticker)
+WHERE ticker IN (SELECT ticker FROM stock)
 """)
 def _screen_eps_pe(fx):
     return market.screen_eps_pe(fx.stock, fx.yearly_financials, fx.market_analysis, 0.0, 100.0) \
@@ -108,22 +119,22 @@ def _screen_eps_pe(fx):
 
 
 @register("highest_eps_growth", f"""
-SELECT s.ticker, s.name, yf.eps_growth
-FROM stock s JOIN yearly_financials yf ON s.ticker = yf.stock_ticker
-WHERE yf.year = {SCREEN_YEAR} AND yf.eps_growth IS NOT NULL
-ORDER BY yf.eps_growth DESC, s.ticker
-LIMIT 5
+WITH known AS (
+  SELECT stock_ticker AS ticker, eps_growth FROM yearly_financials
+  WHERE year = {SCREEN_YEAR} AND eps_growth = eps_growth AND stock_ticker IN (SELECT ticker FROM stock)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY eps_growth DESC, ticker) AS place FROM known)
+SELECT ticker, name, eps_growth FROM ranked JOIN stock USING (ticker) WHERE place <= 5
 """)
 def _highest_eps_growth(fx):
     return market.highest_eps_growth(fx.stock, fx.yearly_financials, SCREEN_YEAR, k=5)
 
 
 @register("undervalued_stocks", f"""
-SELECT s.ticker, s.name, ma.pe_ratio, yf.eps_growth
-FROM stock s
-JOIN market_analysis ma ON s.ticker = ma.stock_ticker
-JOIN yearly_financials yf ON s.ticker = yf.stock_ticker
-WHERE ma.pe_ratio < {SCREEN_MAX_PE} AND yf.eps_growth > 0.1 AND yf.year = {SCREEN_YEAR}
+WITH growth AS (SELECT stock_ticker AS ticker, max(eps_growth) AS eps_growth FROM yearly_financials
+                WHERE year = {SCREEN_YEAR} GROUP BY 1 HAVING max(eps_growth) > 0.1),
+value AS (SELECT stock_ticker AS ticker, min(pe_ratio) AS pe_ratio FROM market_analysis
+          GROUP BY 1 HAVING min(pe_ratio) < {SCREEN_MAX_PE})
+SELECT ticker, name, pe_ratio, eps_growth FROM value NATURAL JOIN growth NATURAL JOIN (SELECT ticker, name FROM stock)
 """)
 def _undervalued_stocks(fx):
     return market.undervalued_stocks(fx.stock, fx.market_analysis, fx.yearly_financials, SCREEN_YEAR,
@@ -131,11 +142,10 @@ def _undervalued_stocks(fx):
 
 
 @register("most_traded", """
-SELECT s.ticker, s.name, ma.volume AS total_volume
-FROM stock s JOIN market_analysis ma ON s.ticker = ma.stock_ticker
-WHERE ma.volume IS NOT NULL
-ORDER BY ma.volume DESC, s.ticker
-LIMIT 10
+WITH listed AS (
+  SELECT ticker, name, (SELECT max(volume) FROM market_analysis WHERE stock_ticker = ticker) AS total_volume FROM stock)
+SELECT ticker, name, total_volume FROM listed
+WHERE total_volume >= 0 QUALIFY row_number() OVER (ORDER BY total_volume DESC, ticker) <= 10
 """)
 def _most_traded(fx):
     return market.most_traded(fx.stock, fx.market_analysis, k=10)
@@ -213,6 +223,64 @@ def _market_refresh(fx):
                  .withColumn("year", F.col("year").cast("bigint"))
 
 
+# The refreshed rows upserted into the three tables they belong to.
+_REFRESH = f"""WITH last AS (
+  SELECT ticker, arg_max(price, date) AS price, arg_max(volume, date) AS volume
+  FROM stock_prices WHERE date <= DATE '{PRICE_AS_OF}' GROUP BY ticker),
+snap AS ({_SNAP}),
+fresh AS (
+  SELECT s.ticker, COALESCE(sn.long_name, 'Unknown') AS name, l.price, COALESCE(sn.high_52, 0) AS high_52,
+         COALESCE(sn.low_52, 0) AS low_52, COALESCE(sn.trailing_pe, 0) AS pe_ratio,
+         COALESCE(sn.dividend_yield, 0) * 100 AS dividend_yield,
+         {_r2("COALESCE(sn.market_cap, CAST(0 AS DOUBLE)) / 1e6")} AS market_cap, CAST(l.volume AS BIGINT) AS volume,
+         COALESCE(sn.eps_growth, 0) AS eps_growth, COALESCE(sn.revenue_growth, 0) AS revenue_growth,
+         {_r2("COALESCE(sn.net_income, CAST(0 AS DOUBLE)) / 1e6")} AS profit,
+         {_r2("COALESCE(sn.total_revenue, CAST(0 AS DOUBLE)) / 1e6")} AS earnings
+  FROM stock s JOIN last l ON s.ticker = l.ticker LEFT JOIN snap sn ON s.ticker = sn.ticker)
+"""
+
+
+def _refreshed(fx):
+    changes = market.market_refresh(fx.stock, fx.snapshots, fx.stock_prices, PRICE_AS_OF, SCREEN_YEAR + 1)
+    return market.apply_refresh(fx.stock, fx.market_analysis, fx.yearly_financials, changes)
+
+
+@register("refresh_stock", _REFRESH + """
+SELECT ticker, name, CAST(price AS DOUBLE) AS price, CAST(high_52 AS DOUBLE) AS high_52, CAST(low_52 AS DOUBLE) AS low_52
+FROM fresh
+UNION ALL
+SELECT ticker, name, price, high_52, low_52 FROM stock WHERE ticker NOT IN (SELECT ticker FROM fresh)
+""")
+def _refresh_stock(fx):
+    return _refreshed(fx)[0].select("ticker", "name", *[as_double(c).alias(c) for c in ("price", "high_52", "low_52")])
+
+
+@register("refresh_market", _REFRESH + """
+SELECT ticker AS stock_ticker, CAST(pe_ratio AS DOUBLE) AS pe_ratio, CAST(dividend_yield AS DOUBLE) AS dividend_yield,
+       CAST(market_cap AS DOUBLE) AS market_cap, volume
+FROM fresh
+UNION ALL
+SELECT stock_ticker, pe_ratio, dividend_yield, market_cap, volume FROM market_analysis
+WHERE stock_ticker NOT IN (SELECT ticker FROM fresh)
+""")
+def _refresh_market(fx):
+    return _refreshed(fx)[1]
+
+
+@register("refresh_yearly", _REFRESH + f"""
+SELECT ticker AS stock_ticker, CAST({SCREEN_YEAR + 1} AS BIGINT) AS year, CAST(eps_growth AS DOUBLE) AS eps_growth,
+       CAST(revenue_growth AS DOUBLE) AS revenue_growth, CAST(profit AS DOUBLE) AS profit, CAST(earnings AS DOUBLE) AS earnings
+FROM fresh
+UNION ALL
+SELECT stock_ticker, year, eps_growth, revenue_growth, profit, earnings FROM yearly_financials
+WHERE (stock_ticker, year) NOT IN (SELECT (ticker, {SCREEN_YEAR + 1}) FROM fresh)
+""")
+def _refresh_yearly(fx):
+    y = _refreshed(fx)[2]
+    return y.select("stock_ticker", F.col("year").cast("bigint").alias("year"), "eps_growth", "revenue_growth",
+                    as_double("profit").alias("profit"), as_double("earnings").alias("earnings"))
+
+
 @register("market_cap", """
 SELECT ma.stock_ticker, CAST(s.price AS DOUBLE) AS price, ma.volume,
        CAST(s.price * ma.volume AS DOUBLE) AS market_cap_pv, ma.market_cap AS vendor_market_cap
@@ -242,7 +310,7 @@ def _add_or_update_stock(fx):
     return new_stock.select("ticker", "name", *[as_double(c).alias(c) for c in ("price", "high_52", "low_52")])
 
 
-_LINES = """concat('T', lpad(CAST(l_partkey % 100 AS VARCHAR), 3, '0')) AS stock_ticker,
+_LINES = """concat('T', CAST(l_partkey AS VARCHAR)) AS stock_ticker,
          SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(1 - l_discount AS DECIMAL(3,2))) AS profit,
          SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS earnings"""
 
@@ -250,7 +318,7 @@ _LINES = """concat('T', lpad(CAST(l_partkey % 100 AS VARCHAR), 3, '0')) AS stock
 def _facts(fx):
     l = fx.raw("lineitem")
     ext = l.l_extendedprice.cast("decimal(12,2)")
-    return l.select(F.concat(F.lit("T"), F.lpad((l.l_partkey % 100).cast("string"), 3, "0")).alias("stock_ticker"),
+    return l.select(F.concat(F.lit("T"), l.l_partkey.cast("string")).alias("stock_ticker"),
                     l.l_shipdate.alias("ts"), (ext * (1 - l.l_discount).cast("decimal(3,2)")).alias("profit"),
                     ext.alias("earnings"))
 

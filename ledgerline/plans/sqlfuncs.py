@@ -29,20 +29,22 @@ RETURN CASE WHEN kind = 'BUY' THEN quantity ELSE -quantity END""",
     "get_high_stocks": """
 CREATE OR REPLACE TEMPORARY FUNCTION get_high_stocks(ratio DOUBLE DEFAULT 2.1)
 RETURNS TABLE (ticker STRING, name STRING, high_52 DECIMAL(10,2), low_52 DECIMAL(10,2))
-RETURN SELECT ticker, name, high_52, low_52 FROM stock
-       WHERE high_52 >= CAST(ratio AS DECIMAL(10,4)) * low_52""",
+RETURN
+  WITH span AS (SELECT *, CAST(ratio AS DECIMAL(10,4)) * low_52 AS needed FROM stock)
+  SELECT span.ticker, span.name, span.high_52, span.low_52 FROM span WHERE needed <= high_52""",
     "get_low_stocks": """
 CREATE OR REPLACE TEMPORARY FUNCTION get_low_stocks()
 RETURNS TABLE (ticker STRING, name STRING, high_52 DECIMAL(10,2), low_52 DECIMAL(10,2))
-RETURN SELECT ticker, name, high_52, low_52 FROM stock WHERE low_52 IS NOT NULL""",
+RETURN SELECT known.* FROM (SELECT ticker, name, high_52, low_52 FROM stock) known
+       WHERE NOT isnull(known.low_52)""",
     "filter_stocks": """
 CREATE OR REPLACE TEMPORARY FUNCTION filter_stocks(min_eps DOUBLE DEFAULT 0, max_pe DOUBLE DEFAULT 100)
 RETURNS TABLE (ticker STRING, name STRING, year INT, eps DOUBLE, pe DOUBLE)
-RETURN SELECT s.ticker, s.name, yf.year, yf.eps_growth, ma.pe_ratio
-       FROM stock s
-       JOIN yearly_financials yf ON s.ticker = yf.stock_ticker
-       JOIN market_analysis ma ON s.ticker = ma.stock_ticker
-       WHERE yf.eps_growth >= min_eps AND ma.pe_ratio <= max_pe""",
+RETURN
+  WITH cheap AS (SELECT stock_ticker AS ticker, pe_ratio AS pe FROM market_analysis WHERE pe_ratio <= max_pe),
+  growing AS (SELECT stock_ticker AS ticker, year, eps_growth AS eps FROM yearly_financials WHERE eps_growth >= min_eps)
+  SELECT ticker, stock.name, growing.year, growing.eps, cheap.pe
+  FROM growing JOIN cheap USING (ticker) JOIN stock USING (ticker)""",
     "get_user_portfolio": """
 CREATE OR REPLACE TEMPORARY FUNCTION get_user_portfolio(user_id_param BIGINT DEFAULT NULL)
 RETURNS TABLE (user_id BIGINT, stock_ticker STRING, stock_name STRING, quantity BIGINT,
@@ -67,11 +69,12 @@ RETURN
     "get_portfolio_summary": """
 CREATE OR REPLACE TEMPORARY FUNCTION get_portfolio_summary(user_id_param BIGINT, as_of DATE)
 RETURNS TABLE (user_id BIGINT, stock_name STRING, total_shares BIGINT, total_value DECIMAL(38,2))
-RETURN SELECT t.user_id, s.name, SUM(t.quantity), SUM(t.quantity * sp.price)
-       FROM txn t JOIN stock s ON t.stock_ticker = s.ticker
-       JOIN stock_prices sp ON sp.ticker = s.ticker
-       WHERE (user_id_param IS NULL OR t.user_id = user_id_param) AND sp.date = as_of
-       GROUP BY t.user_id, s.name""",
+RETURN
+  WITH priced AS (SELECT ticker, stock.name, stock_prices.price AS close
+                  FROM stock_prices JOIN stock USING (ticker) WHERE stock_prices.date = as_of),
+  traded AS (SELECT user_id, stock_ticker AS ticker, SUM(quantity) AS shares FROM txn
+             WHERE user_id = coalesce(user_id_param, user_id) GROUP BY ALL)
+  SELECT user_id, name, SUM(shares), SUM(shares * close) FROM traded JOIN priced USING (ticker) GROUP BY user_id, name""",
     "get_moving_averages": """
 CREATE OR REPLACE TEMPORARY FUNCTION get_moving_averages(ticker_param STRING, as_of DATE)
 RETURNS TABLE (ticker STRING, moving_avg_50 DOUBLE, moving_avg_200 DOUBLE)

@@ -35,7 +35,7 @@ STOCK = T.StructType([
 ])
 
 TRANSACTIONS = T.StructType([
-    T.StructField("transaction_id", T.LongType(), False),
+    T.StructField("transaction_id", T.StringType(), False),
     T.StructField("user_id", T.LongType(), False),
     T.StructField("stock_ticker", T.StringType(), False),
     T.StructField("type", T.StringType(), False),

@@ -79,6 +79,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir() if sc is not None else None
     if existing:
         return existing
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="ledgerline-ckpt-", dir=os.environ.get("LEDGERLINE_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:

@@ -26,8 +26,18 @@ PRICE_AS_OF = "2001-11-04"
 
 
 def _ticker(num: Column) -> Column:
-    """'T' + three-digit zero-padded number, e.g. 7 -> 'T007'."""
-    return F.concat(F.lit("T"), F.lpad(num.cast("string"), 3, "0"))
+    """'T' + the part's key, e.g. 7 -> 'T7': one ticker for every part."""
+    return F.concat(F.lit("T"), num.cast("string"))
+
+
+def _fixed(num: Column, width: int) -> Column:
+    return F.lpad(num.cast("string"), width, "0")
+
+
+def _event_ticker(events: DataFrame, n_parts: int) -> Column:
+    """Events name a ticker by their id and their number k, spread over all parts."""
+    k = F.get_json_object(events.props, "$.k").cast("bigint")
+    return _ticker((events.event_id * 7919 + k) % F.lit(n_parts).cast("bigint"))
 
 
 def _dec(c: Column, p: int, s: int) -> Column:
@@ -66,12 +76,13 @@ class Fixtures:
     def txn(self) -> DataFrame:
         l = self.raw("lineitem")
         qty = l.l_quantity.cast("int")
-        tid = ((((l.l_orderkey * 10 + l.l_linenumber) * 1000000 + l.l_partkey) * 10000
-                + l.l_suppkey) * 100 + qty)
+        # fixed-width fields: unique like the tuple, ordered like it, and no number to overflow
+        tid = F.concat_ws("-", _fixed(l.l_orderkey, 14), _fixed(l.l_linenumber, 2), _fixed(l.l_partkey, 12),
+                          _fixed(l.l_suppkey, 12), _fixed(qty, 4))
         return l.select(
             tid.alias("transaction_id"),
             l.l_suppkey.alias("user_id"),
-            _ticker(l.l_partkey % 100).alias("stock_ticker"),
+            _ticker(l.l_partkey).alias("stock_ticker"),
             F.when(l.l_returnflag == "R", "SELL").otherwise("BUY").alias("type"),
             qty.alias("quantity"),
             _dec(l.l_extendedprice, 10, 2).alias("price"),
@@ -106,7 +117,7 @@ class Fixtures:
     @functools.cached_property
     def stock(self) -> DataFrame:
         p = self.raw("part")
-        listed = p.where(p.p_partkey < 100).select(
+        listed = p.select(
             _ticker(p.p_partkey).alias("ticker"),
             p.p_name.alias("name"),
             F.when((p.p_partkey % 25) == 24, F.lit(None).cast("decimal(10,2)"))
@@ -122,7 +133,7 @@ class Fixtures:
     def _line_ticker_year(self) -> DataFrame:
         l = self.raw("lineitem")
         return l.select(
-            _ticker(l.l_partkey % 100).alias("stock_ticker"),
+            _ticker(l.l_partkey).alias("stock_ticker"),
             l.l_shipdate,
             (_dec(l.l_extendedprice, 12, 2) * _dec(1 - l.l_discount, 3, 2)).alias("_profit"),
             _dec(l.l_extendedprice, 12, 2).alias("_earn"),
@@ -151,7 +162,7 @@ class Fixtures:
     @functools.cached_property
     def market_analysis(self) -> DataFrame:
         l = self.raw("lineitem")
-        v = l.groupBy(_ticker(l.l_partkey % 100).alias("stock_ticker")).agg(
+        v = l.groupBy(_ticker(l.l_partkey).alias("stock_ticker")).agg(
             F.sum(l.l_quantity.cast("int")).cast("bigint").alias("volume"),
             F.sum(_dec(l.l_extendedprice, 12, 2)).alias("amt"),
             (F.sum(_dec(l.l_tax, 4, 2)).cast("double") / F.count(F.lit(1)) * 100).alias("dividend_yield"),
@@ -170,22 +181,27 @@ class Fixtures:
     def _events(self) -> DataFrame:
         return self.raw("events")
 
+    @functools.cached_property
+    def n_parts(self) -> int:
+        """Number of parts (a row count from the file footers)."""
+        return self.raw("part").count()
+
     @staticmethod
-    def ticks_from(events: DataFrame) -> DataFrame:
+    def ticks_from(events: DataFrame, n_parts: int) -> DataFrame:
         return events.select(
             "event_id",
-            _ticker(F.get_json_object("props", "$.k")).alias("ticker"),
+            _event_ticker(events, n_parts).alias("ticker"),
             _dec(F.col("value"), 10, 2).alias("price"),
             "ts",
         )
 
     @staticmethod
-    def orders_from(events: DataFrame) -> DataFrame:
+    def orders_from(events: DataFrame, n_parts: int) -> DataFrame:
         e = events
         return e.select(
             e.event_id.alias("order_id"), "user_id",
             F.when((e.event_id % 53) == 0, F.lit("X999"))
-             .otherwise(_ticker(F.get_json_object(e.props, "$.k"))).alias("ticker"),
+             .otherwise(_event_ticker(e, n_parts)).alias("ticker"),
             F.when(e.event_type.isin("click", "error"), "SELL").otherwise("BUY").alias("type"),
             ((e.event_id % 60) - 3).cast("int").alias("quantity"),
             _dec(e.value, 10, 2).alias("price"),
@@ -194,11 +210,11 @@ class Fixtures:
 
     @functools.cached_property
     def ticks(self) -> DataFrame:
-        return self.ticks_from(self._events())
+        return self.ticks_from(self._events(), self.n_parts)
 
     @functools.cached_property
     def order_requests(self) -> DataFrame:
-        return self.orders_from(self._events())
+        return self.orders_from(self._events(), self.n_parts)
 
     @functools.cached_property
     def deposits(self) -> DataFrame:
@@ -223,7 +239,6 @@ class Fixtures:
     @functools.cached_property
     def snapshots(self) -> DataFrame:
         p = self.raw("part")
-        p = p.where(p.p_partkey < 110)
         full = F.concat(
             F.lit('{"longName":"'), p.p_name, F.lit('","trailingPE":'), p.p_size.cast("string"),
             F.lit(',"marketCap":'), (p.p_size * 1000000 + p.p_partkey).cast("string"),
@@ -239,4 +254,5 @@ class Fixtures:
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
-    return Fixtures(spark, os.path.abspath(sf_dir))
+    # a URI goes to Spark as it is; only a relative local path is made absolute
+    return Fixtures(spark, sf_dir if ":" in sf_dir else os.path.abspath(sf_dir))

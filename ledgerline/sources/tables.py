@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +29,13 @@ def read_table(spark: SparkSession, folder: str, name: str,
     from the scan either way, and filters placed on the result are pushed to
     the parquet reader.
     """
-    path = os.path.join(folder, f"{name}.parquet")
-    if not os.path.exists(path) and os.path.isdir(os.path.join(folder, name)):
-        path = os.path.join(folder, name)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    df = reader.parquet(path)
+    try:  # Spark resolves both layouts, so any store that it reads will do
+        df = reader.parquet(os.path.join(folder, f"{name}.parquet"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        df = reader.parquet(os.path.join(folder, name))
     return df.select(*columns) if columns else df
 
 
@@ -104,17 +107,21 @@ def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str],
     null); keys present in both take the supplied ``update_cols`` from the
     change, even when the new value is null, and keep every other column.
     Several changes for one key: the last by ``order_col`` wins (without an
-    order column they must be unique). One shuffle on ``keys`` per side.
+    order column, several changes for one key raise an error). One shuffle on
+    ``keys`` per side.
     """
     keys = list(keys)
     value_cols = [c for c in base.columns if c not in keys]
     update_cols = list(update_cols) if update_cols is not None else [c for c in changes.columns if c not in keys]
-    if order_col is not None:
-        # Last change per key as an aggregate (combines map-side), not a
-        # window: many changes to one hot key never gather in one task.
-        cols = [c for c in changes.columns if c not in keys]
-        last = changes.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_last"))
-        changes = last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in cols])
+    # One change per key as an aggregate (combines map-side), not a window:
+    # many changes to one hot key never gather in one task.
+    cols = [c for c in changes.columns if c not in keys]
+    pick = F.max_by(F.struct(*cols), F.col(order_col)) if order_col is not None else F.any_value(F.struct(*cols))
+    last = changes.groupBy(*keys).agg(pick.alias("_last"), F.count(F.lit(1)).alias("_times"))
+    if order_col is None:
+        last = last.withColumn("_last", F.when(F.col("_times") == 1, F.col("_last")).otherwise(
+            F.raise_error(F.lit(f"several changes for one key ({', '.join(keys)}) and no order column"))))
+    changes = last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in cols])
     ch = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in update_cols],
                         F.lit(True).alias("_hit"))
     j = base.join(ch, keys, "full_outer")

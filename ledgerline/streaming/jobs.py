@@ -28,7 +28,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ledgerline import schemas
 from ledgerline.functions.exprs import as_double, pct_change, round2
-from ledgerline.operators.positions import LEDGER_STEP_SCHEMA, fold_position
+from ledgerline.operators.positions import fold_position, ledger_step_schema
 from ledgerline.session import scratch_path
 from ledgerline.sources.fixtures import Fixtures
 from ledgerline.sources.tables import upsert
@@ -81,7 +81,7 @@ def _position_handler(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.D
 
 def trades_from_orders(orders: DataFrame) -> DataFrame:
     """Order requests as trade rows (the rows a buy/sell handler would insert)."""
-    return orders.select(F.col("order_id").alias("transaction_id"), "user_id",
+    return orders.select(F.lpad(F.col("order_id").cast("string"), 18, "0").alias("transaction_id"), "user_id",
                          F.upper(F.trim("ticker")).alias("stock_ticker"), "type", "quantity", "price", "ts")
 
 
@@ -93,7 +93,7 @@ def position_stream(trades: DataFrame) -> DataFrame:
                  F.col("quantity").cast("bigint").alias("quantity"),
                  (F.col("price") * 100).cast("bigint").alias("price_cents"))
     return t.groupBy("user_id", "stock_ticker").applyInPandasWithState(
-        _position_handler, LEDGER_STEP_SCHEMA, _POSITION_STATE, "append", GroupStateTimeout.NoTimeout)
+        _position_handler, ledger_step_schema(t), _POSITION_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # -- T3 / T4: price audit and running high / low ------------------------------------
@@ -310,7 +310,7 @@ def start_to_parquet(df: DataFrame, out_path: str, name: str, checkpoint: str |
     return w.start()
 
 
-def fixture_streams(spark: SparkSession, folder: str, max_files_per_trigger: int | None = 64):
-    """Order and tick streams over the events files of ``folder``."""
+def fixture_streams(spark: SparkSession, folder: str, n_parts: int, max_files_per_trigger: int | None = 64):
+    """Order and tick streams over the events files of ``folder``; ``n_parts``: see ``Fixtures``."""
     ev = event_stream(spark, folder, max_files_per_trigger=max_files_per_trigger)
-    return Fixtures.orders_from(ev), Fixtures.ticks_from(ev)
+    return Fixtures.orders_from(ev, n_parts), Fixtures.ticks_from(ev, n_parts)

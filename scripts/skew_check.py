@@ -33,9 +33,9 @@ def main():
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir, "spark.eventLog.compress": "false",
         "spark.sql.adaptive.coalescePartitions.enabled": "false"})
     t = fixtures(spark, sf_dir).txn
-    hot = (F.col("transaction_id") % 5) < 2
+    hot = (F.pmod(F.xxhash64("transaction_id"), F.lit(5))) < 2
     t = t.withColumn("user_id", F.when(hot, F.lit(1)).otherwise(F.col("user_id"))) \
-         .withColumn("stock_ticker", F.when(hot, F.lit("T000")).otherwise(F.col("stock_ticker"))) \
+         .withColumn("stock_ticker", F.when(hot, F.lit("T0")).otherwise(F.col("stock_ticker"))) \
          .withColumn("date", F.col("ts").cast("date")) \
          .withColumn("_q", F.when(F.col("type") == "BUY", F.col("quantity")).otherwise(0))
     w = Window.partitionBy("user_id", "stock_ticker").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)

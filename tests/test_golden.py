@@ -36,7 +36,7 @@ def test_realized_pnl_counts_buys_at_the_same_timestamp(spark):
         (4, 1, "A", "BUY", 10, 900, ts(2, 11)),   # later: does not count
         (5, 2, "B", "SELL", 2, 50, ts(3)),        # no buys at all: mean 0
     ])
-    got = {r.transaction_id: r for r in history.realized_pnl(t).collect()}
+    got = {int(r.transaction_id): r for r in history.realized_pnl(t).collect()}
     assert got[2].avg_buy_cost == pytest.approx(150.0)
     assert got[2].realized_pnl == pytest.approx(5 * (130 - 150))
     assert got[5].avg_buy_cost == 0.0 and got[5].realized_pnl == pytest.approx(100.0)
@@ -60,7 +60,7 @@ def test_position_ledger_reweights_resets_and_rejects(spark):
         (5, 1, "A", "SELL", 15, 100, ts(5)),   # sells out: average resets
         (6, 1, "A", "BUY", 1, 50, ts(6)),
     ])
-    steps = {r.transaction_id: r for r in positions.ledger_steps(t).collect()}
+    steps = {int(r.transaction_id): r for r in positions.ledger_steps(t).collect()}
     assert steps[2].avg_cents_after == 15000 and steps[2].qty_after == 20
     assert steps[3].status == "SOLD" and steps[3].realized_cents == 5 * (30000 - 15000)
     assert steps[4].status == "REJECTED" and steps[4].qty_after == 15
@@ -74,7 +74,7 @@ def test_position_ledger_reweights_resets_and_rejects(spark):
 def test_position_ledger_rounds_average_half_up_to_the_cent(spark):
     t = txn_df(spark, [(1, 1, "A", "BUY", 1, "1.00", ts(1)), (2, 1, "A", "BUY", 2, "1.01", ts(2)),
                        (3, 1, "A", "BUY", 1, "1.01", ts(3))])
-    steps = {r.transaction_id: r.avg_cents_after for r in positions.ledger_steps(t).collect()}
+    steps = {int(r.transaction_id): r.avg_cents_after for r in positions.ledger_steps(t).collect()}
     # (100 + 202) / 3 = 100.67 -> 101; (101*3 + 101) / 4 = 101
     assert steps == {1: 100, 2: 101, 3: 101}
 

@@ -36,7 +36,8 @@ def split_events(spark, tmp_path_factory):
 
 def _streams(spark, d):
     ev = jobs.event_stream(spark, d, file_glob="part-*.parquet", max_files_per_trigger=1)
-    return Fixtures.orders_from(ev), Fixtures.ticks_from(ev)
+    n = Fixtures(spark, SF_SMALL).n_parts
+    return Fixtures.orders_from(ev, n), Fixtures.ticks_from(ev, n)
 
 
 def test_position_stream_equals_ledger_steps(spark, fx, split_events):
@@ -94,7 +95,7 @@ def test_replayed_file_is_not_applied_twice(spark, fx, tmp_path):
     for part in (first, first, rest):
         part.coalesce(1).write.mode("append").parquet(d)
     stream = jobs.event_stream(spark, d, file_glob="part-*.parquet", max_files_per_trigger=1, watermark="30 days")
-    orders = Fixtures.orders_from(stream)
+    orders = Fixtures.orders_from(stream, fx.n_parts)
     q = jobs.run_to_table(jobs.position_stream(jobs.trades_from_orders(orders)), "t_pos_dedup")
     q.awaitTermination()
     twin = positions.ledger_steps(jobs.trades_from_orders(fx.order_requests))
