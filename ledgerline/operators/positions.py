@@ -122,17 +122,19 @@ def portfolio_summary(txn: DataFrame, stock: DataFrame, stock_prices: DataFrame,
 def cash_flows(txn: DataFrame, deposits: DataFrame) -> DataFrame:
     """Signed cash movements ``(user_id, kind, amount)``: buys debit, sells
     credit, deposits with a positive numeric amount credit."""
-    amt = F.col("quantity") * F.col("price")
-    trades = txn.select("user_id",
-                        F.when(F.col("type") == "BUY", F.lit("buy")).otherwise(F.lit("sell")).alias("kind"),
-                        F.when(F.col("type") == "BUY", -amt).otherwise(amt).cast("decimal(30,2)").alias("amount"))
+    steps = ledger_steps(txn).where(F.col("status").isin("BOUGHT", "SOLD"))
+    amt = (F.col("quantity") * F.col("price_cents")).cast("decimal(30,2)") / 100
+    trades = steps.select("user_id",
+                          F.when(F.col("type") == "BUY", F.lit("buy")).otherwise(F.lit("sell")).alias("kind"),
+                          F.when(F.col("type") == "BUY", -amt).otherwise(amt).cast("decimal(30,2)").alias("amount"))
     a = F.col("amount").try_cast("decimal(30,2)")
     dep = deposits.where(a > 0).select("user_id", F.lit("deposit").alias("kind"), a.alias("amount"))
     return trades.unionByName(dep)
 
 
 def cash_balance(users: DataFrame, txn: DataFrame, deposits: DataFrame) -> DataFrame:
-    """Q11: opening balance + valid deposits - buys + sells, per user.
+    """Q11: opening balance + valid deposits - buys + sells, per user; a sell
+    that the ordered replay rejects brings no cash.
 
     Cash flows are summed per user with map-side partial aggregation, so a
     user with a third of all trades still moves one row per map task."""
@@ -177,6 +179,8 @@ def trade_step(qty: int, avg: int, kind: str, q: int, p: int) -> tuple[int, int,
     the result exact: the average is rounded half up to the cent after each
     buy, as a NUMERIC(10,2) column stores it.
     """
+    if p is None or p != p:  # a trade without a price changes nothing
+        return qty, avg, "INVALID", 0
     if kind == "BUY":
         new_qty = qty + q
         avg = (2 * (avg * qty + p * q) + new_qty) // (2 * new_qty) if new_qty > 0 else 0
@@ -321,12 +325,117 @@ def position_ledger(txn: DataFrame, keep_steps: bool = False) -> DataFrame:
         "n_trades", "n_rejected")
 
 
-def sell_proceeds(sells: DataFrame, portfolio: DataFrame) -> DataFrame:
-    """Q14: for each sell order against a held position: proceeds
-    ``quantity * price`` and profit ``quantity * (price - avg_price)``."""
-    s = sells.select(F.col("order_id"), "user_id", F.col("ticker").alias("stock_ticker"), "quantity", "price")
-    j = s.join(portfolio.select(*POSITION_KEY, "avg_price"), POSITION_KEY, "inner")
-    return j.select("order_id", "user_id", "stock_ticker",
-                    F.col("quantity").cast("bigint").alias("quantity"),
-                    as_double(F.col("quantity") * F.col("price")).alias("total_value"),
-                    as_double(F.col("quantity") * (F.col("price") - F.col("avg_price"))).alias("profit"))
+# -- Q13 / Q14: orders that change what the next order is judged by ----------------
+
+ORDER_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
+    ("order_id", T.LongType()), ("user_id", T.LongType()), ("ticker", T.StringType()), ("type", T.StringType()),
+    ("quantity", T.LongType()), ("price_cents", T.LongType()), ("status", T.StringType()),
+    ("cash_after_cents", T.LongType()), ("shares_after", T.LongType()), ("avg_cents_before", T.LongType()))])
+
+
+class Wallet:
+    """One user's cash and positions (shares, average cost in cents) while orders are applied."""
+
+    def __init__(self):
+        self.cash: int | None = None
+        self.held: dict[str, tuple[int, int]] = {}
+
+    def apply(self, kind: str, ticker: str, q: int, p: int) -> str:
+        """Judge one order by the state that the orders before it left, and book it if accepted."""
+        shares, avg = self.held.get(ticker, (0, 0))
+        if kind == "BUY":
+            if self.cash is None or self.cash < q * p:
+                return "insufficient_balance"
+            self.cash -= q * p
+            self.held[ticker] = trade_step(shares, avg, "BUY", q, p)[:2]
+            return "accepted"
+        if not shares:
+            return "not_held"
+        if shares < q:
+            return "insufficient_shares"
+        if self.cash is not None:
+            self.cash += q * p
+        self.held[ticker] = trade_step(shares, avg, "SELL", q, p)[:2]
+        return "accepted"
+
+
+def _whole(x):
+    """None for a null, which pandas may hand over as NaN."""
+    return None if x is None or x != x else int(x)
+
+
+def _apply_orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows arrive per user: opening cash and positions (turn 0), then orders in time."""
+    user, wallet = object(), Wallet()
+    for pdf in batches:
+        out = {c: [] for c in ORDER_SCHEMA.fieldNames()}
+        for turn, u, order, ticker, kind, q, p, status in zip(*(pdf[c].tolist() for c in (
+                "turn", "user_id", "order_id", "ticker", "type", "quantity", "price_cents", "status"))):
+            u, q, p = _whole(u), _whole(q), _whole(p)
+            if u != user:
+                user, wallet = u, Wallet()
+            if turn == 0:
+                if kind == "CASH":
+                    wallet.cash = p
+                else:
+                    wallet.held[ticker] = (q, p)
+                continue
+            before = wallet.held.get(ticker, (0, 0))[1]
+            status = status or wallet.apply(kind, ticker, q, p)
+            for c, v in zip(out, (_whole(order), u, ticker, kind, q, p, status, wallet.cash,
+                                  wallet.held.get(ticker, (0, 0))[0], before)):
+                out[c].append(v)
+        yield pd.DataFrame({c: pd.array(v, dtype="Int64") if c not in ("ticker", "type", "status") else v
+                            for c, v in out.items()})
+
+
+def process_orders(orders: DataFrame, users: DataFrame, portfolio: DataFrame, stock: DataFrame) -> DataFrame:
+    """Q13 with state: every order judged by the cash and shares that the
+    user's earlier orders (by ts, order_id) left.
+
+    Malformed orders (quantity not a positive whole number, unknown type or
+    ticker, no price) are refused first and change nothing. A BUY needs the
+    cash, a SELL the shares; an accepted order books both. A user without an
+    account has no cash; sells need none. Orders are partitioned by user and
+    streamed in order: one user's orders depend on one another, so a task
+    holds that user's positions, but never more than a batch of orders.
+    """
+    quantity = F.col("quantity")
+    whole = quantity.isNotNull() & (quantity > 0) & (quantity.cast("double") == F.floor(quantity).cast("double"))
+    kind = F.upper(F.col("type"))
+    o = orders.select("order_id", "user_id", F.upper(F.trim("ticker")).alias("ticker"), kind.alias("type"), "quantity",
+                      (F.col("price") * 100).cast("bigint").alias("price_cents"), "ts")
+    o = o.join(stock.select("ticker", F.lit(True).alias("_listed")), "ticker", "left")
+    status = (F.when(~whole, "invalid_quantity")
+              .when(~F.coalesce(F.col("type").isin("BUY", "SELL"), F.lit(False)), "invalid_type")
+              .when(F.col("_listed").isNull(), "unknown_stock")
+              .when(F.col("price_cents").isNull(), "invalid_price"))
+    o = o.select(F.lit(1).alias("turn"), "user_id", "order_id", "ticker", "type",
+                 F.floor(quantity).cast("bigint").alias("quantity"), "price_cents", status.alias("status"), "ts")
+    nothing = {"order_id": "bigint", "status": "string", "ts": o.schema["ts"].dataType}
+    opening = portfolio.select(F.lit(0).alias("turn"), "user_id", F.col("stock_ticker").alias("ticker"), F.lit("OPEN").alias("type"),
+                               F.col("quantity").cast("bigint").alias("quantity"),
+                               (F.col("avg_price") * 100).cast("bigint").alias("price_cents"))
+    cash = users.select(F.lit(0).alias("turn"), "user_id", F.lit(None).cast("string").alias("ticker"), F.lit("CASH").alias("type"),
+                        F.lit(None).cast("bigint").alias("quantity"), (F.col("balance") * 100).cast("bigint").alias("price_cents"))
+    start = opening.unionByName(cash).withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
+    rows = o.unionByName(start).repartition("user_id").sortWithinPartitions("user_id", "turn", "ts", "order_id")
+    return rows.drop("ts").mapInPandas(_apply_orders, ORDER_SCHEMA)
+
+
+def processed_orders_table(steps: DataFrame) -> DataFrame:
+    """The steps of :func:`process_orders` with money as doubles."""
+    cents = lambda c: (F.col(c).cast("double") / 100)
+    return steps.select("order_id", "user_id", "ticker", "type", "quantity", cents("price_cents").alias("price"), "status",
+                        cents("cash_after_cents").alias("cash_after"), "shares_after")
+
+
+def sell_proceeds(steps: DataFrame) -> DataFrame:
+    """Q14: for each sell order that was accepted (:func:`process_orders`):
+    proceeds ``quantity * price`` and profit ``quantity * (price - average
+    cost at that moment)``."""
+    s = steps.where((F.col("type") == "SELL") & (F.col("status") == "accepted"))
+    value = F.col("quantity") * F.col("price_cents")
+    profit = F.col("quantity") * (F.col("price_cents") - F.col("avg_cents_before"))
+    return s.select("order_id", "user_id", F.col("ticker").alias("stock_ticker"), "quantity",
+                    (value.cast("double") / 100).alias("total_value"), (profit.cast("double") / 100).alias("profit"))

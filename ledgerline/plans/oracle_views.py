@@ -38,14 +38,26 @@ FROM (SELECT concat('T', CAST(p_partkey AS VARCHAR)) AS ticker, p_name AS name,
 LEFT JOIN (SELECT ticker, max(price) AS high_52, min(price) AS low_52 FROM stock_prices
            WHERE date > DATE '2000-11-04' AND date <= DATE '2001-11-04' GROUP BY ticker) h
   ON t.ticker = h.ticker""",
-    "portfolio": """SELECT user_id, stock_ticker, CAST(net AS BIGINT) AS quantity,
-       CAST(floor(CAST(cost AS DOUBLE) / CAST(bought AS DOUBLE) * 100 + 0.5) / 100 AS DECIMAL(10,2)) AS avg_price
-FROM (SELECT user_id, stock_ticker,
-             SUM(CASE WHEN type = 'BUY' THEN quantity ELSE -quantity END) AS net,
-             SUM(CASE WHEN type = 'BUY' THEN quantity * price END) AS cost,
-             SUM(CASE WHEN type = 'BUY' THEN quantity END) AS bought
-      FROM txn GROUP BY user_id, stock_ticker) p
-WHERE net > 0""",
+    "trade_lists": """SELECT user_id, stock_ticker,
+         list_reduce(list_concat([{'id': CAST(NULL AS VARCHAR), 'kind': '', 'q': CAST(0 AS BIGINT), 'p': CAST(0 AS BIGINT),
+                                   'qty': CAST(0 AS BIGINT), 'avg': CAST(0 AS BIGINT), 'steps': CAST([] AS STRUCT(kind VARCHAR, q BIGINT, p BIGINT, qty BIGINT, avg BIGINT, ok BOOLEAN)[])}],
+           list({'id': transaction_id, 'kind': type, 'q': CAST(quantity AS BIGINT), 'p': CAST(price * 100 AS BIGINT),
+                 'qty': CAST(0 AS BIGINT), 'avg': CAST(0 AS BIGINT), 'steps': CAST([] AS STRUCT(kind VARCHAR, q BIGINT, p BIGINT, qty BIGINT, avg BIGINT, ok BOOLEAN)[])}
+                ORDER BY ts, transaction_id)),
+           lambda a, x: {'id': x.id, 'kind': x.kind, 'q': x.q, 'p': x.p,
+             'qty': CASE WHEN x.kind = 'BUY' THEN a.qty + x.q WHEN x.q > a.qty THEN a.qty ELSE a.qty - x.q END,
+             'avg': CASE WHEN x.kind = 'BUY' THEN (2 * (a.avg * a.qty + x.p * x.q) + a.qty + x.q) // (2 * (a.qty + x.q))
+                         WHEN x.q > a.qty THEN a.avg WHEN x.q = a.qty THEN 0 ELSE a.avg END,
+             'steps': list_append(a.steps, {'kind': x.kind, 'q': x.q, 'p': x.p,
+               'qty': CASE WHEN x.kind = 'BUY' THEN a.qty + x.q WHEN x.q > a.qty THEN a.qty ELSE a.qty - x.q END,
+               'avg': CASE WHEN x.kind = 'BUY' THEN (2 * (a.avg * a.qty + x.p * x.q) + a.qty + x.q) // (2 * (a.qty + x.q))
+                           WHEN x.q > a.qty THEN a.avg WHEN x.q = a.qty THEN 0 ELSE a.avg END,
+               'ok': x.kind = 'BUY' OR x.q <= a.qty})}).steps AS steps
+  FROM txn WHERE type IN ('BUY', 'SELL') AND quantity > 0 GROUP BY user_id, stock_ticker""",
+    "trade_steps": "SELECT user_id, stock_ticker, unnest(steps) AS step FROM trade_lists",
+    "portfolio": """SELECT user_id, stock_ticker, step.qty AS quantity, CAST(step.avg / 100 AS DECIMAL(10,2)) AS avg_price
+FROM (SELECT user_id, stock_ticker, steps[-1] AS step FROM trade_lists)
+WHERE step.qty > 0""",
     "yearly_financials": """SELECT stock_ticker, year,
        CAST(profit - lag(profit) OVER w AS DOUBLE) / CAST(lag(profit) OVER w AS DOUBLE) AS eps_growth,
        CAST(earnings - lag(earnings) OVER w AS DOUBLE) / CAST(lag(earnings) OVER w AS DOUBLE) AS revenue_growth,

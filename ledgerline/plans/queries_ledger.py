@@ -171,10 +171,10 @@ def _portfolio_summary(fx):
 @register("cash_balance", """
 WITH f AS (
   SELECT user_id,
-         SUM(CASE WHEN type = 'BUY' THEN quantity * price ELSE 0 END) AS buy,
-         SUM(CASE WHEN type = 'SELL' THEN quantity * price ELSE 0 END) AS sell,
+         CAST(SUM(CASE WHEN step.kind = 'BUY' THEN step.q * step.p ELSE 0 END) AS DECIMAL(30,2)) * 0.01 AS buy,
+         CAST(SUM(CASE WHEN step.kind = 'SELL' AND step.ok THEN step.q * step.p ELSE 0 END) AS DECIMAL(30,2)) * 0.01 AS sell,
          0 AS dep
-  FROM txn GROUP BY user_id
+  FROM trade_steps GROUP BY user_id
   UNION ALL
   SELECT user_id, 0, 0, SUM(amount) FROM deposits WHERE amount > 0 GROUP BY user_id),
 g AS (SELECT user_id, SUM(buy) AS buy, SUM(sell) AS sell, SUM(dep) AS dep FROM f GROUP BY user_id)
@@ -236,13 +236,58 @@ def _ledger_steps(fx):
     return positions.ledger_steps(fx.txn)
 
 
-@register("sell_proceeds", """
-SELECT o.order_id, o.user_id, o.ticker AS stock_ticker, CAST(o.quantity AS BIGINT) AS quantity,
-       CAST(o.quantity * o.price AS DOUBLE) AS total_value,
-       CAST(o.quantity * (o.price - p.avg_price) AS DOUBLE) AS profit
-FROM order_requests o JOIN portfolio p ON p.user_id = o.user_id AND p.stock_ticker = o.ticker
-WHERE o.type = 'SELL'
+# Orders as a recursive CTE: one recursion step per order of a user, over cash and a map of shares.
+_ORDERS = """
+WITH RECURSIVE o AS (
+  SELECT r.order_id, r.user_id, upper(trim(r.ticker)) AS ticker, upper(r.type) AS type, CAST(r.quantity AS BIGINT) AS q,
+         CAST(r.price * 100 AS BIGINT) AS p,
+         CASE WHEN r.quantity <= 0 THEN 'invalid_quantity'
+              WHEN upper(trim(r.ticker)) NOT IN (SELECT ticker FROM stock) THEN 'unknown_stock'
+              WHEN r.price IS NULL THEN 'invalid_price' END AS refused,
+         row_number() OVER (PARTITION BY r.user_id ORDER BY r.ts, r.order_id) AS turn
+  FROM order_requests r),
+opening AS (SELECT user_id, map_from_entries(list({'k': stock_ticker, 'v': {'n': quantity, 'c': CAST(avg_price * 100 AS BIGINT)}})) AS held
+            FROM portfolio GROUP BY user_id),
+s AS (
+  SELECT u.user_id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS status, CAST(a.balance * 100 AS BIGINT) AS cash,
+         COALESCE(h.held, MAP {'': {'n': CAST(0 AS BIGINT), 'c': CAST(0 AS BIGINT)}}) AS held, CAST(0 AS BIGINT) AS shares,
+         CAST(0 AS BIGINT) AS before
+  FROM (SELECT DISTINCT user_id FROM o) u LEFT JOIN account a USING (user_id) LEFT JOIN opening h USING (user_id)
+  UNION ALL
+  SELECT user_id, turn, status,
+         CASE WHEN status <> 'accepted' THEN cash WHEN type = 'BUY' THEN cash - q * p ELSE cash + q * p END,
+         CASE WHEN status <> 'accepted' THEN held
+              ELSE map_concat(held, map_from_entries([{'k': ticker, 'v': {'n': CASE WHEN type = 'BUY' THEN n + q ELSE n - q END,
+                'c': CASE WHEN type = 'BUY' THEN (2 * (c * n + p * q) + n + q) // (2 * (n + q)) WHEN n = q THEN 0 ELSE c END}}])) END,
+         CASE WHEN status <> 'accepted' THEN n WHEN type = 'BUY' THEN n + q ELSE n - q END, c
+  FROM (SELECT *, CASE WHEN refused IS NOT NULL THEN refused
+                       WHEN type = 'BUY' AND (cash IS NULL OR cash < q * p) THEN 'insufficient_balance'
+                       WHEN type = 'SELL' AND n = 0 THEN 'not_held' WHEN type = 'SELL' AND n < q THEN 'insufficient_shares'
+                       ELSE 'accepted' END AS status
+        FROM (SELECT o.*, s.cash, s.held, COALESCE(element_at(s.held, o.ticker)[1].n, 0) AS n,
+                     COALESCE(element_at(s.held, o.ticker)[1].c, 0) AS c
+              FROM s JOIN o ON o.user_id = s.user_id AND o.turn = s.turn + 1) j) k)
+"""
+
+
+def _processed(fx):
+    return positions.process_orders(fx.order_requests, fx.account, fx.portfolio, fx.stock)
+
+
+@register("process_orders", _ORDERS + """
+SELECT o.order_id, o.user_id, o.ticker, o.type, o.q AS quantity, CAST(o.p AS DOUBLE) / 100 AS price, s.status,
+       CAST(s.cash AS DOUBLE) / 100 AS cash_after, s.shares AS shares_after
+FROM s JOIN o ON o.user_id = s.user_id AND o.turn = s.turn
+""")
+def _process_orders(fx):
+    return positions.processed_orders_table(_processed(fx))
+
+
+@register("sell_proceeds", _ORDERS + """
+SELECT o.order_id, o.user_id, o.ticker AS stock_ticker, o.q AS quantity, CAST(o.q * o.p AS DOUBLE) / 100 AS total_value,
+       CAST(o.q * (o.p - s.before) AS DOUBLE) / 100 AS profit
+FROM s JOIN o ON o.user_id = s.user_id AND o.turn = s.turn
+WHERE o.type = 'SELL' AND s.status = 'accepted'
 """)
 def _sell_proceeds(fx):
-    o = fx.order_requests
-    return positions.sell_proceeds(o.where(o.type == "SELL"), fx.portfolio)
+    return positions.sell_proceeds(_processed(fx))

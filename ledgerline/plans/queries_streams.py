@@ -1,11 +1,18 @@
-"""Batch twins of the streaming operators (T1-T7), with their SQL oracles."""
+"""The streaming operators (T1-T7) drained over the events files, and their
+batch twins, with their SQL oracles."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ledgerline.functions.exprs import as_double
 from ledgerline.operators import market
-from ledgerline.plans.catalog import register
-from ledgerline.plans.queries_ledger import _r2
+from ledgerline.plans.catalog import REGISTRY, Query, register
+from ledgerline.plans.queries_ledger import _REPLAY, _r2
+from ledgerline.session import scratch_path
+from ledgerline.streaming import jobs
 
 
 @register("price_audit", f"""
@@ -69,3 +76,84 @@ FROM ticks GROUP BY ticker, CAST(ts AS DATE)
 """, dates=("day",))
 def _daily_ohlc(fx):
     return market.daily_ohlc(fx.ticks)
+
+
+# -- the streams themselves, drained to the shared folder and read back ------------
+
+
+def _folder(fx, name: str) -> str:
+    return scratch_path(fx.spark, f"streams/{name}-{uuid.uuid4().hex}")
+
+
+def _events(fx):
+    return jobs.fixture_streams(fx.spark, fx.sf_dir, fx.n_parts)
+
+
+def _drained(fx, stream, name: str):
+    out = _folder(fx, name)
+    jobs.start_to_parquet(stream, f"{out}/rows", name, checkpoint=f"{out}/checkpoint").awaitTermination()
+    return fx.spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+_ORDER_TRADES = """FROM (SELECT lpad(CAST(order_id AS VARCHAR), 18, '0') AS transaction_id, user_id,
+                 upper(trim(ticker)) AS stock_ticker, type, quantity, price, ts FROM order_requests) WHERE"""
+
+
+@register("stream_positions", _REPLAY.replace("FROM txn WHERE", _ORDER_TRADES) + """
+SELECT r.transaction_id, r.user_id, r.stock_ticker, t.type, t.q AS quantity, t.p AS price_cents, r.step,
+       r.status, r.qty AS qty_after, r.avg_c AS avg_cents_after, r.realized AS realized_cents
+FROM r JOIN t ON r.user_id = t.user_id AND r.stock_ticker = t.stock_ticker AND r.step = t.step
+WHERE r.step > 0
+""")
+def _stream_positions(fx):
+    orders, _ = _events(fx)
+    return _drained(fx, jobs.position_stream(jobs.trades_from_orders(orders)), "positions")
+
+
+def _stream_price_audit(fx):
+    return jobs.audit_rows(_drained(fx, jobs.price_state_stream(_events(fx)[1], fx.stock), "price-audit"))
+
+
+def _stream_high_low(fx):
+    return jobs.high_low_rows(_drained(fx, jobs.price_state_stream(_events(fx)[1], fx.stock), "high-low"))
+
+
+def _stream_market_cap(fx):
+    out = _folder(fx, "market-cap")
+    q, changes = jobs.start_market_cap_stream(_events(fx)[1], f"{out}/rows", checkpoint=f"{out}/checkpoint")
+    q.awaitTermination()
+    return jobs.live_market_cap(changes, fx.stock, fx.market_analysis)
+
+
+def _stream_refresh(fx):
+    out = _folder(fx, "refresh")
+    q, changes = jobs.start_refresh_stream(_events(fx)[1], f"{out}/rows", checkpoint=f"{out}/checkpoint")
+    q.awaitTermination()
+    r = jobs.refreshed_stock(changes, fx.stock)
+    return r.select("ticker", "name", *[as_double(c).alias(c) for c in ("price", "high_52", "low_52")])
+
+
+# a stream has its batch twin's oracle
+for _name, _twin, _build in (("price_audit_stream", "price_audit", _stream_price_audit),
+                             ("running_high_low_stream", "running_high_low", _stream_high_low),
+                             ("stream_market_cap", "market_cap_live", _stream_market_cap),
+                             ("stream_refresh", "refresh_from_ticks", _stream_refresh)):
+    REGISTRY[_name] = Query(_name, _build, REGISTRY[_twin].oracle)
+
+
+@register("stream_broker_counts", """
+SELECT brokerage_id, COUNT(user_id) AS user_count FROM account WHERE brokerage_id IS NOT NULL GROUP BY brokerage_id
+""")
+def _stream_broker_counts(fx):
+    raw = fx.raw("supplier")
+    new = (fx.spark.readStream.schema(raw.schema).option("pathGlobFilter", "supplier*.parquet").parquet(fx.sf_dir)
+           .select(F.col("s_suppkey").alias("user_id"),
+                   F.when(((F.col("s_suppkey") % 11) == 0) | (F.col("s_nationkey") >= 22), F.lit(None))
+                   .otherwise(F.col("s_nationkey")).alias("brokerage_id")))
+    out = _folder(fx, "broker-counts")
+    counts = jobs.broker_count_stream(new)
+    q = (counts.writeStream.outputMode("complete").trigger(availableNow=True)
+         .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows"))
+         .option("checkpointLocation", f"{out}/checkpoint").start())
+    q.awaitTermination()
+    return fx.spark.read.schema(counts.schema).parquet(f"{out}/rows")

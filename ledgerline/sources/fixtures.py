@@ -91,19 +91,10 @@ class Fixtures:
 
     @functools.cached_property
     def portfolio(self) -> DataFrame:
-        t = self.txn
-        buy = t.type == "BUY"
-        p = t.groupBy("user_id", "stock_ticker").agg(
-            F.sum(F.when(buy, t.quantity).otherwise(-t.quantity)).alias("net"),
-            F.sum(F.when(buy, t.quantity * t.price)).alias("cost"),
-            F.sum(F.when(buy, t.quantity)).alias("bought"),
-        )
-        avg = F.floor(p.cost.cast("double") / p.bought.cast("double") * 100 + 0.5) / 100
-        return p.where(p.net > 0).select(
-            "user_id", "stock_ticker",
-            p.net.cast("bigint").alias("quantity"),
-            _dec(avg, 10, 2).alias("avg_price"),
-        )
+        """What the ordered replay of the ledger leaves: positions with shares."""
+        from ledgerline.operators.positions import position_ledger
+        p = position_ledger(self.txn)
+        return p.where(p.quantity > 0).select("user_id", "stock_ticker", "quantity", _dec(p.avg_price, 10, 2).alias("avg_price"))
 
     # -- market -------------------------------------------------------------
     @functools.cached_property

@@ -4,13 +4,15 @@ Each job reads an append-only stream, keeps per-key state in the state store
 (RocksDB when configured) and writes to a sink; checkpoints live under the
 shared folder named by ``spark.checkpoint.dir``, so a restarted query resumes
 where it stopped. Every job has a batch twin in ``ledgerline.operators`` and,
-drained with ``availableNow``, produces the same rows.
+drained with ``availableNow``, produces the same rows, provided that files
+arrive in time order: the stateful handlers (T1-T4) sort within a micro-batch
+only. T5-T7 are free of order.
 
 * T1/T2 ``position_stream``: keyed by (user, ticker); state (qty, avg, step).
 * T3/T4 ``price_state_stream``: keyed by ticker; state (last price, count,
   high, low); yields the audit rows and the running high/low.
-* T5/T7 ``latest_tick_upserts``: latest tick per ticker kept by a streaming
-  aggregation; each micro-batch upserts the changed tickers into a table.
+* T5/T7 ``ChangedRows``: latest tick per ticker kept by a streaming
+  aggregation; changed rows are appended, the latest per ticker is taken on read.
 * T6 ``broker_count_stream``: users per broker, a streaming aggregation.
 """
 
@@ -21,6 +23,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,83 +180,79 @@ def high_low_rows(steps: DataFrame) -> DataFrame:
 
 
 def latest_tick_state(ticks: DataFrame) -> DataFrame:
-    """Streaming aggregation: latest tick per ticker by (ts, event_id)."""
-    g = ticks.groupBy("ticker").agg(F.max_by(F.struct("price", "ts", "event_id"),
-                                             F.struct("ts", "event_id")).alias("_r"))
-    return g.select("ticker", F.col("_r.price").alias("price"), F.col("_r.ts").alias("ts"))
+    """Streaming aggregation: latest price per ticker by (ts, event_id), and
+    where ticks carry a ``volume`` its latest known value."""
+    order = F.struct("ts", "event_id")
+    known = [F.max_by("volume", F.when(F.col("volume").isNotNull(), order)).alias("volume")] if "volume" in ticks.columns else []
+    g = ticks.groupBy("ticker").agg(F.max_by(F.struct("price", "ts", "event_id"), order).alias("_r"), *known)
+    return g.select("ticker", F.col("_r.price").alias("price"), *(["volume"] if known else []),
+                    F.col("_r.ts").alias("ts"), F.col("_r.event_id").alias("event_id"))
 
 
-class VersionedTable:
-    """A parquet table kept as numbered versions ``v=<batch_id>`` under one folder.
+class ChangedRows:
+    """The rows that a streaming aggregation changed, appended batch by batch.
 
-    Micro-batch ``b`` reads version ``b - 1`` (or the initial table for the
-    first batch), applies its changes and writes version ``b``; batch ids are
-    consecutive, so no listing is needed. Re-running a batch after a failure
-    rewrites the same version: the sink is idempotent.
-    """
+    A micro-batch writes its own folder, so running it again replaces what it
+    wrote. The state of a ticker is its row of the last batch, taken when the
+    rows are read; nothing is ever rewritten."""
 
-    def __init__(self, spark: SparkSession, path: str, initial: DataFrame):
-        self.spark, self.path, self.initial = spark, path, initial
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        self.spark, self.path, self.schema = spark, path, schema
 
-    def read(self, before: int) -> DataFrame:
-        if before == 0:
-            return self.initial
-        return self.spark.read.parquet(os.path.join(self.path, f"v={before - 1}"))
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(self.path, f"batch={batch_id}"))
 
-    def read_latest(self) -> DataFrame:
-        """Newest version, found by partition discovery (lazy, no driver listing);
-        the initial table while no micro-batch has written one."""
-        from pyspark.errors import AnalysisException
+    def latest(self) -> DataFrame:
+        """One row per ticker; none while nothing was written."""
+        with_batch = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
         try:
-            allv = self.spark.read.parquet(self.path)
-        except AnalysisException:  # nothing written yet
-            return self.initial
-        newest = allv.agg(F.max("v").alias("v"))
-        return allv.join(newest, "v", "left_semi").drop("v")
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(self.path, f"v={batch_id}"))
-
-
-def start_market_cap_stream(ticks: DataFrame, stock: DataFrame, market: DataFrame, out_path: str,
-                            checkpoint: str | None = None, available_now: bool = True):
-    """T5: after price changes, recompute ``price * volume`` for the changed
-    tickers and upsert them into a versioned market-cap table."""
-    spark = ticks.sparkSession
-    base = market.select("stock_ticker", "volume").join(
-        stock.select(F.col("ticker").alias("stock_ticker"), "price"), "stock_ticker") \
-        .select("stock_ticker", as_double("price").alias("price"), "volume",
-                as_double(F.col("price") * F.col("volume")).alias("market_cap_pv"))
-    table = VersionedTable(spark, out_path, base)
-    volumes = market.select("stock_ticker", "volume")
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        changed = batch.select(F.col("ticker").alias("stock_ticker"), "price").join(volumes, "stock_ticker") \
-                       .select("stock_ticker", as_double("price").alias("price"), "volume",
-                               as_double(F.col("price") * F.col("volume")).alias("market_cap_pv"))
-        table.write(upsert(table.read(before=batch_id), changed, ["stock_ticker"]), batch_id)
-
-    w = latest_tick_state(ticks).writeStream.outputMode("update").foreachBatch(apply) \
-        .option("checkpointLocation", _checkpoint(spark, "market_cap", checkpoint))
+            rows = self.spark.read.schema(with_batch).parquet(self.path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = self.spark.createDataFrame([], with_batch)
+        fields = [f for f in self.schema.names if f != "ticker"]
+        last = rows.groupBy("ticker").agg(F.max_by(F.struct(*fields), F.col("batch")).alias("_r"))
+        return last.select("ticker", *[F.col(f"_r.{f}").alias(f) for f in fields])
+
+
+def _start_changes(ticks: DataFrame, out_path: str, name: str, checkpoint: str | None, available_now: bool):
+    state = latest_tick_state(ticks)
+    changes = ChangedRows(ticks.sparkSession, out_path, state.schema)
+    w = state.writeStream.outputMode("update").foreachBatch(changes.write) \
+        .option("checkpointLocation", _checkpoint(ticks.sparkSession, name, checkpoint))
     w = w.trigger(availableNow=True) if available_now else w
-    return w.start(), table
+    return w.start(), changes
 
 
-def start_refresh_stream(ticks: DataFrame, stock: DataFrame, out_path: str, checkpoint: str | None = None,
-                         available_now: bool = True):
-    """Upsert each listed ticker's latest tick price into a versioned stock table."""
-    spark = ticks.sparkSession
-    table = VersionedTable(spark, out_path, stock)
-    listed = stock.select("ticker")
+def start_market_cap_stream(ticks: DataFrame, out_path: str, checkpoint: str | None = None, available_now: bool = True):
+    """T5: keep the latest price (and volume, where ticks carry one) of every
+    ticker; :func:`live_market_cap` recomputes ``price * volume`` from them."""
+    return _start_changes(ticks, out_path, "market_cap", checkpoint, available_now)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        changed = batch.join(listed, "ticker", "left_semi").select("ticker", "price")
-        table.write(upsert(table.read(before=batch_id), changed, ["ticker"], ["price"]), batch_id)
 
-    w = latest_tick_state(ticks).writeStream.outputMode("update").foreachBatch(apply) \
-        .option("checkpointLocation", _checkpoint(spark, "refresh", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w
-    return w.start(), table
+def live_market_cap(changes: ChangedRows, stock: DataFrame, market: DataFrame) -> DataFrame:
+    """Market caps with the changed prices and volumes applied (twin: ``market.market_cap_live``)."""
+    latest = changes.latest()
+    volume = F.col("_vol") if "volume" in latest.columns else F.lit(None)
+    fresh = latest.select(F.col("ticker").alias("stock_ticker"), F.col("price").alias("_px"),
+                          *([F.col("volume").alias("_vol")] if "volume" in latest.columns else []))
+    j = (market.select("stock_ticker", "volume").join(stock.select(F.col("ticker").alias("stock_ticker"), "price"), "stock_ticker")
+         .join(fresh, "stock_ticker", "left"))
+    price, shares = F.coalesce("_px", "price"), F.coalesce(volume, F.col("volume"))
+    return j.select("stock_ticker", as_double(price).alias("price"), shares.alias("volume"),
+                    as_double(price * shares).alias("market_cap_pv"))
+
+
+def start_refresh_stream(ticks: DataFrame, out_path: str, checkpoint: str | None = None, available_now: bool = True):
+    """Keep every ticker's latest tick; :func:`refreshed_stock` upserts them."""
+    return _start_changes(ticks, out_path, "refresh", checkpoint, available_now)
+
+
+def refreshed_stock(changes: ChangedRows, stock: DataFrame) -> DataFrame:
+    """The stock table with every listed ticker's latest tick price (twin: ``market.refresh_from_ticks``)."""
+    changed = changes.latest().join(stock.select("ticker"), "ticker", "left_semi").select("ticker", "price")
+    return upsert(stock, changed, ["ticker"], ["price"])
 
 
 # -- event-time windows ------------------------------------------------------------
