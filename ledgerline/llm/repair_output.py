@@ -51,6 +51,8 @@ HEADER = struct.Struct("<IIIIQQ")
 SHARD_TOKENS = 1 << 21
 #: A pair is frequent if it occurs this often in a shard.
 MIN_COUNT = 16
+#: Bits of the hash cells in which pairs are counted roughly.
+CELL_BITS = 20
 #: Replacing ends with the round that shortens a shard by less than this share.
 LEAST_GAIN = 0.02
 #: Words remembered by a worker's encoder (about 150 bytes each).
@@ -198,6 +200,17 @@ def gather(source: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return source[np.arange(int(length.sum())) + np.repeat(start - begin, length)]
 
 
+def highest_count(pair: np.ndarray, cell: np.ndarray, held: np.ndarray) -> int:
+    """How often the most frequent pair occurs: cells are looked into from the
+    fullest on, until none is fuller than the best pair found."""
+    best, seen = 0, held.copy()
+    while int(seen.max()) > best:
+        fullest = int(seen.argmax())
+        best = max(best, int(np.unique(pair[cell == fullest], return_counts=True)[1].max()))
+        seen[fullest] = 0
+    return best
+
+
 def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, min_count: int = MIN_COUNT,
              least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Replace frequent pairs: rules (n x 2), the symbols left, and which of
@@ -208,19 +221,19 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, min_count: int
     gain = 1.0
     while gain >= least_gain and len(seq) > 1:
         pair = (seq[:-1] << np.uint64(32)) | seq[1:]
-        inside = np.sort(pair[~last[:-1]])
-        if not len(inside):
-            break
-        begin = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
-        times = np.diff(np.append(begin, len(inside)))
-        frequent = times >= max(min_count, int(times.max()) // 64)
-        if not frequent.any():
+        # a pair is at most as frequent as the hash cell that it falls into, so
+        # only the pairs of frequent cells have to be sorted and counted
+        cell = (pair * MIX_A >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        cell[last[:-1]] = 1 << CELL_BITS
+        held = np.bincount(cell, minlength=(1 << CELL_BITS) + 1)
+        held[1 << CELL_BITS] = 0
+        least = max(min_count, highest_count(pair, cell, held) // 64)
+        at = np.flatnonzero(held[cell] >= least)
+        inside = np.sort(pair[at])
+        begin = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]])) if len(inside) else at
+        chosen = inside[begin[np.diff(np.append(begin, len(inside))) >= least]]  # sorted
+        if not len(chosen):
             break
-        chosen = inside[begin[frequent]]  # sorted
-        # most other pairs fall out by a small table of the chosen ones' hashes
-        cell, maybe = (pair * MIX_A >> np.uint64(44)).astype(np.int64), np.zeros(1 << 20, bool)
-        maybe[(chosen * MIX_A >> np.uint64(44)).astype(np.int64)] = True
-        at = np.flatnonzero(maybe[cell] & ~last[:-1])
         place = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
         hit = chosen[place] == pair[at]
         at, place = at[hit], place[hit]
