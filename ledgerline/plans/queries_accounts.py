@@ -134,15 +134,24 @@ def _purge_users(fx):
 
 
 # -- audits ------------------------------------------------------------------
-# Audited tables: the fixture tables, with the incoming order requests added
-# to the trades as if they had been appended unchecked.
+# Audited tables: the fixture tables, with rows added as if they had been
+# appended unchecked, so that every rule has something to find: the incoming
+# order requests to the trades and to the price audit, and every fiftieth part
+# once more to the stocks, at a price beyond the column and half of them unnamed.
 
 _AUDIT_SOURCES = {name: name for name in CONSTRAINTS}
-_AUDIT_SOURCES["txn"] = "txn_all"
+_AUDIT_SOURCES |= {"txn": "txn_all", "stock": "stock_all", "stock_audit": "stock_audit"}
 _TXN_ALL = """txn_all AS (
   SELECT transaction_id, user_id, stock_ticker, type, quantity, price, ts FROM txn
   UNION ALL
-  SELECT lpad(CAST(order_id AS VARCHAR), 18, '0'), user_id, ticker, type, quantity, price, ts FROM order_requests)"""
+  SELECT lpad(CAST(order_id AS VARCHAR), 18, '0'), user_id, ticker, type, quantity, price, ts FROM order_requests),
+stock_all AS (
+  SELECT ticker, name, price, high_52, low_52 FROM stock
+  UNION ALL
+  SELECT concat('T', CAST(p_partkey AS VARCHAR)), CASE WHEN p_partkey % 100 > 0 THEN p_name END,
+         CAST(p_retailprice * 10000000 AS DECIMAL(18,2)), NULL, NULL
+  FROM part WHERE p_partkey % 50 = 0),
+stock_audit AS (SELECT order_id AS audit_id, ticker, price AS new_price FROM order_requests)"""
 
 
 def _audit_tables(fx):
@@ -151,6 +160,13 @@ def _audit_tables(fx):
     t["txn"] = t["txn"].unionByName(o.select(F.lpad(F.col("order_id").cast("string"), 18, "0").alias("transaction_id"), "user_id",
                                              F.col("ticker").alias("stock_ticker"), "type", "quantity",
                                              "price", "ts"))
+    p = fx.raw("part").where(F.col("p_partkey") % 50 == 0)
+    nothing = F.lit(None).cast("decimal(10,2)")
+    t["stock"] = fx.stock.unionByName(p.select(
+        F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("ticker"),
+        F.when(F.col("p_partkey") % 100 > 0, F.col("p_name")).alias("name"),
+        (F.col("p_retailprice") * 10000000).cast("decimal(18,2)").alias("price"), nothing.alias("high_52"), nothing.alias("low_52")))
+    t["stock_audit"] = o.select(F.col("order_id").alias("audit_id"), "ticker", F.col("price").alias("new_price"))
     return t
 
 

@@ -99,10 +99,10 @@ SNAPSHOT_FIELDS = T.StructType([
 
 # Keys and constraints of the declared tables (name -> spec), used by audits.
 CONSTRAINTS = {
-    "broker": {"pk": ["brokerage_id"], "unique": [["name"]], "not_null": ["name"]},
+    "broker": {"pk": ["brokerage_id"], "unique": [["name"]], "not_null": ["name"], "varchar": {"name": 255}},
     "account": {"pk": ["user_id"], "not_null": ["name"],
                 "fk": [(["brokerage_id"], "broker", ["brokerage_id"])],
-                "numeric": {"balance": (15, 2)}},
+                "numeric": {"balance": (15, 2)}, "varchar": {"name": 255}},
     "stock": {"pk": ["ticker"], "not_null": ["name"],
               "numeric": {"price": (10, 2), "high_52": (10, 2), "low_52": (10, 2)},
               "varchar": {"ticker": 20, "name": 255}},
@@ -112,7 +112,8 @@ CONSTRAINTS = {
             "numeric": {"price": (10, 2)}, "varchar": {"stock_ticker": 20, "type": 10}},
     "yearly_financials": {"pk": ["stock_ticker", "year"], "not_null": ["stock_ticker"],
                           "fk": [(["stock_ticker"], "stock", ["ticker"])],
-                          "numeric": {"profit": (15, 2), "earnings": (15, 2)}},
+                          "numeric": {"eps_growth": (5, 2), "revenue_growth": (5, 2), "profit": (15, 2),
+                                      "earnings": (15, 2)}},
     "quarterly_financials": {"pk": ["stock_ticker", "quarter"], "not_null": ["stock_ticker"],
                              "fk": [(["stock_ticker"], "stock", ["ticker"])],
                              "numeric": {"profit": (15, 2), "earnings": (15, 2)},
@@ -123,4 +124,6 @@ CONSTRAINTS = {
                   "numeric": {"avg_price": (10, 2)}},
     "market_analysis": {"pk": ["stock_ticker"], "fk": [(["stock_ticker"], "stock", ["ticker"])],
                         "numeric": {"pe_ratio": (10, 2), "dividend_yield": (5, 2), "market_cap": (15, 2)}},
+    "stock_audit": {"pk": ["audit_id"], "fk": [(["ticker"], "stock", ["ticker"])], "not_null": ["ticker"],
+                    "numeric": {"new_price": (10, 2)}, "varchar": {"ticker": 20}},
 }
