@@ -32,6 +32,7 @@ SIGNUP_MESSAGES = {
     "broker_required": "Please select a brokerage.",
     "low_balance": "Minimum starting balance is 1000.",
     "unknown_broker": "Invalid brokerage selected.",
+    "name_required": "Please enter a username.",
     "name_taken": "Username already taken, try another one.",
     "accepted": "Account created! You can now log in.",
 }
@@ -115,7 +116,7 @@ def register_users(signups: DataFrame, users: DataFrame, brokers: DataFrame) ->
     """Q29: judge a batch of sign-ups.
 
     Checks in order: a broker is required; the opening balance must be at
-    least 1000; the broker must exist; the name must be free, compared
+    least 1000; the broker must exist; a name is required and must be free, compared
     case-insensitively after trimming, both against existing users and
     against earlier accepted sign-ups of the same batch (lowest
     ``signup_id`` wins). Duplicates inside the batch are settled with an
@@ -129,6 +130,7 @@ def register_users(signups: DataFrame, users: DataFrame, brokers: DataFrame) ->
     pre = (F.when(F.col("brokerage_id").isNull(), "broker_required")
             .when(F.col("balance").isNull() | (F.col("balance") < MIN_OPENING_BALANCE), "low_balance")
             .when(F.col("_known").isNull(), "unknown_broker")
+            .when(F.coalesce(F.col("_key"), F.lit("")) == "", "name_required")
             .when(F.col("_taken").isNotNull(), "name_taken"))
     j = j.withColumn("_pre", pre)
     first = j.where(F.col("_pre").isNull()).groupBy("_key").agg(F.min("signup_id").alias("_first"))
@@ -185,13 +187,15 @@ def purge_stock(stock: DataFrame, portfolio: DataFrame, tickers: DataFrame,
     """Q31 (stock): delete the positions in ``tickers``, then the stock rows
     that nothing else references. A ticker still referenced (by trades,
     financials, market rows) is kept and reported, as the foreign keys would
-    refuse its deletion. Returns ``(new_stock, new_portfolio, refused)``."""
+    refuse its deletion; its positions are gone all the same, since the
+    original commits each statement by itself. Returns ``(new_stock,
+    new_portfolio, refused)``."""
     t = tickers.select(F.upper(F.col("ticker")).alias("ticker")).distinct()
     new_portfolio = portfolio.join(t.withColumnRenamed("ticker", "stock_ticker"), "stock_ticker", "left_anti")
     refused = _referenced(t, "ticker", references)
     deletable = t.join(refused, "ticker", "left_anti")
     new_stock = stock.join(deletable, "ticker", "left_anti")
-    return new_stock, new_portfolio, refused.withColumn("reason", F.lit("referenced by other tables"))
+    return new_stock, new_portfolio, refused.withColumn("reason", F.lit("referenced by other tables; its positions were deleted"))
 
 
 def purge_users(users: DataFrame, user_ids: DataFrame,

@@ -12,6 +12,8 @@ default) and run in two levels:
    by the length of the calendar, not by the number of trades), and joined
    back on ``(key, bucket)``.
 
+The input is scanned twice: once for the rows, once for the totals, which
+Catalyst reduces to the pruned columns and sums before their exchange.
 Level 1 shuffles the data once on ``(key, bucket)``; the per-bucket totals are
 aggregated on that same partitioning, and the carry join reuses it, so the
 large side is exchanged exactly once.

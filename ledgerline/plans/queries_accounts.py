@@ -113,11 +113,45 @@ FROM portfolio p
 WHERE p.stock_ticker NOT IN (SELECT ticker FROM stock WHERE price IS NULL)
 """)
 def _purge_stock(fx):
+    _, new_portfolio, _ = _purged(fx)
+    return new_portfolio.select("user_id", "stock_ticker", "quantity", as_double("avg_price").alias("avg_price"))
+
+
+def _purged(fx):
     tickers = fx.stock.where(F.col("price").isNull()).select("ticker")
     refs = [(fx.txn, "stock_ticker"), (fx.yearly_financials, "stock_ticker"),
             (fx.quarterly_financials, "stock_ticker"), (fx.market_analysis, "stock_ticker")]
-    _, new_portfolio, _ = accounts.purge_stock(fx.stock, fx.portfolio, tickers, refs)
-    return new_portfolio.select("user_id", "stock_ticker", "quantity", as_double("avg_price").alias("avg_price"))
+    return accounts.purge_stock(fx.stock, fx.portfolio, tickers, refs)
+
+
+# Every part with a trade is referenced; parts without any can go.
+_REFERENCED = """(SELECT stock_ticker FROM txn UNION SELECT stock_ticker FROM yearly_financials
+  UNION SELECT stock_ticker FROM quarterly_financials UNION SELECT stock_ticker FROM market_analysis)"""
+
+
+@register("purge_stock_remaining", f"""
+SELECT ticker, CAST(price AS DOUBLE) AS price FROM stock WHERE price IS NOT NULL OR ticker IN {_REFERENCED}
+""")
+def _purge_stock_remaining(fx):
+    return _purged(fx)[0].select("ticker", as_double("price").alias("price"))
+
+
+@register("purge_stock_refused", f"""
+SELECT ticker, 'referenced by other tables; its positions were deleted' AS reason
+FROM stock WHERE price IS NULL AND ticker IN {_REFERENCED}
+""")
+def _purge_stock_refused(fx):
+    return _purged(fx)[2].select("ticker", "reason")
+
+
+@register("purge_users_remaining", """
+SELECT a.user_id, a.name FROM account a
+WHERE a.brokerage_id IS NOT NULL OR a.user_id IN (SELECT user_id FROM txn) OR a.user_id IN (SELECT user_id FROM portfolio)
+""")
+def _purge_users_remaining(fx):
+    ids = fx.account.where(F.col("brokerage_id").isNull()).select("user_id")
+    new_users, _ = accounts.purge_users(fx.account, ids, [(fx.txn, "user_id"), (fx.portfolio, "user_id")])
+    return new_users.select("user_id", "name")
 
 
 @register("purge_users", """

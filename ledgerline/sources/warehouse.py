@@ -52,8 +52,8 @@ class Warehouse:
     """Persisted ledger tables with the attribute interface of ``Fixtures``.
 
     Partition columns are dropped on read, so schemas equal the derived
-    tables; filters on ``ts`` / ``date`` are also written against the
-    partition columns so the scan prunes partitions.
+    tables. A caller that wants a range of days takes it with :meth:`between`,
+    which prunes partitions; the attributes read whole tables.
     """
 
     def __init__(self, spark: SparkSession, folder: str, fallback: Fixtures | None = None):

@@ -148,10 +148,11 @@ def test_register_users_rules_and_batch_duplicates(spark):
     s = spark.createDataFrame([
         (1, "new", 1, D("1000.00")), (2, " NEW ", 1, D("5000.00")), (3, "taken ", 1, D("2000.00")),
         (4, "cheap", 1, D("999.99")), (5, "lost", 9, D("2000.00")), (6, "none", None, D("2000.00")),
+        (7, None, 1, D("2000.00")), (8, "  ", 1, D("2000.00")),
     ], "signup_id long, name string, brokerage_id int, balance decimal(15,2)")
     got = {r.signup_id: r.status for r in accounts.register_users(s, u, b).collect()}
     assert got == {1: "accepted", 2: "name_taken", 3: "name_taken", 4: "low_balance",
-                   5: "unknown_broker", 6: "broker_required"}
+                   5: "unknown_broker", 6: "broker_required", 7: "name_required", 8: "name_required"}
 
 
 def test_validate_orders_statuses(spark):
