@@ -142,7 +142,7 @@ for _name, _twin, _build in (("price_audit_stream", "price_audit", _stream_price
 
 
 @register("stream_broker_counts", """
-SELECT brokerage_id, COUNT(user_id) AS user_count FROM account WHERE brokerage_id IS NOT NULL GROUP BY brokerage_id
+SELECT CAST(brokerage_id AS BIGINT) AS brokerage_id, COUNT(user_id) AS user_count FROM account WHERE brokerage_id IS NOT NULL GROUP BY brokerage_id
 """)
 def _stream_broker_counts(fx):
     raw = fx.raw("supplier")
@@ -156,4 +156,5 @@ def _stream_broker_counts(fx):
          .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows"))
          .option("checkpointLocation", f"{out}/checkpoint").start())
     q.awaitTermination()
-    return fx.spark.read.schema(counts.schema).parquet(f"{out}/rows")
+    rows = fx.spark.read.schema(counts.schema).parquet(f"{out}/rows")
+    return rows.withColumn("brokerage_id", F.col("brokerage_id").cast("bigint"))
