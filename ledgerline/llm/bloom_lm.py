@@ -12,20 +12,16 @@ most times its small chance. Scoring smooths what the probes return:
 (Dirichlet smoothing; quantised counts stand for their level's mean, so the
 probabilities sum to about 1). A text is scored from a boundary to its end.
 
-Counting gathers every n-gram of the corpus: tasks pre-aggregate, and blocks
-of n-gram hashes are summed exactly. The filter is the only thing that must
-be held whole by every worker, so its size is bounded (``MAX_BITS``). Each
-block of n-grams gets an equal share of it; when a corpus is too large for
-all its n-grams, the least frequent levels are left out and back off to
-words, as in any pruned model.
+The filter is a table of segments and nobody holds it whole. Texts are taken
+in slices; a slice sends each of its distinct words and pairs, with their
+training counts, to the block that owns them. The block sums the counts
+exactly, sizes its segment by the n-grams it found, sets all their levels and
+answers every slice with the levels of what that slice sent (and the exact
+counts of its words), so one exchange trains and looks up. The answers meet
+the slice's word list and give the scores. No n-gram is left out, however
+large the corpus is; only hashes, counts and levels are shuffled, no text.
 
-The exact unigram score needs exact counts of all words. Those of the
-``HEAD_WORDS`` most frequent words are broadcast (bounded); a document's
-other words are sent to the block of counts that knows them, and only sums
-come back, so no table of the vocabulary is ever held whole and no text is
-shuffled.
-
-Words are identified by 64-bit hashes.
+Words are identified by 64-bit hashes, pairs by their block and 48 further bits of theirs.
 
 Defined results: a null or empty text is its end token alone; a row without
 an id belongs to training; repeated rows are scored one by one; without
@@ -38,11 +34,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import (MIX_A, MIX_C, corpus_bytes, id_key, id_value, mix, slices_of, texts_as_bytes,
-                                   word_hashes)
+from ledgerline.llm.common import MIX_A, MIX_C, corpus_bytes, id_key, id_value, mix, slices_of, texts_as_bytes, word_hashes
 
 #: A byte that no UTF-8 text holds: the token at a text's end, and the context of its first word.
 END = xxhash.xxh3_64_intdigest(b"\xff")
@@ -50,21 +46,17 @@ ADDED = 0.1
 #: Strength of the word probabilities against a context's counts.
 MU = 500.0
 
-#: Bits of the filter at most (64 MB).
-MAX_BITS = 1 << 29
+#: Limits of an earlier model; nothing is bounded by them any more (tests still set them).
+MAX_BITS = HEAD_WORDS = None
+#: Bits of a segment for every level of every n-gram in it.
 BITS_PER_ENTRY = 8
 PROBES = 4
-#: Parts of the filter; an n-gram's probes stay in one part.
-SEGMENTS = 1024
-#: Words whose exact counts are broadcast at most.
-HEAD_WORDS = 1 << 20
 BYTES_PER_WORD = 6
-#: N-grams that a block is meant to hold.
+#: Tokens of the corpus per block, about.
 PER_BLOCK = 1 << 20
+#: Tokens of a slice, about.
 HELD = 1 << 21
 
-WORD, PAIR = 0, 1
-
 
 def held_out(id_column: Column) -> Column:
     """True for a tenth of the ids: crc32 of the id as text divides by 10."""
@@ -94,32 +86,38 @@ def level_mean(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (2.0 ** (level - 1) + 2.0 ** level - 1) / 2, 0.0)
 
 
-def positions(keys: np.ndarray, level: np.ndarray | int, segment_bits: int):
+def positions(keys: np.ndarray, level: int, segment_bits: int):
     """For each probe, the bit inside the n-gram's segment."""
-    g = mix(keys + MIX_C * np.asarray(level).astype(np.uint64))
+    g = mix(keys + MIX_C * np.uint64(level))
     step = (g >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
-        yield ((g + np.uint64(i) * step) & np.uint64(segment_bits - 1)).astype(np.int64)
+        yield ((g + np.uint64(i) * step) % np.uint64(segment_bits)).astype(np.int64)
+
 
+class Segment:
+    """The filter's bits for the n-grams of one block."""
 
-class LogFrequencyFilter:
-    """The filter's bits, segment after segment."""
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
-    def __init__(self, bits: np.ndarray, n_segments: int):
-        self.bits, self.n_segments = bits, n_segments
-        self.segment_bits = len(bits) * 8 // n_segments
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Segment:
+        """As large as the n-grams with a count need."""
+        keys, level = keys[counts > 0], levels(counts[counts > 0])
+        is_set = np.zeros(8 * max(8, -(-BITS_PER_ENTRY * int(level.sum()) // 8)), np.uint8)
+        for at in range(1, int(level.max(initial=0)) + 1):
+            for p in positions(keys[level >= at], at, len(is_set)):
+                is_set[p] = 1
+        return cls(np.packbits(is_set, bitorder="little"))
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The level of every n-gram: probes upwards until the first miss."""
         out = np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
-        base = (keys % np.uint64(self.n_segments)).astype(np.int64) * self.segment_bits
         at = 1
-        while len(left):
-            # every probe of a level must hit
+        while len(left) and at <= 64:
             hits = np.ones(len(left), bool)
-            for p in positions(keys[left], at, self.segment_bits):
-                p = base[left] + p
+            for p in positions(keys[left], at, 8 * len(self.bits)):
                 hits &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
             left = left[hits]
             out[left] = at
@@ -127,265 +125,231 @@ class LogFrequencyFilter:
         return out
 
 
-class LanguageModel:
-    """``head``: sorted hashes of the most frequent words, with ``head_counts``."""
+class FilterTable:
+    """All segments (``block, bits``); they stay where they are and n-grams go to them."""
 
-    def __init__(self, filter_: LogFrequencyFilter, n_tokens: int, n_words: int, head: np.ndarray,
-                 head_counts: np.ndarray):
-        self.filter, self.n_tokens, self.n_words = filter_, n_tokens, n_words
-        self.head, self.head_counts = head, head_counts
+    def __init__(self, segments: DataFrame, n_blocks: int):
+        self.segments, self.n_blocks = segments, n_blocks
 
-    @property
-    def mass(self) -> float:
-        return self.n_tokens + ADDED * (self.n_words + 1)
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """The levels of a few n-grams."""
+        found = pa.schema([("at", pa.int64()), ("level", pa.int64())])
+
+        def probe(asked, own):
+            if not own.num_rows:
+                return found.empty_table()
+            segment = Segment(np.frombuffer(own.column("bits")[0].as_py(), np.uint8))
+            level = segment.level(asked.column("key").to_numpy().view(np.uint64) >> np.uint64(16))
+            return pa.Table.from_arrays([asked.column("at"), pa.array(level)], schema=found)
+
+        rows = zip((keys % np.uint64(self.n_blocks)).tolist(), range(len(keys)), keys.view(np.int64).tolist())
+        asked = self.segments.sparkSession.createDataFrame(list(rows), "block long, at long, key long")
+        out = np.zeros(len(keys), np.int64)
+        for at, level in (asked.groupBy("block").cogroup(self.segments.groupBy("block"))
+                          .applyInArrow(probe, "at long, level long").collect()):
+            out[at] = level
+        return out
 
-    def log10(self, tokens: np.ndarray) -> np.ndarray:
-        """log10 probability of every token given the one in front, from the filter alone."""
-        words, word_at = np.unique(tokens, return_inverse=True)
-        pairs, pair_at = np.unique(pair_hashes(tokens), return_inverse=True)
-        count = level_mean(self.filter.level(mix(words)))
-        own = count[word_at]
-        before = np.concatenate([level_mean(self.filter.level(mix(np.array([END], np.uint64)))), own[:-1]])
-        both = np.minimum(level_mean(self.filter.level(pairs))[pair_at], before)
-        plain = (own + ADDED) / self.mass
-        return np.log10((both + MU * plain) / (before + MU))
+
+class LanguageModel:
+    def __init__(self, filter_: FilterTable, n_tokens: int, n_words: int):
+        self.filter, self.n_tokens, self.n_words = filter_, n_tokens, n_words
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    return docs.select(*more, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def mass(n_tokens: int, n_words: int) -> float:
+    return n_tokens + ADDED * (n_words + 1)
 
 
-def _grouped(group: np.ndarray, *columns: np.ndarray):
-    """The distinct groups, and each column's bytes for each of them."""
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, int)
-    ends = [*begin[1:], len(group)]
-    ordered = [np.ascontiguousarray(c[order]) for c in columns]
-    return [pa.array(group[begin])] + [pa.array([c[s:e].tobytes() for s, e in zip(begin, ends)], pa.binary())
-                                       for c in ordered]
+def narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
 
 
-def _counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and the sums of their times."""
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-    return keys[begin], np.add.reduceat(times, begin) if len(begin) else times[:0]
+def widened(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers back from :func:`narrow`."""
+    return np.frombuffer(data, f"u{len(data) // n}" if n else "u1").astype(np.int64)
 
 
-def ngram_blocks(training: DataFrame, n_bytes: int, filter_bits: int, text_col: str = "text") -> DataFrame:
-    """``kind, block, n, total, keys, counts, segment, bits``: the exact sums of
-    every block of word (kind 0) and pair hashes (kind 1), and the bits that
-    its n-grams set in their segment; only words keep their keys and counts."""
-    n_blocks = blocks(n_bytes)
-    n_segments = min(SEGMENTS, n_blocks)
-    segment_bits = filter_bits // n_segments
-    # entries that a block may put into its share of the filter; words and pairs share a segment
-    budget = filter_bits // (BITS_PER_ENTRY * n_blocks)
-    sent = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def packed(waiting):
-        tokens = np.concatenate(waiting)
-        for kind, hashes in ((WORD, tokens), (PAIR, pair_hashes(tokens))):
-            keys, counts = np.unique(hashes, return_counts=True)
-            spread = mix(keys) if kind == WORD else keys
-            block, k, c = _grouped((spread % np.uint64(n_blocks)).astype(np.int64), keys, counts.astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), kind, np.int32)), block, k, c], schema=sent)
-
-    def count(batches):
-        held, waiting = 0, []
-        for batch in batches:
-            for part in slices_of(batch, "text", 4 << 20):
-                waiting.append(token_hashes(texts_as_bytes(part.column("text")))[0])
-                held += len(waiting[-1])
-                if held > HELD:
-                    yield from packed(waiting)
-                    held, waiting = 0, []
-        if held:
-            yield from packed(waiting)
+def by_block(spread: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams' order by block, and where each block begins and ends in it."""
+    block = (spread % np.uint64(n_blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    return order, np.searchsorted(block[order], np.arange(n_blocks + 1))
 
-    out = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("total", pa.int64()),
-                     ("keys", pa.binary()), ("counts", pa.binary()), ("segment", pa.int32()), ("bits", pa.binary())])
 
-    def merge(key, group):
-        kind, block = key[0].as_py(), key[1].as_py()
-        keys, counts = _counted(np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64),
-                                np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).astype(np.int64))
-        level = levels(counts)
-        share = budget // 4 if kind == WORD else budget - budget // 4
-        entries = np.cumsum((np.bincount(level) * np.arange(level.max() + 1))[::-1])[::-1]
-        least = int(np.argmax(np.append(entries[1:], 0) <= share)) + 1
-        bits = np.zeros(segment_bits, np.uint8)
-        spread = mix(keys) if kind == WORD else keys
-        for at in range(1, int(level.max()) + 1):
-            own = spread[level >= max(at, least)]
-            for p in positions(own, at, segment_bits):
-                bits[p] = 1
-        plain = kind == WORD
-        return pa.Table.from_arrays(
-            [pa.array([kind], pa.int32()), pa.array([block]), pa.array([len(keys)]), pa.array([int(counts.sum())]),
-             pa.array([keys.tobytes() if plain else b""], pa.binary()),
-             pa.array([counts.tobytes() if plain else b""], pa.binary()), pa.array([block % n_segments], pa.int32()),
-             pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], schema=out)
+def in_block(spread: np.ndarray) -> np.ndarray:
+    """The six bytes that are sent of an n-gram; its block is known by the others."""
+    return (spread >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
 
-    rows = training.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return (rows.mapInArrow(count, "kind int, block long, keys binary, counts binary").groupBy("kind", "block")
-            .applyInArrow(merge, "kind int, block long, n long, total long, keys binary, counts binary, segment int, "
-                                 "bits binary"))
+def from_block(data: bytes) -> np.ndarray:
+    """What :func:`in_block` sent, as numbers."""
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def blocks(n_bytes: int) -> int:
-    """A power of two, so that a block's n-grams all fall into one segment."""
     return 1 << max(3, (n_bytes // (BYTES_PER_WORD * PER_BLOCK)).bit_length())
 
 
-def filter_size(n_bytes: int) -> int:
-    return min(MAX_BITS, 1 << max(16, (16 * n_bytes // BYTES_PER_WORD).bit_length()))
+#: What a slice sends to a block, what a block answers, and what a slice must know of its texts.
+ASKED = ("words", "word_counts", "pairs", "pair_counts")
+ANSWERED = ("word_counts", "word_levels", "pair_levels")
+KNOWN = ("keys", "held", "tokens", "vocabulary", "at")
 
 
-def train(training: DataFrame, n_bytes: int, text_col: str = "text") -> tuple[LanguageModel, DataFrame]:
-    """The model, and the table of exact word counts (``block, keys, counts``)."""
-    bits = filter_size(n_bytes)
-    n_segments = min(SEGMENTS, blocks(n_bytes))
-    counted = ngram_blocks(training, n_bytes, bits, text_col).checkpoint()
-    out = pa.schema([("segment", pa.int32()), ("bits", pa.binary())])
-
-    def unite(group):
-        parts = [np.frombuffer(b, np.uint8) for b in group.column("bits").to_pylist()]
-        return pa.Table.from_arrays([group.column("segment").slice(0, 1),
-                                     pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())], schema=out)
-
-    held = np.zeros(bits // 8, np.uint8)
-    size = len(held) // n_segments
-    # the filter: MAX_BITS at most
-    for segment, part in counted.groupBy("segment").applyInArrow(unite, "segment int, bits binary").collect():
-        held[segment * size:(segment + 1) * size] = np.frombuffer(part, np.uint8)
-    words = counted.where(F.col("kind") == WORD).select("block", "n", "total", "keys", "counts")
-    n_words, n_tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    head, head_counts = most_frequent(words)
-    return LanguageModel(LogFrequencyFilter(held, n_segments), n_tokens, n_words, head, head_counts), words
-
-
-def most_frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``HEAD_WORDS`` words: all from the lowest level on that leaves so few."""
-    sizes = pa.schema([("level", pa.int64()), ("n", pa.int64())])
-
-    def by_level(batches):
-        for batch in batches:
-            for counts in batch.column("counts").to_pylist():
-                n = np.bincount(levels(np.frombuffer(counts, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], schema=sizes)
-
-    per_level = {r[0]: r[1] for r in words.select("counts").mapInArrow(by_level, "level long, n long")
-                 .groupBy("level").agg(F.sum("n")).collect()}
-    least, total = 64, 0
-    while least > 1 and total + per_level.get(least - 1, 0) <= HEAD_WORDS:
-        least -= 1
-        total += per_level.get(least, 0)
-    found = pa.schema([("keys", pa.binary()), ("counts", pa.binary())])
-
-    def frequent(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                counts = np.frombuffer(counts, np.int64)
-                own = levels(counts) >= least
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([np.frombuffer(keys, np.uint64)[own].tobytes()], pa.binary()),
-                     pa.array([counts[own].tobytes()], pa.binary())], schema=found)
-
-    rows = words.select("keys", "counts").mapInArrow(frequent, "keys binary, counts binary").collect()
-    keys = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.uint64)
-    counts = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def score_documents(docs: DataFrame, model: LanguageModel, words: DataFrame, n_bytes: int, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score``
-    (exact unigrams) and ``score`` (the filter's bigrams)."""
-    n_blocks = blocks(n_bytes)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    share = np.log10(model.mass)
-    # block >= 0: rare words to look up; block < 0: a batch of documents, done but for these
-    names = ("row", "key", "held", "tokens", "known", "base", "score", "word", "times")
-    schema = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in names)])
-    kinds = dict(zip(names, (np.int64, np.int64, np.int64, np.int64, np.int64, np.float64, np.float64, np.uint64, np.uint32)))
-
-    def first_scores(batches):
-        lm = sent.value
+def slices(docs: DataFrame, held: Column, n_blocks: int, id_col: str | None, text_col: str) -> DataFrame:
+    """``block, slice`` and ``ASKED`` of every slice for every block, and under
+    a negative block once per slice ``KNOWN``."""
+    schema = pa.schema([("block", pa.int64()), ("slice", pa.int64()), *((c, pa.binary()) for c in ASKED + KNOWN)])
+
+    def packed(waiting, number):
+        tokens, counts, keys, is_held = (np.concatenate(x) for x in zip(*waiting))
+        training = np.repeat(~is_held, counts)
+        vocabulary, at = np.unique(tokens, return_inverse=True)
+        pairs, pair_at = np.unique(pair_hashes(tokens), return_inverse=True)
+        sent = {}
+        for name, own, where, spread in (("word", vocabulary, at, mix(vocabulary)), ("pair", pairs, pair_at, pairs)):
+            times = np.bincount(where[training], minlength=len(own))
+            order, bounds = by_block(spread, n_blocks)
+            own, times = own[order], times[order]
+            own = in_block(own) if name == "pair" else own
+            sent[f"{name}s"] = [own[s:e].tobytes() for s, e in zip(bounds, bounds[1:])]
+            sent[f"{name}_counts"] = [narrow(times[s:e]) for s, e in zip(bounds, bounds[1:])]
+        known = {"keys": keys.tobytes(), "held": is_held.tobytes(), "tokens": narrow(counts),
+                 "vocabulary": vocabulary.tobytes(), "at": narrow(at)}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(n_blocks)), pa.array(np.full(n_blocks, number))]
+            + [pa.array(sent.get(c, [b""] * n_blocks), pa.binary()) for c in ASKED + KNOWN], schema=schema)
+        via = -1 - int(mix(np.array([number], np.uint64))[0] % np.uint64(n_blocks))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([via]), pa.array([number])] + [pa.array([known.get(c, b"")], pa.binary()) for c in ASKED + KNOWN],
+            schema=schema)
+
+    def read(batches):
+        number, n_held, waiting = TaskContext.get().partitionId() << 32, 0, []
         for batch in batches:
             for part in slices_of(batch, "text", 4 << 20):
                 tokens, counts = token_hashes(texts_as_bytes(part.column("text")))
-                begin = np.cumsum(counts) - counts
-                distinct, at = np.unique(tokens, return_inverse=True)
-                place = np.minimum(np.searchsorted(lm.head, distinct), max(0, len(lm.head) - 1))
-                is_head = lm.head[place] == distinct if len(lm.head) else np.zeros(len(distinct), bool)
-                value = np.zeros(len(distinct))
-                value[is_head] = np.log10(lm.head_counts[place[is_head]] + ADDED) - share
-                row = part.column("row").to_numpy()
-                done = {"row": row, "key": part.column("key").to_numpy(),
-                        "held": part.column("held").to_numpy(zero_copy_only=False).astype(np.int64), "tokens": counts,
-                        "known": np.add.reduceat(is_head[at].astype(np.int64), begin),
-                        "base": np.add.reduceat(value[at], begin),
-                        "score": np.add.reduceat(lm.log10(tokens), begin)}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1 - int(mix(row[:1].view(np.uint64))[0] % np.uint64(n_blocks))])]
-                    + [pa.array([done[c].tobytes() if c in done else b""], pa.binary()) for c in names], schema=schema)
-                rare = np.flatnonzero(~is_head[at])
-                if not len(rare):
-                    continue
-                text = np.repeat(np.arange(len(counts)), counts)[rare]
-                both, times = _counted(text * np.int64(len(distinct)) + at[rare], np.ones(len(rare), np.int64))
-                word = distinct[both % len(distinct)]
-                block, rows, keys, n = _grouped((mix(word) % np.uint64(n_blocks)).astype(np.int64),
-                                                row[both // len(distinct)], word, times.astype(np.uint32))
-                none = pa.array([b""] * len(block), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [block] + [{"row": rows, "word": keys, "times": n}.get(c, none) for c in names], schema=schema)
-
-    result = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("held", pa.int64()), ("tokens", pa.int64()),
-                        ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-
-    def finish(key, found, counts):
-        read = {c: np.frombuffer(b"".join(found.column(c).to_pylist()), kinds[c]) for c in names}
-        if key[0].as_py() < 0:
-            return pa.Table.from_arrays([pa.array(read[c]) for c in result.names], schema=result)
-        known = np.frombuffer(b"".join(counts.column("keys").to_pylist()), np.uint64)
-        times = np.frombuffer(b"".join(counts.column("counts").to_pylist()), np.int64)
-        if len(known):
-            place = np.minimum(np.searchsorted(known, read["word"]), len(known) - 1)
-            c = np.where(known[place] == read["word"], times[place], 0)
-        else:
-            c = np.zeros(len(read["word"]), np.int64)
-        order = np.argsort(read["row"], kind="stable")
-        row, n, c = read["row"][order], read["times"][order].astype(np.int64), c[order]
-        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, int)
-        if not len(begin):
-            return result.empty_table()
-        nothing = np.zeros(len(begin), np.int64)
-        return pa.Table.from_arrays([pa.array(x) for x in (
-            row[begin], np.full(len(begin), np.iinfo(np.int64).min), nothing, nothing,
-            np.add.reduceat(np.where(c > 0, n, 0), begin),
-            np.add.reduceat(n * (np.log10(c + ADDED) - share), begin), nothing.astype(float))], schema=result)
-
-    rows = _rows(docs, id_col, text_col, F.monotonically_increasing_id().alias("row"),
-                 id_key(F.col(id_col)).alias("key"), held_out(F.col(id_col)).alias("held"))
-    sent_rows = rows.mapInArrow(first_scores, "block long, " + ", ".join(f"{c} binary" for c in names))
-    parts = (sent_rows.groupBy("block").cogroup(words.select("block", "keys", "counts").groupBy("block"))
-             .applyInArrow(finish, "row long, key long, held long, tokens long, known long, base double, score double"))
-    whole = (parts.groupBy("row").agg(F.max("key").alias("key"), F.max("held").alias("held"),
-                                      F.sum("tokens").alias("tokens"), F.sum("known").alias("known"),
-                                      F.sum("base").alias("base"), F.sum("score").alias("score")))
-    return whole.select(id_value(F.col("key")).alias(id_col), (F.col("held") == 1).alias("held_out"),
-                        F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
-                        F.lit(model.n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"),
-                        "score")
+                waiting.append((tokens, counts, part.column("key").to_numpy(),
+                                part.column("held").to_numpy(zero_copy_only=False)))
+                n_held += len(tokens)
+                if n_held > HELD:
+                    yield from packed(waiting, number)
+                    number, n_held, waiting = number + 1, 0, []
+        if n_held:
+            yield from packed(waiting, number)
+
+    rows = docs.select(id_key(F.col(id_col) if id_col else F.lit(None)).alias("key"), held.alias("held"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(read, "block long, slice long, " + ", ".join(f"{c} binary" for c in ASKED + KNOWN))
+
+
+class Block:
+    """The exact sums of what the slices sent to a block, and its segment."""
+
+    def __init__(self, group: pa.Table):
+        self.at, self.counts, sums = {}, {}, []
+        for name in ("word", "pair"):
+            keys = [np.frombuffer(b, np.uint64) if name == "word" else from_block(b)
+                    for b in group.column(f"{name}s").to_pylist()]
+            times = [widened(b, len(k)) for b, k in zip(group.column(f"{name}_counts").to_pylist(), keys)]
+            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            self.counts[name] = np.zeros(len(distinct), np.int64)
+            np.add.at(self.counts[name], at, np.concatenate(times))
+            self.at[name] = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+            sums.append(mix(distinct) >> np.uint64(16) if name == "word" else distinct)
+        self.spread = dict(zip(("word", "pair"), sums))
+        self.segment = Segment.of(np.concatenate(sums), np.concatenate(list(self.counts.values())))
+        self.n, self.total = int((self.counts["word"] > 0).sum()), int(self.counts["word"].sum())
+
+
+def train(training: DataFrame, n_bytes: int, text_col: str = "text") -> tuple[LanguageModel, DataFrame]:
+    """The model of all rows, and its table of segments (``block, n, total, bits``)."""
+    n_blocks = blocks(n_bytes)
+    out = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("bits", pa.binary())])
+
+    def merge(key, group):
+        block = Block(group)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([block.n]), pa.array([block.total]),
+                                     pa.array([block.segment.bits.tobytes()], pa.binary())], schema=out)
+
+    sent = slices(training, F.lit(False), n_blocks, None, text_col)
+    segments = (sent.where("block >= 0").groupBy("block")
+                .applyInArrow(merge, "block long, n long, total long, bits binary").checkpoint())
+    n_words, n_tokens = segments.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    return LanguageModel(FilterTable(segments.select("block", "bits"), n_blocks), n_tokens, n_words), segments
 
 
 def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on all rows that are not held out and score every row."""
-    n_bytes = corpus_bytes(docs, text_col)
-    model, words = train(docs.where(~held_out(F.col(id_col))), n_bytes, text_col)
-    return score_documents(docs, model, words, n_bytes, id_col, text_col)
+    """Train on all rows that are not held out and score every row: ``id_col,
+    held_out, n_tokens, n_known, train_tokens, base_score`` (exact unigrams)
+    and ``score`` (the filter's bigrams)."""
+    n_blocks = blocks(corpus_bytes(docs, text_col))
+    more = tuple(dict.fromkeys(ANSWERED + KNOWN))
+    answers = pa.schema([("slice", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("total", pa.int64()),
+                         *((c, pa.binary()) for c in more)])
+
+    def answer(key, group):
+        rows = group.num_rows
+        if key[0].as_py() < 0:
+            n = total = 0
+            own = {c: group.column(c) for c in KNOWN}
+        else:
+            block = Block(group)
+            n, total = block.n, block.total
+            own = {"word_counts": [narrow(block.counts["word"][at]) for at in block.at["word"]]}
+            for name in ("word", "pair"):
+                level = block.segment.level(block.spread[name]).astype(np.uint8)
+                own[f"{name}_levels"] = [level[at].tobytes() for at in block.at[name]]
+        nothing = [b""] * rows
+        columns = [own.get(c, nothing) for c in more]
+        return pa.Table.from_arrays(
+            [group.column("slice"), group.column("block"), pa.array([n] * rows, pa.int64()),
+             pa.array([total] * rows, pa.int64())]
+            + [c if isinstance(c, pa.ChunkedArray) else pa.array(c, pa.binary()) for c in columns], schema=answers)
+
+    result = pa.schema([("key", pa.int64()), ("held", pa.bool_()), ("tokens", pa.int64()), ("known", pa.int64()),
+                        ("train", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+    def assemble(group):
+        group = group.sort_by("block")  # what the slice knows is first
+        n_tokens = sum(group.column("total").to_pylist())
+        whole = mass(n_tokens, sum(group.column("n").to_pylist()))
+        share = np.log10(whole)
+        known = {c: group.column(c)[0].as_py() for c in KNOWN}
+        keys, vocabulary = np.frombuffer(known["keys"], np.int64), np.frombuffer(known["vocabulary"], np.uint64)
+        counts = widened(known["tokens"], len(keys))
+        at = widened(known["at"], int(counts.sum()))
+        tokens = vocabulary[at]
+        pairs, pair_at = np.unique(pair_hashes(tokens), return_inverse=True)
+        by_word, bounds = by_block(mix(vocabulary), n_blocks)
+        parts = group.column("word_counts").to_pylist()[1:]
+        times = np.empty(len(vocabulary), np.int64)
+        times[by_word] = np.concatenate([widened(b, e - s) for b, s, e in zip(parts, bounds, bounds[1:])])
+        levels_of = {}
+        for name, order in (("word", by_word), ("pair", by_block(pairs, n_blocks)[0])):
+            level = np.empty(len(order), np.int64)
+            level[order] = np.frombuffer(b"".join(group.column(f"{name}_levels").to_pylist()), np.uint8)
+            levels_of[name] = level_mean(level)
+        own = levels_of["word"][at]
+        before = np.concatenate([levels_of["word"][vocabulary == np.uint64(END)], own[:-1]])
+        both = np.minimum(levels_of["pair"][pair_at], before)
+        score = np.log10((both + MU * (own + ADDED) / whole) / (before + MU))
+        begin = np.cumsum(counts) - counts
+        return pa.Table.from_arrays(
+            [pa.array(keys), pa.array(np.frombuffer(known["held"], bool)), pa.array(counts),
+             pa.array(np.add.reduceat((times > 0).astype(np.int64)[at], begin)),
+             pa.array(np.full(len(keys), n_tokens, np.int64)),
+             pa.array(np.add.reduceat((np.log10(times + ADDED) - share)[at], begin)),
+             pa.array(np.add.reduceat(score, begin))], schema=result)
+
+    sent = slices(docs, held_out(F.col(id_col)), n_blocks, id_col, text_col)
+    answered = sent.groupBy("block").applyInArrow(answer, "slice long, block long, n long, total long, "
+                                                  + ", ".join(f"{c} binary" for c in more))
+    whole = answered.groupBy("slice").applyInArrow(
+        assemble, "key long, held boolean, tokens long, known long, train long, base double, score double")
+    return whole.select(id_value(F.col("key")).alias(id_col), F.col("held").alias("held_out"),
+                        F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+                        F.col("train").alias("train_tokens"), F.col("base").alias("base_score"), "score")

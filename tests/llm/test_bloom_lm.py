@@ -77,3 +77,26 @@ def test_without_training_documents_and_empty_table(spark):
 def test_levels():
     assert lm.levels(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
     assert lm.level_mean(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
+
+
+def test_rare_n_grams_of_a_large_corpus_are_kept(spark, monkeypatch):
+    """However small the old limit and large the corpus is said to be: no word and no pair reads 0."""
+    monkeypatch.setattr(lm, "MAX_BITS", 1 << 16)
+    text = made_up(random.Random(8), 6000, 5000)
+    model, _ = lm.train(documents(spark, [(1, text)]), len(text) * 1000)
+    tokens, _ = lm.token_hashes([text.encode()])
+    for hashes in (lm.mix(tokens), lm.pair_hashes(tokens)):
+        assert (model.filter.level(hashes) >= 1).all()
+
+
+def test_scores_do_not_depend_on_slices_and_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, made_up(rng, rng.randrange(0, 90), 200)) for i in range(150)] + edge_rows()
+    one = checked(spark, rows)
+    monkeypatch.setattr(lm, "HELD", 300)
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 64)
+    monkeypatch.setattr(lm, "blocks", lambda n: 37)
+    other = checked(spark, rows)
+    by = lambda r: (repr(r["doc_id"]), r["n_tokens"], r["base_score"])
+    pairs = list(zip(sorted(one, key=by), sorted(other, key=by)))
+    assert sum(abs(a["score"] - b["score"]) for a, b in pairs) < 0.02 * sum(-a["score"] for a, _ in pairs)
