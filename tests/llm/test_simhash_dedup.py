@@ -77,3 +77,54 @@ def test_components_of_chains_stars_loops_and_nulls(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (None, 3), (301, 300), (300, 301)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 160)}, 300: 300, 301: 300}
+
+
+def crowd(n):
+    """Fingerprints up to 6 bits from one centre, and strangers."""
+    rng = np.random.default_rng(11)
+    fps = {0x0123456789ABCDEF} | {int(x) for x in rng.integers(0, 1 << 63, 20, dtype=np.uint64)}
+    while len(fps) < n:
+        x = 0x0123456789ABCDEF
+        for b in rng.choice(64, int(rng.integers(1, 7)), replace=False):
+            x ^= 1 << int(b)
+        fps.add(x)
+    return np.array(sorted(fps), np.uint64)
+
+
+def roots(fps, radius=4):
+    label = list(range(len(fps)))
+    changed = True
+    while changed:
+        changed = False
+        for i, x in enumerate(fps.tolist()):
+            near = np.flatnonzero(np.bitwise_count(fps ^ np.uint64(x)) <= radius)
+            low = min(label[j] for j in near)
+            changed |= any(label[j] != low for j in near)
+            for j in near:
+                label[j] = low
+    return label
+
+
+def test_a_crowded_prefix_makes_its_values_in_bounded_parts(monkeypatch):
+    import ledgerline.llm.simhash_dedup as sd
+    made, real = [], sd.meeting
+    monkeypatch.setattr(sd, "VALUES_PER_PREFIX", 2000)
+    monkeypatch.setattr(sd, "meeting", lambda values: made.append(len(values)) or real(values))
+    centre = np.uint64(0x0123456789ABCDEF)
+    fps = np.array([centre] + [centre ^ np.uint64(1 << b) for b in range(50)], np.uint64)
+    assert set(sd.link_prefix(int(centre >> np.uint64(58)), fps, 6, 4).tolist()) == {0}
+    whole = 51 * (1 + 58 + 58 * 57 // 2)
+    assert sum(made) == whole and max(made) < 3 * 2000
+
+
+def test_crowded_prefixes_are_dealt_to_several_tasks(spark, monkeypatch):
+    import ledgerline.llm.simhash_dedup as sd
+    monkeypatch.setattr(sd, "VALUES_PER_PREFIX", 3000)
+    monkeypatch.setattr(sd, "VALUES_PER_TASK", 20_000)
+    fps = crowd(150)
+    distinct = spark.createDataFrame([(i, f) for i, f in enumerate(fps.view(np.int64).tolist())], "key long, fp long")
+    bits = sd.prefix_bits(len(fps), 2)
+    assert max(sd.crowded(distinct, bits, 2, 20_000).values()) >= 2
+    found = connected_components(near_links(distinct, 4)).select("node.key", F.col("root.key").alias("root")).collect()
+    got = {r["key"]: r["root"] for r in found}
+    assert [got.get(i, i) for i in range(len(fps))] == roots(fps)
