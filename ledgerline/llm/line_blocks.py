@@ -8,9 +8,10 @@ links. Text lengths are summed over a sliding window of lines: where the sum
 *surges* over the threshold the main text begins, where it *dives* to nothing
 it ends, and the lines between are kept whole, short ones too.
 
-Where the page says itself which element holds the article, lines outside of
-it count 0 and every line inside surges. Otherwise of several stretches those
-are kept that hold at least ``STRETCH`` of the longest one's text.
+Every page goes through the distribution, and every stretch that surges is
+kept. What a page marks as its article is a weight only: marked lines count
+even if they are links, and if the marked text outweighs the rest, a stretch
+with marked lines surges however short it is.
 
 Inside a line character references are decoded and white space becomes one
 space; kept lines are joined by one space.
@@ -37,8 +38,6 @@ from ledgerline.llm.common import slices_of
 WINDOW = 3
 #: Characters in a window at which the text surges.
 SURGE = 80
-#: Share of the longest stretch's text at which another stretch is kept too.
-STRETCH = 0.3
 #: Share of link text at which a line is a menu line.
 LINKS = 0.8
 
@@ -167,14 +166,15 @@ def main_text(html: str | None) -> str:
     found = [(line, line.text()) for line in page_lines(html)]
     lines, texts = [line for line, t in found if t], [t for _, t in found if t]
     lengths = np.zeros(len(lines), np.int64)
-    said = any(line.article and not line.frame for line in lines)
+    marked = np.zeros(len(lines), bool)
     for i, (line, t) in enumerate(zip(lines, texts)):
-        if not line.frame and (line.article if said else line.linked < LINKS * len("".join(line.parts))):
+        marked[i] = line.article and not line.frame
+        if marked[i] or not line.frame and line.linked < LINKS * len("".join(line.parts)):
             lengths[i] = len(t)
-    kept = stretches(lengths, 1 if said else SURGE)
-    if not said and kept:
-        sizes = [int(lengths[a:b].sum()) for a, b in kept]
-        kept = [s for s, n in zip(kept, sizes) if n >= STRETCH * max(sizes)]
+    # lines that the page marks surge at once, if the text marked outweighs the rest
+    trusted = 2 * lengths[marked].sum() > lengths.sum()
+    kept = [(a, b) for a, b in stretches(lengths, 1)
+            if window_sums(lengths)[a:b].max() >= SURGE or trusted and marked[a:b].any()]
     return " ".join(texts[i] for a, b in kept for i in range(a, b) if lengths[i])
 
 

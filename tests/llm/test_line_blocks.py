@@ -67,3 +67,21 @@ def test_query_columns(spark):
     assert len(got) == 4 and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
     assert all(r["n_chars"] == len(r["text"]) for r in got) and max(r["n_chars"] for r in got) > 50
     assert extract_pages(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_text_outside_of_marked_teasers_is_kept():
+    teasers = "<article><h3>Other news</h3><p>Read on.</p></article>" * 2
+    assert main_text(page(f"<div><p>{P1}</p><p>{P2}</p><p>{P3}</p></div><nav>x</nav><ul><li><a>y</a></li></ul>"
+                          "<nav>x</nav><nav>z</nav>" + teasers)).startswith(PLAIN)
+
+
+def test_text_beside_a_dominant_article_surges_by_itself():
+    rest = "<nav>x</nav>" * 4
+    body = f"<article><p>{P1}</p><p>{P2}</p></article>{rest}<div><p>{P1}</p></div>{rest}<p>Tiny.</p>"
+    got = main_text(page(body))
+    assert got.count("First paragraph") == 2 and "Tiny" not in got
+
+
+def test_a_shorter_stretch_is_kept_beside_a_long_one():
+    menu = "<ul>" + "<li><a href='/a'>Home</a></li>" * 5 + "</ul>"
+    assert main_text(page(f"<div>{f'<p>{P1}</p>' * 9}</div>{menu}<div><p>{P1} End.</p></div>")).endswith("End.")
