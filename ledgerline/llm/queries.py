@@ -13,16 +13,15 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import prepare
 from ledgerline.session import ensure_checkpoint_dir
 
-#: Folder of the public tokenizers' vocabulary files.
-TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary(name: str) -> str:
-    return os.path.join(TOKENIZER_DIR, name)
+    """Path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def split_pattern() -> str:
@@ -90,9 +89,14 @@ def op10_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ro.decoded_documents(ro.read_shards(spark, path))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.piece_bpe import round_trip_digests
+    return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_simhash_dedup, op4_quality_rules, op5_bloom_lm, op6_sanitise, op7_line_blocks, op8_substring_dedup,
-                           op9_decontamination, op10_repair_output)
+                           op9_decontamination, op10_repair_output, op11_piece_bpe)
 }
 
 
