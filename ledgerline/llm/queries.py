@@ -94,6 +94,11 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.periodic_runs import run_table
     return run_table(table(spark, sf_dir, "documents"))
@@ -101,7 +106,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_simhash_dedup, op4_quality_rules, op5_bloom_lm, op6_sanitise, op7_line_blocks, op8_substring_dedup,
-                           op9_decontamination, op10_repair_output, op11_piece_bpe, op13_periodic_runs)
+                           op9_decontamination, op10_repair_output, op11_piece_bpe, op12_collocations, op13_periodic_runs)
 }
 
 
@@ -115,4 +120,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    from ledgerline.llm.collocations import ORACLE_SQL
+    return {"op12_collocations": ORACLE_SQL}
