@@ -46,9 +46,9 @@ TOP = 2000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 NO_LANGUAGE = "und"
 #: Text bytes per bucket, and of the sample per bucket, about.
-PER_BUCKET, SAMPLED_PER_BUCKET = 8 << 20, 20_000
+PER_BUCKET, SAMPLED_PER_BUCKET = 6 << 20, 20_000
 LEAST_BUCKETS = 32
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Groups in which a language's phrases are ranked first.
 RANK_GROUPS = 64
 
