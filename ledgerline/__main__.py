@@ -3,12 +3,15 @@
     python -m ledgerline list
     python -m ledgerline run <query> <sf_dir> <out_path> [--format parquet|json]
     python -m ledgerline stream <job> <events_dir> <sf_dir> <out_path> [--checkpoint DIR] [--once]
+                                [--delay "1 day"] [--heartbeats DIR]
 
-Stream jobs: positions (T1/T2), price-audit (T3), high-low (T4), ohlc. They
-read ``events*.parquet`` files as they arrive in ``events_dir`` (seeds such
-as stored prices come from the tables of ``sf_dir``) and append to a parquet
-folder; the checkpoint (default: under ``spark.checkpoint.dir``) lets a
-restarted job resume. ``--once`` drains what is there and stops.
+Stream jobs: positions (T1/T2), orders (T1 with cash), prices (T3/T4), ohlc.
+They read ``events*.parquet`` files as they arrive, in any order within the
+delay, in ``events_dir`` (seeds such as stored prices come from the tables of
+``sf_dir``). The first three commit their steps and the late rows as table
+versions under the output folder, ohlc appends to it; the checkpoint (default:
+under ``spark.checkpoint.dir``) lets a restarted job resume. ``--once`` drains
+what is there and stops.
 
 ``json`` writes one JSON object per row (dates as YYYY-MM-DD), the shape the
 original endpoints returned; ``parquet`` writes the DataFrame as is. Output is
@@ -35,12 +38,14 @@ def main(argv=None) -> int:
     r.add_argument("out")
     r.add_argument("--format", choices=["parquet", "json"], default="parquet")
     st = sub.add_parser("stream")
-    st.add_argument("job", choices=["positions", "price-audit", "high-low", "ohlc"])
+    st.add_argument("job", choices=["positions", "orders", "prices", "ohlc"])
     st.add_argument("events_dir")
     st.add_argument("sf_dir")
     st.add_argument("out")
     st.add_argument("--checkpoint", default=None)
     st.add_argument("--once", action="store_true")
+    st.add_argument("--delay", default="1 day", help="how far behind the newest event a row may come")
+    st.add_argument("--heartbeats", default=None, help="folder of heartbeat files that close a period")
     args = ap.parse_args(argv)
     queries = spark_queries()
     if args.cmd == "list":
@@ -63,18 +68,25 @@ def main(argv=None) -> int:
 
 def _stream(spark, args) -> int:
     from ledgerline.sources.fixtures import Fixtures, fixtures
-    from ledgerline.streaming import jobs
-    ev = jobs.event_stream(spark, args.events_dir, watermark="1 day")
-    n_parts = fixtures(spark, args.sf_dir).n_parts
+    from ledgerline.streaming import jobs, ordered
+    fx, delay = fixtures(spark, args.sf_dir), args.delay
+    if args.job == "ohlc":
+        ev = jobs.event_stream(spark, args.events_dir, watermark=delay)
+        q = jobs.start_to_parquet(jobs.ohlc_stream(Fixtures.ticks_from(ev, fx.n_parts)), args.out, f"cli-{args.job}",
+                                  checkpoint=args.checkpoint, available_now=args.once)
+        q.awaitTermination()
+        return 0
+    ev = jobs.event_stream(spark, args.events_dir)
+    if args.heartbeats:
+        ev = ordered.with_heartbeats(ev, args.heartbeats)
+    orders, ticks = Fixtures.orders_from(ev, fx.n_parts), Fixtures.ticks_from(ev, fx.n_parts)
     if args.job == "positions":
-        df = jobs.position_stream(jobs.trades_from_orders(Fixtures.orders_from(ev, n_parts)))
-    elif args.job == "ohlc":
-        df = jobs.ohlc_stream(Fixtures.ticks_from(ev, n_parts))
+        steps = ordered.position_steps(jobs.trades_from_orders(orders), delay)
+    elif args.job == "orders":
+        steps = ordered.order_steps(orders, fx.account, fx.portfolio, fx.stock, delay)
     else:
-        steps = jobs.price_state_stream(Fixtures.ticks_from(ev, n_parts), fixtures(spark, args.sf_dir).stock)
-        df = jobs.audit_rows(steps) if args.job == "price-audit" else jobs.high_low_rows(steps)
-    q = jobs.start_to_parquet(df, args.out, f"cli-{args.job}", checkpoint=args.checkpoint,
-                              available_now=args.once)
+        steps = ordered.price_steps(ticks, fx.stock, delay)
+    q = ordered.start(steps, ordered.SplitSink(spark, args.out, args.job), f"cli-{args.job}", args.checkpoint, args.once)
     q.awaitTermination()
     return 0
 

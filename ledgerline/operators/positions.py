@@ -192,27 +192,6 @@ def trade_step(qty: int, avg: int, kind: str, q: int, p: int) -> tuple[int, int,
     return qty, (0 if qty == 0 else avg), "SOLD", realized
 
 
-def fold_position(pdf: pd.DataFrame, qty: int = 0, avg: int = 0, seq: int = 0):
-    """Fold the trades of one position (rows already in order) from a state.
-
-    Returns ``(steps_pdf, (qty, avg, seq))``; used by the streaming job, whose
-    state carries ``(qty, avg, seq)`` across micro-batches."""
-    n = len(pdf)
-    out = {"step": [0] * n, "status": [None] * n, "qty_after": [0] * n, "avg_cents_after": [0] * n,
-           "realized_cents": [0] * n}
-    for i, (kind, q, p) in enumerate(zip(pdf["type"].tolist(), pdf["quantity"].tolist(),
-                                         pdf["price_cents"].tolist())):
-        seq += 1
-        qty, avg, st, rc = trade_step(qty, avg, kind, q, p)
-        out["step"][i], out["status"][i], out["realized_cents"][i] = seq, st, rc
-        out["qty_after"][i], out["avg_cents_after"][i] = qty, avg
-    steps = pd.DataFrame({c: pdf[c].values for c in ("transaction_id", "user_id", "stock_ticker", "type",
-                                                     "quantity", "price_cents")})
-    for c, v in out.items():
-        steps[c] = v
-    return steps, (qty, avg, seq)
-
-
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fold the trades of each position in (ts, transaction_id) order.
 
@@ -389,17 +368,9 @@ def _apply_orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             for c, v in out.items()})
 
 
-def process_orders(orders: DataFrame, users: DataFrame, portfolio: DataFrame, stock: DataFrame) -> DataFrame:
-    """Q13 with state: every order judged by the cash and shares that the
-    user's earlier orders (by ts, order_id) left.
-
-    Malformed orders (quantity not a positive whole number, unknown type or
-    ticker, no price) are refused first and change nothing. A BUY needs the
-    cash, a SELL the shares; an accepted order books both. A user without an
-    account has no cash; sells need none. Orders are partitioned by user and
-    streamed in order: one user's orders depend on one another, so a task
-    holds that user's positions, but never more than a batch of orders.
-    """
+def order_rows(orders: DataFrame, users: DataFrame, portfolio: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The orders with what is wrong with them by themselves as ``status``
+    (turn 1), and the cash and positions before the first of them (turn 0)."""
     quantity = F.col("quantity")
     whole = quantity.isNotNull() & (quantity > 0) & (quantity.cast("double") == F.floor(quantity).cast("double"))
     kind = F.upper(F.col("type"))
@@ -418,7 +389,21 @@ def process_orders(orders: DataFrame, users: DataFrame, portfolio: DataFrame, st
                                (F.col("avg_price") * 100).cast("bigint").alias("price_cents"))
     cash = users.select(F.lit(0).alias("turn"), "user_id", F.lit(None).cast("string").alias("ticker"), F.lit("CASH").alias("type"),
                         F.lit(None).cast("bigint").alias("quantity"), (F.col("balance") * 100).cast("bigint").alias("price_cents"))
-    start = opening.unionByName(cash).withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
+    return o, opening.unionByName(cash).withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
+
+
+def process_orders(orders: DataFrame, users: DataFrame, portfolio: DataFrame, stock: DataFrame) -> DataFrame:
+    """Q13 with state: every order judged by the cash and shares that the
+    user's earlier orders (by ts, order_id) left.
+
+    Malformed orders (quantity not a positive whole number, unknown type or
+    ticker, no price) are refused first and change nothing. A BUY needs the
+    cash, a SELL the shares; an accepted order books both. A user without an
+    account has no cash; sells need none. Orders are partitioned by user and
+    streamed in order: one user's orders depend on one another, so a task
+    holds that user's positions, but never more than a batch of orders.
+    """
+    o, start = order_rows(orders, users, portfolio, stock)
     rows = o.unionByName(start).repartition("user_id").sortWithinPartitions("user_id", "turn", "ts", "order_id")
     return rows.drop("ts").mapInPandas(_apply_orders, ORDER_SCHEMA)
 

@@ -3,16 +3,18 @@ batch twins, with their SQL oracles."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import as_double
 from ledgerline.operators import market
+from ledgerline.operators.positions import processed_orders_table
 from ledgerline.plans.catalog import REGISTRY, Query, register
 from ledgerline.plans.queries_ledger import _REPLAY, _r2
 from ledgerline.session import scratch_path
-from ledgerline.streaming import jobs
+from ledgerline.streaming import jobs, ordered
 
 
 @register("price_audit", f"""
@@ -89,10 +91,26 @@ def _events(fx):
     return jobs.fixture_streams(fx.spark, fx.sf_dir, fx.n_parts)
 
 
-def _drained(fx, stream, name: str):
+#: How far behind the newest event a file may arrive; no file of the tables is.
+_DELAY = "60 days"
+
+
+def _steps(fx, steps, name: str, max_files_per_trigger: int | None = 64):
+    """``steps(orders, ticks)`` drained over the events, closed by a heartbeat; the on-time steps."""
     out = _folder(fx, name)
-    jobs.start_to_parquet(stream, f"{out}/rows", name, checkpoint=f"{out}/checkpoint").awaitTermination()
-    return fx.spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    beats = f"{out}/heartbeats"
+    ordered.ensure_folder(fx.spark, beats)
+
+    def build():
+        ev = jobs.event_stream(fx.spark, fx.sf_dir, max_files_per_trigger=max_files_per_trigger)
+        ev = ordered.with_heartbeats(ev, beats)
+        return steps(fx.orders_from(ev, fx.n_parts), fx.ticks_from(ev, fx.n_parts))
+
+    sink = ordered.SplitSink(fx.spark, f"{out}/tables", name)
+    ordered.drain(build, sink, f"{out}/checkpoint")
+    ordered.beat(fx.spark, beats, dt.datetime(9000, 1, 1))
+    ordered.drain(build, sink, f"{out}/checkpoint")
+    return sink.steps()
 
 
 _ORDER_TRADES = """FROM (SELECT lpad(CAST(order_id AS VARCHAR), 18, '0') AS transaction_id, user_id,
@@ -106,16 +124,25 @@ FROM r JOIN t ON r.user_id = t.user_id AND r.stock_ticker = t.stock_ticker AND r
 WHERE r.step > 0
 """)
 def _stream_positions(fx):
-    orders, _ = _events(fx)
-    return _drained(fx, jobs.position_stream(jobs.trades_from_orders(orders)), "positions")
+    rows = _steps(fx, lambda orders, _: ordered.position_steps(jobs.trades_from_orders(orders), _DELAY), "positions")
+    return rows.drop("ts")
+
+
+def _price_steps(fx):
+    return _steps(fx, lambda _, ticks: ordered.price_steps(ticks, fx.stock, _DELAY), "prices")
 
 
 def _stream_price_audit(fx):
-    return jobs.audit_rows(_drained(fx, jobs.price_state_stream(_events(fx)[1], fx.stock), "price-audit"))
+    return jobs.audit_rows(_price_steps(fx))
 
 
 def _stream_high_low(fx):
-    return jobs.high_low_rows(_drained(fx, jobs.price_state_stream(_events(fx)[1], fx.stock), "high-low"))
+    return jobs.high_low_rows(_price_steps(fx))
+
+
+def _stream_orders(fx):
+    rows = _steps(fx, lambda orders, _: ordered.order_steps(orders, fx.account, fx.portfolio, fx.stock, _DELAY), "orders")
+    return processed_orders_table(rows)
 
 
 def _stream_market_cap(fx):
@@ -136,6 +163,7 @@ def _stream_refresh(fx):
 # a stream has its batch twin's oracle
 for _name, _twin, _build in (("price_audit_stream", "price_audit", _stream_price_audit),
                              ("running_high_low_stream", "running_high_low", _stream_high_low),
+                             ("stream_orders", "process_orders", _stream_orders),
                              ("stream_market_cap", "market_cap_live", _stream_market_cap),
                              ("stream_refresh", "refresh_from_ticks", _stream_refresh)):
     REGISTRY[_name] = Query(_name, _build, REGISTRY[_twin].oracle)
@@ -151,10 +179,7 @@ def _stream_broker_counts(fx):
                    F.when(((F.col("s_suppkey") % 11) == 0) | (F.col("s_nationkey") >= 22), F.lit(None))
                    .otherwise(F.col("s_nationkey")).alias("brokerage_id")))
     out = _folder(fx, "broker-counts")
-    counts = jobs.broker_count_stream(new)
-    q = (counts.writeStream.outputMode("complete").trigger(availableNow=True)
-         .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows"))
-         .option("checkpointLocation", f"{out}/checkpoint").start())
+    q, versions = jobs.start_broker_counts(new, f"{out}/tables", checkpoint=f"{out}/checkpoint")
     q.awaitTermination()
-    rows = fx.spark.read.schema(counts.schema).parquet(f"{out}/rows")
+    rows = versions.read("broker_counts")
     return rows.withColumn("brokerage_id", F.col("brokerage_id").cast("bigint"))

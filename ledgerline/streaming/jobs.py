@@ -1,40 +1,33 @@
 """Structured Streaming forms of the trigger logic.
 
 Each job reads an append-only stream, keeps per-key state in the state store
-(RocksDB when configured) and writes to a sink; checkpoints live under the
-shared folder named by ``spark.checkpoint.dir``, so a restarted query resumes
-where it stopped. Every job has a batch twin in ``ledgerline.operators`` and,
-drained with ``availableNow``, produces the same rows, provided that files
-arrive in time order: the stateful handlers (T1-T4) sort within a micro-batch
-only. T5-T7 are free of order.
-
-* T1/T2 ``position_stream``: keyed by (user, ticker); state (qty, avg, step).
-* T3/T4 ``price_state_stream``: keyed by ticker; state (last price, count,
-  high, low); yields the audit rows and the running high/low.
-* T5/T7 ``ChangedRows``: latest tick per ticker kept by a streaming
-  aggregation; changed rows are appended, the latest per ticker is taken on read.
-* T6 ``broker_count_stream``: users per broker, a streaming aggregation.
+(RocksDB) and writes to a sink; checkpoints live under the shared folder named
+by ``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
+Every job has a batch twin in ``ledgerline.operators`` and, drained with
+``availableNow``, produces the same rows, in whatever order files arrive.
+
+* T1-T4 (positions, orders with cash, price audit, high and low) are in
+  ``ledgerline.streaming.ordered``.
+* T5/T7: latest tick per ticker kept by a streaming aggregation; changed rows
+  go to a compacted change log, the latest per ticker is taken on read.
+* T6 ``broker_count_stream``: users per broker, a streaming aggregation whose
+  result is a committed table version.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ledgerline import schemas
 from ledgerline.functions.exprs import as_double, pct_change, round2
-from ledgerline.operators.positions import fold_position, ledger_step_schema
 from ledgerline.session import scratch_path
 from ledgerline.sources.fixtures import Fixtures
 from ledgerline.sources.tables import upsert
+from ledgerline.sources.versions import ChangeLog, Versions
 
 # -- sources --------------------------------------------------------------------
 
@@ -43,10 +36,8 @@ def event_stream(spark: SparkSession, folder: str, file_glob: str = "events*.par
                  max_files_per_trigger: int | None = 64, watermark: str | None = None) -> DataFrame:
     """The ``events`` table as an append-only file stream.
 
-    Micro-batches are bounded (``max_files_per_trigger``): the stateful
-    handlers sort one key's rows of one micro-batch in memory, so the batch
-    bound is what bounds a hot key's group, including when a backlog is
-    drained. With ``watermark`` the zone-less ``ts`` is cast to TIMESTAMP
+    ``max_files_per_trigger`` bounds the work of a micro-batch, also while a
+    backlog is drained; no result depends on it. With ``watermark`` the zone-less ``ts`` is cast to TIMESTAMP
     (session zone UTC) and replayed events are dropped by ``event_id``
     within the watermark, so an at-least-once producer does not double-apply.
     """
@@ -65,21 +56,7 @@ def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
     return checkpoint or scratch_path(spark, os.path.join("streams", name))
 
 
-# -- T1 / T2: positions -------------------------------------------------------------
-
-_POSITION_STATE = T.StructType([T.StructField("qty", T.LongType()), T.StructField("avg", T.LongType()),
-                                T.StructField("seq", T.LongType())])
-
-
-def _position_handler(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Fold one position's trades of this micro-batch, in (ts, id) order,
-    starting from the stored state; a BUY re-weights the average, an
-    oversell is REJECTED and leaves the position unchanged (T2)."""
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "transaction_id"], kind="stable")
-    qty, avg, seq = state.get if state.exists else (0, 0, 0)
-    steps, (qty, avg, seq) = fold_position(rows, int(qty), int(avg), int(seq))
-    state.update((qty, avg, seq))
-    yield steps
+# -- T1-T4: rows from the steps that ledgerline.streaming.ordered computes ------------
 
 
 def trades_from_orders(orders: DataFrame) -> DataFrame:
@@ -88,82 +65,6 @@ def trades_from_orders(orders: DataFrame) -> DataFrame:
                          F.upper(F.trim("ticker")).alias("stock_ticker"), "type", "quantity", "price", "ts")
 
 
-def position_stream(trades: DataFrame) -> DataFrame:
-    """Streaming ledger replay, one output row per trade (the batch
-    twin is :func:`ledgerline.operators.positions.ledger_steps`)."""
-    t = trades.where(F.col("type").isin("BUY", "SELL") & (F.col("quantity") > 0))
-    t = t.select("transaction_id", "user_id", "stock_ticker", "type", "ts",
-                 F.col("quantity").cast("bigint").alias("quantity"),
-                 (F.col("price") * 100).cast("bigint").alias("price_cents"))
-    return t.groupBy("user_id", "stock_ticker").applyInPandasWithState(
-        _position_handler, ledger_step_schema(t), _POSITION_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-# -- T3 / T4: price audit and running high / low ------------------------------------
-
-PRICE_STEP_SCHEMA = T.StructType([
-    T.StructField("ticker", T.StringType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("price", T.DoubleType()),
-    T.StructField("old_price", T.DoubleType()),
-    T.StructField("changed", T.BooleanType()),
-    T.StructField("high_52", T.DoubleType()),
-    T.StructField("low_52", T.DoubleType()),
-])
-
-_PRICE_STATE = T.StructType([T.StructField("last", T.DoubleType()), T.StructField("n", T.LongType()),
-                             T.StructField("hi", T.DoubleType()), T.StructField("lo", T.DoubleType())])
-
-
-def _nan_to_none(x):
-    return None if x is None or x != x else float(x)
-
-
-def _price_handler(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Apply one ticker's ticks of this micro-batch in (ts, event_id) order.
-
-    State: last price, ticks seen, high, low. The first tick ever compares
-    with the stored stock price (``seed``). Prices are exact cents, so
-    holding them as doubles loses nothing."""
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    if state.exists:
-        last, n, hi, lo = state.get
-    else:
-        first = rows.iloc[0]
-        last, n = _nan_to_none(first["seed"]), 0
-        hi, lo = _nan_to_none(first["seed_high"]), _nan_to_none(first["seed_low"])
-    out = {"old_price": [], "changed": [], "high_52": [], "low_52": []}
-    for p in rows["price"].tolist():
-        p = _nan_to_none(p)
-        out["old_price"].append(last)
-        out["changed"].append(not (p == last or (p is None and last is None)))
-        if p is not None:
-            if p > 0 and (hi is None or p > hi):
-                hi = p
-            if lo is None or p < lo:
-                lo = p
-        out["high_52"].append(hi)
-        out["low_52"].append(lo)
-        last, n = p, n + 1
-    state.update((last, n, hi, lo))
-    res = rows[["ticker", "event_id", "ts", "price"]].copy()
-    for c, v in out.items():
-        res[c] = v
-    yield res
-
-
-def price_state_stream(ticks: DataFrame, stock: DataFrame) -> DataFrame:
-    """Per tick, the previous price, whether it changed, and the
-    running high/low (stream-static join with ``stock`` for the seeds; only
-    listed tickers, as the triggers fire on updates of stock rows)."""
-    seeds = stock.select("ticker", as_double("price").alias("seed"), as_double("high_52").alias("seed_high"),
-                         as_double("low_52").alias("seed_low"))
-    t = ticks.select("ticker", "event_id", "ts", as_double("price").alias("price")).join(seeds, "ticker")
-    return t.groupBy("ticker").applyInPandasWithState(
-        _price_handler, PRICE_STEP_SCHEMA, _PRICE_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def audit_rows(steps: DataFrame) -> DataFrame:
     """T3 output: audit rows of the price steps (twin: ``market.price_audit``)."""
     return steps.where("changed").select(
@@ -189,36 +90,9 @@ def latest_tick_state(ticks: DataFrame) -> DataFrame:
                     F.col("_r.ts").alias("ts"), F.col("_r.event_id").alias("event_id"))
 
 
-class ChangedRows:
-    """The rows that a streaming aggregation changed, appended batch by batch.
-
-    A micro-batch writes its own folder, so running it again replaces what it
-    wrote. The state of a ticker is its row of the last batch, taken when the
-    rows are read; nothing is ever rewritten."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(self.path, f"batch={batch_id}"))
-
-    def latest(self) -> DataFrame:
-        """One row per ticker; none while nothing was written."""
-        with_batch = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
-        try:
-            rows = self.spark.read.schema(with_batch).parquet(self.path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = self.spark.createDataFrame([], with_batch)
-        fields = [f for f in self.schema.names if f != "ticker"]
-        last = rows.groupBy("ticker").agg(F.max_by(F.struct(*fields), F.col("batch")).alias("_r"))
-        return last.select("ticker", *[F.col(f"_r.{f}").alias(f) for f in fields])
-
-
 def _start_changes(ticks: DataFrame, out_path: str, name: str, checkpoint: str | None, available_now: bool):
     state = latest_tick_state(ticks)
-    changes = ChangedRows(ticks.sparkSession, out_path, state.schema)
+    changes = ChangeLog(ticks.sparkSession, out_path, state.schema, ["ticker"])
     w = state.writeStream.outputMode("update").foreachBatch(changes.write) \
         .option("checkpointLocation", _checkpoint(ticks.sparkSession, name, checkpoint))
     w = w.trigger(availableNow=True) if available_now else w
@@ -231,7 +105,7 @@ def start_market_cap_stream(ticks: DataFrame, out_path: str, checkpoint: str | N
     return _start_changes(ticks, out_path, "market_cap", checkpoint, available_now)
 
 
-def live_market_cap(changes: ChangedRows, stock: DataFrame, market: DataFrame) -> DataFrame:
+def live_market_cap(changes: ChangeLog, stock: DataFrame, market: DataFrame) -> DataFrame:
     """Market caps with the changed prices and volumes applied (twin: ``market.market_cap_live``)."""
     latest = changes.latest()
     volume = F.col("_vol") if "volume" in latest.columns else F.lit(None)
@@ -249,7 +123,7 @@ def start_refresh_stream(ticks: DataFrame, out_path: str, checkpoint: str | None
     return _start_changes(ticks, out_path, "refresh", checkpoint, available_now)
 
 
-def refreshed_stock(changes: ChangedRows, stock: DataFrame) -> DataFrame:
+def refreshed_stock(changes: ChangeLog, stock: DataFrame) -> DataFrame:
     """The stock table with every listed ticker's latest tick price (twin: ``market.refresh_from_ticks``)."""
     changed = changes.latest().join(stock.select("ticker"), "ticker", "left_semi").select("ticker", "price")
     return upsert(stock, changed, ["ticker"], ["price"])
@@ -284,6 +158,18 @@ def broker_count_stream(new_users: DataFrame) -> DataFrame:
                     .agg(F.count("user_id").alias("user_count"))
 
 
+def start_broker_counts(new_users: DataFrame, out_path: str, checkpoint: str | None = None, available_now: bool = True):
+    """T6 to a table: each micro-batch commits all counts as the next version,
+    so a reader has the counts of one whole batch, also after a crash."""
+    spark = new_users.sparkSession
+    versions = Versions(spark, out_path)
+    w = (broker_count_stream(new_users).writeStream.outputMode("complete")
+         .foreachBatch(lambda df, batch_id: versions.replace({"broker_counts": df}, done=("broker_counts", batch_id)))
+         .option("checkpointLocation", _checkpoint(spark, "broker_counts", checkpoint)))
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start(), versions
+
+
 # -- running a job to a table ---------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import market, positions
+from ledgerline.operators import market
 from ledgerline.sources.fixtures import Fixtures
+from ledgerline.sources.versions import ChangeLog
 from ledgerline.streaming import jobs
 
 from conftest import SF_SMALL
@@ -19,45 +20,20 @@ def _same(a, b):
 
 @pytest.fixture(scope="module")
 def split_events(spark, tmp_path_factory):
-    """The events table split by time into 4 files, written in order, so a
-    file stream with maxFilesPerTrigger=1 replays it in 4 micro-batches."""
+    """The events table dealt at random into 6 files, so that every file
+    holds rows of all days."""
     d = str(tmp_path_factory.mktemp("events"))
     ev = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
-    bounds = [None, "2024-01-08", "2024-01-16", "2024-01-24", None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo:
-            cond &= F.col("ts") >= F.lit(lo).cast("timestamp_ntz")
-        if hi:
-            cond &= F.col("ts") < F.lit(hi).cast("timestamp_ntz")
-        ev.where(cond).coalesce(1).write.mode("append").parquet(d)
+    ev.repartition(6, F.xxhash64("event_id")).write.mode("append").parquet(d)
     return d
 
 
-def _streams(spark, d):
-    ev = jobs.event_stream(spark, d, file_glob="part-*.parquet", max_files_per_trigger=1)
+def _streams(spark, d, max_files=1):
+    ev = jobs.event_stream(spark, d, file_glob="part-*.parquet", max_files_per_trigger=max_files)
     n = Fixtures(spark, SF_SMALL).n_parts
     return Fixtures.orders_from(ev, n), Fixtures.ticks_from(ev, n)
 
 
-def test_position_stream_equals_ledger_steps(spark, fx, split_events):
-    orders, _ = _streams(spark, split_events)
-    q = jobs.run_to_table(jobs.position_stream(jobs.trades_from_orders(orders)), "t_pos")
-    q.awaitTermination()
-    assert q.lastProgress["batchId"] >= 3
-    twin = positions.ledger_steps(jobs.trades_from_orders(fx.order_requests))
-    _same(spark.table("t_pos"), twin)
-
-
-def test_price_stream_equals_audit_and_high_low(spark, fx, split_events):
-    _, ticks = _streams(spark, split_events)
-    q = jobs.run_to_table(jobs.price_state_stream(ticks, fx.stock), "t_px")
-    q.awaitTermination()
-    steps = spark.table("t_px")
-    _same(jobs.audit_rows(steps), market.price_audit(fx.ticks, fx.stock))
-    _same(jobs.high_low_rows(steps), market.running_high_low(fx.ticks, fx.stock))
-
-
 def test_market_cap_and_refresh_streams(spark, fx, split_events, tmp_path):
     _, ticks = _streams(spark, split_events)
     q, changes = jobs.start_market_cap_stream(ticks, str(tmp_path / "mcap"), checkpoint=str(tmp_path / "ck1"))
@@ -71,7 +47,7 @@ def test_market_cap_and_refresh_streams(spark, fx, split_events, tmp_path):
     _same(got, market.refresh_from_ticks(fx.stock, fx.ticks).select(*got.columns))
 
 
-def test_broker_count_stream(spark, fx):
+def test_broker_count_stream(spark, fx, tmp_path):
     sup = spark.read.parquet(os.path.join(SF_SMALL, "supplier.parquet"))
     s = spark.readStream.schema(sup.schema).option("pathGlobFilter", "supplier.parquet").parquet(SF_SMALL)
     new_users = Fixtures(spark, SF_SMALL).account  # same projection, applied to the stream below
@@ -80,37 +56,15 @@ def test_broker_count_stream(spark, fx):
                       .otherwise(F.col("s_nationkey")).alias("brokerage_id"))
     q = jobs.run_to_table(jobs.broker_count_stream(users), "t_bc", mode="complete")
     q.awaitTermination()
+    for _ in range(2):  # the second run on one checkpoint has nothing to add
+        q, versions = jobs.start_broker_counts(users, str(tmp_path / "tables"), checkpoint=str(tmp_path / "ck"))
+        q.awaitTermination()
+    assert versions.versions() == [1]
+    _same(versions.read("broker_counts"), spark.table("t_bc"))
     twin = new_users.where("brokerage_id IS NOT NULL").groupBy("brokerage_id").agg(F.count("user_id").alias("user_count"))
     _same(spark.table("t_bc"), twin)
 
 
-def test_replayed_file_is_not_applied_twice(spark, fx, tmp_path):
-    """At-least-once delivery: the first file arrives twice; with a watermark
-    the stream drops the replayed events and still equals the batch twin."""
-    d = str(tmp_path / "events")
-    ev = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
-    cut = F.lit("2024-01-16").cast("timestamp_ntz")
-    first, rest = ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut)
-    for part in (first, first, rest):
-        part.coalesce(1).write.mode("append").parquet(d)
-    stream = jobs.event_stream(spark, d, file_glob="part-*.parquet", max_files_per_trigger=1, watermark="30 days")
-    orders = Fixtures.orders_from(stream, fx.n_parts)
-    q = jobs.run_to_table(jobs.position_stream(jobs.trades_from_orders(orders)), "t_pos_dedup")
-    q.awaitTermination()
-    twin = positions.ledger_steps(jobs.trades_from_orders(fx.order_requests))
-    _same(spark.table("t_pos_dedup"), twin)
-
-
-def test_audit_stream_to_parquet_resumes(spark, fx, split_events, tmp_path):
-    """Exactly-once parquet sink: a second run on the same checkpoint adds nothing."""
-    out, ck = str(tmp_path / "audit"), str(tmp_path / "ck")
-    for _ in range(2):
-        _, ticks = _streams(spark, split_events)
-        q = jobs.start_to_parquet(jobs.audit_rows(jobs.price_state_stream(ticks, fx.stock)), out, "audit", checkpoint=ck)
-        q.awaitTermination()
-    _same(spark.read.parquet(out), market.price_audit(fx.ticks, fx.stock))
-
-
 def test_ohlc_stream_equals_daily_twin(spark, fx, split_events):
     _, ticks = _streams(spark, split_events)
     q = jobs.run_to_table(jobs.ohlc_stream(ticks), "t_ohlc", mode="complete")
@@ -119,7 +73,7 @@ def test_ohlc_stream_equals_daily_twin(spark, fx, split_events):
 
 
 def test_stock_before_the_first_batch(spark, fx, tmp_path):
-    changes = jobs.ChangedRows(spark, str(tmp_path / "never"), jobs.latest_tick_state(fx.ticks).schema)
+    changes = ChangeLog(spark, str(tmp_path / "never"), jobs.latest_tick_state(fx.ticks).schema, ["ticker"])
     _same(jobs.refreshed_stock(changes, fx.stock), fx.stock)
 
 
