@@ -21,6 +21,11 @@ counts of its words), so one exchange trains and looks up. The answers meet
 the slice's word list and give the scores. No n-gram is left out, however
 large the corpus is; only hashes, counts and levels are shuffled, no text.
 
+Memory is bounded by a slice (about ``HELD`` tokens) and a block (about
+``PER_BLOCK`` tokens' distinct n-grams). A text longer than ``PIECE`` is cut
+at white space into slices of its own, each led by the last token of the one
+before, and its parts' sums are added up.
+
 Words are identified by 64-bit hashes, pairs by their block and 48 further bits of theirs.
 
 Defined results: a null or empty text is its end token alone; a row without
@@ -31,6 +36,8 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,20 +49,21 @@ from ledgerline.llm.common import MIX_A, MIX_C, corpus_bytes, id_key, id_value,
 
 #: A byte that no UTF-8 text holds: the token at a text's end, and the context of its first word.
 END = xxhash.xxh3_64_intdigest(b"\xff")
+_BLANK = re.compile(rb"\s")
 ADDED = 0.1
 #: Strength of the word probabilities against a context's counts.
 MU = 500.0
 
-#: Limits of an earlier model; nothing is bounded by them any more (tests still set them).
-MAX_BITS = HEAD_WORDS = None
 #: Bits of a segment for every level of every n-gram in it.
 BITS_PER_ENTRY = 8
 PROBES = 4
 BYTES_PER_WORD = 6
 #: Tokens of the corpus per block, about.
-PER_BLOCK = 1 << 20
-#: Tokens of a slice, about.
-HELD = 1 << 21
+PER_BLOCK = 1 << 22
+#: Tokens of a slice, about: few enough that most slices number their words in two bytes.
+HELD = 1 << 18
+#: Text bytes tokenised at once.
+PIECE = 1 << 20
 
 
 def held_out(id_column: Column) -> Column:
@@ -88,7 +96,7 @@ def level_mean(level: np.ndarray) -> np.ndarray:
 
 def positions(keys: np.ndarray, level: int, segment_bits: int):
     """For each probe, the bit inside the n-gram's segment."""
-    g = mix(keys + MIX_C * np.uint64(level))
+    g = mix(keys + np.uint64(int(MIX_C) * level % (1 << 64)))
     step = (g >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
         yield ((g + np.uint64(i) * step) % np.uint64(segment_bits)).astype(np.int64)
@@ -125,37 +133,6 @@ class Segment:
         return out
 
 
-class FilterTable:
-    """All segments (``block, bits``); they stay where they are and n-grams go to them."""
-
-    def __init__(self, segments: DataFrame, n_blocks: int):
-        self.segments, self.n_blocks = segments, n_blocks
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """The levels of a few n-grams."""
-        found = pa.schema([("at", pa.int64()), ("level", pa.int64())])
-
-        def probe(asked, own):
-            if not own.num_rows:
-                return found.empty_table()
-            segment = Segment(np.frombuffer(own.column("bits")[0].as_py(), np.uint8))
-            level = segment.level(asked.column("key").to_numpy().view(np.uint64) >> np.uint64(16))
-            return pa.Table.from_arrays([asked.column("at"), pa.array(level)], schema=found)
-
-        rows = zip((keys % np.uint64(self.n_blocks)).tolist(), range(len(keys)), keys.view(np.int64).tolist())
-        asked = self.segments.sparkSession.createDataFrame(list(rows), "block long, at long, key long")
-        out = np.zeros(len(keys), np.int64)
-        for at, level in (asked.groupBy("block").cogroup(self.segments.groupBy("block"))
-                          .applyInArrow(probe, "at long, level long").collect()):
-            out[at] = level
-        return out
-
-
-class LanguageModel:
-    def __init__(self, filter_: FilterTable, n_tokens: int, n_words: int):
-        self.filter, self.n_tokens, self.n_words = filter_, n_tokens, n_words
-
-
 def mass(n_tokens: int, n_words: int) -> float:
     return n_tokens + ADDED * (n_words + 1)
 
@@ -193,68 +170,138 @@ def blocks(n_bytes: int) -> int:
     return 1 << max(3, (n_bytes // (BYTES_PER_WORD * PER_BLOCK)).bit_length())
 
 
-#: What a slice sends to a block, what a block answers, and what a slice must know of its texts.
-ASKED = ("words", "word_counts", "pairs", "pair_counts")
-ANSWERED = ("word_counts", "word_levels", "pair_levels")
-KNOWN = ("keys", "held", "tokens", "vocabulary", "at")
+def pack(*arrays: bytes) -> bytes:
+    return b"".join([np.array([len(arrays), *map(len, arrays)], "<u4").tobytes(), *arrays])
+
+
+def unpack(data: bytes) -> list[bytes]:
+    """The arrays back from :func:`pack`."""
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends.tolist()], ends.tolist())]
+
 
+def pieces(text: bytes, size: int = PIECE):
+    """The text cut at white space into pieces of about ``size`` bytes."""
+    at = 0
+    while len(text) - at > size:
+        cut = _BLANK.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:]
 
-def slices(docs: DataFrame, held: Column, n_blocks: int, id_col: str | None, text_col: str) -> DataFrame:
-    """``block, slice`` and ``ASKED`` of every slice for every block, and under
-    a negative block once per slice ``KNOWN``."""
-    schema = pa.schema([("block", pa.int64()), ("slice", pa.int64()), *((c, pa.binary()) for c in ASKED + KNOWN)])
 
-    def packed(waiting, number):
-        tokens, counts, keys, is_held = (np.concatenate(x) for x in zip(*waiting))
-        training = np.repeat(~is_held, counts)
-        vocabulary, at = np.unique(tokens, return_inverse=True)
-        pairs, pair_at = np.unique(pair_hashes(tokens), return_inverse=True)
-        sent = {}
-        for name, own, where, spread in (("word", vocabulary, at, mix(vocabulary)), ("pair", pairs, pair_at, pairs)):
+class Slice:
+    """Parts of texts whose tokens follow one another: hashes of all tokens,
+    and for each part its row, id, whether that is held out, its number of
+    tokens and whether the first of them only leads (it is the last token of
+    the part before, in another slice)."""
+
+    def __init__(self, tokens, rows, keys, held, counts, leads):
+        self.tokens, self.rows, self.keys, self.held, self.counts, self.leads = tokens, rows, keys, held, counts, leads
+        self.begin = np.cumsum(counts) - counts
+
+    @classmethod
+    def of(cls, parts: list[tuple]) -> Slice:
+        return cls(*(np.concatenate(x) for x in zip(*parts)))
+
+    def own(self) -> np.ndarray:
+        """Which tokens are the parts' own."""
+        out = np.ones(len(self.tokens), bool)
+        out[self.begin[self.leads]] = False
+        return out
+
+    def sent(self, n_blocks: int) -> tuple[list[bytes], bytes]:
+        """What goes to each block, and what is needed to score the slice when the answers are there."""
+        training = np.repeat(~self.held, self.counts) & self.own()
+        vocabulary, at = np.unique(self.tokens, return_inverse=True)
+        distinct, pair_at = np.unique(pair_hashes(self.tokens), return_inverse=True)
+        columns = []
+        for own, where, spread in ((vocabulary, at, mix(vocabulary)), (distinct, pair_at, distinct)):
             times = np.bincount(where[training], minlength=len(own))
             order, bounds = by_block(spread, n_blocks)
-            own, times = own[order], times[order]
-            own = in_block(own) if name == "pair" else own
-            sent[f"{name}s"] = [own[s:e].tobytes() for s, e in zip(bounds, bounds[1:])]
-            sent[f"{name}_counts"] = [narrow(times[s:e]) for s, e in zip(bounds, bounds[1:])]
-        known = {"keys": keys.tobytes(), "held": is_held.tobytes(), "tokens": narrow(counts),
-                 "vocabulary": vocabulary.tobytes(), "at": narrow(at)}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(n_blocks)), pa.array(np.full(n_blocks, number))]
-            + [pa.array(sent.get(c, [b""] * n_blocks), pa.binary()) for c in ASKED + KNOWN], schema=schema)
+            keys, times = (in_block(own) if own is distinct else own)[order], times[order]
+            columns.append([keys[s:e].tobytes() for s, e in zip(bounds, bounds[1:])])
+            columns.append([narrow(times[s:e]) for s, e in zip(bounds, bounds[1:])])
+        known = pack(self.rows.tobytes(), self.keys.tobytes(), self.held.tobytes(), self.leads.tobytes(), narrow(self.counts),
+                     vocabulary.tobytes(), narrow(at))
+        return [pack(*own) for own in zip(*columns)], known
+
+    @classmethod
+    def known(cls, data: bytes) -> tuple[Slice, np.ndarray, np.ndarray]:
+        """The slice back from what :meth:`sent` kept of it, its vocabulary, and each token's place in that."""
+        rows, keys, held, leads, counts, vocabulary, at = unpack(data)
+        rows, vocabulary = np.frombuffer(rows, np.int64), np.frombuffer(vocabulary, np.uint64)
+        counts = widened(counts, len(rows))
+        at = np.frombuffer(at, f"u{len(at) // int(counts.sum())}")
+        return cls(vocabulary[at], rows, np.frombuffer(keys, np.int64), np.frombuffer(held, bool), counts,
+                   np.frombuffer(leads, bool)), vocabulary, at
+
+
+def slices(docs: DataFrame, held: Column, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
+    """``block, slice, data``: a row of every slice for every block, and under
+    a negative block one of every slice with what is known of it."""
+    schema = pa.schema([("block", pa.int64()), ("slice", pa.int64()), ("data", pa.binary())])
+
+    def rows_of(part: Slice, number: int):
+        sent, known = part.sent(n_blocks)
         via = -1 - int(mix(np.array([number], np.uint64))[0] % np.uint64(n_blocks))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([via]), pa.array([number])] + [pa.array([known.get(c, b"")], pa.binary()) for c in ASKED + KNOWN],
-            schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(n_blocks), via]), pa.array([number] * (n_blocks + 1)),
+                                          pa.array([*sent, known], pa.binary())], schema=schema)
+
+    def long_text(text: bytes, row, key, is_held):
+        """The parts of a long text, each a slice of its own; the first is led by an end."""
+        before, leads = np.array([END], np.uint64), np.ones(1, bool)
+        for piece in pieces(text):
+            tokens = np.concatenate([before, token_hashes([piece])[0][:-1]])
+            if len(tokens) > 1:
+                yield tokens, row, key, is_held, np.array([len(tokens)]), leads
+                before = tokens[-1:]
+        yield np.array([before[0], END], np.uint64), row, key, is_held, np.array([2]), leads
 
     def read(batches):
-        number, n_held, waiting = TaskContext.get().partitionId() << 32, 0, []
+        first = TaskContext.get().partitionId() << 40
+        number, row, n_held, waiting = TaskContext.get().partitionId() << 32, first, 0, []
         for batch in batches:
-            for part in slices_of(batch, "text", 4 << 20):
-                tokens, counts = token_hashes(texts_as_bytes(part.column("text")))
-                waiting.append((tokens, counts, part.column("key").to_numpy(),
-                                part.column("held").to_numpy(zero_copy_only=False)))
-                n_held += len(tokens)
-                if n_held > HELD:
-                    yield from packed(waiting, number)
+            for part in slices_of(batch, "text", PIECE):
+                texts, n = texts_as_bytes(part.column("text")), part.num_rows
+                rows, keys = np.arange(row, row + n), part.column("key").to_numpy()
+                is_held = part.column("held").to_numpy(zero_copy_only=False)
+                row += n
+                if max(map(len, texts)) > PIECE:
+                    parts = [p for i in range(n) for p in long_text(texts[i], rows[i:i + 1], keys[i:i + 1], is_held[i:i + 1])]
+                    apart = True
+                else:
+                    tokens, counts = token_hashes(texts)
+                    parts, apart = [(tokens, rows, keys, is_held, counts, np.zeros(n, bool))], False
+                for own in parts:
+                    if n_held and (apart or n_held > HELD):
+                        yield from rows_of(Slice.of(waiting), number)
+                        number, n_held, waiting = number + 1, 0, []
+                    waiting.append(own)
+                    n_held += len(own[0])
+                if apart:
+                    yield from rows_of(Slice.of(waiting), number)
                     number, n_held, waiting = number + 1, 0, []
         if n_held:
-            yield from packed(waiting, number)
+            yield from rows_of(Slice.of(waiting), number)
 
-    rows = docs.select(id_key(F.col(id_col) if id_col else F.lit(None)).alias("key"), held.alias("held"),
+    rows = docs.select(id_key(F.col(id_col)).alias("key"), held.alias("held"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(read, "block long, slice long, " + ", ".join(f"{c} binary" for c in ASKED + KNOWN))
+    return rows.mapInArrow(read, "block long, slice long, data binary")
 
 
 class Block:
     """The exact sums of what the slices sent to a block, and its segment."""
 
-    def __init__(self, group: pa.Table):
+    def __init__(self, sent: list[bytes]):
+        columns = list(zip(*map(unpack, sent)))
         self.at, self.counts, sums = {}, {}, []
-        for name in ("word", "pair"):
-            keys = [np.frombuffer(b, np.uint64) if name == "word" else from_block(b)
-                    for b in group.column(f"{name}s").to_pylist()]
-            times = [widened(b, len(k)) for b, k in zip(group.column(f"{name}_counts").to_pylist(), keys)]
+        for name, keys, times in (("word", *columns[:2]), ("pair", *columns[2:])):
+            keys = [np.frombuffer(b, np.uint64) if name == "word" else from_block(b) for b in keys]
+            times = [widened(b, len(k)) for b, k in zip(times, keys)]
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             self.counts[name] = np.zeros(len(distinct), np.int64)
             np.add.at(self.counts[name], at, np.concatenate(times))
@@ -264,22 +311,11 @@ class Block:
         self.segment = Segment.of(np.concatenate(sums), np.concatenate(list(self.counts.values())))
         self.n, self.total = int((self.counts["word"] > 0).sum()), int(self.counts["word"].sum())
 
-
-def train(training: DataFrame, n_bytes: int, text_col: str = "text") -> tuple[LanguageModel, DataFrame]:
-    """The model of all rows, and its table of segments (``block, n, total, bits``)."""
-    n_blocks = blocks(n_bytes)
-    out = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("bits", pa.binary())])
-
-    def merge(key, group):
-        block = Block(group)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([block.n]), pa.array([block.total]),
-                                     pa.array([block.segment.bits.tobytes()], pa.binary())], schema=out)
-
-    sent = slices(training, F.lit(False), n_blocks, None, text_col)
-    segments = (sent.where("block >= 0").groupBy("block")
-                .applyInArrow(merge, "block long, n long, total long, bits binary").checkpoint())
-    n_words, n_tokens = segments.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    return LanguageModel(FilterTable(segments.select("block", "bits"), n_blocks), n_tokens, n_words), segments
+    def answers(self) -> list[bytes]:
+        """For every slice the exact counts of its words and the levels of its words and pairs."""
+        level = {name: self.segment.level(self.spread[name]).astype(np.uint8) for name in self.spread}
+        return [pack(narrow(self.counts["word"][w]), level["word"][w].tobytes(), level["pair"][p].tobytes())
+                for w, p in zip(self.at["word"], self.at["pair"])]
 
 
 def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,69 +323,60 @@ def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held_out, n_tokens, n_known, train_tokens, base_score`` (exact unigrams)
     and ``score`` (the filter's bigrams)."""
     n_blocks = blocks(corpus_bytes(docs, text_col))
-    more = tuple(dict.fromkeys(ANSWERED + KNOWN))
-    answers = pa.schema([("slice", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("total", pa.int64()),
-                         *((c, pa.binary()) for c in more)])
+    answers = pa.schema([("slice", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("data", pa.binary())])
 
     def answer(key, group):
+        n = total = 0
+        data = group.column("data")
+        if key[0].as_py() >= 0:
+            block = Block(data.to_pylist())
+            n, total, data = block.n, block.total, pa.array(block.answers(), pa.binary())
         rows = group.num_rows
-        if key[0].as_py() < 0:
-            n = total = 0
-            own = {c: group.column(c) for c in KNOWN}
-        else:
-            block = Block(group)
-            n, total = block.n, block.total
-            own = {"word_counts": [narrow(block.counts["word"][at]) for at in block.at["word"]]}
-            for name in ("word", "pair"):
-                level = block.segment.level(block.spread[name]).astype(np.uint8)
-                own[f"{name}_levels"] = [level[at].tobytes() for at in block.at[name]]
-        nothing = [b""] * rows
-        columns = [own.get(c, nothing) for c in more]
-        return pa.Table.from_arrays(
-            [group.column("slice"), group.column("block"), pa.array([n] * rows, pa.int64()),
-             pa.array([total] * rows, pa.int64())]
-            + [c if isinstance(c, pa.ChunkedArray) else pa.array(c, pa.binary()) for c in columns], schema=answers)
+        return pa.Table.from_arrays([group.column("slice"), group.column("block"), pa.array([n] * rows, pa.int64()),
+                                     pa.array([total] * rows, pa.int64()), data], schema=answers)
 
-    result = pa.schema([("key", pa.int64()), ("held", pa.bool_()), ("tokens", pa.int64()), ("known", pa.int64()),
+    result = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("held", pa.bool_()), ("tokens", pa.int64()), ("known", pa.int64()),
                         ("train", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def assemble(group):
         group = group.sort_by("block")  # what the slice knows is first
         n_tokens = sum(group.column("total").to_pylist())
         whole = mass(n_tokens, sum(group.column("n").to_pylist()))
-        share = np.log10(whole)
-        known = {c: group.column(c)[0].as_py() for c in KNOWN}
-        keys, vocabulary = np.frombuffer(known["keys"], np.int64), np.frombuffer(known["vocabulary"], np.uint64)
-        counts = widened(known["tokens"], len(keys))
-        at = widened(known["at"], int(counts.sum()))
-        tokens = vocabulary[at]
-        pairs, pair_at = np.unique(pair_hashes(tokens), return_inverse=True)
+        data = group.column("data").to_pylist()
+        part, vocabulary, at = Slice.known(data[0])
+        distinct, pair_at = np.unique(pair_hashes(part.tokens), return_inverse=True)
+        counts_of, word_levels, pair_levels = zip(*map(unpack, data[1:]))
         by_word, bounds = by_block(mix(vocabulary), n_blocks)
-        parts = group.column("word_counts").to_pylist()[1:]
         times = np.empty(len(vocabulary), np.int64)
-        times[by_word] = np.concatenate([widened(b, e - s) for b, s, e in zip(parts, bounds, bounds[1:])])
-        levels_of = {}
-        for name, order in (("word", by_word), ("pair", by_block(pairs, n_blocks)[0])):
+        times[by_word] = np.concatenate([widened(b, e - s) for b, s, e in zip(counts_of, bounds, bounds[1:])])
+        mean = []
+        for order, found in ((by_word, word_levels), (by_block(distinct, n_blocks)[0], pair_levels)):
             level = np.empty(len(order), np.int64)
-            level[order] = np.frombuffer(b"".join(group.column(f"{name}_levels").to_pylist()), np.uint8)
-            levels_of[name] = level_mean(level)
-        own = levels_of["word"][at]
-        before = np.concatenate([levels_of["word"][vocabulary == np.uint64(END)], own[:-1]])
-        both = np.minimum(levels_of["pair"][pair_at], before)
+            level[order] = np.frombuffer(b"".join(found), np.uint8)
+            mean.append(level_mean(level))
+        own = mean[0][at]
+        # in front of a slice's first token stands an end; in a slice without one the first token only leads
+        start = mean[0][vocabulary == np.uint64(END)]
+        before = np.concatenate([start if len(start) else [0.0], own[:-1]])
+        both = np.minimum(mean[1][pair_at], before)
         score = np.log10((both + MU * (own + ADDED) / whole) / (before + MU))
-        begin = np.cumsum(counts) - counts
+        counted = part.own()
+        base = (np.log10(times + ADDED) - np.log10(whole))[at]
+
+        def summed(x):
+            return pa.array(np.add.reduceat(np.where(counted, x, 0), part.begin))
+
         return pa.Table.from_arrays(
-            [pa.array(keys), pa.array(np.frombuffer(known["held"], bool)), pa.array(counts),
-             pa.array(np.add.reduceat((times > 0).astype(np.int64)[at], begin)),
-             pa.array(np.full(len(keys), n_tokens, np.int64)),
-             pa.array(np.add.reduceat((np.log10(times + ADDED) - share)[at], begin)),
-             pa.array(np.add.reduceat(score, begin))], schema=result)
+            [pa.array(part.rows), pa.array(part.keys), pa.array(part.held), summed(np.ones(len(at), np.int64)),
+             summed((times > 0).astype(np.int64)[at]), pa.array(np.full(len(part.rows), n_tokens, np.int64)), summed(base), summed(score)],
+            schema=result)
 
     sent = slices(docs, held_out(F.col(id_col)), n_blocks, id_col, text_col)
-    answered = sent.groupBy("block").applyInArrow(answer, "slice long, block long, n long, total long, "
-                                                  + ", ".join(f"{c} binary" for c in more))
-    whole = answered.groupBy("slice").applyInArrow(
-        assemble, "key long, held boolean, tokens long, known long, train long, base double, score double")
+    answered = sent.groupBy("block").applyInArrow(answer, "slice long, block long, n long, total long, data binary")
+    parts = answered.groupBy("slice").applyInArrow(
+        assemble, "row long, key long, held boolean, tokens long, known long, train long, base double, score double")
+    # only the parts of very long texts add up; the others are one each
+    whole = parts.groupBy("row", "key", "held", "train").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")])
     return whole.select(id_value(F.col("key")).alias(id_col), F.col("held").alias("held_out"),
                         F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
                         F.col("train").alias("train_tokens"), F.col("base").alias("base_score"), "score")

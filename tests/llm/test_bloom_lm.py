@@ -1,11 +1,15 @@
 import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
-from brute_force import documents, edge_rows, made_up, unigram_rows
+from brute_force import documents, edge_rows, lowered, made_up, unigram_rows
 
 import ledgerline.llm.bloom_lm as lm
 
+END = b"\xff"
+
 
 def checked(spark, rows):
     got = sorted(lm.score_held_out(documents(spark, rows)).collect(), key=repr)
@@ -26,36 +30,91 @@ def test_exact_columns_on_edge_rows(spark):
     checked(spark, edge_rows())
 
 
-def test_rare_words_are_looked_up_exactly(spark, monkeypatch):
-    monkeypatch.setattr(lm, "HEAD_WORDS", 20)
+def bigram_scores(rows):
+    """(id, tokens, score) by the same smoothing with exact counts instead of levels."""
+    train = [lowered(t).encode().split() for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10]
+    words, pairs = Counter(), Counter()
+    for own in train:
+        words.update([*own, END])
+        pairs.update(zip([END, *own], [*own, END]))
+    whole = sum(words.values()) + 0.1 * (len(words) + 1)
+    out = []
+    for i, t in rows:
+        own = lowered(t).encode().split()
+        score = sum(math.log10((pairs[u, w] + lm.MU * (words[w] + 0.1) / whole) / (words[u] + lm.MU))
+                    for u, w in zip([END, *own], [*own, END]))
+        out.append((repr(i), len(own) + 1, score))
+    return sorted(out)
+
+
+def test_score_is_near_that_of_exact_counts(spark):
+    """A count stands for its level's mean, at most a factor of two off, so a
+    token's score is at most log10(4) off and far less on the whole."""
     rng = random.Random(4)
-    checked(spark, [(i, made_up(rng, rng.randrange(0, 80), 300)) for i in range(200)])
-
-
-def test_filter_returns_every_level(spark):
+    templates = [made_up(rng, 15, 500).split() for _ in range(30)]
+    rows = [(i, " ".join(w for _ in range(rng.randrange(0, 8)) for w in rng.choice(templates))) for i in range(300)] + edge_rows()
+    got = sorted((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score_held_out(documents(spark, rows)).collect())
+    want = bigram_scores(rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for (_, n, score), (_, _, exact) in zip(got, want):
+        assert abs(score - exact) <= n * math.log10(4)
+    assert abs(sum(g[2] for g in got) - sum(w[2] for w in want)) < 0.03 * -sum(w[2] for w in want)
+
+
+def answered(text, n_blocks):
+    """What the blocks answer to one slice that holds the text: exact counts and levels in the slice's order."""
+    tokens, counts = lm.token_hashes([text.encode()])
+    one = np.zeros(1, np.int64)
+    part = lm.Slice.of([(tokens, one, one, np.zeros(1, bool), counts, np.zeros(1, bool))])
+    sent, known = part.sent(n_blocks)
+    blocks = [lm.Block([own]) for own in sent]
+    back, vocabulary, at = lm.Slice.known(known)
+    assert (back.tokens == tokens).all()
+    return tokens, blocks
+
+
+def test_filter_returns_every_level():
     """No false negatives: a held n-gram's level is never below its own; few are above."""
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(500)]
     text = " ".join(rng.choice(words, 20_000, p=np.arange(500, 0, -1) / np.arange(501).sum()))
-    docs = documents(spark, [(3, text)])
-    n_bytes = len(text)
-    model, _ = lm.train(docs, n_bytes)
-    tokens, _ = lm.token_hashes([text.encode()])
-    for hashes, spread in ((tokens, lm.mix), (lm.pair_hashes(tokens), lambda x: x)):
-        keys, counts = np.unique(hashes, return_counts=True)
-        found = model.filter.level(spread(keys))
-        assert (found >= lm.levels(counts)).all() and (found > lm.levels(counts)).mean() < 0.05
-    strange = lm.mix(np.arange(1, 5000, dtype=np.uint64))
-    assert (model.filter.level(strange) > 0).mean() < 0.05
-
-
-def test_small_filter_drops_only_the_rarest_levels(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MAX_BITS", 1 << 16)
-    rng = random.Random(6)
-    text = made_up(rng, 4000, 800) + " often often often" * 300
-    model, _ = lm.train(documents(spark, [(1, text)]), len(text) * 1000)
-    tokens, _ = lm.token_hashes([b"often often"])
-    assert model.filter.level(lm.pair_hashes(tokens))[1] >= 8
+    tokens, blocks = answered(text, 4)
+    found = 0
+    for block in blocks:
+        for name in ("word", "pair"):
+            level = block.segment.level(block.spread[name])
+            assert (level >= lm.levels(block.counts[name])).all()
+            assert (level > lm.levels(block.counts[name])).mean() < 0.05
+            found += int(block.counts[name].sum())
+        strange = lm.mix(np.arange(1, 5000, dtype=np.uint64)) >> np.uint64(16)
+        assert (block.segment.level(strange) > 0).mean() < 0.05
+    assert found == 2 * len(tokens)
+
+
+def test_segments_grow_with_what_is_found():
+    small, large = (answered(made_up(random.Random(8), n, 50_000), 1)[1][0] for n in (600, 60_000))
+    assert len(large.segment.bits) > 50 * len(small.segment.bits)
+    assert (large.segment.level(large.spread["pair"]) >= 1).all()
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    """A text cut into slices of its own scores as in one slice."""
+    rng = random.Random(11)
+    rows = [(i, made_up(rng, rng.randrange(0, 60), 100)) for i in range(40)]
+    rows += [(100, made_up(rng, 3000, 100)), (100, " " * 5000), (None, made_up(rng, 2000, 100) + " " * 900), (102, "x" * 4000 + " y"), (103, "")]
+    whole = checked(spark, rows)
+    monkeypatch.setattr(lm, "PIECE", 700)
+    monkeypatch.setattr(lm.pieces, "__defaults__", (700,))
+    parts = checked(spark, rows)
+    by = lambda r: (repr(r["doc_id"]), r["n_tokens"], r["base_score"])
+    for a, b in zip(sorted(whole, key=by), sorted(parts, key=by)):
+        assert a["n_tokens"] == b["n_tokens"] and math.isclose(a["score"], b["score"], rel_tol=1e-9)
+
+
+def test_packing():
+    arrays = [b"", b"abc", bytes(1000)]
+    assert lm.unpack(lm.pack(*arrays)) == arrays and lm.unpack(lm.pack()) == []
+    assert b"".join(lm.pieces(b"aa bb cc" * 50, 7)) == b"aa bb cc" * 50
 
 
 def test_model_beats_unigrams_on_held_out_text(spark):
@@ -68,7 +127,7 @@ def test_model_beats_unigrams_on_held_out_text(spark):
 
 
 def test_without_training_documents_and_empty_table(spark):
-    held = [i for i in range(200) if lm.xxhash and __import__("zlib").crc32(str(i).encode()) % 10 == 0][:3]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     got = lm.score_held_out(documents(spark, [(i, "a b") for i in held])).collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(0, 0, 0.0)] * len(held)
     assert lm.score_held_out(documents(spark, [])).collect() == []
@@ -79,16 +138,6 @@ def test_levels():
     assert lm.level_mean(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
 
 
-def test_rare_n_grams_of_a_large_corpus_are_kept(spark, monkeypatch):
-    """However small the old limit and large the corpus is said to be: no word and no pair reads 0."""
-    monkeypatch.setattr(lm, "MAX_BITS", 1 << 16)
-    text = made_up(random.Random(8), 6000, 5000)
-    model, _ = lm.train(documents(spark, [(1, text)]), len(text) * 1000)
-    tokens, _ = lm.token_hashes([text.encode()])
-    for hashes in (lm.mix(tokens), lm.pair_hashes(tokens)):
-        assert (model.filter.level(hashes) >= 1).all()
-
-
 def test_scores_do_not_depend_on_slices_and_blocks(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, made_up(rng, rng.randrange(0, 90), 200)) for i in range(150)] + edge_rows()
