@@ -2,8 +2,8 @@
 fact since Spark does not enforce them on write.
 
 Every check returns violating rows as ``(table, rule, key, value)`` strings;
-an empty result means the table satisfies the rule. Checks are plain
-aggregations, anti joins and filters, so they scale with the tables.
+an empty result means the table satisfies the rule. K1 is one aggregation and
+K2 one anti join over all tables; the others are filters in one pass a table.
 """
 
 from __future__ import annotations
@@ -33,37 +33,73 @@ def _union(parts: list[DataFrame], spark_df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _values(cols) -> Column:
+    """Key values as text, kept apart: equal exactly where all of them are."""
+    return F.array(*[F.col(c).cast("string") for c in cols])
+
+
+def _shown(values: str) -> Column:
+    return F.array_join(F.col(values), "|", "NULL")
+
+
 def check_primary_keys(tables: dict[str, DataFrame], constraints=CONSTRAINTS) -> DataFrame:
-    """K1: duplicate or null primary keys, and duplicate UNIQUE values."""
+    """K1: duplicate or null primary keys, and duplicate UNIQUE values.
+
+    Every row tells its key under each rule of its table, and all rules of
+    all tables are one aggregation, so a table is read once and the counts
+    meet in one exchange, combined map-side. Rows with a null in the primary
+    key are counted in groups of bounded size and told one by one."""
     parts = []
     for name, spec in constraints.items():
         if name not in tables:
             continue
-        df = tables[name]
-        groups = [("primary_key", spec["pk"])] + [("unique:" + ",".join(u), u) for u in spec.get("unique", [])]
-        for rule, cols in groups:
-            dup = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])) \
-                    .groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-            parts.append(_out(dup, name, rule + ":duplicate", _key(cols), F.col("_n")))
-        nulls = df.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in spec["pk"]]))
-        parts.append(_out(nulls, name, "primary_key:null", _key(spec["pk"]), F.lit(None)))
-    return _union(parts, next(iter(tables.values())))
+        pk = spec["pk"]
+        groups = [("primary_key", pk)] + [("unique:" + ",".join(u), u) for u in spec.get("unique", [])]
+        whole = {rule: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]) for rule, cols in groups}
+        group = F.shiftright(F.monotonically_increasing_id(), 16).cast("long")
+        told = [F.when(whole[rule], F.struct(F.lit(rule + ":duplicate").alias("rule"), _values(cols).alias("values"),
+                                             F.lit(0).cast("long").alias("group"))) for rule, cols in groups]
+        told.append(F.when(~whole["primary_key"], F.struct(F.lit("primary_key:null").alias("rule"), _values(pk).alias("values"), group.alias("group"))))
+        row = tables[name].select(F.explode(F.array_compact(F.array(*told))).alias("t"))
+        parts.append(row.select(F.lit(name).alias("table"), "t.*"))
+    if not parts:
+        return _union([], next(iter(tables.values())))
+    n = reduce(DataFrame.unionByName, parts).groupBy("table", "rule", "values", "group").agg(F.count(F.lit(1)).alias("n"))
+    null = F.col("rule") == "primary_key:null"
+    times = F.when(null, F.sequence(F.lit(1).cast("long"), F.col("n"))).otherwise(F.array(F.col("n")))
+    return n.where(null | (F.col("n") > 1)).select(
+        "table", "rule", _shown("values").alias("key"), F.explode(times).alias("_n")).select(
+        "table", "rule", "key", F.when(F.col("rule") != "primary_key:null", F.col("_n")).cast("string").alias("value"))
 
 
 def check_foreign_keys(tables: dict[str, DataFrame], constraints=CONSTRAINTS) -> DataFrame:
-    """K2: orphans - non-null foreign keys with no parent row."""
-    parts = []
+    """K2: orphans - non-null foreign keys with no parent row.
+
+    All references of all tables are one side of one anti join, all keys that
+    are referred to the other: a table is read once for what it refers to and
+    once, if others refer to it, for its keys. A reference that very many rows
+    share lies on the side whose skewed partitions Spark splits."""
+    refs, keys = [], {}
     for name, spec in constraints.items():
-        if name not in tables:
+        own = [(cols, parent, pcols) for cols, parent, pcols in spec.get("fk", []) if parent in tables]
+        if name not in tables or not own:
             continue
-        for cols, parent, pcols in spec.get("fk", []):
-            if parent not in tables:
-                continue
-            child = tables[name].where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-            par = tables[parent].select(*[F.col(p).alias(c) for p, c in zip(pcols, cols)]).distinct()
-            orphans = child.join(par, cols, "left_anti")
-            parts.append(_out(orphans, name, f"foreign_key:{','.join(cols)}->{parent}", _key(spec["pk"]), _key(cols)))
-    return _union(parts, next(iter(tables.values())))
+        told = [F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]),
+                       F.struct(F.lit(f"foreign_key:{','.join(cols)}->{parent}").alias("rule"),
+                                F.lit(f"{parent}:{','.join(pcols)}").alias("domain"), _values(cols).alias("values")))
+                for cols, parent, pcols in own]
+        row = tables[name].select(_key(spec["pk"]).alias("key"), F.explode(F.array_compact(F.array(*told))).alias("t"))
+        refs.append(row.select(F.lit(name).alias("table"), "t.rule", "key", "t.domain", "t.values"))
+        keys.update({(parent, tuple(pcols)): None for _, parent, pcols in own})
+    if not refs:
+        return _union([], next(iter(tables.values())))
+    by_parent: dict[str, list] = {}
+    for parent, pcols in keys:
+        by_parent.setdefault(parent, []).append(F.struct(F.lit(f"{parent}:{','.join(pcols)}").alias("domain"), _values(pcols).alias("values")))
+    known = reduce(DataFrame.unionByName, [tables[parent].select(F.explode(F.array(*told)).alias("t")).select("t.*")
+                                           for parent, told in by_parent.items()])
+    orphans = reduce(DataFrame.unionByName, refs).join(known, ["domain", "values"], "left_anti")
+    return orphans.select("table", "rule", "key", _shown("values").alias("value"))
 
 
 def _row_rules(df: DataFrame, table: str, pk, rules: list[tuple[str, Column, Column]]) -> DataFrame | None:

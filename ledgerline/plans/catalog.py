@@ -75,7 +75,7 @@ def oracle_queries() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the query modules fills REGISTRY.
-    from ledgerline.plans import queries_ledger, queries_market, queries_accounts, queries_streams  # noqa: F401
+    from ledgerline.plans import queries_ledger, queries_market, queries_accounts, queries_streams, queries_tables  # noqa: F401
 
 
 __all__ = ["REGISTRY", "register", "run", "spark_queries", "oracle_queries", "LEDGER_AS_OF", "PRICE_AS_OF"]

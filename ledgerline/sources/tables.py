@@ -143,18 +143,18 @@ def apply_buys(portfolio: DataFrame, buys: DataFrame) -> DataFrame:
     before the shuffle; the result is the same as applying them one by one
     because the weighted mean is order independent for buys.
     """
+    cents = lambda c: (F.col(c) * 100).cast("bigint")
     agg = buys.groupBy("user_id", "stock_ticker").agg(
-        F.sum("quantity").cast("bigint").alias("_bq"),
-        F.sum(F.col("quantity") * F.col("price")).alias("_bc"))
+        F.sum("quantity").cast("bigint").alias("_bq"), F.sum(F.col("quantity") * cents("price")).alias("_bc"))
     j = portfolio.join(agg, ["user_id", "stock_ticker"], "full_outer")
-    old_q = F.coalesce(F.col("quantity"), F.lit(0)).cast("bigint")
-    add_q = F.coalesce(F.col("_bq"), F.lit(0)).cast("bigint")
-    new_q = old_q + add_q
-    cost = (F.coalesce(F.col("avg_price").cast("double"), F.lit(0.0)) * old_q.cast("double")
-            + F.coalesce(F.col("_bc").cast("double"), F.lit(0.0)))
-    avg = F.when(F.col("_bq").isNull(), F.col("avg_price")).otherwise(
-        (cost / F.nullif(new_q.cast("double"), F.lit(0.0))).cast("decimal(10,2)"))
-    return j.select("user_id", "stock_ticker", new_q.alias("quantity"), avg.alias("avg_price"))
+    nothing = F.lit(0).cast("bigint")
+    old_q = F.coalesce(F.col("quantity").cast("bigint"), nothing)
+    j = j.withColumn("_q", old_q + F.coalesce("_bq", nothing)) \
+         .withColumn("_cost", F.coalesce(cents("avg_price"), nothing) * old_q + F.coalesce("_bc", nothing))
+    # whole cents, rounded half up as a NUMERIC(10,2) column stores them
+    mean = F.expr("(2 * _cost + _q) div nullif(2 * _q, 0)").cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")
+    avg = F.when(F.col("_bq").isNull(), F.col("avg_price")).otherwise(mean.cast("decimal(10,2)"))
+    return j.select("user_id", "stock_ticker", F.col("_q").alias("quantity"), avg.alias("avg_price"))
 
 
 # -- S8 / S10 / S11 ------------------------------------------------------------
