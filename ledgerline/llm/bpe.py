@@ -5,7 +5,10 @@ of the split pattern by itself. A long text is first cut at *safe boundaries*:
 places between a non-space and a space character. No match of the pattern
 spans such a place and no look-ahead looks past it, so the pieces' ids joined
 are the whole text's ids, while a piece keeps the library's regex and merge
-buffers small. A text without such a place is one piece.
+buffers small. A text without such a place is one piece. A very long run of
+white space is one match of the pattern, all of it at the text's end and
+otherwise all but its last character; the library merges its bytes without
+matching it, because its matcher gives up on runs of about a million.
 
 Decoding joins the raw bytes of the ids, so ids that cut a character in two
 come back unharmed.
@@ -32,6 +35,8 @@ from ledgerline.llm.common import slices_of
 PIECE_CHARS = 1 << 16
 
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
+#: Unicode's white space, as the split pattern's ``\s`` knows it, in runs too long for the pattern's matcher.
+_LONG_BLANK = regex.compile("[ \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % PIECE_CHARS)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,7 +72,13 @@ def encode_text(text: str | None, path: str, pattern: str, piece_chars: int = PI
         return np.empty(0, np.uint32)
     if len(text) <= piece_chars:
         return enc.encode_to_numpy(text, disallowed_special=())
-    return np.concatenate([enc.encode_to_numpy(p, disallowed_special=()) for p in safe_pieces(text, piece_chars)])
+    found, at = [], 0
+    for run in _LONG_BLANK.finditer(text):
+        found += [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_pieces(text[at:run.start()], piece_chars)]
+        at = run.end() - (run.end() < len(text))
+        found.append(np.array(enc._encode_single_piece(text[run.start():at]), np.uint32))
+    found += [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_pieces(text[at:], piece_chars)]
+    return np.concatenate(found)
 
 
 def decode_ids(ids, path: str, pattern: str) -> bytes:

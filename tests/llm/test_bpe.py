@@ -1,4 +1,5 @@
 import public_tokenizers
+import pytest
 import tiktoken
 from brute_force import documents, edge_rows, sha
 from hypothesis import given, settings
@@ -31,6 +32,21 @@ def test_very_long_run_without_a_boundary():
     assert encode_text(text, PATH, PATTERN).tolist() == LIBRARY.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t", "\u3000\xa0"])
+def test_very_long_runs_of_white_space(blank):
+    run = blank * (200_000 // len(blank))
+    for text in (run, "a" + run, run + "b", "one two" + run + "three" + run + "\n", run + "é" + run):
+        assert encode_text(text, PATH, PATTERN).tolist() == LIBRARY.encode_ordinary(text)
+
+
+def test_runs_that_the_library_refuses():
+    text = "a" + " " * 3_000_000 + "b" + "\n" * 2_000_000
+    ids = encode_text(text, PATH, PATTERN)
+    assert LIBRARY.decode(ids.tolist()) == text
+    space, line = LIBRARY.encode_ordinary(" " * 1000)[0], LIBRARY.encode_ordinary("\n" * 1000)[0]
+    assert ids.tolist() == (LIBRARY.encode_ordinary("a") + [space] * 2_999_999 + LIBRARY.encode_ordinary(" b") + [line] * 1_000_000)
+
+
 def test_special_token_strings_are_ordinary_text():
     assert encode_text("<|endoftext|>", PATH, PATTERN).tolist() == LIBRARY.encode_ordinary("<|endoftext|>")
 
