@@ -9,7 +9,9 @@ links. Text lengths are summed over a sliding window of lines: where the sum
 it ends, and the lines between are kept whole, short ones too.
 
 Every page goes through the distribution, and every stretch that surges is
-kept. What a page marks as its article is a weight only: marked lines count
+kept. The threshold is ``SURGE`` characters, or on a page whose windows all
+hold less the fullest window's. Outside marked text a stretch below it is
+lost: a closing line of fewer characters, say, behind three lines of links. What a page marks as its article is a weight only: marked lines count
 even if they are links, and if the marked text outweighs the rest, a stretch
 with marked lines surges however short it is.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +57,13 @@ banner menu nav navbar navigation breadcrumb breadcrumbs sidebar sidenav aside w
 topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription
 signup login share sharing social related recommended recommendations comment comments disqus replies respond pager
 pagination copyright disclaimer search""".split())
+#: Of these, the ones that inside an article name its own title.
+TITLE_NAMES = frozenset(("header", "masthead"))
 ARTICLE_NAMES = frozenset("articlebody entry-content post-content article-content article-body post-body story-body".split())
 
 _RAW = "|".join(RAW)
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?:{_RAW})\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*+)>|<[!?][^>]*+>", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -96,7 +101,8 @@ def element_kind(name: str, attrs: str, in_article: bool) -> str:
         if key in ("class", "id"):
             if ARTICLE_NAMES.intersection(value.split()):
                 return "article"
-            if FRAME_NAMES.intersection(_WORD.findall(value)):
+            found = FRAME_NAMES.intersection(_WORD.findall(value))
+            if found and not (in_article and found <= TITLE_NAMES):
                 return "frame"
     return ""
 
@@ -105,6 +111,7 @@ def page_lines(html: str) -> list[Line]:
     """The page as lines, with everything that never shows left out."""
     lines = [Line(False, False)]
     open_elements: list[tuple[str, str]] = []
+    depth: Counter[str] = Counter()
     frames = articles = links = 0
     at = 0
 
@@ -129,12 +136,14 @@ def page_lines(html: str) -> list[Line]:
             kind = element_kind(name, m["attrs"] or m["attrs2"] or "", articles > 0)
             if name not in ("p", "li", "td", "tr", "th", "dt", "dd") or kind:
                 open_elements.append((name, kind))
+                depth[name] += 1
                 frames += kind == "frame"
                 articles += kind == "article"
             links = 0
-        elif closing and any(name == other for other, _ in open_elements):
+        elif closing and depth[name]:
             while True:
                 other, kind = open_elements.pop()
+                depth[other] -= 1
                 frames -= kind == "frame"
                 articles -= kind == "article"
                 if other == name:
@@ -173,8 +182,10 @@ def main_text(html: str | None) -> str:
             lengths[i] = len(t)
     # lines that the page marks surge at once, if the text marked outweighs the rest
     trusted = 2 * lengths[marked].sum() > lengths.sum()
-    kept = [(a, b) for a, b in stretches(lengths, 1)
-            if window_sums(lengths)[a:b].max() >= SURGE or trusted and marked[a:b].any()]
+    sums = window_sums(lengths)
+    # on a page with little text its fullest windows surge
+    surge = min(SURGE, int(sums.max(initial=1)))
+    kept = [(a, b) for a, b in stretches(lengths, 1) if sums[a:b].max() >= surge or trusted and marked[a:b].any()]
     return " ".join(texts[i] for a, b in kept for i in range(a, b) if lengths[i])
 
 

@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,3 +87,25 @@ def test_text_beside_a_dominant_article_surges_by_itself():
 def test_a_shorter_stretch_is_kept_beside_a_long_one():
     menu = "<ul>" + "<li><a href='/a'>Home</a></li>" * 5 + "</ul>"
     assert main_text(page(f"<div>{f'<p>{P1}</p>' * 9}</div>{menu}<div><p>{P1} End.</p></div>")).endswith("End.")
+
+
+def test_raw_elements_end_with_their_own_name():
+    body = "<article><p>The story.</p>{}<p>Its end.</p></article>"
+    for raw in ("<svg><title>Icon</title><text>X</text></svg>", "<noscript><iframe></iframe>X</noscript>", "<script>a</style>X</script>",
+                "<template><script>1</script>X</template>"):
+        assert main_text(body.format(raw)) == "The story. Its end."
+
+
+def test_title_in_a_named_header_of_the_article():
+    page = '<div class="header">Site</div><article><div class="entry-header"><h1>Title</h1></div><p>Text.</p><div class="entry-footer">f</div></article>'
+    assert main_text(page) == "Title Text."
+
+
+def test_short_page_without_marks():
+    assert main_text("<body><nav>Home</nav><div>Only this.</div></body>") == "Only this."
+
+
+def test_many_open_elements_cost_little():
+    start = time.perf_counter()
+    assert main_text("<div>" * 60_000 + "text" + "</p>" * 60_000) == "text"
+    assert time.perf_counter() - start < 10
