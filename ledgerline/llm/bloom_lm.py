@@ -60,8 +60,8 @@ PROBES = 4
 BYTES_PER_WORD = 6
 #: Tokens of the corpus per block, about.
 PER_BLOCK = 1 << 22
-#: Tokens of a slice, about: few enough that most slices number their words in two bytes.
-HELD = 1 << 18
+#: Tokens of a slice, about.
+HELD = 1 << 20
 #: Text bytes tokenised at once.
 PIECE = 1 << 20
 
@@ -138,13 +138,17 @@ def mass(n_tokens: int, n_words: int) -> float:
 
 
 def narrow(numbers: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs."""
-    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+    """Whole numbers in as few bytes each as the largest needs: all lowest bytes, then all next ones, which compress well."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def widened(data: bytes, n: int) -> np.ndarray:
     """The ``n`` numbers back from :func:`narrow`."""
-    return np.frombuffer(data, f"u{len(data) // n}" if n else "u1").astype(np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.view("<i8").ravel()
 
 
 def by_block(spread: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,15 +174,21 @@ def blocks(n_bytes: int) -> int:
     return 1 << max(3, (n_bytes // (BYTES_PER_WORD * PER_BLOCK)).bit_length())
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def pack(*arrays: bytes) -> bytes:
-    return b"".join([np.array([len(arrays), *map(len, arrays)], "<u4").tobytes(), *arrays])
+    """Several arrays as one, compressed."""
+    whole = b"".join([np.array([len(arrays), *map(len, arrays)], "<u4").tobytes(), *arrays])
+    return len(whole).to_bytes(8, "little") + _ZSTD.compress(whole, asbytes=True)
 
 
 def unpack(data: bytes) -> list[bytes]:
     """The arrays back from :func:`pack`."""
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    ends = 4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)
-    return [data[a:b] for a, b in zip([4 + 4 * n, *ends.tolist()], ends.tolist())]
+    whole = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    n = int(np.frombuffer(whole, "<u4", 1)[0])
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(whole, "<u4", n, 4), dtype=np.int64)
+    return [whole[a:b] for a, b in zip([4 + 4 * n, *ends.tolist()], ends.tolist())]
 
 
 def pieces(text: bytes, size: int = PIECE):
@@ -216,7 +226,9 @@ class Slice:
     def sent(self, n_blocks: int) -> tuple[list[bytes], bytes]:
         """What goes to each block, and what is needed to score the slice when the answers are there."""
         training = np.repeat(~self.held, self.counts) & self.own()
-        vocabulary, at = np.unique(self.tokens, return_inverse=True)
+        vocabulary, at, times = np.unique(self.tokens, return_inverse=True, return_counts=True)
+        often = np.argsort(-times, kind="stable")  # frequent words get small numbers
+        vocabulary, at = vocabulary[often], np.argsort(often)[at]
         distinct, pair_at = np.unique(pair_hashes(self.tokens), return_inverse=True)
         columns = []
         for own, where, spread in ((vocabulary, at, mix(vocabulary)), (distinct, pair_at, distinct)):
@@ -235,7 +247,7 @@ class Slice:
         rows, keys, held, leads, counts, vocabulary, at = unpack(data)
         rows, vocabulary = np.frombuffer(rows, np.int64), np.frombuffer(vocabulary, np.uint64)
         counts = widened(counts, len(rows))
-        at = np.frombuffer(at, f"u{len(at) // int(counts.sum())}")
+        at = widened(at, int(counts.sum()))
         return cls(vocabulary[at], rows, np.frombuffer(keys, np.int64), np.frombuffer(held, bool), counts,
                    np.frombuffer(leads, bool)), vocabulary, at
 
