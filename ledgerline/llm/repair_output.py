@@ -23,7 +23,9 @@ writes the images as the binary column of a Parquet table, whose commit
 protocol leaves no half-written shard when an executor is lost, on any store.
 
 Words (cut at ASCII white space, which no token of this vocabulary spans) are
-encoded once per worker and remembered up to a bound.
+known by 64-bit hashes, encoded once per worker and remembered up to a bound.
+A text that spells one of the vocabulary's special tokens is encoded whole by
+the library, which makes that token of it.
 
 Defined results: a null or empty text is the end id alone; rows of one id are
 ordered by their text's XXH64; a row without an id comes last; an empty table gives
@@ -33,17 +35,19 @@ no shard and an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import MIX_A, id_key, id_value, slices_of, texts_as_bytes
+from ledgerline.llm.common import MIX_A, id_key, id_value, mix, slices_of, texts_as_bytes
 
 MAGIC = b"RPZ1"
 HEADER = struct.Struct("<IIIIQQ")
@@ -55,7 +59,7 @@ MIN_COUNT = 16
 CELL_BITS = 20
 #: Replacing ends with the round that shortens a shard by less than this share.
 LEAST_GAIN = 0.02
-#: Words remembered by a worker's encoder (about 150 bytes each).
+#: Words remembered by a worker's encoder (about 120 bytes each).
 REMEMBERED = 700_000
 
 
@@ -82,17 +86,38 @@ def plain_word(word: str) -> str:
     return word.encode().decode("latin-1").translate(_BYTES)
 
 
-class Places(dict):
-    """Numbers words in the order of their first use; ``fresh`` are those not encoded yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        self.fresh.append(word)
-        return place
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+#: What a byte counts in a word's hash, and the odd base of its places' powers.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MIX_A)
+_BASE = (0x9E3779B97F4A7C15 & ~7) + 5
+#: Longer words are hashed one by one: the powers mix the bytes of very long ones less and less.
+PLAIN_BYTES = 64
+
+
+@functools.lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's first ``n`` powers modulo 2^64, and their inverses."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every word of the text: where it starts and ends, and a 64-bit hash of its bytes."""
+    raw = np.frombuffer(text, np.uint8)
+    blank = np.concatenate([[True], _BLANK[raw], [True]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edges[::2], edges[1::2]
+    forward, back = powers(1 << max(20, len(raw).bit_length()))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * forward[:len(raw)], dtype=np.uint64)])
+    hashes = mix((upto[end] - upto[start]) * back[start])
+    for i in np.flatnonzero(end - start > PLAIN_BYTES).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(text[start[i]:end[i]])
+    return start, end, hashes
 
 
 class WordEncoder:
@@ -102,7 +127,6 @@ class WordEncoder:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id = end_id
         (self.between,) = self.ids_of(BETWEEN)
         # the same merges for words that are one token to split and normalised already
@@ -111,8 +135,11 @@ class WordEncoder:
         vocabulary = self.plain.get_vocab()
         self.closing = np.zeros(1 + max(vocabulary.values()), bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.places = Places()
-        self.places[END] = 0
+        # the library as it is: it alone knows what its special tokens do to a text that spells them
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.hashes = hashed_words(END)[2]
+        self.places = {int(self.hashes[0]): 0}
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.ids = np.array([end_id], np.uint32)
         self.uses = np.zeros(1, np.int64)
@@ -125,9 +152,8 @@ class WordEncoder:
         least = max(2, int(np.partition(self.uses, -REMEMBERED // 2)[-REMEMBERED // 2]) + 1)
         kept = self.uses >= least
         kept[0] = True
-        places = Places()
-        places.update((w, i) for i, w in enumerate(w for w, k in zip(self.places, kept.tolist()) if k))
-        self.places = places
+        self.hashes = self.hashes[kept]
+        self.places = {h: i for i, h in enumerate(self.hashes.tolist())}
         self.ids = gather(self.ids, self.start[kept], self.length[kept])
         self.length, self.uses = self.length[kept], self.uses[kept] // 2
         self.start = np.cumsum(self.length) - self.length
@@ -172,21 +198,39 @@ class WordEncoder:
         self.start = np.cumsum(self.length) - self.length
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
+    def places_of(self, text: bytes) -> np.ndarray:
+        """The place of every word of the (lower-case) text, learning new words."""
+        start, end, hashes = hashed_words(text)
+        distinct, first, which, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        known = np.fromiter(map(self.places.get, distinct.tolist(), itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = len(self.hashes) + np.arange(len(new))
+            self.hashes = np.concatenate([self.hashes, distinct[new]])
+            self.places.update(zip(distinct[new].tolist(), known[new].tolist()))
+            self.learn([text[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+        self.uses[known] += times
+        return known[which]
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, each text's closed by the end id; ids per text."""
         if not texts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.places) > REMEMBERED:
             self.forget()
-        words = (b" " + END + b" ").join([*texts, b""]).lower().split()
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        if self.places.fresh:
-            self.learn(self.places.fresh)
-            self.places.fresh = []
-        np.add.at(self.uses, at, 1)
+        low = [t.lower() for t in texts]
+        apart = [i for i, t in enumerate(low) if any(s in t for s in self.special)]
+        for i in apart:
+            low[i] = b""
+        at = self.places_of((b" " + END + b" ").join([*low, b""]))
         length = self.length[at]
         upto = np.cumsum(length)[at == 0]
-        return gather(self.ids, self.start[at], length), np.diff(upto, prepend=0)
+        ids, counts = gather(self.ids, self.start[at], length), np.diff(upto, prepend=0)
+        for i in reversed(apart):
+            own = self.library.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids = np.insert(ids, upto[i] - 1, np.array(own, np.uint32))
+            counts[i] += len(own)
+        return ids, counts
 
 
 @functools.lru_cache(maxsize=2)

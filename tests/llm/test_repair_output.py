@@ -14,7 +14,6 @@ import ledgerline.llm.repair_output as ro
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 ENCODER = ro.WordEncoder(PATH, 1)
 
 
@@ -59,6 +58,24 @@ def test_word_by_word_ids_equal_the_library(texts):
     assert ids.tolist() == [x for t in texts for x in library_ids(t)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", " ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "B", "\n"]),
+                         max_size=8).map("".join), max_size=5))
+def test_special_tokens_as_the_library(texts):
+    ids, counts = ENCODER.encode([t.encode() for t in texts])
+    assert ids.tolist() == [x for t in texts for x in library_ids(t)] and counts.tolist() == [len(library_ids(t)) for t in texts]
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(2)
+    words = list({"".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(20_000)})
+    words += ["x" * n for n in range(41, 200)] + ["é" * n for n in range(1, 60)]
+    raw = [w.encode() for w in words]
+    start, end, hashes = ro.hashed_words(b"  ".join(raw) + b"\n" + b"\t".join(raw))
+    assert len(set(hashes.tolist())) == len(words) and hashes.tolist()[:len(words)] == hashes.tolist()[len(words):]
+    assert ro.hashed_words(b"")[0].tolist() == ro.hashed_words(b" \n\x0b")[0].tolist() == []
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(ro, "REMEMBERED", 5)
     encoder, rng = ro.WordEncoder(PATH, 1), random.Random(1)
