@@ -55,6 +55,13 @@ TERM_PATTERN = r"\p{L}++"
 
 #: Code points on either side of an entity in which terms count as near it.
 CONTEXT = 40
+#: Code points of a wide entity. A kind's entities don't overlap and the shortest have five code points, so that
+#: fewer than ``(WIDE + CONTEXT) / 2`` narrow ones of all kinds start within ``WIDE + CONTEXT`` code points.
+WIDE = 256
+#: Spans of a text from which on their terms are looked for span by span in the neighbourhood only.
+MANY = 512
+#: Code points in a block of a text with many spans.
+BLOCK = 4096
 MIN_ENTITIES = 5
 DISCLOSURE = 0.8
 REMOVE_AT = 0.99
@@ -62,6 +69,15 @@ REMOVE_AT = 0.99
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+#: Matches placed in one go: running places are built up in chunks, so that a text's matches cost little more than linear time.
+CHUNK = 256
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches_of(text: Column, pattern: str, possible: Column) -> Column:
     """Start, end (code points, exclusive) and value of every match, in order.
     Spark hands out matched strings, not places; the pieces between them, cut
@@ -70,15 +86,31 @@ def matches_of(text: Column, pattern: str, possible: Column) -> Column:
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     pairs = F.zip_with(gaps, found, lambda gap, value: F.struct(F.length(gap).alias("gap"), F.length(value).alias("n"),
                                                                 value.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    spans = F.aggregate(
-        pairs, start,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"),
-                                                  (acc["at"] + p["gap"] + p["n"]).alias("end"),
-                                                  p["value"].alias("value")))).alias("out")),
-        lambda acc: acc["out"])
+
+    def placed(chunk: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast(_SPAN).alias("out"))
+        return F.aggregate(
+            chunk, start,
+            lambda acc, p: F.struct(
+                (acc["at"] + p["gap"] + p["n"]).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"),
+                                                      (acc["at"] + p["gap"] + p["n"]).alias("end"),
+                                                      p["value"].alias("value")))).alias("out")),
+            lambda acc: acc["out"])
+
+    def firsts(chunks: Column) -> Column:
+        """Where each chunk's first gap begins."""
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + p["gap"] + p["n"]))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                           lambda acc: acc["out"])
+
+    def chunked(all_pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / CHUNK).cast("int"))
+        return F.transform(numbers, lambda i: F.slice(all_pairs, i * CHUNK + 1, F.lit(CHUNK)))
+
+    spans = bound(pairs, lambda p: F.when(F.size(p) <= CHUNK, placed(p, F.lit(0))).otherwise(bound(
+        chunked(p), lambda chunks: F.flatten(F.zip_with(chunks, firsts(chunks), placed)))))
     return F.when(possible & F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(_SPAN))
 
 
@@ -120,19 +152,44 @@ def nearby_terms(text: Column, spans: Column, context: int = CONTEXT) -> Column:
     """``kind, value, term, start, end`` of every whole term within ``context``
     code points of an entity that is not inside an entity itself."""
 
-    def around(span: Column) -> Column:
+    def around(span: Column, others: Column, total: Column, cut) -> Column:
         low = F.greatest(F.lit(0), span["start"] - context)
-        part = F.substr(text, low + 1, span["end"] + context - low)
-        inside = F.length(part)
-        terms = matches_of(part, TERM_PATTERN, F.lit(True))
-        whole = F.filter(terms, lambda t: ((t["start"] > 0) | (low == 0))
-                         & ((t["end"] < inside) | (low + inside == F.length(text))))
-        return F.transform(whole, lambda t: F.struct(
-            span["kind"].alias("kind"), span["value"].alias("value"), F.lower(t["value"]).alias("term"),
-            (low + t["start"]).alias("start"), (low + t["end"]).alias("end")))
-
-    return F.filter(F.flatten(F.transform(spans, around)),
-                    lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+
+        def in_part(part: Column) -> Column:
+            inside = F.length(part)
+            whole = F.filter(matches_of(part, TERM_PATTERN, F.lit(True)),
+                             lambda t: ((t["start"] > 0) | (low == 0)) & ((t["end"] < inside) | (low + inside == total)))
+            return F.transform(whole, lambda t: F.struct(
+                span["kind"].alias("kind"), span["value"].alias("value"), F.lower(t["value"]).alias("term"),
+                (low + t["start"]).alias("start"), (low + t["end"]).alias("end")))
+
+        placed = bound(cut(low, span["end"] + context), in_part)
+        return bound(others, lambda near: F.filter(
+            placed, lambda t: ~F.exists(near, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))))
+
+    def from_text(low: Column, high: Column) -> Column:
+        return F.substr(text, low + 1, high - low)
+
+    def near(all_spans: Column, total: Column, blocks: Column) -> Column:
+        """Of very many spans, the wide ones and the neighbours in order are all
+        that a narrow one's terms can meet; the text is at hand in blocks, as
+        finding a place in it takes time in proportion to the place."""
+        is_wide = lambda s: s["end"] - s["start"] > WIDE
+        reach = (WIDE + context) // 2
+
+        def from_blocks(low: Column, high: Column) -> Column:
+            first = F.floor(low / BLOCK).cast("int")
+            count = F.floor((F.least(high, total) - 1) / BLOCK).cast("int") - first + 1
+            return F.substr(F.array_join(F.slice(blocks, first + 1, count), ""), low - first * BLOCK + 1, high - low)
+
+        return bound(F.filter(all_spans, is_wide), lambda wide: F.transform(all_spans, lambda s, i: around(
+            s, F.when(is_wide(s), all_spans).otherwise(F.concat(wide, F.slice(
+                all_spans, F.greatest(F.lit(1), i + 1 - reach), F.lit(2 * reach + 1)))), total, from_blocks)))
+
+    blocks_of = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    return F.flatten(bound(F.length(text), lambda total: F.when(
+        F.size(spans) <= MANY, F.transform(spans, lambda s: around(s, spans, total, from_text))).otherwise(
+        bound(blocks_of, lambda blocks: bound(spans, lambda own: near(own, total, blocks))))))
 
 
 def disclosing_terms(docs: DataFrame, contexts: DataFrame, text_col: str = "text", min_entities: int = MIN_ENTITIES,

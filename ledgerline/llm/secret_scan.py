@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.sanitise import matches_of
+from ledgerline.llm.sanitise import bound, matches_of
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}+"
 #: Characters in front of a candidate that are its neighbourhood.
@@ -57,8 +57,11 @@ def _plain(text: Column) -> Column:
 
 
 def _pairs(text: Column) -> Column:
-    return F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1),
-                                                  lambda i: F.substr(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    """Every two neighbouring characters, from one cut of the text into characters."""
+    def neighbours(c: Column) -> Column:
+        return F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b))
+    characters = bound(F.split(text, "(?!^)(?!$)", -1), neighbours)
+    return F.when(F.length(text) > 1, characters).otherwise(F.array().cast("array<string>"))
 
 
 def transitions(words: DataFrame) -> dict[str, float]:

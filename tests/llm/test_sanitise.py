@@ -1,10 +1,12 @@
 import random
+import time
 
 from brute_force import SCHEMA, documents, edge_rows, entities, joined, made_up, sha
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import ledgerline.llm.sanitise as sa
 from ledgerline.llm.sanitise import disclosing_terms, entity_contexts, sanitise, span_table
 
 ROWS = [
@@ -86,3 +88,30 @@ def test_empty_table(spark):
 def test_no_python_runs_on_the_executors(spark):
     plan = span_table(documents(spark, planted()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_many_entities_in_one_text(spark, monkeypatch):
+    """The way for texts with many spans finds what the plain one does, and in time."""
+    rng = random.Random(3)
+    kinds = ["u{0}@h{0}.example.org", "10.0.{1}.7", "+1 (301) 555-0{2}", "4111 1111 1111 1111", "x" * 300 + "{0}@long.example"]
+    words = ["é", "word", "Ünder", "of", "a1b", "\U0001F600", "term-like", ",", "\n"]
+    parts = []
+    for i in range(300):
+        parts.append(rng.choice(kinds if i % 50 == 0 else kinds[:4]).format(i, i % 250, 100 + i % 800))
+        parts += rng.choices(words, k=rng.randrange(0, 12))
+    df = spark.createDataFrame([(" ".join(parts),)], "text string").select("text", sa.entity_spans(F.col("text")).alias("spans"))
+    found = lambda: df.select(sa.nearby_terms(F.col("text"), F.col("spans")).alias("t")).first()["t"]
+    plain = found()
+    monkeypatch.setattr(sa, "MANY", 0)
+    monkeypatch.setattr(sa, "BLOCK", 64)
+    monkeypatch.setattr(sa, "CHUNK", 7)
+    assert len(plain) > 500 and found() == plain
+
+
+def test_thousands_of_entities_take_seconds(spark):
+    text = " ".join(f"user{i}@host{i % 50}.example.org written by somebody number {i}" for i in range(6_000))
+    rows = documents(spark, [(1, text)])
+    start = time.perf_counter()
+    row = span_table(rows).first()
+    assert row["n_email"] == 6_000 and time.perf_counter() - start < 60
+    assert sanitise(rows).first()["text"].startswith("<email> written by somebody number 0 <email>")

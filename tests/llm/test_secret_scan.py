@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 from brute_force import documents, edge_rows, made_up
@@ -92,3 +93,12 @@ def test_transitions(spark):
 def test_no_python_runs_on_the_executors(spark):
     plan = scan(documents(spark, planted(4, 40)[0]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_very_long_runs_take_seconds(spark):
+    """A run of a million key characters, such as an embedded image, and a very long line of words."""
+    rng = random.Random(12)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    start = time.perf_counter()
+    found = scan(documents(spark, [(1, "image = " + run), (2, "word " * 200_000)])).collect()
+    assert [(r["doc_id"], r["n_chars"]) for r in found] == [(1, 1_000_000)] and time.perf_counter() - start < 60
