@@ -105,7 +105,7 @@ def transaction_history(txn: DataFrame, portfolio: DataFrame, stock: DataFrame,
     )
 
 
-def _daily_position_changes(txn: DataFrame, as_of) -> DataFrame:
+def daily_position_changes(txn: DataFrame, as_of) -> DataFrame:
     """Net quantity change per (user, ticker, day), trades up to ``as_of``."""
     t = txn.where(F.col("ts").cast("date") <= F.lit(as_of).cast("date"))
     return t.groupBy("user_id", "stock_ticker", F.col("ts").cast("date").alias("date")) \
@@ -117,7 +117,7 @@ def holdings_by_day(txn: DataFrame, as_of) -> DataFrame:
     as validity intervals ``[valid_from, valid_to)``; ``valid_to`` is null for
     the interval still open at ``as_of``. One row per trade day, not per
     calendar day; expand with :func:`expand_intervals` when needed."""
-    d = _daily_position_changes(txn, as_of)
+    d = daily_position_changes(txn, as_of)
     w = Window.partitionBy(*POSITION_KEY).orderBy("date")
     return d.select(
         "user_id", "stock_ticker", F.col("date").alias("valid_from"),
@@ -152,12 +152,17 @@ def portfolio_history(txn: DataFrame, stock: DataFrame, as_of=_dt.date(2001, 12,
     most one row per calendar day, however many trades a user makes.
     """
     t = txn if user_id is None else txn.where(F.col("user_id") == F.lit(user_id))
-    d = _daily_position_changes(t, as_of)
+    w = Window.partitionBy(*POSITION_KEY).orderBy("date")
+    net = F.sum("net_change").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return value_history(daily_position_changes(t, as_of).withColumn("_net", net), stock, as_of)
+
+
+def value_history(d: DataFrame, stock: DataFrame, as_of) -> DataFrame:
+    """Q6 from the net quantity ``_net`` that each position (``user_id,
+    stock_ticker``) has from each of its trade days (``date``) on."""
     s = stock.select(F.col("ticker").alias("stock_ticker"), F.col("price").alias("_px"), F.lit(1).alias("_listed"))
     d = d.join(s, "stock_ticker", "left")
     w = Window.partitionBy(*POSITION_KEY).orderBy("date")
-    net = F.sum("net_change").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_net", net)
     listed = F.col("_listed").isNotNull()
     # Contribution to the day's sum, and whether that contribution is non-null.
     value = F.when(listed & (F.col("_net") > 0) & F.col("_px").isNotNull(), F.col("_net") * F.col("_px")) \

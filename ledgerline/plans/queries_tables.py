@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import as_double, fmt2, parse_display_number, profit_label
 from ledgerline.operators import market
-from ledgerline.plans.catalog import register
+from ledgerline.operators.incremental import Holdings
+from ledgerline.plans import queries_ledger  # noqa: F401  (registers holdings_by_day)
+from ledgerline.plans.catalog import REGISTRY, Query, register
 from ledgerline.plans.sqlfuncs import register_functions
 from ledgerline.session import scratch_path
 from ledgerline.sources import tables
@@ -146,3 +148,17 @@ def _sql_functions(fx):
         df = fx.spark.sql(f"{select} {call}").toDF("key", "value")
         found.append(df.select(F.lit(name).alias("function"), "key", as_double("value").alias("value")))
     return reduce(DataFrame.unionByName, found)
+
+
+def _holdings_incremental(fx):
+    """Q8 begun three days before the last trade and taken in day by day from there."""
+    last = fx.txn.agg(F.max(F.col("ts").cast("date"))).first()[0]
+    kept = Holdings(fx.spark, scratch_path(fx.spark, f"versions/holdings-{uuid.uuid4().hex}"), buckets=16)
+    kept.start(fx.txn, last - dt.timedelta(days=3))
+    for days in (2, 1, 0):
+        kept.add_day(fx.txn, last - dt.timedelta(days=days))
+    return kept.intervals()
+
+
+# it has the oracle of the holdings computed at once
+REGISTRY["holdings_incremental"] = Query("holdings_incremental", _holdings_incremental, REGISTRY["holdings_by_day"].oracle)

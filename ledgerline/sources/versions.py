@@ -197,8 +197,11 @@ class Versions:
             return out
         return self._update(change, done, list(tables.values()))
 
-    def _rewrite(self, name: str, changes: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
-        """Rewrite the buckets that hold keys of ``changes``."""
+    def rewrite(self, name: str, changes: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame],
+                append: dict[str, Callable[[DataFrame], DataFrame]] | None = None, done: tuple[str, int] | None = None) -> int:
+        """Rewrite the buckets that hold keys of ``changes`` as ``merged(their
+        rows, changes)``. ``append`` names tables that get, in the same
+        commit, the rows which a function makes of the old rows of these buckets."""
         held = changes.persist()
 
         def change(base, folder):
@@ -208,14 +211,20 @@ class Versions:
                 raise ValueError(f"{name} has no keys")
             schema = T.StructType.fromJson(table["schema"])
             touched = {r[0] for r in held.select(bucket_of(keys, n, schema)).distinct().collect()}  # at most ``buckets``
-            if not touched:
+            if not touched and not done:
                 return None
-            rows = merged(self._rows(table, touched), held).select(*schema.names)
+            old = self._rows(table, touched)
+            rows = merged(old, held).select(*schema.names)
             stay = [p for p in table["parts"] if p["bucket"] not in touched]
-            return {name: {**table, "parts": stay + self._write(rows, f"{folder}/{name}", keys, n)}}
+            out = {name: {**table, "parts": stay + (self._write(rows, f"{folder}/{name}", keys, n) if touched else [])}}
+            for other, made in (append or {}).items():
+                to = base["tables"][other]
+                more = made(old).select([F.col(f["name"]) for f in to["schema"]["fields"]])
+                out[other] = {**to, "parts": to["parts"] + (self._write(more, f"{folder}/{other}", to["keys"], to["buckets"]) if touched else [])}
+            return out
 
         try:
-            return self._update(change)
+            return self._update(change, done, [held] if done else [])
         finally:
             held.unpersist()
 
@@ -224,14 +233,14 @@ class Versions:
         """S6 by bucket: see :func:`ledgerline.sources.tables.upsert`."""
         def merged(rows, held):
             return upsert(rows, held, self.manifest()["tables"][name]["keys"], update_cols, order_col)
-        return self._rewrite(name, changes, merged)
+        return self.rewrite(name, changes, merged)
 
     def delete(self, name: str, keys_df: DataFrame) -> int:
         """S10 by bucket: rows whose keys are listed go."""
         def merged(rows, held):
             keys = self.manifest()["tables"][name]["keys"]
             return rows.join(held.select(*keys).distinct(), keys, "left_anti")
-        return self._rewrite(name, keys_df, merged)
+        return self.rewrite(name, keys_df, merged)
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete data folders that none of the last ``keep`` versions uses and
