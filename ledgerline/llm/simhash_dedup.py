@@ -314,14 +314,15 @@ def near_links(distinct: DataFrame, radius: int = 4, n_fingerprints: int | None
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     radius: int = 4) -> DataFrame:
-    """``key, content, fp, component`` of every row of ``docs``; ``component``
-    is the smallest key reachable over links of ``radius`` or fewer bits."""
+    """``key, content, fp, component, root`` of every row of ``docs``: the
+    smallest key reachable over links of ``radius`` or fewer bits, and the
+    fingerprint that it stands with."""
     rows = fingerprints(docs, id_col, text_col, shingle).checkpoint()
     distinct = rows.groupBy("fp").agg(F.min("key").alias("key")).checkpoint()
     joined = connected_components(near_links(distinct, radius))
-    joined = joined.select(F.col("node.fp").alias("fp"), F.col("root.key").alias("component"))
+    joined = joined.select(F.col("node.fp").alias("fp"), F.col("root.key").alias("component"), F.col("root.fp").alias("root"))
     of_fp = (distinct.join(joined, "fp", "left")
-             .select("fp", F.coalesce("component", "key").alias("component")).checkpoint())
+             .select("fp", F.coalesce("component", "key").alias("component"), F.coalesce("root", "fp").alias("root")).checkpoint())
     return rows.join(of_fp, "fp")
 
 
@@ -337,12 +338,14 @@ def component_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                          radius: int = 4) -> DataFrame:
     """One row of every component, all columns as they were: the one with the
-    smallest id (null last), of these the one with the smallest text hash."""
+    smallest id (null last), of these the one with the smallest text hash.
+
+    Components are told apart by their smallest id and fingerprint, so near
+    copies that all lack an id are one component, and rows without an id that
+    are no copies stay apart."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
     key, content = unused_name(docs, "row_key"), unused_name(docs, "row_content")
-    # rows without an id can't be told apart by it: their component is their fingerprint's
-    group = F.when(F.col("component") == id_key(F.lit(None)), F.col("fp"))
-    chosen = (found.groupBy("component", group.alias("group"))
+    chosen = (found.groupBy("component", "root")
               .agg(F.min(F.struct("key", "content")).alias("m"))
               .select(F.col("m.key").alias(key), F.col("m.content").alias(content)).distinct().checkpoint())
     named = docs.select("*", id_key(F.col(id_col)).alias(key), F.xxhash64(F.col(text_col).cast("string")).alias(content))

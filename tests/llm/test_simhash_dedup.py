@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from brute_force import SCHEMA, components, documents, edge_rows, fingerprint, made_up
 from pyspark.sql import functions as F
 
@@ -128,3 +129,22 @@ def test_crowded_prefixes_are_dealt_to_several_tasks(spark, monkeypatch):
     found = connected_components(near_links(distinct, 4)).select("node.key", F.col("root.key").alias("root")).collect()
     got = {r["key"]: r["root"] for r in found}
     assert [got.get(i, i) for i in range(len(fps))] == roots(fps)
+
+
+def test_near_copies_without_ids_are_one_group(spark):
+    rng = random.Random(21)
+    while True:  # two texts within the radius that are not equal
+        words = made_up(rng, 400).split()
+        near = words[:-1] + ["changed"]
+        a, b = " ".join(words), " ".join(near)
+        if 0 < bin(fingerprint(a) ^ fingerprint(b)).count("1") <= 4:
+            break
+    other, third = made_up(rng, 50), made_up(rng, 60)
+    rows = [(None, a), (None, b), (None, a), (None, other), (5, third), (5, made_up(rng, 70))]
+    kept = drop_near_duplicates(documents(spark, rows)).collect()
+    assert len(kept) == 4 and {r["text"] for r in kept} == {min((a, b), key=lambda t: _content(t)), other, third, rows[-1][1]}
+
+
+def _content(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
