@@ -5,13 +5,13 @@
     python -m ledgerline stream <job> <events_dir> <sf_dir> <out_path> [--checkpoint DIR] [--once]
                                 [--delay "1 day"] [--heartbeats DIR]
 
-Stream jobs: positions (T1/T2), orders (T1 with cash), prices (T3/T4), ohlc.
-They read ``events*.parquet`` files as they arrive, in any order within the
+Stream jobs: positions (T1/T2), orders (T1 with cash), prices (T3/T4),
+price-audit (T3), high-low (T4), ohlc. They read ``events*.parquet`` files as they arrive, in any order within the
 delay, in ``events_dir`` (seeds such as stored prices come from the tables of
 ``sf_dir``). The first three commit their steps and the late rows as table
-versions under the output folder, ohlc appends to it; the checkpoint (default:
-under ``spark.checkpoint.dir``) lets a restarted job resume. ``--once`` drains
-what is there and stops.
+versions under the output folder, the others append on-time rows to it; the
+checkpoint (default: under ``spark.checkpoint.dir``) lets a restarted job
+resume. ``--once`` drains what is there up to the newest event and stops.
 
 ``json`` writes one JSON object per row (dates as YYYY-MM-DD), the shape the
 original endpoints returned; ``parquet`` writes the DataFrame as is. Output is
@@ -23,8 +23,11 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import functions as F
+
+from ledgerline import schemas
 from ledgerline.plans.catalog import spark_queries
-from ledgerline.session import apply_required_conf, ensure_checkpoint_dir, ship_package
+from ledgerline.session import apply_required_conf, ensure_checkpoint_dir, scratch_path, ship_package
 from ledgerline.sources.tables import to_json_rows
 
 
@@ -38,7 +41,7 @@ def main(argv=None) -> int:
     r.add_argument("out")
     r.add_argument("--format", choices=["parquet", "json"], default="parquet")
     st = sub.add_parser("stream")
-    st.add_argument("job", choices=["positions", "orders", "prices", "ohlc"])
+    st.add_argument("job", choices=["positions", "orders", "prices", "price-audit", "high-low", "ohlc"])
     st.add_argument("events_dir")
     st.add_argument("sf_dir")
     st.add_argument("out")
@@ -76,18 +79,32 @@ def _stream(spark, args) -> int:
                                   checkpoint=args.checkpoint, available_now=args.once)
         q.awaitTermination()
         return 0
-    ev = jobs.event_stream(spark, args.events_dir)
-    if args.heartbeats:
-        ev = ordered.with_heartbeats(ev, args.heartbeats)
-    orders, ticks = Fixtures.orders_from(ev, fx.n_parts), Fixtures.ticks_from(ev, fx.n_parts)
-    if args.job == "positions":
-        steps = ordered.position_steps(jobs.trades_from_orders(orders), delay)
-    elif args.job == "orders":
-        steps = ordered.order_steps(orders, fx.account, fx.portfolio, fx.stock, delay)
-    else:
-        steps = ordered.price_steps(ticks, fx.stock, delay)
-    q = ordered.start(steps, ordered.SplitSink(spark, args.out, args.job), f"cli-{args.job}", args.checkpoint, args.once)
-    q.awaitTermination()
+    place = args.checkpoint or scratch_path(spark, f"streams/cli-{args.job}")
+    beats = args.heartbeats or f"{place}-heartbeats"
+    ordered.ensure_folder(spark, beats)
+
+    def started():
+        ev = ordered.with_heartbeats(jobs.event_stream(spark, args.events_dir), beats)
+        orders, ticks = Fixtures.orders_from(ev, fx.n_parts), Fixtures.ticks_from(ev, fx.n_parts)
+        if args.job == "positions":
+            steps = ordered.position_steps(jobs.trades_from_orders(orders), delay)
+        elif args.job == "orders":
+            steps = ordered.order_steps(orders, fx.account, fx.portfolio, fx.stock, delay)
+        else:
+            steps = ordered.price_steps(ticks, fx.stock, delay)
+        if args.job in ("price-audit", "high-low"):
+            on_time = steps.where("NOT late").drop("late")
+            rows = jobs.audit_rows(on_time) if args.job == "price-audit" else jobs.high_low_rows(on_time)
+            return jobs.start_to_parquet(rows, args.out, f"cli-{args.job}", checkpoint=place, available_now=args.once)
+        return ordered.start(steps, ordered.SplitSink(spark, args.out, args.job), f"cli-{args.job}", place, args.once)
+
+    started().awaitTermination()
+    if args.once:  # the newest event closes the period: nothing waits for rows older than it
+        events = spark.read.schema(schemas.EVENTS).option("pathGlobFilter", "events*.parquet").parquet(args.events_dir)
+        closed = events.agg(F.max("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 MILLISECOND")).first()[0]
+        if closed is not None:
+            ordered.beat(spark, beats, closed)
+            started().awaitTermination()
     return 0
 
 
