@@ -44,7 +44,7 @@ WITH lt AS (SELECT ticker, price FROM ticks QUALIFY row_number() OVER (PARTITION
 v2 AS (SELECT COALESCE(s.ticker, lt.ticker) AS ticker, s.name,
               CASE WHEN lt.ticker IS NOT NULL THEN lt.price ELSE s.price END AS price
        FROM stock s FULL JOIN lt ON s.ticker = lt.ticker)
-SELECT 1 AS version, ticker, name, CAST(price AS DOUBLE) AS price FROM stock
+SELECT CAST(1 AS BIGINT) AS version, ticker, name, CAST(price AS DOUBLE) AS price FROM stock
 UNION ALL SELECT 2, ticker, name, CAST(price AS DOUBLE) FROM v2
 UNION ALL SELECT 3, ticker, name, CAST(price AS DOUBLE) FROM v2 WHERE ticker NOT IN (SELECT ticker FROM stock WHERE price IS NULL)
 UNION ALL SELECT 4, ticker, name, CAST(price AS DOUBLE) FROM v2 WHERE ticker NOT IN (SELECT ticker FROM stock WHERE price IS NULL)
@@ -62,7 +62,7 @@ def _table_versions(fx):
     v.upsert("stock", latest, ["price"])
     v.delete("stock", stock.where("price IS NULL").select("ticker"))
     v.append({"stock": stock.withColumn("ticker", F.concat(F.lit("N"), "ticker"))})
-    read = [v.read("stock", n).select(F.lit(n).alias("version"), "ticker", "name", as_double("price").alias("price")) for n in v.versions()]
+    read = [v.read("stock", n).select(F.lit(n).cast("bigint").alias("version"), "ticker", "name", as_double("price").alias("price")) for n in v.versions()]
     return reduce(DataFrame.unionByName, read)
 
 
@@ -76,13 +76,13 @@ def _price_json(fx):
 
 
 @register("stock_defaults", """
-SELECT ticker, COALESCE(name, 'Unknown') AS name, CAST(COALESCE(price, 0) AS DOUBLE) AS price, 0 AS volume,
+SELECT ticker, COALESCE(name, 'Unknown') AS name, CAST(COALESCE(price, 0) AS DOUBLE) AS price, CAST(0 AS BIGINT) AS volume,
        CAST(COALESCE(high_52, price, 0) AS DOUBLE) AS high_52
 FROM stock
 """)
 def _stock_defaults(fx):
     filled = tables.with_defaults(fx.stock.select("ticker", "name", "price", "high_52"), {
-        "name": "Unknown", "volume": 0, "high_52": F.coalesce(F.col("price"), F.lit(0).cast("decimal(10,2)")), "price": F.lit(0).cast("decimal(10,2)")})
+        "name": "Unknown", "volume": F.lit(0).cast("bigint"), "high_52": F.coalesce(F.col("price"), F.lit(0).cast("decimal(10,2)")), "price": F.lit(0).cast("decimal(10,2)")})
     return filled.select("ticker", "name", as_double("price").alias("price"), "volume", as_double("high_52").alias("high_52"))
 
 
@@ -127,7 +127,7 @@ UNION ALL SELECT 'get_portfolio_summary', concat(user_id, '|', name), CAST(SUM(s
   FROM traded JOIN priced ON traded.ticker = priced.ticker GROUP BY user_id, name
 UNION ALL SELECT 'get_moving_averages', s.ticker, round(AVG(CAST(p.price AS DOUBLE)), 6)
   FROM stock s LEFT JOIN stock_prices p ON p.ticker = s.ticker AND p.date >= DATE '{_AS_OF}' - 200 AND p.date <= DATE '{_AS_OF}' GROUP BY s.ticker
-UNION ALL SELECT 'pct_change', ticker, CAST(price - low_52 AS DOUBLE) / NULLIF(CAST(low_52 AS DOUBLE), 0) * 100 FROM stock
+UNION ALL SELECT 'pct_change', ticker, (CAST(price AS DOUBLE) - CAST(low_52 AS DOUBLE)) / NULLIF(CAST(low_52 AS DOUBLE), 0) * 100 FROM stock
 """)
 def _sql_functions(fx):
     """The SQL functions, called from SQL."""
