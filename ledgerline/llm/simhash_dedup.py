@@ -55,7 +55,7 @@ VALUES_PER_TASK = 32_000_000
 CODES = np.random.default_rng(3).integers(1, 1 << 24, BITS, dtype=np.int64)
 PART_BITS = 24
 #: Shingle hashes whose bits are counted at once (64 bytes each).
-VOTES_AT_ONCE = 1 << 20
+VOTES_AT_ONCE = 1 << 18
 
 
 def shingle_hashes(text: bytes, size: int, seed: int = 42) -> list[int]:
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            for part in slices_of(batch, "text", 2 << 20):
+            for part in slices_of(batch, "text", 1 << 20):
                 fp = majority_bits([shingle_hashes(t, shingle) for t in texts_as_bytes(part.column("text"))])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("content"), pa.array(fp.view(np.int64))], schema=out)
