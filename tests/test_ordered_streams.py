@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -177,3 +179,38 @@ def test_empty_stream(spark, tmp_path):
     sink = ordered.SplitSink(spark, str(tmp_path / "out"))
     ordered.drain(lambda: ordered.position_steps(_trades(spark, folder), "1 hour"), sink, str(tmp_path / "ck"))
     assert sink.versions.versions() == [] or sink.steps().collect() == []
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", sys.argv[2] + "/kept").getOrCreate())
+from ledgerline.session import apply_required_conf, ship_package
+from ledgerline.streaming import ordered
+apply_required_conf(spark)
+ship_package(spark)
+key, _ = ordered.STATE_STORE
+before = spark.conf.get(key)
+trades = spark.sql("SELECT * FROM VALUES ('a', 7L, 'A', 'BUY', 4, CAST(2 AS DECIMAL(10,2)), TIMESTAMP_NTZ'2024-01-01 10:00:00'),"
+                   "('b', 7L, 'A', 'SELL', 5, CAST(2 AS DECIMAL(10,2)), TIMESTAMP_NTZ'2024-01-01 11:00:00'),"
+                   "('c', 7L, 'A', 'BUY', 1, CAST(2 AS DECIMAL(10,2)), TIMESTAMP_NTZ'2024-01-09 11:00:00')"
+                   "AS t(transaction_id, user_id, stock_ticker, type, quantity, price, ts)")
+trades.coalesce(1).write.parquet(sys.argv[2] + "/in")
+sink = ordered.SplitSink(spark, sys.argv[2] + "/out")
+stream = spark.readStream.schema(trades.schema).parquet(sys.argv[2] + "/in")
+ordered.drain(lambda: ordered.position_steps(stream, "1 hour"), sink, sys.argv[2] + "/ck")
+got = sorted((r["transaction_id"], r["status"], r["qty_after"]) for r in sink.steps().collect())
+assert got == [("a", "BOUGHT", 4), ("b", "REJECTED", 4)], got
+assert spark.conf.get(key) == before
+"""
+
+
+def test_streams_run_in_a_plain_session_started_in_another_folder(tmp_path):
+    """No state store is chosen, and Spark's own Python workers don't find the package by the working folder."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", ELSEWHERE, repo, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True,
+                         text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-3000:]
