@@ -88,6 +88,7 @@ def plain_word(word: str) -> str:
 
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\x0b\x0c\r")] = True
+_ALNUM = np.array([bytes([b]).isalnum() for b in range(256)])
 #: What a byte counts in a word's hash, and the odd base of its places' powers.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MIX_A)
 _BASE = (0x9E3779B97F4A7C15 & ~7) + 5
@@ -161,14 +162,21 @@ class WordEncoder:
     def learn(self, words: list[bytes], at_once: int = 2000) -> None:
         # a full stop or comma after an ASCII letter or digit is a token of its own,
         # so words that differ in it alone are encoded once
-        cores = [w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else w for w in words]
-        marked = np.fromiter((len(c) < len(w) for c, w in zip(cores, words)), bool, len(words))
+        raw, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        closing = np.cumsum(sizes) - 1
+        comma = raw[closing] == ord(",")
+        marked = (comma | (raw[closing] == ord("."))) & (sizes > 1) & _ALNUM[raw[closing - 1]]
+        cores = words.copy()
+        for i in np.flatnonzero(marked).tolist():
+            cores[i] = words[i][:-1]
         mark = {b".": self.ids_of("."), b",": self.ids_of(",")}
         distinct = list(dict.fromkeys(cores))
-        texts = [w.decode("utf-8", "replace") for w in distinct]
+        # words of lower-case ASCII letters alone are plain as they are
+        letters, others = [w for w in distinct if w.isalpha() and w.islower()], [w for w in distinct if not (w.isalpha() and w.islower())]
+        texts = [w.decode("utf-8", "replace") for w in others]
         simple = [plain_word(t) for t in texts]
-        distinct = [w for w, p in zip(distinct, simple) if p] + [w for w, p in zip(distinct, simple) if not p]
-        texts, simple = [t for t, p in zip(texts, simple) if not p], [p for p in simple if p]
+        distinct = letters + [w for w, p in zip(others, simple) if p] + [w for w, p in zip(others, simple) if not p]
+        texts, simple = [t for t, p in zip(texts, simple) if not p], b" ".join(letters).decode().split() + [p for p in simple if p]
         ids, lengths = [], [np.empty(0, np.int64)]
         for i in range(0, len(simple), at_once):
             found = self.plain.encode_batch_fast([" ".join(simple[i:i + at_once])], add_special_tokens=False)[0].ids
@@ -189,8 +197,7 @@ class WordEncoder:
         start = np.cumsum(length) - length
         # every word is its core's slice and, where marked, the slice of its mark
         number = dict(zip(distinct, range(len(distinct))))
-        core = np.fromiter((number[c] for c in cores), np.int64, len(cores))
-        comma = np.fromiter((w[-1:] == b"," for w in words), bool, len(words))
+        core = np.fromiter(map(number.__getitem__, cores), np.int64, len(cores))
         slices = np.column_stack([start[core], len(flat) - 2 + comma]).ravel()
         sizes = np.column_stack([length[core], marked.astype(np.int64)]).ravel()
         self.ids = np.concatenate([self.ids, gather(flat, slices, sizes)])
