@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.functions.exprs import signed_qty
 from ledgerline.operators.history import daily_position_changes, holdings_by_day, value_history
 from ledgerline.operators.positions import POSITION_KEY
 from ledgerline.sources.versions import Versions
@@ -46,8 +47,11 @@ class Holdings:
 
     def start(self, trades: DataFrame, as_of: dt.date) -> int:
         """Begin with all trades up to ``as_of`` at once."""
-        found = holdings_by_day(trades, as_of)
-        return self.versions.replace({OPEN: found.where("valid_to IS NULL"), CLOSED: found.where("valid_to IS NOT NULL")},
+        # the open intervals need no order of days: the last day and the sum of all
+        known = trades.where(F.col("ts").cast("date") <= F.lit(as_of))
+        held = known.groupBy(*POSITION_KEY).agg(F.max(F.col("ts").cast("date")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
+                                                F.sum(signed_qty()).cast("bigint").alias("net_quantity"))
+        return self.versions.replace({OPEN: held, CLOSED: holdings_by_day(trades, as_of).where("valid_to IS NOT NULL")},
                                      keys={OPEN: POSITION_KEY}, buckets=self.buckets, done=(STREAM, (as_of - dt.date(1970, 1, 1)).days))
 
     def add_day(self, trades: DataFrame, day: dt.date) -> int:
@@ -57,13 +61,17 @@ class Holdings:
         changes = daily_position_changes(trades.where(F.col("ts").cast("date") == F.lit(day)), day)
         changes = changes.select(*POSITION_KEY, "net_change").persist()
         number = (day - dt.date(1970, 1, 1)).days
+        met: list[DataFrame] = []  # the open intervals of the day's positions, at most as many as there are changes
 
-        def closes(rows: DataFrame) -> DataFrame:
+        def closes(_: DataFrame) -> DataFrame:
             """The open intervals that the day's trades end; one that began on the day itself can't be there."""
-            return rows.join(changes.select(*POSITION_KEY), POSITION_KEY, "left_semi").withColumn("valid_to", F.lit(day))
+            return met[-1].withColumn("valid_to", F.lit(day))
 
         def opened(rows: DataFrame) -> DataFrame:
-            both = rows.join(changes, POSITION_KEY, "full_outer")
+            # the day's few changes go to the kept positions, which stay where they are
+            met.append(rows.join(changes.select(*POSITION_KEY), POSITION_KEY, "left_semi").persist())
+            new = changes.join(met[-1].select(*POSITION_KEY), POSITION_KEY, "left_anti")
+            both = rows.join(changes, POSITION_KEY, "left").unionByName(new, allowMissingColumns=True)
             touched = F.col("net_change").isNotNull()
             return both.select(*POSITION_KEY, F.when(touched, F.lit(day)).otherwise(F.col("valid_from")).alias("valid_from"), "valid_to",
                                (F.coalesce("net_quantity", F.lit(0)) + F.coalesce("net_change", F.lit(0))).cast("bigint").alias("net_quantity"))
@@ -74,7 +82,8 @@ class Holdings:
                 self.versions.replace({OPEN: empty, CLOSED: empty}, keys={OPEN: POSITION_KEY}, buckets=self.buckets)
             return self.versions.rewrite(OPEN, changes, lambda rows, _: opened(rows), append={CLOSED: closes}, done=(STREAM, number))
         finally:
-            changes.unpersist()
+            for df in (*met, changes):
+                df.unpersist()
 
     def intervals(self) -> DataFrame:
         """Q8 as of the last day taken in (batch twin: :func:`ledgerline.operators.history.holdings_by_day`)."""

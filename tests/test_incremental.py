@@ -75,3 +75,21 @@ def test_no_trades_at_all(spark, scratch, trades):
     kept = Holdings(spark, scratch)
     kept.add_day(trades.limit(0), DAY)
     assert kept.intervals().collect() == [] and kept.last_day() == DAY
+
+
+def test_kept_positions_stay_where_they_are(spark, scratch, trades, monkeypatch):
+    """The open intervals are begun without ordering their days, and a day doesn't send them through a join's shuffle."""
+    kept = Holdings(spark, scratch, buckets=4)
+    plans, write = [], kept.versions._write
+
+    def watched(df, folder, *args, **kw):
+        if folder.endswith(f"/{OPEN}"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, folder, *args, **kw)
+
+    monkeypatch.setattr(kept.versions, "_write", watched)
+    more = trades.union(trades.where("user_id = 3")).union(trades.selectExpr("user_id", "stock_ticker", "type", "CAST(NULL AS INT)", "ts"))
+    kept.start(more, DAY + dt.timedelta(days=2))
+    assert rows(kept.intervals()) == rows(history.holdings_by_day(more, DAY + dt.timedelta(days=2)))
+    kept.add_day(more, DAY + dt.timedelta(days=4))
+    assert "Window" not in plans[0] and "FullOuter" not in plans[1]
