@@ -214,3 +214,125 @@ def test_streams_run_in_a_plain_session_started_in_another_folder(tmp_path):
     run = subprocess.run([sys.executable, "-c", ELSEWHERE, repo, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True,
                          text=True, timeout=300)
     assert run.returncode == 0, run.stderr[-3000:]
+
+
+class _Calls:
+    """Counts the calls to it, and keeps what a value, list and map state of one key hold."""
+
+    def __init__(self):
+        self.n, self.value, self.rows, self.by_key = 0, None, [], {}
+
+    def __getattribute__(self, name):
+        if name not in ("n", "value", "rows", "by_key"):
+            self.n += 1
+        return object.__getattribute__(self, name)
+
+    def getListState(self, *_):
+        return _List(self)
+
+    def getValueState(self, *_):
+        return _Value(self)
+
+    def getMapState(self, *_):
+        return self
+
+    def registerTimer(self, _):
+        pass
+
+    deleteTimer = registerTimer
+
+    def containsKey(self, key):
+        return key in self.by_key
+
+    def getValue(self, key):
+        return self.by_key[key]
+
+    def updateValue(self, key, value):
+        self.by_key[key] = value
+
+
+class _List:
+    def __init__(self, calls):
+        self.calls = calls
+
+    def appendList(self, rows):
+        self.put(self.calls.rows + rows)
+
+    def put(self, rows):
+        self.calls.n += 1
+        self.calls.rows = rows
+
+    def get(self):
+        self.calls.n += 1
+        return iter(self.calls.rows)
+
+    def clear(self):
+        self.put([])
+
+
+class _Value:
+    def __init__(self, calls):
+        self.calls = calls
+
+    def get(self):
+        self.calls.n += 1
+        return self.calls.value
+
+    def update(self, value):
+        self.calls.n += 1
+        self.calls.value = value
+
+    def clear(self):
+        self.update(None)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_users_positions_share_one_key():
+    """Trades in 200 tickers: one call or two a position, not a key's worth of calls and two frames for each."""
+    names = ["micros", "transaction_id", "user_id", "stock_ticker", "type", "quantity", "price_cents"]
+    rows = [(1_000_000 + n, f"{n:04d}", 7, None if n == 7 else f"T{n % 200}", "BUY" if n < 200 else "SELL", 5 if n < 300 else 9, 100) for n in range(400)]
+    p, handle = ordered.Positions("string"), _Calls()
+    p.init(handle)
+    frame = ordered.pd.DataFrame(random.Random(3).sample(rows, len(rows)), columns=names)
+    assert list(p.handleInputRows(("7",), iter([frame]), _Clock(0))) == []
+    (out,) = p.handleExpiredTimer(("7",), _Clock(10_000_000), None)
+    assert handle.n <= 2 * 201 + 12
+    got = {r.transaction_id: (r.stock_ticker, r.step, r.status, r.qty_after, r.late) for r in out.itertuples()}
+    assert len(out) == len(got) == 400
+    assert got["0006"] == ("T6", 1, "BOUGHT", 5, False) and got["0206"] == ("T6", 2, "SOLD", 0, False)
+    assert got["0007"] == (None, 1, "BOUGHT", 5, False) and got["0207"] == ("T7", 1, "REJECTED", 0, False)
+    assert got["0350"] == ("T150", 2, "REJECTED", 5, False)
+
+
+def test_position_steps_of_many_tickers_equal_their_twin(spark, tmp_path):
+    """Users and tickers may be missing; a trade without a user isn't taken for a heartbeat."""
+    rng = random.Random(9)
+    rows = [(f"{n:04d}", rng.choice([1, 2, 3, None]), rng.choice(["A", "B", "C", "D", None]), rng.choice(["BUY", "BUY", "SELL"]), rng.randint(1, 9),
+             rng.choice([3, 7, None]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(500))) for n in range(300)]
+    schema = TRADE.replace("price decimal(10,2)", "price int")
+    trades = spark.createDataFrame(rows, schema).withColumn("price", F.col("price").cast("decimal(10,2)"))
+    folder = str(tmp_path / "in")
+    trades.repartition(3).write.parquet(folder)
+    sink = ordered.SplitSink(spark, str(tmp_path / "out"))
+    beats = str(tmp_path / "beats")
+    ordered.ensure_folder(spark, beats)
+
+    def build():
+        both = _trades(spark, folder).unionByName(spark.readStream.schema("ts timestamp_ntz").parquet(beats), allowMissingColumns=True)
+        return ordered.position_steps(both, "1 day")
+
+    ordered.drain(build, sink, str(tmp_path / "ck"))
+    ordered.beat(spark, beats, END)
+    ordered.drain(build, sink, str(tmp_path / "ck"))
+    assert sink.late().count() == 0
+    got, want = sink.steps(), positions.ledger_steps(trades)
+    _same(want.where("user_id IS NOT NULL"), got.where("user_id IS NOT NULL"))
+    nobody = trades.where("user_id IS NULL").withColumn("user_id", F.lit(0).cast("long"))  # one position a ticker, as for any user
+    _same(positions.ledger_steps(nobody).drop("user_id"), got.where("user_id IS NULL").drop("user_id"))
