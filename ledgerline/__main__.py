@@ -83,6 +83,8 @@ def _stream(spark, args) -> int:
     beats = args.heartbeats or f"{place}-heartbeats"
     ordered.ensure_folder(spark, beats)
 
+    keep = ordered.Kept()  # for as long as the stream runs
+
     def started():
         ev = ordered.with_heartbeats(jobs.event_stream(spark, args.events_dir), beats)
         orders, ticks = Fixtures.orders_from(ev, fx.n_parts), Fixtures.ticks_from(ev, fx.n_parts)
@@ -91,20 +93,21 @@ def _stream(spark, args) -> int:
         elif args.job == "orders":
             steps = ordered.order_steps(orders, fx.account, fx.portfolio, fx.stock, delay)
         else:
-            steps = ordered.price_steps(ticks, fx.stock, delay)
+            steps = ordered.price_steps(ticks, fx.stock, delay, keep)
         if args.job in ("price-audit", "high-low"):
             on_time = steps.where("NOT late").drop("late")
             rows = jobs.audit_rows(on_time) if args.job == "price-audit" else jobs.high_low_rows(on_time)
             return jobs.start_to_parquet(rows, args.out, f"cli-{args.job}", checkpoint=place, available_now=args.once)
         return ordered.start(steps, ordered.SplitSink(spark, args.out, args.job), f"cli-{args.job}", place, args.once)
 
-    started().awaitTermination()
-    if args.once:  # the newest event closes the period: nothing waits for rows older than it
-        events = spark.read.schema(schemas.EVENTS).option("pathGlobFilter", "events*.parquet").parquet(args.events_dir)
-        closed = events.agg(F.max("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 MILLISECOND")).first()[0]
-        if closed is not None:
-            ordered.beat(spark, beats, closed)
-            started().awaitTermination()
+    with keep:
+        started().awaitTermination()
+        if args.once:  # the newest event closes the period: nothing waits for rows older than it
+            events = spark.read.schema(schemas.EVENTS).option("pathGlobFilter", "events*.parquet").parquet(args.events_dir)
+            closed = events.agg(F.max("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 MILLISECOND")).first()[0]
+            if closed is not None:
+                ordered.beat(spark, beats, closed)
+                started().awaitTermination()
     return 0
 
 

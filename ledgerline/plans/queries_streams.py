@@ -101,15 +101,13 @@ def _steps(fx, steps, name: str, max_files_per_trigger: int | None = 64):
     beats = f"{out}/heartbeats"
     ordered.ensure_folder(fx.spark, beats)
 
-    def build():
-        ev = jobs.event_stream(fx.spark, fx.sf_dir, max_files_per_trigger=max_files_per_trigger)
-        ev = ordered.with_heartbeats(ev, beats)
-        return steps(fx.orders_from(ev, fx.n_parts), fx.ticks_from(ev, fx.n_parts))
-
+    ev = jobs.event_stream(fx.spark, fx.sf_dir, max_files_per_trigger=max_files_per_trigger)
+    ev = ordered.with_heartbeats(ev, beats)
+    rows = steps(fx.orders_from(ev, fx.n_parts), fx.ticks_from(ev, fx.n_parts))
     sink = ordered.SplitSink(fx.spark, f"{out}/tables", name)
-    ordered.drain(build, sink, f"{out}/checkpoint")
+    ordered.drain(lambda: rows, sink, f"{out}/checkpoint")
     ordered.beat(fx.spark, beats, dt.datetime(9000, 1, 1))
-    ordered.drain(build, sink, f"{out}/checkpoint")
+    ordered.drain(lambda: rows, sink, f"{out}/checkpoint")
     return sink.steps()
 
 
@@ -129,7 +127,8 @@ def _stream_positions(fx):
 
 
 def _price_steps(fx):
-    return _steps(fx, lambda _, ticks: ordered.price_steps(ticks, fx.stock, _DELAY), "prices")
+    with ordered.Kept() as keep:
+        return _steps(fx, lambda _, ticks: ordered.price_steps(ticks, fx.stock, _DELAY, keep), "prices")
 
 
 def _stream_price_audit(fx):

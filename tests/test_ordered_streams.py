@@ -336,3 +336,80 @@ def test_position_steps_of_many_tickers_equal_their_twin(spark, tmp_path):
     _same(positions.ledger_steps(trades.where("user_id IS NOT NULL")), got.where("user_id IS NOT NULL"))
     nobody = trades.where("user_id IS NULL").withColumn("user_id", F.lit(0).cast("long"))  # one position a ticker, as for any user
     _same(positions.ledger_steps(nobody).drop("user_id"), got.where("user_id IS NULL").drop("user_id"))
+
+
+class _Server:
+    """Counts the calls to it and holds one key's states, by name."""
+
+    def __init__(self):
+        self.n, self.states = 0, {}
+
+    def getMapState(self, name, *_):
+        return _Named(self, name)
+
+    getValueState = getMapState
+
+    def registerTimer(self, _):
+        self.n += 1
+
+    deleteTimer = registerTimer
+
+
+class _Named:
+    def __init__(self, server, name):
+        self.server, self.name = server, name
+
+    def _held(self):
+        self.server.n += 1
+        return self.server.states.setdefault(self.name, {})
+
+    def getValue(self, key):
+        return self._held().get(key)
+
+    def updateValue(self, key, value):
+        self._held()[key] = value
+
+    def get(self):
+        return self._held().get(())
+
+    def update(self, value):
+        self._held()[()] = value
+
+    def clear(self):
+        self._held().clear()
+
+
+def _folded(processor, rows, columns, times):
+    """What a bucket's rows come out as when the watermark (ms) takes these times one after another, and the calls made."""
+    server = _Server()
+    processor.init(server)
+    frame = ordered.pd.DataFrame(rows, columns=columns)
+    assert list(processor.handleInputRows((3,), iter([frame]), _Clock(0))) == []
+    out = [r for ms in times for f in processor.handleExpiredTimer((3,), _Clock(ms), None) for r in f.itertuples()]
+    return out, server.n
+
+
+def test_many_tickers_share_a_buckets_calls():
+    """Ticks of 2,000 tickers: some calls a slot, not some a ticker; prices are carried from fold to fold."""
+    nan = float("nan")
+    rng, columns = random.Random(5), ["slot", "ticker", "micros", "event_id", "price", "seed", "seed_high", "seed_low"]
+    rows = []
+    for n in range(9000):
+        k = rng.randrange(2000)
+        seeds = (nan, nan, nan) if k == 7 else (50.0 + k, 60.0, nan) if k == 8 else (50.0 + k, 60.0 + k, 40.0 + k)
+        rows.append((k % ordered.SLOTS, None if k == 7 else f"T{k}", 1_000_000 + n // 3, n if n % 11 else ordered.NONE,
+                     rng.choice([nan, -1.0, float(k), 55.0 + k, 70.0 + k]), *seeds))
+    out, calls = _folded(ordered.Prices(), rows, columns, [1001, 1002, 5000])
+    assert len(out) == len(rows) and calls <= 3 * (2 * ordered.SLOTS + 12)
+    known = lambda x: None if x != x else x
+    held, want = {}, Counter()
+    for _, ticker, at, i, price, *seeds in sorted(rows, key=lambda r: (r[2], r[3])):
+        old, high, low = held.get(ticker) or map(known, seeds)
+        p = known(price)
+        if p is not None:
+            high = p if p > 0 and (high is None or p > high) else high
+            low = p if low is None or p < low else low
+        held[ticker] = p, high, low
+        want[ticker, at, i, p, old, p != old, high, low, False] += 1
+    assert Counter((r.ticker, r.micros, r.event_id, known(r.price), known(r.old_price), r.changed, known(r.high_52), known(r.low_52), r.late)
+                   for r in out) == want
