@@ -413,3 +413,44 @@ def test_many_tickers_share_a_buckets_calls():
         want[ticker, at, i, p, old, p != old, high, low, False] += 1
     assert Counter((r.ticker, r.micros, r.event_id, known(r.price), known(r.old_price), r.changed, known(r.high_52), known(r.low_52), r.late)
                    for r in out) == want
+
+
+def _ticks(spark, folder, rows):
+    schema = "event_id long, ticker string, price decimal(10,2), ts timestamp_ntz"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_stock_is_computed_once_for_all_micro_batches(spark, tmp_path):
+    """Also: late and unlisted ticks, ticks without a ticker, ids beyond 2^53 beside none."""
+    from decimal import Decimal
+    day, folder, made = dt.datetime(2024, 1, 1), str(tmp_path / "in"), spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    stock = spark.createDataFrame([("A", Decimal(5), Decimal(9), None), ("B", None, None, Decimal(4)), ("C", Decimal(1), None, None)],
+                                  "ticker string, price decimal(10,2), high_52 decimal(10,2), low_52 decimal(10,2)").mapInPandas(
+        counted, "ticker string, price decimal(10,2), high_52 decimal(10,2), low_52 decimal(10,2)")
+    big = 2**60 + 1
+    for hours in ((0, 1, 2), (50, 51), (200, 1)):  # a file each; hour 1 comes again when it is late
+        rows = [(big + 10 * h + i, t, Decimal(p), day + dt.timedelta(hours=h)) for h in hours
+                for i, (t, p) in enumerate((("A", 5 + h), ("B", 7), (None, 1), ("X", 2)))]
+        ticks = _ticks(spark, folder, [*rows, (None, "A", None, day + dt.timedelta(hours=hours[0]))])
+    sink = ordered.SplitSink(spark, str(tmp_path / "out"))
+    with ordered.Kept() as keep:
+        steps = ordered.price_steps(ticks, stock, "2 hours", keep)
+        ordered.drain(lambda: steps, sink, str(tmp_path / "ck"))
+    assert made.value == 3
+    got = Counter((r.ticker, r.event_id and r.event_id - big, r.old_price, r.price, r.changed, r.high_52, r.low_52) for r in sink.steps().collect())
+    on_a = [(None, 5, None, True, 9, None), (0, None, 5, True, 9, 5), (10, 5, 6, True, 9, 5), (20, 6, 7, True, 9, 5),
+            (None, 7, None, True, 9, 5), (500, None, 55, True, 55, 5), (510, 55, 56, True, 56, 5)]
+    on_b = [(0, None, 7, True, 7, 4), *[(i, 7, 7, False, 7, 4) for i in (10, 20, 500, 510)]]
+    nowhere = [(2, None, 1, True, 1, 1), *[(i + 2, 1, 1, False, 1, 1) for i in (10, 20, 500, 510)]]
+    want = [("A", *r) for r in on_a] + [("B", i + 1, *r) for i, *r in on_b] + [(None, *r) for r in nowhere]
+    assert got == Counter(want)
+    late = Counter((r.ticker, r.event_id - big, r.old_price, r.changed, r.high_52) for r in sink.late().collect())
+    assert late == Counter([("A", 10, None, None, None), ("B", 11, None, None, None), (None, 12, None, None, None)])
+    assert sink.steps().where("ts IS NULL").count() == 0
