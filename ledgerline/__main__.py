@@ -91,7 +91,7 @@ def _stream(spark, args) -> int:
         if args.job == "positions":
             steps = ordered.position_steps(jobs.trades_from_orders(orders), delay)
         elif args.job == "orders":
-            steps = ordered.order_steps(orders, fx.account, fx.portfolio, fx.stock, delay)
+            steps = ordered.order_steps(orders, fx.account, fx.portfolio, fx.stock, delay, keep)
         else:
             steps = ordered.price_steps(ticks, fx.stock, delay, keep)
         if args.job in ("price-audit", "high-low"):

@@ -140,7 +140,8 @@ def _stream_high_low(fx):
 
 
 def _stream_orders(fx):
-    rows = _steps(fx, lambda orders, _: ordered.order_steps(orders, fx.account, fx.portfolio, fx.stock, _DELAY), "orders")
+    with ordered.Kept() as keep:
+        rows = _steps(fx, lambda orders, _: ordered.order_steps(orders, fx.account, fx.portfolio, fx.stock, _DELAY, keep), "orders")
     return processed_orders_table(rows)
 
 

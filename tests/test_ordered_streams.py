@@ -454,3 +454,58 @@ def test_stock_is_computed_once_for_all_micro_batches(spark, tmp_path):
     late = Counter((r.ticker, r.event_id - big, r.old_price, r.changed, r.high_52) for r in sink.late().collect())
     assert late == Counter([("A", 10, None, None, None), ("B", 11, None, None, None), (None, 12, None, None, None)])
     assert sink.steps().where("ts IS NULL").count() == 0
+
+
+def test_many_users_share_a_buckets_calls():
+    """Orders of 500 users: some calls a slot, not some a user; cash and shares are carried from fold to fold."""
+    rng, none = random.Random(6), ordered.NONE
+    columns = ["slot", "owner", "micros", "order_id", "ticker", "type", "quantity", "price_cents", "status", "cash", "shares", "avg"]
+    cash = [none if u % 9 == 0 else 500 * u for u in range(500)]
+    rows = []
+    for n in range(6000):
+        u, t = rng.randrange(500), rng.randrange(3)
+        status = "invalid_type" if n % 13 == 0 else "unknown_stock" if n % 17 == 0 else None
+        rows.append((u % ordered.SLOTS, str(u), 1_000_000 + n // 2, n, None if n % 17 == 0 else f"T{t}", rng.choice(["BUY", "SELL"]),
+                     rng.randint(1, 9), rng.randint(1, 5000), status, cash[u], *((u % 7, 100) if u % 3 == t and n % 17 else (none, none))))
+    out, calls = _folded(ordered.Orders(), rows, columns, [1001, 5000])
+    assert len(out) == len(rows) and calls <= 2 * (2 * ordered.SLOTS + 12)
+    wallets, want = {}, {}
+    for _, owner, _, i, ticker, kind, q, p, status, *_ in sorted(rows, key=lambda r: (r[2], r[3])):
+        u = int(owner)
+        if u not in wallets:
+            wallets[u] = positions.Wallet()
+            wallets[u].cash, wallets[u].held = None if cash[u] == none else cash[u], {f"T{u % 3}": (u % 7, 100)}
+        w = wallets[u]
+        before = w.held.get(ticker, (0, 0))[1]
+        want[i] = status or w.apply(kind, ticker, q, p), none if w.cash is None else w.cash, w.held.get(ticker, (0, 0))[0], before
+    assert {r.order_id: (r.outcome, r.cash_after_cents, r.shares_after, r.avg_cents_before) for r in out} == want
+    assert len({o for o, *_ in want.values()}) == 6
+
+
+def test_order_steps_equal_their_twin_where_users_are_missing(spark, tmp_path):
+    """Orders, accounts and positions may lack a user; users beyond 2^53 stay apart; an account may come twice."""
+    rng, folder = random.Random(8), str(tmp_path / "in")
+    users = [1, 2, 3, None]
+    far = lambda df: df.withColumns({c: F.col(c) + F.lit(2**60) for c in ("user_id", "order_id") if c in df.columns})
+    rows = [(n, rng.choice([*users, 4]), rng.choice([" a", "B", "C", "X", None]), rng.choice(["buy", "BUY", "SELL", "HOLD"]),
+             rng.choice([0, 1, 2, 5, None]), rng.choice([3, 7, None]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(500)))
+            for n in range(400)]
+    money = F.col("price").cast("decimal(10,2)")
+    schema = "order_id long, user_id long, ticker string, type string, quantity int, price int, ts timestamp_ntz"
+    orders = spark.createDataFrame(rows, schema).withColumn("price", money)
+    far(orders).repartition(3).write.parquet(folder)
+    accounts = spark.createDataFrame([(u, 40) for u in [*users, 3]], "user_id long, price int").select("user_id", money.alias("balance"))
+    held = spark.createDataFrame([(u, t, 3, 2) for u in users for t in "AB"], "user_id long, stock_ticker string, quantity long, price int") \
+        .withColumn("avg_price", money).drop("price")
+    stock = spark.createDataFrame([("A",), ("B",), ("C",)], "ticker string")
+    beats, sink = str(tmp_path / "beats"), ordered.SplitSink(spark, str(tmp_path / "out"))
+    ordered.ensure_folder(spark, beats)
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = stream.unionByName(spark.readStream.schema("ts timestamp_ntz").parquet(beats), allowMissingColumns=True)
+    with ordered.Kept() as keep:
+        steps = ordered.order_steps(stream, far(accounts), far(held), stock, "1 day", keep)
+        ordered.drain(lambda: steps, sink, str(tmp_path / "ck"))
+        ordered.beat(spark, beats, END)
+        ordered.drain(lambda: steps, sink, str(tmp_path / "ck"))
+    assert sink.late().count() == 0
+    _same(far(positions.process_orders(orders, accounts, held, stock)), sink.steps())
