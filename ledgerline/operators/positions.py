@@ -296,7 +296,8 @@ def position_ledger(txn: DataFrame, keep_steps: bool = False) -> DataFrame:
     """
     if keep_steps:
         return ledger_steps(txn)
-    f = _sorted_trades(txn).mapInPandas(_replay_final, POSITION_SCHEMA)
+    trades = _sorted_trades(txn).drop("transaction_id")  # sorted by it; the fold doesn't read it
+    f = trades.mapInPandas(_replay_final, POSITION_SCHEMA)
     return f.select(
         *POSITION_KEY, "quantity",
         (F.col("avg_cents").cast("double") / 100).alias("avg_price"),
